@@ -94,7 +94,7 @@ def write_warc(typed: DataFrame, folder: str, level: int = 3, date: str = "2024-
         out, records = None, 0
         for batch in sliced(batches, "html", 8 * BLOCK):
             if out is None:
-                out = fs.open_output_stream(_open(name)[1])
+                out = fs.open_output_stream(_open(name)[1], compression=None)
             for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 out.write(_member(record(page_id, url, html.encode(), digest, refers_to, date), level))
                 records += 1
