@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import line_dedup as line
+from . import near_dedup as near
 from . import warc
 from ._util import table
 
@@ -29,10 +30,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 #: A-Z to a-z and nothing else.
