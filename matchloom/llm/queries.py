@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import exact_dedup as exact
 from . import line_dedup as line
 from . import near_dedup as near
@@ -26,6 +28,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True).drop("text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -37,6 +44,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
 }
