@@ -12,6 +12,7 @@ from . import bpe
 from . import exact_dedup as exact
 from . import line_dedup as line
 from . import near_dedup as near
+from . import prefix_counts as prefix
 from . import warc
 from ._util import table
 
@@ -41,12 +42,18 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 #: A-Z to a-z and nothing else.
