@@ -52,8 +52,10 @@ class PrefixCounter:
         if len(model.encode("\u0007")) != 2:
             raise ValueError("a vocabulary with a leading mark and byte fallback is needed")
         self.longest_run = max((n for _, n in runs), default=1)
-        if len({score for score, _ in runs}) > 1 or {n for _, n in runs} != set(range(2, self.longest_run + 1)):
-            raise ValueError("runs of marks of every length up to the longest, of one score, are needed")
+        few = [self._merge_run(n, {n: score for score, n in runs}) for n in range(4 * self.longest_run + 1)]
+        if any(few[n + self.longest_run] != few[n] + 1 for n in range(3 * self.longest_run + 1)):
+            raise ValueError("runs of marks don't repeat after the longest")
+        self.few_marks = few[: self.longest_run]
         order = {s: i for i, s in enumerate(sorted(set(self.rank.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in self.rank.items()}
         tails: dict[str, set[int]] = {}
@@ -115,8 +117,19 @@ class PrefixCounter:
         return last
 
     def run(self, n: int) -> int:
-        """Tokens of a run of n marks alone: of equal scores the leftmost merges, so the first piece grows to the longest."""
-        return -(-n // self.longest_run)
+        """Tokens of a run of n marks alone; beyond the longest piece the counts repeat."""
+        return n // self.longest_run + self.few_marks[n % self.longest_run]
+
+    @staticmethod
+    def _merge_run(n: int, score: dict[int, float]) -> int:
+        """Merge a run of n marks: the best score first, the leftmost of equals."""
+        parts = [1] * n
+        while True:
+            best = max(((score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score), default=None)
+            if best is None:
+                return len(parts)
+            i = -best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _word(self, segment: str) -> bytes:
         """Counts after each character of a segment as 32-bit integers."""
