@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import decontaminate as dec
 from . import exact_dedup as exact
+from . import language_id as lid
 from . import line_dedup as line
 from . import near_dedup as near
 from . import prefix_counts as prefix
@@ -39,6 +40,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lid.identify(docs.select("doc_id", "text"), lid.learn_from_kept_in(docs))
+    return found.select("doc_id", lid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
