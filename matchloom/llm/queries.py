@@ -12,6 +12,7 @@ from . import bpe
 from . import decontaminate as dec
 from . import exact_dedup as exact
 from . import language_id as lid
+from . import license_scan as license
 from . import line_dedup as line
 from . import near_dedup as near
 from . import prefix_counts as prefix
@@ -59,6 +60,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license.license_scan(docs).drop("text", "matches")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: A-Z to a-z and nothing else.
