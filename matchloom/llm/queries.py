@@ -16,8 +16,9 @@ from . import license_scan as license
 from . import line_dedup as line
 from . import near_dedup as near
 from . import prefix_counts as prefix
+from . import quality as quality_model
 from . import warc
-from ._util import table
+from ._util import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = written(quality_model.featurise(table(spark, sf_dir, "documents")), "quality-features")
+    return quality_model.assess(featured, quality_model.train(featured))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line.line_dedup(table(spark, sf_dir, "documents"), min_docs=10)
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,6 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
