@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All characters that count as white space, for Java regular expressions.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -39,7 +40,7 @@ def digest(*parts: Column, sep: str = "|") -> Column:
     return F.sha2(joined, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full case folding, which lower() isn't (ß)."""
     return s.map(lambda t: None if t is None else t.casefold())
@@ -102,7 +103,7 @@ def scored_part(col: Column) -> Column:
     return F.btrim(F.array_join(F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines), "\n"), F.lit("\n"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def utf16_chunks(s: pd.Series) -> pd.Series:
     """A text in parts of at most 2000 UTF-16 units, no pair of surrogates cut."""
 
