@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from matchloom.plans import corpus, features
+from matchloom.plans import corpus, features, service
 
-_PARTS = (corpus, features)
+_PARTS = (corpus, features, service)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
