@@ -16,8 +16,9 @@ from .components import components
 from .shingles import SHINGLE_WORDS, WordHashes, shingle_set
 
 SKETCHES = "id long, n_shingles long, f1 long, f2 long, regs array<long>"
-#: Rows of a bucket that one block holds; buckets beyond it are compared block by block.
-BLOCK_ROWS = 256
+#: Rows and shingles of a bucket that one block holds; buckets beyond them are compared block by block.
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -87,61 +88,99 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _block_pairs(open_rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an open bucket that lie in different components and may reach the threshold.
+def shingle_sets(bodies: DataFrame, width: int) -> DataFrame:
+    """Rows (id, elements): the sorted shingles of each text as bytes of 64-bit integers."""
 
-    A bucket's rows are dealt into blocks of about BLOCK_ROWS by hash and each pair of blocks is compared in one piece
-    of work with NumPy; only pairs that pass the estimate become rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in sliced(batches, "body", 1 << 20):
+            found = [shingle_set(words.codes(t), width).tobytes() for t in raw_texts(batch, "body")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "elements"])
+
+    return bodies.mapInArrow(run, "id long, elements binary")
+
+
+def _block_links(open_rows: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of an open bucket that lie in different components.
+
+    A bucket's rows are dealt into blocks by hash and each pair of blocks is compared in one piece of work with NumPy.
+    A pair is looked at in the first band that it shares, if its bucket's smallest id isn't one of the two; pairs that
+    pass the estimate are compared on their full sets. Members that are linked within a piece of work are joined there,
+    so it gives at most as many links as it has members, never all pairs.
     """
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "lead", "n_shingles", "regs")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "label", "lead", "regs", "elements")
+    percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ["key", "i", "j"]):
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            block, label, ids, lead = (group[c].to_numpy() for c in ("block", "label", "id", "lead"))
-            size, regs = group["n_shingles"].to_numpy(), _matrix(group["regs"])
-            right = np.flatnonzero(block == j)
-            found_a, found_b = [], []
-            for p in np.flatnonzero(block == i):
+            block, band, ids, lead = (group[c].to_numpy() for c in ("block", "band", "id", "lead"))
+            joined = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+            regs = _matrix(group["regs"])
+            shared_bands = ss.bands(regs)
+            sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            usable = ids != lead
+            right = np.flatnonzero((block == j) & usable)
+            links = []
+            for p in np.flatnonzero((block == i) & usable).tolist():
                 q = right[right > p] if i == j else right
-                ratio = np.minimum(size[p], size[q]) / np.maximum(size[p], size[q])
-                q = q[(label[q] != label[p]) & (ids[q] != lead[q]) & (ids[p] != lead[p]) & (ratio >= threshold)]
+                q = q[(joined[q] != joined[p]) & (band[q] == band[p]) & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q]))]
+                if len(q):
+                    q = q[~(shared_bands[q, : band[p]] == shared_bands[p, : band[p]]).any(axis=1)]
+                if len(q):
+                    more, fewer = (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1)
+                    q = q[ss.may_reach(np.full(len(q), size[p]), size[q], more, fewer, threshold)[0]]
                 if not len(q):
                     continue
-                more, fewer = (regs[p] > regs[q]).sum(axis=1), (regs[p] < regs[q]).sum(axis=1)
-                ok, _ = ss.may_reach(np.full(len(q), size[p]), size[q], more, fewer, threshold)
-                found_a += [ids[p]] * int(ok.sum())
-                found_b += ids[q[ok]].tolist()
-            if found_a:
-                a, b = np.array(found_a), np.array(found_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                mine = sets[p]
+                others = np.concatenate([sets[k] for k in q])
+                hit = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+                shared = np.add.reduceat(hit, np.cumsum(size[q]) - size[q], dtype=np.int64)
+                for k in q[100 * shared >= percent * (size[p] + size[q] - shared)].tolist():
+                    if joined[k] != joined[p]:
+                        links.append((min(ids[p], ids[k]), max(ids[p], ids[k])))
+                        joined[joined == joined[k]] = joined[p]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """Rows (id, body) of the documents with these ids."""
+    body = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    small = ids.count() <= broadcast_rows
+    return body.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, broadcast_rows: int) -> DataFrame:
     """Those of `pairs` whose full shingle sets reach the threshold, from whole texts."""
     pairs = written(pairs, "candidate-pairs")
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    small = wanted.count() <= broadcast_rows
-    bodies = written(body.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "candidate-texts")
+    bodies = written(texts_of(wanted, docs, id_col, text_col, broadcast_rows), "candidate-texts")
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        last, x = None, np.empty(0, np.uint64)
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in sliced(batches, "text_b", 1 << 20):
             keep = []
-            ids = batch.column("a").to_pylist()
-            for k, (s, t) in enumerate(zip(raw_texts(batch, "text_a"), raw_texts(batch, "text_b"), strict=True)):
-                if ids[k] != last:
-                    last, x = ids[k], shingle_set(words.codes(s), width)
-                y = shingle_set(words.codes(t), width)
+            for a, b, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), raw_texts(batch, "text_a"), raw_texts(batch, "text_b"), strict=True):
+                both = []
+                for doc, text in ((a, s), (b, t)):
+                    if doc not in known:
+                        if held > 2_000_000:
+                            known, held = {}, 0
+                        known[doc] = shingle_set(words.codes(text), width)
+                        held += len(known[doc])
+                    both.append(known[doc])
+                x, y = both
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
+                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a"))
@@ -159,8 +198,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents with equal sets are one vertex. Vertices that share a band of registers are candidates. First each
     member of a bucket is compared with the bucket's smallest id, which joins most groups without listing their
-    pairs; then the buckets whose members still lie in different components are compared block by block, and only
-    pairs of different components that pass the likelihood estimate become rows. Each link is confirmed on the full
+    pairs. Buckets whose members still lie in different components are then compared block by block on registers and
+    full sets, and give no more links than members. Each link is confirmed on the full shingle
     sets of the whole texts. No bucket, group or set is cut. Small tables are broadcast up to `broadcast_rows` rows,
     beyond that joins are by shuffle.
 
@@ -177,24 +216,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("f1", "f2", "s.id", "s.n_shingles", "s.regs"),
         "sets",
     )
-    banded = sets.select("id", F.posexplode("regs").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("key"))
-    leads = written(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    banded = sets.select("id", "n_shingles", F.posexplode("regs").alias("band", "value")).select("id", "n_shingles", "band", F.xxhash64("band", "value").alias("key"))
+    leads = written(banded.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).where("members > 1"), "buckets")
     small = leads.count() <= broadcast_rows
-    rows = written(banded.join(F.broadcast(leads) if small else leads, "key"), "bucket-rows")
+    rows = written(banded.drop("n_shingles").join(F.broadcast(leads) if small else leads, "key"), "bucket-rows")
     discard(leads)
     star = rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(likely(star, sets, threshold), docs, id_col, text_col, threshold, width, broadcast_rows)
     labels = components(links)
 
-    labelled = rows.where("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = written(labelled, "labelled-rows")
+    labelled = written(rows.where("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-rows")
     open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "open-buckets")
     small = open_keys.count() <= broadcast_rows
-    open_rows = labelled.join(F.broadcast(open_keys) if small else open_keys, "key").join(sets.select("id", "n_shingles", "regs"), "id")
-    more = verified(_block_pairs(open_rows, threshold), docs, id_col, text_col, threshold, width, broadcast_rows)
+    open_rows = written(labelled.join(F.broadcast(open_keys) if small else open_keys, "key"), "open-rows")
+    open_ids = written(open_rows.select("id").distinct(), "open-ids")
+    elements = shingle_sets(texts_of(open_ids, docs, id_col, text_col, broadcast_rows), width)
+    more = written(_block_links(open_rows.join(sets.select("id", "regs"), "id").join(elements, "id"), threshold), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    for done in (rows, labelled, open_keys):
+    for done in (rows, labelled, open_keys, open_rows, open_ids):
         discard(done)
 
     found = (
