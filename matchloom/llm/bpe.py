@@ -8,11 +8,13 @@ that fails are merged step by step.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,6 +32,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 CUT = re.compile(r" (?=\S)")
 ODD_BLANK = re.compile(r" (?:\s|$)")
 SEPARATOR = "Ā"
+NEVER = 1 << 40
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -42,7 +45,7 @@ def _byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         model = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
         spell = lambda token: bytes(alphabet[c] for c in token)
@@ -52,40 +55,51 @@ class ByteBPE:
         self.ids = {spell(t): i for t, i in vocab.items() if t not in self.special}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank_of: dict[int, int] = {}  # of a pair, first << 20 | second
+        self.made: list[int] = []  # by rank
+        for rank, (a, b) in enumerate(pairs):
+            self.rank_of[vocab[a] << 20 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.single_ids, self.made_ids = np.array(self.single), np.array(self.made)
+        keys = np.array(list(self.rank_of), np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.rank_of.values()), np.int64)[order]
+        self.sizes = np.ones(max(self.bytes) + 2, np.int64)  # bytes of each token; the separator's id is -1
         self.greedy = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            if self.merge(token) == [i]:  # a token that merging doesn't give is never proposed
-                self.greedy.add_word(token.decode("latin-1"), (i, len(token)))
-        self.greedy.add_word(SEPARATOR, (-1, 1))
+        merged = self.merge_all(list(self.ids))
+        for (token, i), got in zip(self.ids.items(), merged, strict=True):
+            if got == np.uint32(i).tobytes():  # a token that merging doesn't give is never proposed
+                self.greedy.add_word(token.decode("latin-1"), i)
+                self.sizes[i] = len(token)
+        self.greedy.add_word(SEPARATOR, -1)
         self.greedy.make_automaton()
         self.good = np.empty(0, np.int64)  # checked pairs, sorted, and whether they stand
         self.stands = np.empty(0, bool)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # encodings of words and of chunks
         self.cached = cached
         self.proposed = self.failed = 0
 
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the pair of lowest rank first, the leftmost of equals."""
+    def _merge_long(self, word: bytes) -> list[int]:
+        """Exact merging with a heap: the pair of lowest rank first, the leftmost of equals."""
         tokens: list[int | None] = [self.single[b] for b in word]
         after = list(range(1, len(tokens) + 1))
         before = list(range(-1, len(tokens) - 1))
-        heap = [(m[0], i, m[1], tokens[i], tokens[i + 1]) for i in range(len(tokens) - 1) if (m := self.merges.get((tokens[i], tokens[i + 1])))]
+        rank, made = self.rank_of, self.made
+        heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(len(tokens) - 1) if (r := rank.get(tokens[i] << 20 | tokens[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if tokens[i] != a or j >= len(tokens) or tokens[j] != b:
                 continue
-            tokens[i], tokens[j] = new, None
+            tokens[i], tokens[j] = made[r], None
             after[i] = after[j]
             if after[j] < len(tokens):
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < len(tokens) and (m := self.merges.get((tokens[k], tokens[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, m[1], tokens[k], tokens[after[k]]))
+                if k >= 0 and after[k] < len(tokens) and (r := rank.get(tokens[k] << 20 | tokens[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, tokens[k], tokens[after[k]]))
         return [t for t in tokens if t is not None]
 
     def _check(self, pairs: np.ndarray) -> np.ndarray:
@@ -94,7 +108,8 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.good, unique), max(len(self.good) - 1, 0))
         new = unique[self.good[at] != unique] if len(self.good) else unique
         if len(new):
-            ok = [self.merge(self.bytes[p >> 32] + self.bytes[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in new.tolist()]
+            merged = self.merge_all([self.bytes[p >> 32] + self.bytes[p & 0xFFFFFFFF] for p in new.tolist()])
+            ok = [m == p for m, p in zip(merged, map(bytes, np.stack([new >> 32, new & 0xFFFFFFFF], axis=1).astype("<u4")), strict=True)]
             if len(self.good) > 4_000_000:
                 self.good, self.stands = np.empty(0, np.int64), np.empty(0, bool)
                 return self._check(pairs)
@@ -103,38 +118,91 @@ class ByteBPE:
             self.good, self.stands = joined[order], stands[order].astype(bool)
         return self.stands[np.searchsorted(self.good, unique)][where]
 
+    def _rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = first << 20 | second
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (second >= 0), self.pair_ranks[at], NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many words at once: each round merges the best pair of every word that has one."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for i in np.flatnonzero(sizes > 64).tolist():
+            out[i] = np.array(self._merge_long(words[i]), "<u4").tobytes()
+        for least, most in ((0, 8), (8, 14), (14, 24), (24, 64)):
+            rows = np.flatnonzero((sizes > least) & (sizes <= most))
+            for lo in range(0, len(rows), 8192):
+                self._merge_rows(words, rows[lo : lo + 8192], sizes, out)
+        return out
+
+    def _merge_rows(self, words: list[bytes], rows: np.ndarray, sizes: np.ndarray, out: list[bytes]) -> None:
+        width = int(sizes[rows].max()) + 1
+        raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(len(rows), width)
+        tokens = np.where(np.arange(width) < sizes[rows][:, None], self.single_ids[raw], -1)
+        ranks = self._rank(tokens[:, :-1], tokens[:, 1:])
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(rows))
+            best = ranks[row, at]
+            done = best == NEVER
+            if done.any():
+                ids, counts = tokens[done].astype("<u4").tobytes(), (tokens[done] >= 0).sum(axis=1)
+                stride = 4 * tokens.shape[1]
+                for k, (i, n) in enumerate(zip(rows[done].tolist(), counts.tolist(), strict=True)):
+                    out[i] = ids[k * stride : k * stride + 4 * n]
+                tokens, ranks, rows, at, best = tokens[~done], ranks[~done], rows[~done], at[~done], best[~done]
+                row = np.arange(len(rows))
+                if not len(rows):
+                    return
+            tokens[row, at] = self.made_ids[best]
+            columns = np.arange(tokens.shape[1] - 1)
+            tokens = np.take_along_axis(tokens, columns + (columns > at[:, None]), axis=1)
+            if tokens.shape[1] < 2:  # all are one token: a last round finds nothing to merge
+                tokens, ranks = np.pad(tokens, ((0, 0), (0, 1)), constant_values=-1), np.full((len(rows), 1), NEVER)
+                continue
+            columns = columns[:-1]
+            ranks = np.take_along_axis(ranks, columns + (columns >= at[:, None]), axis=1)
+            inside = at < ranks.shape[1]
+            k, c = row[inside], at[inside]
+            ranks[k, c] = self._rank(tokens[k, c], tokens[k, c + 1])
+            k, c = row[at > 0], at[at > 0] - 1
+            ranks[k, c] = self._rank(tokens[k, c], tokens[k, c + 1])
+
     def _encode_words(self, words: list[str]) -> None:
         """Put the encodings of new words (as little-endian 32-bit ids) into the cache."""
         spelled = [w.encode() for w in words]
-        run = SEPARATOR.join(s.decode("latin-1") for s in spelled) + SEPARATOR
-        found = [(end, *value) for end, value in self.greedy.iter_long(run)]
-        end, tokens, size = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        run = SEPARATOR.join([s.decode("latin-1") for s in spelled]) + SEPARATOR
+        end, tokens = np.fromiter(chain.from_iterable(self.greedy.iter_long(run)), np.int64).reshape(-1, 2).T
+        size = self.sizes[tokens]
         cuts = np.flatnonzero(tokens < 0)
         starts = np.concatenate([[0], cuts[:-1] + 1])
-        gap = np.empty(len(end), bool)
-        gap[0], gap[1:] = end[0] - size[0] != -1, end[1:] - size[1:] != end[:-1]
+        bad = np.empty(len(end), bool)  # the automaton left something out
+        bad[0], bad[1:] = end[0] - size[0] != -1, end[1:] - size[1:] != end[:-1]
         inner = np.flatnonzero((tokens[:-1] >= 0) & (tokens[1:] >= 0))
-        bad = gap
         bad[inner] |= ~self._check((tokens[inner] << 32) | tokens[inner + 1])
         fails = np.logical_or.reduceat(bad, starts)
-        ids = tokens.astype("<u4")
+        ids = tokens.astype("<u4").tobytes()
         self.proposed += len(words)
         self.failed += int(fails.sum())
-        for k, (lo, hi) in enumerate(zip(starts.tolist(), cuts.tolist(), strict=True)):
-            self.words[words[k]] = np.array(self.merge(spelled[k]), "<u4").tobytes() if fails[k] else ids[lo:hi].tobytes()
+        known = self.known
+        for word, lo, hi in zip(words, (4 * starts).tolist(), (4 * cuts).tolist(), strict=True):
+            known[word] = ids[lo:hi]
+        failed = np.flatnonzero(fails).tolist()
+        for i, merged in zip(failed, self.merge_all([spelled[i] for i in failed]), strict=True):
+            known[words[i]] = merged
 
     def _encode_chunks(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.cached:
-            self.chunks.clear()
-            self.words.clear()
-            new = list(chunks)
+        """Put the encodings of all these chunks into the cache."""
+        if len(self.known) + len(chunks) > self.cached:
+            self.known.clear()
+        new = [c for c in chunks if c not in self.known]
         for lo in range(0, len(new), 20_000):
             part = [PATTERN.findall(c) for c in new[lo : lo + 20_000]]
-            if words := list({w for p in part for w in p if w not in self.words}):
+            if words := list({w for p in part for w in p if w not in self.known}):
                 self._encode_words(words)
             for chunk, p in zip(new[lo : lo + 20_000], part, strict=True):
-                self.chunks[chunk] = b"".join([self.words[w] for w in p])
+                if len(p) != 1:
+                    self.known[chunk] = b"".join([self.known[w] for w in p])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -153,7 +221,7 @@ class ByteBPE:
             parts = self.cut_special.split(text) if self.cut_special and any(s in text for s in self.special) else [text]
             plans.append([np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._cut(p) for p in parts])
         self._encode_chunks({c for plan in plans for p in plan if isinstance(p, list) for c in p})
-        known = self.chunks
+        known = self.known
         return [b"".join([p if isinstance(p, bytes) else b"".join([known[c] for c in p]) for p in plan]) for plan in plans]
 
     def decode(self, ids: bytes) -> bytes:
@@ -162,6 +230,12 @@ class ByteBPE:
         return b"".join([spelling[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@functools.cache
+def vocabulary(path: str) -> ByteBPE:
+    """One for each worker process, so that later tasks find its words and pairs known."""
+    return ByteBPE(path)
+
+
 ENCODED = [("n_tokens", "long"), ("ids", "binary"), ("decoded", "string")]
 DIGESTS = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 
@@ -182,9 +256,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     schema = T.StructType([*rest, *[T.StructField(n, {"long": T.LongType(), "binary": T.BinaryType(), "string": T.StringType()}[t]) for n, t in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        bpe = vocabulary(tokenizer_path)
         for batch in sliced(batches, text_col, 2 << 20):
-            bpe = bpe or ByteBPE(tokenizer_path)
             ids = bpe.encode(texts(batch, text_col))
             back = [bpe.decode(i).decode(errors="replace") for i in ids]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
