@@ -24,12 +24,12 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
     s = by_score(rows)
     right = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") / 2)
-    return s.agg((right / F.max(F.col("all_pos") * F.col("all_neg"))).alias("roc_auc"))
+    return s.agg(F.try_divide(right, F.max(F.col("all_pos") * F.col("all_neg"))).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     s = by_score(rows)
-    step = F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    step = F.try_divide("pos", "all_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return s.agg(F.sum(step).alias("average_precision"))
 
 

@@ -24,7 +24,7 @@ def variation(rows: DataFrame, part: Column, column: str) -> DataFrame:
     """Total variation distance of a column's distribution between rows where `part` holds and the others."""
     c = rows.groupBy(F.col(column).alias("k")).agg(F.count_if(part).alias("a"), F.count_if(~part).alias("b"))
     t = c.crossJoin(c.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")))
-    share = F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb"))) / 2
+    share = F.sum(F.abs(F.try_divide("a", "ta") - F.try_divide("b", "tb"))) / 2
     return t.agg(F.coalesce(F.when((F.max("ta") > 0) & (F.max("tb") > 0), share), F.lit(1.0)).alias("distance"))
 
 

@@ -163,8 +163,8 @@ def cosine_separation(vectors: DataFrame) -> DataFrame:
     inside = classes.agg(F.sum((F.col("sq") - F.col("own")) / 2).alias("intra_sum"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("intra_n"), F.sum("own").alias("own"), F.sum("n").alias("n"))
     whole = per.groupBy("dim").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
     t = inside.crossJoin(whole)
-    intra = F.col("intra_sum") / F.col("intra_n")
-    inter = ((F.col("sq") - F.col("own")) / 2 - F.col("intra_sum")) / (F.col("n") * (F.col("n") - 1) / 2 - F.col("intra_n"))
+    intra = F.try_divide("intra_sum", "intra_n")
+    inter = F.try_divide((F.col("sq") - F.col("own")) / 2 - F.col("intra_sum"), F.col("n") * (F.col("n") - 1) / 2 - F.col("intra_n"))
     return t.select(intra.alias("intra"), inter.alias("inter"), (intra - inter).alias("separation"))
 
 
