@@ -11,6 +11,7 @@ to the next mark, that are counted alone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ MARK = "▁"
 
 
 class PrefixCounter:
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.rank: dict[str, int] = {}
         self.single = set()
@@ -58,14 +59,18 @@ class PrefixCounter:
         self.few_marks = few[: self.longest_run]
         order = {s: i for i, s in enumerate(sorted(set(self.rank.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in self.rank.items()}
-        tails: dict[str, set[int]] = {}
-        for p in self.rank:
-            tails.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in tails.items()}
-        self.whole: dict[str, bool] = {}
-        self.stands: dict[tuple[str, str], bool] = {}
+        self.root: dict = {}  # whole pieces by their characters from the last to the first; 0: (piece, size, what it may follow)
+        self.leaves = []
+        for piece in self.rank:
+            if self._merge(piece) == [piece]:
+                node = self.root
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[0] = (piece, len(piece), {})
+                self.leaves.append(node[0][2])
+        self.checked = 0
         self.cached = cached
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # counts after each character of short segments, a byte each
 
     def _merge(self, text: str) -> list[str]:
         """Exact merging of a few characters: the best score first, the leftmost of equals."""
@@ -81,40 +86,60 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_whole(self, piece: str) -> bool:
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self._merge(piece) == [piece]
-        return ok
-
-    def _stand(self, a: str, b: str) -> bool:
-        ok = self.stands.get((a, b))
-        if ok is None:
-            if len(self.stands) > 1_000_000:
-                self.stands.clear()
-            ok = self.stands[a, b] = self._merge(a + b) == [a, b]
-        return ok
-
     def _cost(self, token: str) -> int:
         """Ids of a token: one, or one for each byte of a character that isn't in the vocabulary."""
         return 1 if len(token) > 1 or token in self.single else len(token.encode())
 
-    def _last_tokens(self, text: str) -> list[str]:
-        """The last token of each prefix of a segment that has one mark at most, at its beginning."""
-        n = len(text)
-        last: list[str] = [""] * (n + 1)
-        for i in range(1, n + 1):
-            c = text[i - 1]
-            for size in self.lengths.get(c, ()):
-                if size > i:
-                    continue
-                token = text[i - size : i]
-                if token in self.rank and self._is_whole(token) and (size == i or self._stand(last[i - size], token)):
+    def _extend(self, text: str, last: list[str], total: list[int]) -> None:
+        """Go on with the last tokens and counts of a segment's prefixes, from those that the lists hold already.
+
+        The segment has one mark at most, at its beginning.
+        """
+        root = self.root
+        for i in range(len(last), len(text) + 1):
+            node, k, ends = root, i, []
+            while k:
+                node = node.get(text[k - 1])
+                if node is None:
+                    break
+                k -= 1
+                if 0 in node:
+                    ends.append(node[0])
+            for piece, size, follows in reversed(ends):
+                if size == i:
+                    break
+                before = last[i - size]
+                stands = follows.get(before)
+                if stands is None:
+                    stands = follows[before] = self._merge(before + piece) == [before, piece]
+                    self.checked += 1
+                if stands:
                     break
             else:
-                token = c
-            last[i] = token
-        return last
+                piece = text[i - 1]
+            last.append(piece)
+            total.append(total[i - len(piece)] + self._cost(piece))
+        if self.checked > 1_000_000:
+            self.checked = 0
+            for follows in self.leaves:
+                follows.clear()
+
+    def learn(self, segments: set[str]) -> None:
+        """Put the counts of these segments into the cache. In sorted order each goes on from the prefix that it shares."""
+        if len(self.known) + len(segments) > self.cached:
+            self.known.clear()
+        before, last, total = "", [""], [0]
+        for segment in sorted(s for s in segments if len(s) <= 64 and s not in self.known):
+            n = 0
+            for x, y in zip(before, segment, strict=False):
+                if x != y:
+                    break
+                n += 1
+            del last[n + 1 :], total[n + 1 :]
+            self._extend(segment, last, total)
+            before = segment
+            if total[-1] < 256 and max(total) < 256:
+                self.known[segment] = bytes(total[1:])
 
     def run(self, n: int) -> int:
         """Tokens of a run of n marks alone; beyond the longest piece the counts repeat."""
@@ -131,48 +156,80 @@ class PrefixCounter:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _word(self, segment: str) -> bytes:
-        """Counts after each character of a segment as 32-bit integers."""
+    def _counts(self, segment: str) -> np.ndarray:
+        """Counts after each character of a segment."""
         got = self.known.get(segment)
-        if got is None:
-            total = [0] * (len(segment) + 1)
-            for i, token in enumerate(self._last_tokens(segment)[1:], 1):
-                total[i] = total[i - len(token)] + self._cost(token)
-            got = np.array(total[1:], "<i4").tobytes()
-            if len(segment) <= 64:
-                if len(self.known) >= self.cached:
-                    self.known.clear()
-                self.known[segment] = got
-        return got
+        if got is not None:
+            return np.frombuffer(got, np.uint8).astype(np.int64)
+        last, total = [""], [0]
+        self._extend(segment, last, total)
+        return np.array(total[1:], np.int64)
+
+    @staticmethod
+    def segments(text: str) -> list[tuple[int, str]] | list[str]:
+        """Segments of a text: bodies that one mark comes before, or (marks, body) where it has runs of marks."""
+        parts = text.replace(" ", MARK).split(MARK)
+        if all(parts):
+            return parts
+        out, marks = [], 0
+        for body in parts:
+            marks += 1
+            if body:
+                out.append((marks, body))
+                marks = 0
+        return [*out, (marks, "")] if marks else out
+
+    def _after(self, marks: int, body: str) -> np.ndarray:
+        """Counts after each character of a segment, its added mark left out: further marks, then the body."""
+        runs = np.array([self.run(k) for k in range(1, marks + 1)], np.int64)
+        if not body:
+            return runs
+        return np.concatenate([runs, self._joined(marks, body, self._counts(MARK + body))])
+
+    def _total(self, marks: int, body: str) -> int:
+        if marks == 1 and body:
+            got = self.known.get(MARK + body)
+            return got[-1] if got is not None else int(self._counts(MARK + body)[-1])
+        return int(self._after(marks, body)[-1])
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of text[:0], text[:1], ... and of the whole text."""
+        out, base = [np.zeros(1, np.int64)], 0
+        for k, s in enumerate(self.segments(text) if text else ()):
+            marks, body = (1, s) if isinstance(s, str) else s
+            after = base + self._after(marks, body)
+            out.append(after[1:] if not k else after)
+            base = int(after[-1])
+        return np.concatenate(out)
+
+    def count(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and the characters of its longest prefix within the budget."""
         if not text:
-            return np.zeros(1, np.int64)
-        first, *rest = text.replace(" ", MARK).split(MARK)
-        # the added mark begins the first segment; an empty body is a further mark of the next one's run
-        if all(rest) and first:
-            blocks = [np.frombuffer(self._word(MARK + b), "<i4") for b in (first, *rest)]
-            sizes = np.array([len(b) for b in blocks])
-            flat = np.concatenate(blocks).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            ends = flat[starts + sizes - 1]
-            base = np.cumsum(ends) - ends
-            flat += np.repeat(base, sizes)
-            flat[0] = 0
-            return flat
-        out, base, marks = [], 0, 0
-        for body in (first, *rest):
-            marks += 1
-            out.append(np.array([base + self.run(marks)]))
-            if body:
-                counts = np.frombuffer(self._word(MARK + body), "<i4").astype(np.int64)
-                full = self._joined(marks, body, counts)
-                out.append(base + full)
-                base, marks = base + int(full[-1]), 0
-        flat = np.concatenate(out)
-        flat[0] = 0
-        return flat
+            return 0, 0
+        segments = self.segments(text)
+        plain = isinstance(segments[0], str)
+        if plain:
+            known = self.known
+            totals = [got[-1] if (got := known.get(MARK + s)) is not None else self._total(1, s) for s in segments]
+        else:
+            totals = [self._total(*s) for s in segments]
+        whole = sum(totals)
+        if whole <= budget:
+            return whole, len(text)
+        best, base, at = 0, 0, -1  # the added mark is no character of the text
+        for s, n in zip(segments, totals, strict=True):
+            marks, body = (1, s) if plain else s
+            # counts may fall when a token grows, so a segment that ends above the budget may hold a prefix within it
+            if base + n <= budget:
+                best = at + marks + len(body)
+            elif base <= budget:
+                within = np.flatnonzero(base + self._after(marks, body) <= budget)
+                if len(within):
+                    best = max(best, at + 1 + int(within[-1]))
+            base, at = base + n, at + marks + len(body)
+            if base > budget + len(body) * 4:
+                break
+        return whole, best
 
     def _joined(self, marks: int, body: str, counts: np.ndarray) -> np.ndarray:
         """Counts after each character of a body that `marks` marks come before."""
@@ -184,19 +241,17 @@ class PrefixCounter:
 
     def _alone(self, body: str) -> np.ndarray:
         """For each prefix of a body, whether the mark before it stays a token of its own."""
-        first = [False]
-        for i, token in enumerate(self._last_tokens(MARK + body)[1:], 1):
+        last, first = [""], [False]
+        self._extend(MARK + body, last, [0])
+        for i, token in enumerate(last[1:], 1):
             first.append(token == MARK if len(token) == i else first[i - len(token)])
         return np.array(first[2:])
 
-    def counts(self, batch: list[str], budget: int) -> tuple[list[int], list[int]]:
-        """Tokens of each text, and the characters of its longest prefix within the budget."""
-        totals, cuts = [], []
-        for text in batch:
-            at = self.prefixes(text)
-            totals.append(int(at[-1]))
-            cuts.append(len(text) if at[-1] <= budget else int(np.flatnonzero(at <= budget)[-1]))
-        return totals, cuts
+
+@functools.cache
+def counter_of(path: str) -> PrefixCounter:
+    """One for each worker process, so that later tasks find its segments known."""
+    return PrefixCounter(path)
 
 
 ADDED = ["n_bytes", "n_tokens", "over_limit", "cut_chars"]
@@ -217,11 +272,11 @@ def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", limit
     schema = T.StructType([*rest, *[T.StructField(n, T.BooleanType() if n == "over_limit" else T.LongType()) for n in ADDED]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        counter = counter_of(model_path)
         for batch in sliced(batches, text_col, 2 << 20):
-            counter = counter or PrefixCounter(model_path)
             whole = texts(batch, text_col)
-            totals, cuts = counter.counts(whole, limit)
+            counter.learn({MARK + s for t in whole for s in t.replace(" ", MARK).split(MARK)})
+            totals, cuts = zip(*(counter.count(t, limit) for t in whole), strict=True)
             new = [pa.array([len(t.encode()) for t in whole], pa.int64()), pa.array(totals, pa.int64()), pa.array([t > limit for t in totals]), pa.array(cuts, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *ADDED])
 
