@@ -104,13 +104,13 @@ def leakage(rows: DataFrame, split: str, reference: str = "train") -> DataFrame:
 def hash_split(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Usable rows in an order by hash of seed and ordinal, cut at 80 and 90 per cent: sizes are exact, no global sort.
 
-    Rows are ranked within buckets of the hash's first two digits, and buckets are numbered by a running sum of their
+    Rows are ranked within the 65,536 buckets of the hash's first four digits, and buckets are numbered by a running sum of their
     sizes, so no task gets more than a bucket.
     """
     from pyspark.sql import Window
 
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("ordinal").cast("string")), 256)
-    usable = rows.where("usable").withColumn("h", h).withColumn("bucket", F.left("h", F.lit(2)))
+    usable = rows.where("usable").withColumn("h", h).withColumn("bucket", F.left("h", F.lit(4)))
     sizes = usable.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
     ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "ordinal"))).join(F.broadcast(before), "bucket")

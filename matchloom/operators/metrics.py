@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 
 
-def by_score(rows: DataFrame) -> DataFrame:
+def by_score(rows: DataFrame, cells: int = 4096) -> DataFrame:
     """Positives and negatives at each distinct probability, with running counts from the highest down.
 
-    Rows are aggregated to distinct probabilities first, so only those reach the running window.
+    Rows are aggregated to distinct probabilities, these are dealt to cells of the unit interval, and running counts are
+    kept within cells; only the cells' own sums are summed in one task.
     """
-    counts = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("cell", F.floor(F.col("p") * cells))
+    sums = counts.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
-    return counts.select("p", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
+    zero = F.lit(0)
+    starts = sums.select(
+        "cell", F.coalesce(F.sum("cp").over(above), zero).alias("bp"), F.coalesce(F.sum("cn").over(above), zero).alias("bn"), F.sum("cp").over(whole).alias("all_pos"), F.sum("cn").over(whole).alias("all_neg")
+    )
+    down = Window.partitionBy("cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    local = counts.select("p", "pos", "neg", "cell", F.sum("pos").over(down).alias("lp"), F.sum("neg").over(down).alias("ln"))
+    return local.join(F.broadcast(starts), "cell").select("p", "pos", "neg", (F.col("bp") + F.col("lp")).alias("tp"), (F.col("bn") + F.col("ln")).alias("fp"), "all_pos", "all_neg")
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:

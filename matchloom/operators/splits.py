@@ -92,10 +92,10 @@ def checks(pairs: DataFrame, folds: int = 3) -> DataFrame:
 def validation_clusters(clusters: DataFrame, seed: int, namespace: str, share: float) -> DataFrame:
     """The clusters held out for validation: first in order of a seeded hash, max(1, min(n - 1, round(n share))) of them.
 
-    The order's cut is found from counts of the hash's first digits and an exact rank within the digits where it falls,
+    The order's cut is found from counts of the hash's first four digits and an exact rank within the digits where it falls,
     so nothing is sorted as a whole.
     """
-    keyed = clusters.select("cluster", F.sha2(F.concat(F.lit(f"{seed}:{namespace}:"), "cluster"), 256).alias("key")).withColumn("digit", F.left("key", F.lit(2)))
+    keyed = clusters.select("cluster", F.sha2(F.concat(F.lit(f"{seed}:{namespace}:"), "cluster"), 256).alias("key")).withColumn("digit", F.left("key", F.lit(4)))
     sizes = keyed.groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
     places = sizes.select("digit", (F.sum("n").over(Window.orderBy("digit")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("digit").orderBy("key"))).join(F.broadcast(places), "digit")
