@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower
+from ._util import ascii_lower, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -16,7 +16,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The groups come from one aggregation whose key is the hash and the text itself, so Spark's key comparison
     compares the bytes inside each hash group; copies collapse on the map side before the shuffle. Rows then find
-    their group through hash and SHA-256; two different texts that share both raise an error.
+    their group through hash and SHA-256, by a join with the written group table whose hot keys adaptive execution
+    splits; two different texts that share both raise an error.
 
     Null and empty texts count as one text, "". A null id never stays unless all ids of its group are null.
     Rows repeated with the same id and text each give a row. Other columns are not read, so their names cannot
@@ -25,14 +26,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = {"min": F.min, "max": F.max}[keep]
     norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     hashed = (F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
-    groups = (
+    groups = written(
         norm.select("id", *hashed, "norm")
         .groupBy("h1", "h2", "norm")
         .agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h1", "h2", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
         .groupBy("h1", "h2", "sha")
         .agg(F.count(F.lit(1)).alias("texts"), pick("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes"))))
+        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes")))),
+        "text-groups",
     )
     rows = norm.select("id", *hashed, F.sha2("norm", 256).alias("sha"))
     return rows.join(groups, ["h1", "h2", "sha"]).select(
