@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from ._util import discard, written
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest vertex reachable from each vertex of `edges` (a, b): rows (id, label).
 
-    Each round takes the smallest label among the neighbours and then the label's own label (pointer jumping), so long
-    chains halve; labels are written to the shared folder after each round. Sums over edges combine on the map side,
-    and joins read written tables, so that adaptive execution can split hot vertices.
+    Each round gives the smallest label among a vertex's neighbours to the vertex and to its current label, so that whole
+    trees are hooked and not single vertices, and then takes the label's own label (pointer jumping). The rounds grow with
+    the log of the longest path; they go on until no label moves. Labels are written to the shared folder after each
+    round. Sums over edges combine on the map side, and joins read written tables, so that adaptive execution can split
+    hot vertices.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("nb")).select("id", F.least("id", "nb").alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nb"))
-        hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "nb").alias("label"))
+        seen = labels.join(near, "id")
+        roots = seen.where("nb < label").groupBy(F.col("label").alias("id")).agg(F.min("nb").alias("root_nb"))
+        hooked = seen.join(roots, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "nb", "root_nb").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = written(hooked.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
         moved = new.where("label <> old").limit(1).count()
@@ -30,4 +34,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not moved:
             discard(both)
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -25,19 +25,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(vertex, component) of an edge table (src, dst): the smallest vertex that can be reached."""
+def components(edges: DataFrame) -> DataFrame:
+    """(vertex, component) of an edge table (src, dst): the smallest vertex that can be reached.
+
+    Each round gives the smallest component among a vertex's neighbours to the vertex and to its current component, and
+    then takes the component's own; the rounds grow with the log of the longest path and go on until nothing moves.
+    """
     both = saved(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = saved(both.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("m")).select("vertex", F.least("vertex", "m").alias("component")))
-    for _ in range(most):
+    while True:
         low = both.join(state.withColumnRenamed("vertex", "dst"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("low"))
         jump = state.select(F.col("vertex").alias("via"), F.col("component").alias("beyond"))
-        step = state.join(low, "vertex", "left").withColumn("via", F.least("component", F.coalesce("low", "component"))).join(jump, "via", "left")
+        seen = state.join(low, "vertex", "left")
+        roots = seen.where("low < component").groupBy(F.col("component").alias("vertex")).agg(F.min("low").alias("root_low"))
+        step = seen.join(roots, "vertex", "left").withColumn("via", F.least("component", "low", "root_low")).join(jump, "via", "left")
         new = saved(step.select("vertex", F.least("via", F.coalesce("beyond", "via")).alias("component"), F.col("component").alias("old")))
         state = new.select("vertex", "component")
         if not new.where("component <> old").limit(1).count():
             return state
-    raise RuntimeError("components did not settle")
 
 
 def bipartite(rows: DataFrame) -> DataFrame:

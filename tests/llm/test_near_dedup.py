@@ -4,6 +4,7 @@ import numpy as np
 
 from matchloom.llm import near_dedup as near
 from matchloom.llm import setsketch as ss
+from matchloom.llm.components import components
 from matchloom.llm.queries import QUERIES
 
 from .common import empty_docs, hard_docs, near_components
@@ -58,3 +59,21 @@ def test_hard_rows(spark):
     assert by[8].component_id == 7 and by[8].n_shingles == 1 and by[9].n_shingles == 1
     assert by[None].component_id is None and by[None].kept
     assert near.near_dedup(empty_docs(spark)).collect() == []
+
+
+def test_long_chains_settle(spark):
+    """Chains far longer than 60, with ids in rising, falling and random order."""
+    n = 500
+    shuffled = random.Random(1).sample(range(n), n)
+    chains = [list(range(1, n)) + [0], list(range(n))[::-1], shuffled]
+    edges = [(k * n + a, k * n + b) for k, chain in enumerate(chains) for a, b in zip(chain, chain[1:], strict=False)]
+    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(rows) == 3 * n and all(r.label == r.id // n * n for r in rows)
+
+
+def test_long_chain_of_documents(spark):
+    """300 sliding passages in random order of ids are one component."""
+    words = [f"w{i}" for i in range(800)]
+    ids = random.Random(2).sample(range(300), 300)
+    df = spark.createDataFrame([(i, " ".join(words[2 * k : 2 * k + 60])) for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {c for _, c in got(near.near_dedup(df)).values()} == {0}

@@ -78,6 +78,12 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and got[300] == 300
 
 
+def test_components_of_a_long_chain(spark):
+    ids = random.Random(1).sample(range(500), 500)
+    got = graph.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")).collect()
+    assert len(got) == 500 and {r.component for r in got} == {0}
+
+
 def test_balanced_folds(spark):
     rng = random.Random(2)
     rows = [(f"d{i}", f"c{rng.randrange(120)}", rng.choice("xyyzz")) for i in range(600)]
