@@ -60,9 +60,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-def token_rows(spark: SparkSession, sf_dir: str, groups: int = 64) -> DataFrame:
-    """Ragged token matrices: group, pos, vec, label; the first `groups` groups of eight vectors, a fifth of them left out."""
-    rows = vectors(spark, sf_dir).where(f"vec_id % 5 <> 0 AND vec_id < {8 * groups}")
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged token matrices: group, pos, vec, label; groups of eight vectors, a fifth of them left out."""
+    rows = vectors(spark, sf_dir).where("vec_id % 5 <> 0")
     return rows.select(F.floor(F.col("vec_id") / 8).alias("grp"), (F.col("vec_id") % 8).alias("pos"), "vec", "label")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import applications, audit, graph, metrics, similarity, splits, vectors
+from matchloom.plans import features
 from matchloom.streaming import jobs
 
 
@@ -55,6 +56,14 @@ def test_kernel_pooling_against_numpy(spark):
     assert np.allclose([once[i] for i in range(77)], stats) and np.allclose([twice[i] for i in range(77)], stats)
 
 
+def test_token_rows_have_no_bound(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], i % 3) for i in range(496, 528)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("knrm_features", "knrm_row_distribution"):
+        got = features.QUERIES[name](spark, str(tmp_path)).select("l", "r").distinct().collect()
+        assert {(r.l, r.r) for r in got} == {(62, 63), (62, 65), (64, 63), (64, 65)}
+
+
 def test_similarity_golden_and_brute_force(spark):
     assert round(similarity.ratio("x" * 60 + "a", "x" * 60 + "b"), 2) == 98.36
     rng = random.Random(3)
