@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,24 @@ from matchloom.plans.features import rounded
 from matchloom.sources import bindings as b
 
 
-def _docs(s: SparkSession, d: str) -> DataFrame:
-    return documents(rows(s, d), "resume").select("hash", "text")
+def _each(make: Callable[[str], DataFrame]) -> DataFrame:
+    """What `make` gives for resumes and for jds, with the side in front."""
+    parts = [make(side).select(F.lit(side).alias("side"), "*") for side in ("resume", "jd")]
+    return parts[0].union(parts[1])
+
 
+def _docs(s: SparkSession, d: str, side: str) -> DataFrame:
+    return documents(rows(s, d), side).select("hash", "text")
 
-def _members(s: SparkSession, d: str) -> DataFrame:
-    docs = saved(_docs(s, d))
+
+def _members(s: SparkSession, d: str, side: str) -> DataFrame:
+    docs = saved(_docs(s, d, side))
     return similarity.clusters(docs, saved(similarity.near_duplicates(docs)))
 
 
-def _folds(s: SparkSession, d: str) -> DataFrame:
-    classes = rows(s, d).where("usable").groupBy(F.col("resume_hash").alias("hash")).agg(F.min_by("label_norm", "ordinal").alias("class"))
-    return splits.balanced_folds(_members(s, d).join(classes, "hash"), 3, 42)
+def _folds(s: SparkSession, d: str, side: str) -> DataFrame:
+    classes = rows(s, d).where("usable").groupBy(F.col(f"{side}_hash").alias("hash")).agg(F.min_by("label_norm", "ordinal").alias("class"))
+    return splits.balanced_folds(_members(s, d, side).join(classes, "hash"), 3, {"resume": 42, "jd": 43}[side])
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -33,8 +41,7 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
 def _both(s: SparkSession, d: str) -> DataFrame:
     r = rows(s, d)
-    parts = [splits.domains(r, side).select(F.lit(side).alias("side"), "*") for side in ("resume", "jd")]
-    return parts[0].union(parts[1])
+    return _each(lambda side: splits.domains(r, side))
 
 
 def _holdout(s: SparkSession, d: str) -> DataFrame:
@@ -46,12 +53,12 @@ def _holdout(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "near_duplicates": lambda s, d: rounded(similarity.near_duplicates(_docs(s, d)), "similarity"),
-    "near_duplicate_clusters": lambda s, d: similarity.cluster_stats(_members(s, d)),
+    "near_duplicates": lambda s, d: rounded(_each(lambda side: similarity.near_duplicates(_docs(s, d, side))), "similarity"),
+    "near_duplicate_clusters": lambda s, d: _each(lambda side: similarity.cluster_stats(_members(s, d, side))),
     "domain_resolution": _both,
     "domain_conflicts": lambda s, d: _both(s, d).where("n_domains > 1").orderBy(F.round("confidence", 6), "hash", "side").limit(20),
     "domain_tv_distance": lambda s, d: rounded(splits.variation(rows(s, d).where("usable"), F.col("split") == "train", "resume_domain"), "distance"),
-    "fold_assignment": _folds,
+    "fold_assignment": lambda s, d: _each(lambda side: _folds(s, d, side)),
     "manifest_pairs": _manifest,
     "manifest_fold_report": lambda s, d: splits.fold_report(_manifest(s, d)),
     "manifest_checks": lambda s, d: splits.checks(_manifest(s, d)),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import applications, audit, graph, metrics, similarity, splits, vectors
-from matchloom.plans import features
+from matchloom.plans import features, splitting
 from matchloom.streaming import jobs
 
 
@@ -81,6 +81,20 @@ def test_similarity_golden_and_brute_force(spark):
         assert {(r.left_hash, r.right_hash) for r in similarity.near_duplicates(df, threshold).collect()} == want and want
 
 
+def test_near_copies_of_both_sides(spark, sf_dir):
+    rows = {side: splitting.rows(spark, sf_dir).where("usable").select(f"{side}_hash").distinct() for side in ("resume", "jd")}
+    want = {(side, r[0]) for side, found in rows.items() for r in found.collect()}
+    folds = {(r.side, r.hash): r.fold for r in splitting.QUERIES["fold_assignment"](spark, sf_dir).collect()}
+    assert folds.keys() == want
+    links = splitting.QUERIES["near_duplicates"](spark, sf_dir).collect()
+    assert {r.side for r in links} == {"resume", "jd"}
+    assert all(folds[r.side, r.left_hash] == folds[r.side, r.right_hash] for r in links)
+    stats = {r.side: r.n_clusters for r in splitting.QUERIES["near_duplicate_clusters"](spark, sf_dir).collect()}
+    assert stats.keys() == {"resume", "jd"}
+    for side, n in stats.items():
+        assert 0 < n <= sum(k == side for k, _ in want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (150, 200)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
