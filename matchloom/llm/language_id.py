@@ -34,6 +34,10 @@ def letter_table() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
 
 
+def has_letter(text: str) -> bool:
+    return bool(len(text)) and bool(letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 class Trigrams:
     """Makes trigram vectors and keeps those met first."""
 
@@ -100,13 +104,13 @@ class Profiles:
     def predict(self, trigrams: Trigrams, batch: list[str]) -> tuple[list[str], list[float]]:
         found = trigrams.bundle(batch, np.arange(len(batch)), len(batch))
         norms = np.linalg.norm(found, axis=1)
-        has_letter = [bool(len(t)) and bool(letter_table()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in batch]
+        lettered = [has_letter(t) for t in batch]
         if not self.languages:
             return [UNKNOWN] * len(batch), [0.0] * len(batch)
         cosines = found @ self.prototypes.T / np.maximum(norms, 1e-9)[:, None]
         best = cosines.argmax(axis=1)
-        langs = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter, strict=True)]
-        scores = np.where(has_letter, np.clip(cosines[np.arange(len(batch)), best], 0, 1), 0)
+        langs = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered, strict=True)]
+        scores = np.where(lettered, np.clip(cosines[np.arange(len(batch)), best], 0, 1), 0)
         return langs, scores.astype(float).tolist()
 
 
@@ -181,12 +185,17 @@ def learn_from_kept_in(docs: DataFrame, id_col: str = "doc_id") -> Profiles:
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is identified with more than `least_score`."""
+    """The rows of `docs`, all columns, whose text has a letter and is scored `least_score` or more.
+
+    By default that is each text with a letter: scores are 0 at least, also for text in a language that was not learned
+    and where none was.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams = Trigrams()
         for batch in sliced(batches, text_col, SLICE_BYTES):
-            langs, scores = profiles.predict(trigrams, texts(batch, text_col))
-            yield batch.filter(pa.array([n != UNKNOWN and s > least_score for n, s in zip(langs, scores, strict=True)], pa.bool_()))
+            bodies = texts(batch, text_col)
+            _, scores = profiles.predict(trigrams, bodies)
+            yield batch.filter(pa.array([has_letter(t) and s >= least_score for t, s in zip(bodies, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,3 +55,15 @@ def test_hard_rows(spark):
     assert lid.keep_identified(hard_docs(spark), profiles).columns == hard_docs(spark).columns
     assert lid.identify(empty_docs(spark), lid.learn_from_kept_in(empty_docs(spark))).collect() == []
     assert {r.lang_pred for r in lid.identify(hard_docs(spark), lid.Profiles()).collect()} == {"und"}
+
+
+def test_keeps_all_text_with_a_letter(spark):
+    """Scripts that no label covers stay, whatever the sign of the cosine, and so does a corpus without labels."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, rng.integers(10, 300))))) for i in range(200)]
+    rows += [(200, None), (201, ""), (202, "12 !"), (203, "я")]
+    unseen = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = lid.learn_from_kept_in(hard_docs(spark))
+    assert learned.languages
+    for profiles in (learned, lid.Profiles()):
+        assert {r.doc_id for r in lid.keep_identified(unseen, profiles).collect()} == {*range(200), 203}
