@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._util import sliced, texts
 
 BUCKETS = 1 << 11
+#: Characters of the longest word that a worker remembers; longer ones are looked at anew.
+KEPT_LENGTH = 256
 GOOD, NOTHING, BAD = 2, 1, 0
 LABELLERS = ("symbols", "capitals", "repeats", "variety", "sentences", "shouting", "tables", "length")
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[^\W\dX_]+"), "x"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w])\1+"), r"\1\1"))
@@ -27,16 +29,18 @@ _SYMBOL = re.compile(r"[#$%&*|<>{}\[\]\\^~=@_+]")
 
 
 class Shapes(dict):
-    """Word to its shape's bucket and marks: bit 0 has a symbol, 1 all capitals, 2 shouts, 3 is a bar; bounded."""
+    """Word to its shape's bucket and marks: bit 0 has a symbol, 1 all capitals, 2 shouts, 3 is a bar; bounded, without long words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 300_000:
             self.clear()
-        shape = word[:40]
+        shape = word
         for run, mark in _RUNS:
             shape = run.sub(mark, shape)
         marks = bool(_SYMBOL.search(word)) | (len(word) > 1 and word.isupper()) << 1 | ("!!" in word) << 2 | (word == "|") << 3
-        self[word] = value = (2 + xxhash.xxh3_64_intdigest(shape) % (BUCKETS - 2)) << 4 | marks
+        value = (2 + xxhash.xxh3_64_intdigest(shape) % (BUCKETS - 2)) << 4 | marks
+        if len(word) <= KEPT_LENGTH:
+            self[word] = value
         return value
 
 

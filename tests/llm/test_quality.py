@@ -18,6 +18,14 @@ def test_em_recovers_accuracies():
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
 
 
+def test_shapes_see_whole_words():
+    shapes = q.Shapes()
+    clean, junk = "字" * 5000, "字" * 4000 + "##7|" * 250
+    assert shapes[clean] >> 4 != shapes[junk] >> 4
+    assert shapes["a" * 39 + "b-c"] >> 4 == shapes["x-y"] >> 4
+    assert max(map(len, shapes)) <= q.KEPT_LENGTH
+
+
 def test_query_accuracy(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = QUERIES["op2_quality"](spark, sf_dir).collect()
