@@ -2,52 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp()
-    return where
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage by a written table in the shared folder."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/matchloom/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from matchloom.storage import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of an edge table (src, dst): the smallest vertex that can be reached.
 
-    Each round gives the smallest component among a vertex's neighbours to the vertex and to its current component, and
-    then takes the component's own; the rounds grow with the log of the longest path and go on until nothing moves.
+    Each round gives the smallest component among a vertex's neighbours to the vertex and to its current component, so
+    that whole trees are hooked and not single vertices, and then takes the component's own (pointer jumping). The
+    rounds grow with the log of the longest path and go on until nothing moves. Labels are written after each round;
+    minima over edges combine on the map side, and joins read written tables, so that adaptive execution can split hot
+    vertices. Edges with a null end are left out.
     """
-    both = saved(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    state = saved(both.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("m")).select("vertex", F.least("vertex", "m").alias("component")))
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    state = written(both.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("m")).select("vertex", F.least("vertex", "m").alias("component"), F.lit(True).alias("moved")), "components")
     while True:
-        low = both.join(state.withColumnRenamed("vertex", "dst"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("low"))
-        jump = state.select(F.col("vertex").alias("via"), F.col("component").alias("beyond"))
-        seen = state.join(low, "vertex", "left")
+        low = both.join(state.select(F.col("vertex").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("low"))
+        seen = state.drop("moved").join(low, "vertex", "left")
         roots = seen.where("low < component").groupBy(F.col("component").alias("vertex")).agg(F.min("low").alias("root_low"))
+        jump = state.select(F.col("vertex").alias("via"), F.col("component").alias("beyond"))
         step = seen.join(roots, "vertex", "left").withColumn("via", F.least("component", "low", "root_low")).join(jump, "via", "left")
-        new = saved(step.select("vertex", F.least("via", F.coalesce("beyond", "via")).alias("component"), F.col("component").alias("old")))
-        state = new.select("vertex", "component")
-        if not new.where("component <> old").limit(1).count():
-            return state
+        best = F.least("via", F.coalesce("beyond", "via"))
+        new = written(step.select("vertex", best.alias("component"), (best != F.col("component")).alias("moved")), "components")
+        discard(state)
+        state = new
+        if not state.where("moved").limit(1).count():
+            discard(both)
+            found = state.drop("moved")
+            found._matchloom_path = state._matchloom_path
+            return found
 
 
 def bipartite(rows: DataFrame) -> DataFrame:
     """Components of the graph of usable documents and pairs, with documents per side and pairs in each."""
-    used = rows.where("usable").select(F.concat(F.lit("resume:"), "resume_hash").alias("src"), F.concat(F.lit("jd:"), "jd_hash").alias("dst")).distinct()
+    used = written(rows.where("usable").select(F.concat(F.lit("resume:"), "resume_hash").alias("src"), F.concat(F.lit("jd:"), "jd_hash").alias("dst")).distinct(), "pair-edges")
     found = components(used)
     sides = found.groupBy("component").agg(F.count_if(F.col("vertex").startswith("resume:")).alias("n_resumes"), F.count_if(F.col("vertex").startswith("jd:")).alias("n_jds"))
     pairs = used.join(found, used.src == found.vertex).groupBy("component").agg(F.count(F.lit(1)).alias("n_pairs"))

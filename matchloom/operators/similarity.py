@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.text import casefold
-from matchloom.operators.graph import components, saved
+from matchloom.operators.graph import components
+from matchloom.storage import written
 
 BUCKETS = 64
 
@@ -48,7 +49,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
     subsequence is, and texts are joined to the pairs that are left only.
     """
     width = math.log((200 - threshold) / threshold)
-    folded = saved(docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").select("hash", "folded", F.length("folded").alias("n"), histogram("folded").alias("h")))
+    folded = written(docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").select("hash", "folded", F.length("folded").alias("n"), histogram("folded").alias("h")), "folded-texts")
     keyed = folded.select("hash", "n", "h", F.floor(F.ln("n") / width).alias("band"))
     left = keyed.select(F.col("hash").alias("lh"), F.col("n").alias("ln"), F.col("h").alias("lb"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     right = keyed.select(F.col("hash").alias("rh"), F.col("n").alias("rn"), F.col("h").alias("rb"), "band")

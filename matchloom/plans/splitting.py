@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import learn, similarity, splits
 from matchloom.operators.audit import documents
-from matchloom.operators.graph import saved
+from matchloom.storage import written
 from matchloom.plans.corpus import PAIRS, rows
 from matchloom.plans.features import rounded
 from matchloom.sources import bindings as b
@@ -26,8 +26,8 @@ def _docs(s: SparkSession, d: str, side: str) -> DataFrame:
 
 
 def _members(s: SparkSession, d: str, side: str) -> DataFrame:
-    docs = saved(_docs(s, d, side))
-    return similarity.clusters(docs, saved(similarity.near_duplicates(docs)))
+    docs = written(_docs(s, d, side), "side-documents")
+    return similarity.clusters(docs, written(similarity.near_duplicates(docs), "near-pairs"))
 
 
 def _folds(s: SparkSession, d: str, side: str) -> DataFrame:

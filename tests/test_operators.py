@@ -1,9 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom import storage
 from matchloom.operators import applications, audit, graph, metrics, similarity, splits, vectors
 from matchloom.plans import features, splitting
 from matchloom.streaming import jobs
@@ -101,6 +103,30 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and got[300] == 300
 
 
+def zigzag(n):
+    return [*range(0, n, 2), *range(n - 1 - n % 2, 0, -2)]
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """A zigzag of 140 and a random path of 3,000 vertices settle in under 25 rounds."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or storage.written(df, name))
+    path = random.Random(7).sample(range(1000, 4000), 3000)
+    edges = [(a, b) for chain in (zigzag(140), path) for a, b in zip(chain, chain[1:], strict=False)]
+    got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(got) == 3140 and all(c == (0 if v < 1000 else 1000) for v, c in got.items())
+    assert len(tables) - 2 < 25
+
+
+def test_shared_folder_off_local(monkeypatch):
+    """Without spark.checkpoint.dir a cluster gets an error and not a machine-local folder."""
+    nothing = SimpleNamespace(get=lambda *_: None)
+    jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    context = SimpleNamespace(getConf=lambda: nothing, _jsc=jvm, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(SimpleNamespace(conf=nothing, sparkContext=context))
+
+
 def test_components_of_a_long_chain(spark):
     ids = random.Random(1).sample(range(500), 500)
     got = graph.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")).collect()
