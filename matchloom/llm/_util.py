@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on local[N]) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
-
+from matchloom.storage import discard, fresh_path, remove, shared_dir, shipped, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the rows to the shared folder as Parquet and read them back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._matchloom_path = path
-    return back
+__all__ = ["ascii_lower", "discard", "fresh_path", "raw_texts", "remove", "shared_dir", "shipped", "sliced", "table", "text_key", "texts", "written"]
 
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() once nothing reads it any more."""
-    path = getattr(df, "_matchloom_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col: Column) -> Column:
@@ -58,15 +21,21 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds about `limit` bytes of text (one row at least)."""
+def text_key(col: Column) -> tuple[Column, Column]:
+    """A 128-bit hash of a text, as columns k1 and k2; null counts as empty."""
+    body = F.coalesce(col, F.lit(""))
+    return F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that one slice holds about `limit` bytes of text and `most_rows` rows (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > limit:
+            if i > start and (held + n > limit or i - start >= most_rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -81,9 +50,5 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

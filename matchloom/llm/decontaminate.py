@@ -1,145 +1,256 @@
 """Benchmark items inside long documents: size-partitioned MinHash containment search, verified on exact shingles.
 
-Items are partitioned by the size of their shingle set, [2^p, 2^(p+1)). An item is sketched by its k smallest shingle
-hashes (a bottom-k MinHash sketch), with one k for each partition: one more than the shingles that its largest item
-may lack at the threshold. A document that contains enough of an item thus holds a value of its sketch at least, so the
-search is complete, and the share of the sketch that is found estimates the containment. Candidates are then verified
-on their whole shingle sets.
+Items are partitioned by the size of their shingle set, [2^p, 2^(p+1)). For each partition documents are cut into windows
+of WINDOW * 2^p shingles, so that a contained item makes up a fair share of the windows that it lies in, however long
+the document is. Items and windows get MinHash signatures, one value a band. If a document contains a share t of an
+item of n shingles, in one place or in several, a register of the item equals that of some window with a probability of
+t n / (n + window) at least; so the threshold on containment gives the number of registers that a partition needs for a
+miss to be as rare as MISS. Candidates are verified on their whole shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import raw_texts, sliced
-from .shingles import SHINGLE_WORDS, WordHashes, combine
+from ._util import discard, raw_texts, shipped, sliced, text_key, written
+from .shingles import SHINGLE_WORDS, WordHashes, combine, shingle_set
 
-FILTER_BITS = 20
+#: Shingles of a window for each shingle of the partition's smallest item.
+WINDOW = 4
+#: Probability of missing an item that is contained to just the threshold.
+MISS = 1e-6
+#: The filter that documents' register values pass has this many bits for each of the items' values, and MOST_BITS at most.
+BITS_PER_VALUE, MOST_BITS = 64, 1 << 27
+SLICE_BYTES = 384 << 10
 
 
-@dataclass
-class Sketches:
-    """Sketches of a block of items, by width of shingle: items of fewer words are one shingle of that width."""
+def partition_of(size: int) -> int:
+    return size.bit_length() - 1
 
-    width: int
-    threshold: float
-    items: list
-    sets: list[np.ndarray]
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # filter, sorted values, their owners' bounds, owners
-    sizes: np.ndarray
 
-    @staticmethod
-    def of(items: list[tuple[object, bytes]], width: int, threshold: float) -> Sketches:
+def window_of(part: int) -> int:
+    return 1 if part == 0 else WINDOW << part
+
+
+def registers_of(part: int, threshold: float) -> int:
+    """Registers that a partition needs; a single shingle is its own signature."""
+    if part == 0:
+        return 1
+    share = max(threshold, 1e-3) * 2**part / (2**part + window_of(part))
+    return math.ceil(math.log(MISS) / math.log1p(-share))
+
+
+def _constants(name: str, n: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(f"{name} {i}") | 1 for i in range(n)], dtype=np.uint64)
+
+
+class Signer:
+    """Register values of sets or windows as 64-bit keys that also tell width, partition and register."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.factors = np.empty(0, np.uint64)
+        self.salts: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, width: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        n = registers_of(part, self.threshold)
+        if len(self.factors) < n:
+            self.factors = _constants("containment", n)
+            self.factors[0] = 1
+        if (width, part) not in self.salts:
+            self.salts[width, part] = _constants(f"salt {width} {part}", n)
+        return self.factors[:n], self.salts[width, part]
+
+    def item(self, width: int, shingles: np.ndarray) -> np.ndarray:
+        factors, salts = self.of(width, partition_of(len(shingles)))
+        return np.array([(shingles * f).min() for f in factors], dtype=np.uint64) ^ salts
+
+    def windows(self, width: int, parts: list[int], shingles: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, documents) of the windows of several documents whose shingles are laid end to end; a row a register."""
+        ends = np.cumsum(lengths)
+        finest = window_of(parts[0])
+        starts, owner = _cuts(lengths, finest, ends)
+        coarse = {}
+        for part in parts[1:]:
+            blocks = -(-lengths // finest)
+            coarse[part] = _cuts(blocks, window_of(part) // finest, np.cumsum(blocks))
+        found: dict[int, list[np.ndarray]] = {p: [] for p in parts}
+        buffer = np.empty(len(shingles), np.uint64)
+        most = max(registers_of(p, self.threshold) for p in parts)
+        self.of(width, max(parts, key=lambda p: registers_of(p, self.threshold)))
+        for i in range(most):
+            np.multiply(shingles, self.factors[i], out=buffer)
+            low = np.minimum.reduceat(buffer, starts)
+            for part in parts:
+                if i < registers_of(part, self.threshold):
+                    own = low if part == parts[0] else np.minimum.reduceat(low, coarse[part][0])
+                    found[part].append(own ^ self.of(width, part)[1][i])
+        for part in parts:
+            yield np.stack(found[part]), owner if part == parts[0] else coarse[part][1]
+
+
+def _cuts(lengths: np.ndarray, size: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of pieces of `size`, none over two documents, and the document of each."""
+    pieces = -(-lengths // size)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return (ends - lengths)[owner] + place * size, owner
+
+
+ITEMS = "i1 long, i2 long, width int, part int, elements binary, keys array<long>"
+
+
+def item_table(benchmark: DataFrame, text_col: str, width: int, threshold: float) -> DataFrame:
+    """The distinct items that have words: their hash, shingle width, size partition, shingles and signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, signer = WordHashes(), Signer(threshold)
+        for batch in sliced(batches, "body", SLICE_BYTES):
+            rows = []
+            for i1, i2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), raw_texts(batch, "body"), strict=True):
+                codes = words.codes(text)
+                if len(codes):
+                    own, shingles = min(width, len(codes)), shingle_set(codes, width)
+                    rows.append((i1, i2, own, partition_of(len(shingles)), shingles.tobytes(), signer.item(own, shingles).view(np.int64).tolist()))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["i1", "i2", "width", "part", "elements", "keys"])
+
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    return benchmark.select(*text_key(F.col(text_col)), body.alias("body")).dropDuplicates(["k1", "k2"]).mapInArrow(run, ITEMS)
+
+
+def value_filter(values: DataFrame, n_values: int) -> np.ndarray:
+    """A bitmap of the leading bits of all `values` (key), made by a native aggregation; MOST_BITS at most."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (n_values * BITS_PER_VALUE).bit_length()))
+    place = F.shiftrightunsigned("key", 65 - bits.bit_length()) + 1
+    parts = values.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def document_values(docs: DataFrame, text_col: str, classes: dict[int, list[int]], known: np.ndarray, threshold: float) -> DataFrame:
+    """(k1, k2, key): the windows' register values that pass the filter, once for each text hash and value of a row."""
+    shift = np.uint64(64 - (len(known) * 8).bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, signer = WordHashes(), Signer(threshold)
+        for batch in sliced(batches, "body", SLICE_BYTES):
+            found = [words.codes(t) for t in raw_texts(batch, "body")]
+            codes, sizes = np.concatenate(found), np.array([len(c) for c in found])
+            doc = np.repeat(np.arange(len(found)), sizes)
+            rows, keys = [], []
+            for width, parts in classes.items():
+                if len(codes) < width:
+                    continue
+                whole = doc[: len(doc) - width + 1] == doc[width - 1 :]
+                lengths = np.maximum(sizes - width + 1, 0)
+                shingles = combine(codes, width)[whole]
+                if not len(shingles):
+                    continue
+                present = np.flatnonzero(lengths)
+                for values, owner in signer.windows(width, parts, shingles, lengths[present]):
+                    at = (values >> shift).astype(np.int64)
+                    hit = np.nonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    rows.append(present[owner[hit[1]]])
+                    keys.append(values[hit])
+            if rows:
+                pairs = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
+                if len(pairs):
+                    own = pa.array(pairs["row"])
+                    yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), batch.column("k2").take(own), pa.array(pairs["key"])], names=["k1", "k2", "key"])
+
+    return docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("body")).mapInArrow(run, "k1 long, k2 long, key long")
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, threshold: float, width: int) -> DataFrame | None:
+    """Links (k1, k2, i1, i2, part, matches, n_item_shingles, n_shared) between text hashes of documents and items, written; None without items."""
+    items = written(item_table(benchmark, item_text_col, width, threshold), "benchmark-items")
+    values = items.select(F.explode("keys").alias("key"), "i1", "i2")
+    classes: dict[int, list[int]] = {}
+    for r in sorted(items.select("width", "part").distinct().collect()):  # a few widths times the log of the largest item
+        classes.setdefault(r.width, []).append(r.part)
+    if not classes:
+        discard(items)
+        return None
+    known = value_filter(values, values.count())
+    hits = written(document_values(docs, text_col, classes, known, threshold), "window-values")
+    pairs = written(hits.join(values, "key").groupBy("k1", "k2", "i1", "i2").agg(F.count_distinct("key").alias("matches")), "candidates")
+    wanted = written(pairs.select("k1", "k2").distinct(), "candidate-texts")
+    keyed = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    bodies = keyed.join(shipped(wanted, 16), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("body").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        kept, sets, chosen = [], [], {}
-        sizes = []
-        for item_id, text in items:
-            codes = words.codes(text)
-            if not len(codes):
-                continue
-            own = min(width, len(codes))
-            shingles = np.unique(combine(codes, own))
-            largest = (1 << len(shingles).bit_length()) - 1  # of the item's size partition
-            k = min(len(shingles), int((1 - threshold) * largest) + 1)
-            chosen.setdefault(own, []).append((len(kept), shingles[:k]))
-            kept.append(item_id)
-            sets.append(shingles)
-            sizes.append(k)
-        tables = {}
-        for own, found in chosen.items():
-            values = np.concatenate([v for _, v in found])
-            owners = np.concatenate([np.full(len(v), i) for i, v in found])
-            order = np.argsort(values, kind="stable")
-            unique, first = np.unique(values[order], return_index=True)
-            flags = np.zeros(1 << FILTER_BITS, bool)
-            flags[(unique & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-            tables[own] = flags, unique, np.append(first, len(values)), owners[order]
-        return Sketches(width, threshold, kept, sets, tables, np.array(sizes))
-
-    def search(self, codes: np.ndarray) -> list[tuple[int, int, float]]:
-        """(index of an item, its shingles in the document, estimate) for the items that the document contains."""
-        out = []
-        for own, (flags, values, bounds, owners) in self.tables.items():
-            if len(codes) < own:
-                continue
-            shingles = combine(codes, own)
-            some = np.unique(shingles[flags[(shingles & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]])
-            if not len(some):
-                continue
-            at = np.minimum(np.searchsorted(values, some), len(values) - 1)
-            at = at[values[at] == some]
-            if not len(at):
-                continue
-            hits = np.concatenate([owners[bounds[i] : bounds[i + 1]] for i in at.tolist()])
-            candidates, found = np.unique(hits, return_counts=True)
-            whole = np.unique(shingles)
-            for item, n in zip(candidates.tolist(), found.tolist(), strict=True):
-                own_set = self.sets[item]
-                where = np.minimum(np.searchsorted(whole, own_set), len(whole) - 1)
-                shared = int((whole[where] == own_set).sum())
-                if shared >= self.threshold * len(own_set) - 1e-9:
-                    out.append((item, shared, n / int(self.sizes[item])))
-        return out
-
-
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, threshold: float, block_bytes: int) -> Iterator[Sketches]:
-    """Sketches of the items, a block of about `block_bytes` of text at a time, so that what workers get is bounded."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = -(-int(total) // block_bytes)
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()
-        yield Sketches.of([(r.id, bytes(r.t)) for r in rows], width, threshold)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, width: int = SHINGLE_WORDS, block_bytes: int = 8 << 20) -> DataFrame:
-    """Pairs (document id, item_id) where the document contains `threshold` or more of the item's word shingles.
-
-    Returns id, item_id, n_item_shingles, n_shared, containment and sketch_containment (the estimate). A-Z are
-    lower-cased and words split at ASCII blanks; an item of fewer words than `width` is one shingle of all its words.
-    Items are the stated query set: each block of them goes to all workers and is searched in all whole documents,
-    with no shuffle. Null or blank texts and items are in no pair. Repeated rows give repeated pairs. Other columns are
-    not read; if either table is empty the result is.
+        last, codes, sets = None, np.empty(0, np.uint64), {}
+        for batch in sliced(batches, "body", 1 << 20):
+            shared = []
+            for k1, k2, own, elements, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "width", "elements")), raw_texts(batch, "body"), strict=True):
+                if (k1, k2) != last:
+                    last, codes, sets = (k1, k2), words.codes(text), {}
+                if own not in sets:
+                    sets[own] = np.unique(combine(codes, own)) if len(codes) >= own else np.empty(0, np.uint64)
+                shared.append(len(np.intersect1d(sets[own], np.frombuffer(elements, np.uint64), assume_unique=True)))
+            sizes = np.array([len(e) // 8 for e in batch.column("elements").to_pylist()])
+            kept = batch.select(["k1", "k2", "i1", "i2", "part", "matches"])
+            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], names=[*kept.schema.names, "n_item_shingles", "n_shared"])
+            yield out.filter(pa.array(np.array(shared) >= threshold * sizes - 1e-9))
+
+    full = pairs.join(items.drop("keys"), ["i1", "i2"]).join(bodies, ["k1", "k2"])
+    links = written(full.mapInArrow(run, "k1 long, k2 long, i1 long, i2 long, part int, matches long, n_item_shingles long, n_shared long"), "benchmark-links")
+    discard(items, hits, pairs, wanted)
+    return links
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, width: int = SHINGLE_WORDS) -> DataFrame:
+    """Pairs (document id, item id) where the document contains `threshold` or more of the item's word shingles.
+
+    Returns the ids, in their own types, n_item_shingles, n_shared, containment and sketch_containment (the estimate
+    from the registers). A-Z are lower-cased and words split at ASCII blanks; an item of fewer words than `width` is one
+    shingle of all its words. An item contained to just the threshold is missed with a probability of MISS; what is
+    returned is exact but for 64-bit hashes of shingles.
+
+    Documents are signed in one scan with no shuffle; only register values that pass a bitmap of the items' values are
+    joined with these. Texts are known by a 128-bit hash, so equal texts are verified once. Very long texts only have
+    more windows. Null or blank texts and items are in no pair; null ids are returned as they are. Repeated rows give
+    repeated pairs. Other columns are not read; if either table is empty the result is.
+    """
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_id_col].dataType.simpleString()}, n_item_shingles long, n_shared long, containment double, sketch_containment double"
+    links = contained(docs, benchmark, text_col, item_text_col, threshold, width)
+    if links is None:
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    i1, i2 = text_key(F.col(item_text_col))
+    names = benchmark.select(i1.alias("i1"), i2.alias("i2"), F.col(item_id_col).alias("item_id"))
+    rows = docs.select(*text_key(F.col(text_col)), F.col(id_col).alias("id"))
+    by_part = lambda of: F.element_at(F.array(*(F.lit(of(p)).cast("long") for p in range(40))), F.col("part") + 1)
+    registers = by_part(lambda p: registers_of(p, threshold))
+    windows = by_part(lambda p: window_of(p) if p else 0)
+    n = F.col("n_item_shingles")
+    estimate = F.least(F.lit(1.0), F.col("matches") / registers * (n + windows) / n)
+    return rows.join(shipped(links.join(names, ["i1", "i2"]), 72), ["k1", "k2"]).select(
+        F.col("id").alias(id_col), "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / n).alias("containment"), estimate.alias("sketch_containment")
+    )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", threshold: float = 0.75, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of `docs`, all columns, whose text contains no item: the search of leaks() and an anti-join by text hash.
+
+    Ids are not looked at. Null and blank texts stay, and so does everything if there is no item.
     """
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    schema = "id long, item_id long, n_item_shingles long, n_shared long, containment double, sketch_containment double"
-    out = None
-    for block in item_blocks(benchmark, item_id_col, item_text_col, width, threshold, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Sketches = block) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for batch in sliced(batches, "body", 2 << 20):
-                rows = []
-                for doc_id, text in zip(batch.column("id").to_pylist(), raw_texts(batch, "body"), strict=True):
-                    for item, shared, estimate in block.search(words.codes(text)):
-                        n = len(block.sets[item])
-                        rows.append((doc_id, block.items[item], n, shared, shared / n, estimate))
-                if rows:
-                    types = [pa.int64()] * 4 + [pa.float64()] * 2
-                    names = ["id", "item_id", "n_item_shingles", "n_shared", "containment", "sketch_containment"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-        part = body.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return out.withColumnRenamed("id", id_col)
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, width: int = SHINGLE_WORDS, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of `docs`, all columns, that contain no item; the same search as leaks(), with no join."""
-    for block in item_blocks(benchmark, item_id_col, item_text_col, width, threshold, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Sketches = block) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for batch in sliced(batches, text_col, 2 << 20):
-                yield batch.filter(pa.array([not block.search(words.codes(t)) for t in raw_texts(batch, text_col)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    links = contained(docs, benchmark, text_col, item_text_col, threshold, width)
+    if links is None:
+        return docs
+    gone = written(links.select("k1", "k2").distinct(), "leaked-texts")
+    discard(links)
+    k1, k2 = text_key(F.col(text_col))
+    rows = docs.select(F.struct("*").alias("row"), k1, k2)
+    return rows.join(shipped(gone, 16), ["k1", "k2"], "left_anti").select("row.*")
