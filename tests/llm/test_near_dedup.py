@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from matchloom.llm import near_dedup as near
 from matchloom.llm import setsketch as ss
-from matchloom.llm.components import components
 from matchloom.llm.queries import QUERIES
 
 from .common import empty_docs, hard_docs, near_components
@@ -28,9 +28,33 @@ def test_registers_estimate_and_merge():
         assert (ss.sketches([np.union1d(a, b)])[0] == np.maximum(x, y)).all()
 
 
-def test_query_equals_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    assert got(QUERIES["op7_near_dedup"](spark, sf_dir)) == near_components([(r.doc_id, r.text) for r in docs])
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_query_equals_brute_force(spark, sf_dir, scale):
+    where = sf_dir.replace("sf0.001", scale)
+    docs = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text").collect()
+    assert got(QUERIES["op7_near_dedup"](spark, where)) == near_components([(r.doc_id, r.text) for r in docs])
+
+
+@pytest.mark.parametrize("rows", [4, 512])
+def test_group_around_one_text(spark, monkeypatch, rows):
+    """Copies that are close to one text, which hasn't the smallest id, but mostly not to each other."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near, "RUN_ROWS", rows)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    docs = [(500, " ".join(base))]
+    for i in range(60):
+        t = list(base)
+        for k in rng.sample(range(len(t)), 5):
+            t[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(t)))
+    far = list(base)
+    for k in range(0, 200, 12):
+        far[k] = f"far{k}"
+    docs.append((600, " ".join(far)))
+    want = near_components(docs)
+    assert len({c for _, c in want.values()}) < 60
+    assert got(near.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"))) == want
 
 
 def test_chain_and_large_group(spark, monkeypatch):
@@ -61,19 +85,14 @@ def test_hard_rows(spark):
     assert near.near_dedup(empty_docs(spark)).collect() == []
 
 
-def test_long_chains_settle(spark):
-    """Chains far longer than 60, with ids in rising, falling and random order."""
-    n = 500
-    shuffled = random.Random(1).sample(range(n), n)
-    chains = [list(range(1, n)) + [0], list(range(n))[::-1], shuffled]
-    edges = [(k * n + a, k * n + b) for k, chain in enumerate(chains) for a, b in zip(chain, chain[1:], strict=False)]
-    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert len(rows) == 3 * n and all(r.label == r.id // n * n for r in rows)
-
-
 def test_long_chain_of_documents(spark):
     """300 sliding passages in random order of ids are one component."""
     words = [f"w{i}" for i in range(800)]
     ids = random.Random(2).sample(range(300), 300)
     df = spark.createDataFrame([(i, " ".join(words[2 * k : 2 * k + 60])) for k, i in enumerate(ids)], "doc_id long, text string")
     assert {c for _, c in got(near.near_dedup(df)).values()} == {0}
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        near.near_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
