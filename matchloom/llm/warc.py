@@ -1,4 +1,10 @@
-"""WARC archives: a writer for page tables and a splittable reader."""
+"""WARC archives: a writer for page tables and a splittable reader.
+
+Readers take byte ranges. A range is scanned for the gzip magic; a place is a member if it decodes to WARC headers (version,
+type, record id, length) and the member's size agrees with them. Members that follow each other form a chain. Which chains
+are the file's own, and not parts of an archive that some payload holds, is settled from the chains' first and last
+offsets, in the order of the file; each range's own chain is then read by one task.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +15,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import fresh_path, sliced, written
+from ._util import discard, fresh_path, remove, shipped, sliced, written
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
-#: Compressed bytes that suffice to tell whether a gzip member begins with a WARC version line.
-PROBE = 4096
+#: Bytes of a member that its WARC headers take at most.
+HEAD_BYTES = 64 << 10
 ID_FORM = "<urn:matchloom:page:%s>"
 
 MANIFEST = "path string, records long, bytes long"
@@ -29,11 +36,11 @@ RECORDS = (
 )
 
 
-def with_record_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 100, broadcast_rows: int = 250_000) -> DataFrame:
+def with_record_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 100) -> DataFrame:
     """Say for each page whether its record is a response or revisits the smallest id with an equal payload.
 
-    Only payloads of `min_bytes` or more are shared. Digests found once don't take part in the join; those found
-    more often are written, and broadcast up to `broadcast_rows`, beyond which the join is by shuffle.
+    Only payloads of `min_bytes` or more are shared. Digests found once don't take part in the join; those found more
+    often are written, and broadcast if their size allows it.
     """
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"))
@@ -47,9 +54,8 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", html_col: str =
         .select("digest", "first_id"),
         "shared-payloads",
     )
-    small = shared.count() <= broadcast_rows
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(F.broadcast(shared) if small else shared, "digest", "left").select(
+    return rows.join(shipped(shared, 80), "digest", "left").select(
         "page_id", "url", "html", "digest", F.when(again, F.col("first_id")).alias("refers_to")
     )
 
@@ -121,66 +127,115 @@ class _Range:
         return self.base + len(self.held) >= upto
 
     def drop(self, upto: int) -> None:
-        self.held, self.base = self.held[upto - self.base :], upto
+        """What lies before `upto` isn't needed; it is given up once it is a block or more."""
+        if upto - self.base >= BLOCK:
+            self.held, self.base = self.held[upto - self.base :], upto
 
+    def at(self, lo: int, hi: int) -> bytes:
+        self.fill(hi)
+        return self.held[lo - self.base : hi - self.base]
 
-def _begins_record(data: bytes) -> bool:
-    try:
-        return zlib.decompressobj(31).decompress(data, 5) == b"WARC/"
-    except zlib.error:
-        return False
+
+def _fields(head: bytes) -> dict[str, str]:
+    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
+    return {k.strip().lower().decode(errors="replace"): v.strip().decode(errors="replace") for k, _, v in pairs}
 
 
-def _inflate(r: _Range, offset: int) -> tuple[bytes, int] | None:
-    """The member at `offset` and where it ends; None if it is broken."""
-    z, at, parts = zlib.decompressobj(31), offset, []
+def record_size(data: bytes) -> int | None:
+    """The size of the record that begins with `data`, as its headers have it; None if these aren't whole WARC headers."""
+    end = data.find(b"\r\n\r\n", 0, HEAD_BYTES)
+    if end < 0 or not re.match(rb"WARC/1\.\d\r\n", data):
+        return None
+    fields = _fields(data[:end])
+    length = fields.get("content-length", "")
+    if not (fields.get("warc-type") and fields.get("warc-record-id") and length.isdecimal()):
+        return None
+    return end + 4 + int(length) + 4
+
+
+def record_end(r: _Range, offset: int, parts: list[bytes] | None = None) -> int | None:
+    """Where the member at `offset` ends if it holds one whole record, else None; `parts` takes what it inflates to."""
+    if r.at(offset, offset + len(MAGIC)) != MAGIC:
+        return None
+    z, at, step, head, size, want = zlib.decompressobj(31), offset, 8 << 10, b"", 0, None
     try:
         while not z.eof:
-            if not r.fill(at + 1):
+            chunk = r.at(at, at + step)
+            if not chunk:
                 return None
-            chunk = r.held[at - r.base : at - r.base + BLOCK]
-            parts.append(z.decompress(chunk))
+            data = z.decompress(chunk)
             at += len(chunk) - len(z.unused_data)
+            size += len(data)
+            if parts is not None:
+                parts.append(data)
+            if want is None:
+                head += data
+                want = record_size(head)
+                if want is None and (z.eof or len(head) >= HEAD_BYTES or not b"WARC/1.".startswith(head[:7])):
+                    return None
+            if want is not None and size > want:
+                return None
+            step = min(2 * step, BLOCK)
     except zlib.error:
         return None
-    return b"".join(parts), at
+    return at if size == want else None
 
 
-def records_in(source, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """The WARC records whose gzip member starts in [start, end), each with its offset.
+def chains_in(source, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(first, last) offsets of runs of records that follow each other without a gap and begin in [start, end).
 
-    Looks for the gzip magic, takes a place for a member if it decodes to a WARC version line, and goes on from the
-    end of each good member. The last record may end beyond `end`. Broken members are passed over.
+    A run goes on until the first record that begins at `end` or later, or until no record follows. Places behind a run
+    or a broken member are looked at one after another.
     """
-    r, at = _Range(source, start), start
+    r, at, first = _Range(source, start), start, None
     while at < end:
         r.drop(at)
-        r.fill(at + len(MAGIC) + PROBE)
-        found = r.held.find(MAGIC)
-        if found < 0:
-            if r.ended:
-                return
-            at = max(at + 1, r.base + len(r.held) - len(MAGIC) + 1)
+        stop = record_end(r, at)
+        if stop is not None:
+            first, at = at if first is None else first, stop
             continue
-        at += found
-        if at >= end:
-            return
-        r.fill(at + PROBE)
-        got = _inflate(r, at) if _begins_record(r.held[at - r.base : at - r.base + PROBE]) else None
-        if got is None:
-            at += 1
+        if first is not None:
+            yield first, at
+            first = None
+        at += 1
+        while at < end and r.fill(at + len(MAGIC)):
+            found = r.held.find(MAGIC, at - r.base)
+            if found >= 0:
+                at = r.base + found
+                break
+            at = r.base + len(r.held) - len(MAGIC) + 1
+            r.drop(at)
         else:
-            yield at, got[0]
-            at = got[1]
+            return
+    if first is not None:
+        yield first, at
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
-    return {k.strip().lower().decode(): v.strip().decode(errors="replace") for k, _, v in pairs}
+def own_chains(chains: pd.DataFrame) -> pd.DataFrame:
+    """Of the chains (first, last) of a file those that don't begin within an earlier one."""
+    chains = chains.sort_values("first")
+    kept, upto = [], 0
+    for first, last in zip(chains["first"], chains["last"], strict=True):
+        kept.append(first >= upto)
+        upto = last if kept[-1] else upto
+    return chains[kept]
+
+
+def records_in(source, first: int, last: int) -> Iterator[tuple[int, bytes]]:
+    """The records of a chain, each with its offset."""
+    r, at = _Range(source, first), first
+    while at < last:
+        r.drop(at)
+        parts: list[bytes] = []
+        stop = record_end(r, at, parts)
+        if stop is None:
+            raise ValueError(f"the file changed while it was read: no record at {at}")
+        yield at, b"".join(parts)
+        at = stop
 
 
 def _page(urn: str | None) -> int | None:
-    found = re.search(r"(-?\d+)>$", urn or "")
+    found = re.search(r":page:(-?\d+)>$", urn or "")
     return int(found[1]) if found else None
 
 
@@ -207,23 +262,40 @@ def read_warc(manifest: DataFrame, split_bytes: int = 32 << 20, tasks: int | Non
     """Read .warc.gz files, given as rows (path, bytes), in byte ranges of `split_bytes`.
 
     Each range is read by one task, which owns the records that start inside; so a file of any size is shared out and
-    each record is read once. Returns path, offset, record_type, page_id, refers_to, url, payload_bytes,
-    payload_digest and payload (null for revisits, or if not `with_payload`). Only response and revisit records are
-    returned. Digests of responses are computed from the payload that was read.
+    each record is read once, whatever `split_bytes` is, also if payloads hold archives themselves. For that the ranges
+    are inflated twice: once to find their chains, and once to read those that are the file's own. Broken members are
+    passed over; of what follows one, all whole records are taken.
+
+    Returns path, offset, record_type, page_id (null unless the record id names one), refers_to, url (as the archive has
+    it, percent-quoted), payload_bytes, payload_digest and payload (null for revisits, or if not `with_payload`). Only
+    response and revisit records are returned. Digests of responses are computed from the payload that was read. A
+    record is held in memory as a whole. Repeated rows of the manifest give an error.
     """
     spark = manifest.sparkSession
-    splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.where("bytes > 0").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    size = F.when(F.col("n") == 1, F.col("bytes")).otherwise(F.raise_error(F.lit("a path is in the manifest more than once")).cast("long"))
+    splits = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(split_bytes).cast("long"))).alias("start")).repartition(tasks)
     names = [f.split()[0] for f in RECORDS.split(", ")]
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                fs, name = _open(path)
+                with fs.open_input_file(name) as source:
+                    found = list(chains_in(source, start, start + split_bytes))
+                if found:
+                    first, last = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "first": first, "last": last})
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for batch in batches:
-            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            for path, first, last in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "last")), strict=True):
                 fs, name = _open(path)
                 with fs.open_input_file(name) as source:
                     rows, held = [], 0
-                    for offset, data in records_in(source, start, start + split_bytes):
+                    for offset, data in records_in(source, first, last):
                         row = parse(data)
                         if row["record_type"] not in ("response", "revisit"):
                             continue
@@ -237,15 +309,23 @@ def read_warc(manifest: DataFrame, split_bytes: int = 32 << 20, tasks: int | Non
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return splits.mapInArrow(read, RECORDS).select(*names)
+    shape = "path string, first long, last long"
+    own = splits.mapInArrow(scan, shape).groupBy("path").applyInPandas(own_chains, shape)
+    return own.repartition(tasks).mapInArrow(read, RECORDS).select(*names)
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 100, split_bytes: int = 32 << 20) -> DataFrame:
-    """Write a WARC record per row of `pages` (page_id, url, html) in the shared folder and read the archives back.
+def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 100, split_bytes: int = 32 << 20) -> DataFrame:
+    """Write a WARC record per row of `pages` (page_id, url, html) and read the archives back, without payloads.
 
-    Null html is an empty payload; a null url leaves its header out; a null page_id is read back as null. Rows that
-    repeat the smallest id of a shared payload are all responses. An empty table gives an empty result; other columns
-    are not read.
+    The archives stay if `folder` is given, and else are removed from the shared folder once they were read. Null html is
+    an empty payload; a null url leaves its header out, others are percent-quoted in it; a null page_id is read back as
+    null. Rows that repeat the smallest id of a shared payload are all responses. A payload of any length is one record,
+    held whole by one task. An empty table gives an empty result; other columns, whatever their names, are not read.
     """
-    manifest = write_warc(with_record_types(pages, min_bytes=min_bytes), fresh_path(spark, "warc"))
-    return read_warc(manifest, split_bytes=split_bytes, with_payload=False)
+    where = folder or fresh_path(spark, "warc")
+    manifest = write_warc(with_record_types(pages, min_bytes=min_bytes), where)
+    found = written(read_warc(manifest, split_bytes=split_bytes, with_payload=False), "warc-records")
+    discard(manifest)
+    if not folder:
+        remove(spark, where)
+    return found
