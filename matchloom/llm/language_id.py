@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,9 @@ from ._util import sliced, texts
 DIMENSIONS = 1024
 #: Trigram vectors that a worker keeps, and that are multiplied at once.
 KEPT, AT_ONCE = 16_384, 4096
-SLICE_BYTES = 160 << 10
+SLICE_BYTES, SLICE_ROWS = 160 << 10, 4096
+#: Texts times trigrams are laid out in full up to so many cells for each letter; else only those that occur are added up.
+CELLS_PER_LETTER = 4
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -87,10 +90,23 @@ class Trigrams:
         text = text[middle]
         keys, which = np.unique(chars[middle] << 42 | chars[middle + 1] << 21 | chars[middle + 2], return_inverse=True)
         weights = 1 / np.sqrt(np.bincount(text, minlength=1))[text] if damped else None
-        counts = np.bincount(groups[text] * len(keys) + which, weights, n * len(keys)).reshape(n, len(keys)).astype(np.float32)
+        cells = groups[text] * len(keys) + which
         total = np.zeros((n, DIMENSIONS), np.float32)
+        if n * len(keys) <= CELLS_PER_LETTER * len(middle):
+            counts = np.bincount(cells, weights, n * len(keys)).reshape(n, len(keys)).astype(np.float32)
+            for lo in range(0, len(keys), AT_ONCE):
+                total += counts[:, lo : lo + AT_ONCE] @ self.vectors(keys[lo : lo + AT_ONCE].tolist())
+            return total
+        cells, where = np.unique(cells, return_inverse=True)
+        sums = np.bincount(where, weights).astype(np.float32)
+        row, column = np.divmod(cells, max(len(keys), 1))
         for lo in range(0, len(keys), AT_ONCE):
-            total += counts[:, lo : lo + AT_ONCE] @ self.vectors(keys[lo : lo + AT_ONCE].tolist())
+            vectors = self.vectors(keys[lo : lo + AT_ONCE].tolist())
+            own = np.flatnonzero((column >= lo) & (column < lo + AT_ONCE))
+            for at in range(0, len(own), AT_ONCE // 2):
+                part = own[at : at + AT_ONCE // 2]
+                starts = np.flatnonzero(np.diff(row[part], prepend=-1))
+                total[row[part[starts]]] += np.add.reduceat(vectors[column[part] - lo] * sums[part, None], starts, axis=0)
         return total
 
 
@@ -128,7 +144,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         from pyspark import TaskContext
 
         trigrams, sums = Trigrams(), {}
-        for batch in sliced(batches, "body", SLICE_BYTES):
+        for batch in sliced(batches, "body", SLICE_BYTES, SLICE_ROWS):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             index = {n: i for i, n in enumerate(names)}
@@ -160,15 +176,15 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
 
     A null text, one without a letter, and any text if no language was learned give ("und", 0). Ties go to the language
     that sorts first. Each row is treated alone, so repeated rows and other columns don't matter; columns named
-    lang_pred or score are replaced. An empty table gives an empty result. A worker keeps at most KEPT trigram vectors
-    and makes others anew, so memory is bounded.
+    lang_pred or score are replaced. An empty table gives an empty result. A worker keeps at most KEPT trigram vectors and
+    makes others anew, and sums up SLICE_ROWS texts at once, so its memory grows only with the longest text.
     """
     rest = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams = Trigrams()
-        for batch in sliced(batches, text_col, SLICE_BYTES):
+        for batch in sliced(batches, text_col, SLICE_BYTES, SLICE_ROWS):
             langs, scores = profiles.predict(trigrams, texts(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
@@ -184,18 +200,23 @@ def learn_from_kept_in(docs: DataFrame, id_col: str = "doc_id") -> Profiles:
     return learn(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)))
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a letter and is scored `least_score` or more.
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str | None = None, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of `docs`, with its columns, whose text has a letter and whose language is one of `languages`.
 
-    By default that is each text with a letter: scores are 0 at least, also for text in a language that was not learned
-    and where none was.
+    By default all languages stay, also where none was learned. Rows with null in `lang_col`, if that is given, get the
+    language that was found; stated languages aren't changed. Null and empty texts and those without a letter go.
     """
+    fill = docs.schema.names.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams = Trigrams()
-        for batch in sliced(batches, text_col, SLICE_BYTES):
+        for batch in sliced(batches, text_col, SLICE_BYTES, SLICE_ROWS):
             bodies = texts(batch, text_col)
-            _, scores = profiles.predict(trigrams, bodies)
-            yield batch.filter(pa.array([has_letter(t) and s >= least_score for t, s in zip(bodies, scores, strict=True)], pa.bool_()))
+            langs, _ = profiles.predict(trigrams, bodies)
+            keep = [has_letter(t) and (languages is None or x in languages) for t, x in zip(bodies, langs, strict=True)]
+            if fill is not None:
+                known = pa.array([None if x == UNKNOWN else x for x in langs], batch.column(fill).type)
+                batch = batch.set_column(fill, batch.schema.field(fill), pc.coalesce(batch.column(fill), known))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,8 @@
+import tracemalloc
 import zlib
+from collections import Counter
+
+import unicodedata
 
 import numpy as np
 
@@ -28,6 +32,63 @@ def test_bundle_equals_definition(monkeypatch):
         assert (v == want).all()
 
 
+def trigrams_of(text):
+    seq = [0]
+    for c in text.lower():
+        code = ord(c) if unicodedata.category(c)[0] == "L" else 0
+        if code or seq[-1]:
+            seq.append(code)
+    seq = [*seq, 0] if seq[-1] else seq
+    return Counter((a, b, c) for a, b, c in zip(seq, seq[1:], seq[2:], strict=False) if b)
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Prototypes, predictions and scores made from their definitions, text by text."""
+    t, known = lid.Trigrams(), {}
+
+    def vector(text):
+        out = np.zeros(lid.DIMENSIONS)
+        for key, n in trigrams_of(text).items():
+            if key not in known:
+                a, b, c = map(t.letter, key)
+                known[key] = np.roll(a, 2) * np.roll(b, 1) * c
+            out += n * known[key]
+        return out
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    found = {r.doc_id: vector(r.text or "") for r in rows}
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None and trigrams_of(r.text):
+            sums[r.lang] = sums.get(r.lang, 0) + found[r.doc_id] / np.sqrt(trigrams_of(r.text).total())
+    langs = sorted(sums)
+    prototypes = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    learned = lid.learn_from_kept_in(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert learned.languages == langs and np.allclose(learned.prototypes, prototypes, atol=1e-5)
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, sf_dir).collect()}
+    assert got.keys() == found.keys()
+    for i, v in found.items():
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosines = prototypes @ v / np.linalg.norm(v)
+        assert got[i].lang_pred == langs[int(cosines.argmax())]
+        assert abs(got[i].score - min(1, max(0, cosines.max()))) < 1e-4
+
+
+def test_many_short_texts_in_little_memory():
+    rng = np.random.default_rng(5)
+    batch = ["".join(map(chr, rng.integers(97, 123, 16))) for _ in range(10_000)]
+    t = lid.Trigrams()
+    lid.letter_table()
+    tracemalloc.start()
+    got = t.bundle(batch, np.arange(len(batch)), len(batch))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    dense = lid.Trigrams().bundle(batch[:40] * 40, np.arange(1600) % 40, 40)
+    assert np.allclose(dense, 40 * got[:40])
+
+
 def test_query_accuracy(spark, sf_dir):
     truth = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op6_language_id"](spark, sf_dir).collect()
@@ -67,3 +128,13 @@ def test_keeps_all_text_with_a_letter(spark):
     assert learned.languages
     for profiles in (learned, lid.Profiles()):
         assert {r.doc_id for r in lid.keep_identified(unseen, profiles).collect()} == {*range(200), 203}
+
+
+def test_kept_languages(spark):
+    rows = [(1, "ONE two", None), (2, "äöü straße äöü", None), (3, "äöü straße äöü", "xx"), (4, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lid.learn_from_kept_in(hard_docs(spark))
+    filled = {r.doc_id: r.lang for r in lid.keep_identified(docs, learned, lang_col="lang").collect()}
+    assert filled == {1: "en", 2: "de", 3: "xx"}
+    assert {r.doc_id: r.lang for r in lid.keep_identified(docs, lid.Profiles(), lang_col="lang").collect()} == {1: None, 2: None, 3: "xx"}
+    assert {r.doc_id for r in lid.keep_identified(docs, learned, languages=("de",)).collect()} == {2, 3}
