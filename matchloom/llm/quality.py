@@ -135,7 +135,11 @@ FEATURES = "pattern long, buckets array<int>, shares array<float>"
 
 
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed votes and sparse hashed features of each whole text: id, pattern, buckets, shares. Other columns are not read."""
+    """Packed votes and sparse hashed features of each whole text: id (of any type), pattern, buckets, shares.
+
+    Null and blank texts have the vote "bad" for their length and no features. Very long texts have more words, but at
+    most BUCKETS features. Other columns, whatever their names, are not read. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -146,7 +150,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 names=["id", "pattern", "buckets", "shares"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id long, {FEATURES}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {FEATURES}")
 
 
 def dense(batch: pa.RecordBatch) -> np.ndarray:
@@ -229,4 +233,4 @@ def assess(featured: DataFrame, model: QualityModel | None, id_col: str = "doc_i
                 new = [pa.array(score.astype(float)), pa.array(weak), pa.array((votes - 1).tolist(), pa.list_(pa.int32())), pa.array((score >= least) & some)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *new], names=["id", "score", "weak_label", "votes", "kept"])
 
-    return featured.mapInArrow(run, "id long, score double, weak_label double, votes array<int>, kept boolean").withColumnRenamed("id", id_col)
+    return featured.mapInArrow(run, f"id {featured.schema['id'].dataType.simpleString()}, score double, weak_label double, votes array<int>, kept boolean").withColumnRenamed("id", id_col)
