@@ -139,9 +139,10 @@ def license_scan(docs: DataFrame, text_col: str = "text", base: tuple[Notice, ..
     Adds n_words; n_base, first_word and last_word (places of exact phrases: all of them, smallest and largest first
     word); base_labels and labels (exact ones, and all; distinct, sorted, comma-joined); score (1 less the share of
     edits of the best match, 0 without one); and matches with label, notice, first_word, words, start, end (in the
-    lower-case words joined by blanks) and edits. Matches with edits begin and end at words.
+    lower-case words joined by blanks) and edits. Matches with edits begin and end at words; of matches of one notice with
+    edits that overlap, the first is listed, so `matches` names each place but not each way to read it.
 
-    Null and empty texts have no words and no match. Each row is treated alone, so ties, repeated rows and other columns
+    Null and empty texts have no words and no match. Very long texts are scanned as a whole by one task. Each row is treated alone, so ties, repeated rows and other columns
     don't matter; columns with an added name are replaced. An empty table gives an empty result.
     """
     rest = [f for f in docs.schema.fields if f.name not in ADDED.fieldNames()]

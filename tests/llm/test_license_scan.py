@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from matchloom.llm import license_scan as ls
 from matchloom.llm.queries import QUERIES
 
@@ -29,6 +31,42 @@ def distance(a, b):
     return row[-1]
 
 
+def fewest_edits(text):
+    """For each fuzzy notice the fewest edits to a run of whole words of `text`, by dynamic programming over its letters."""
+    words = [w for w in WORD.findall((text or "").encode().lower().decode(errors="replace"))]
+    joined = " ".join(words)
+    size = max(len(n.text) for n in ls.FUZZY)
+    notices = np.zeros((len(ls.FUZZY), size), np.int64)
+    for i, n in enumerate(ls.FUZZY):
+        notices[i, : len(n.text)] = [ord(c) for c in n.text]
+    place = np.arange(size + 1)
+    row = np.tile(place, (len(ls.FUZZY), 1))
+    best = np.full(len(ls.FUZZY), 10**6)
+    last = [len(n.text) for n in ls.FUZZY]
+    for j, c in enumerate(joined):
+        new = np.empty_like(row)
+        new[:, 0] = 0 if c == " " else 10**6  # a run begins behind a blank
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (notices != ord(c)))
+        row = np.minimum.accumulate(new - place, axis=1) + place
+        if j + 1 == len(joined) or joined[j + 1] == " ":
+            best = np.minimum(best, row[np.arange(len(last)), last])
+    return best.tolist()
+
+
+def test_labels_equal_brute_force(spark, sf_dir):
+    """Labels and scores of the whole query; texts with no word near a notice show that nothing is found by mistake."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labelled = 0
+    for r in QUERIES["op10_license_scan"](spark, sf_dir).collect():
+        edits = fewest_edits(rows[r.doc_id])
+        hit = [(n, e) for n, e in zip(ls.FUZZY, edits, strict=True) if e <= n.edits]
+        exact = set(filter(None, base(rows[r.doc_id])[4].split(",")))
+        assert set(filter(None, r.labels.split(","))) == exact | {n.label for n, _ in hit}
+        assert r.score == (1.0 if exact else max((1 - e / len(n.text) for n, e in hit), default=0.0))
+        labelled += bool(hit)
+    assert labelled
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = QUERIES["op10_license_scan"](spark, sf_dir).collect()
