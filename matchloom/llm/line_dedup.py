@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower, discard, written
+from ._util import ascii_lower, discard, shipped, written
 
 #: What a key loses at both ends: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -22,7 +22,7 @@ def _keys(norm: Column) -> Column:
     return F.transform(F.split(norm, "\n"), key)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, broadcast_rows: int = 250_000) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """Drop every line whose key is found in at least `min_docs` documents; other lines stay in place.
 
     A key is the line stripped of blanks at both ends with A-Z lower-cased; keys of no code point are never dropped.
@@ -34,7 +34,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that join. Each document then gets its dropped positions, at most one per line, and is put together again by
     position.
 
-    Null and empty texts are one empty line. Each row counts as a document, also when rows repeat or ids are null or
+    Null and empty texts are one empty line. A very long text is one row of hashes, 16 bytes a line. Each row counts as a document, also when rows repeat or ids are null or
     equal: rows are matched by a 128-bit hash of id and text. Other columns are not read. An empty table gives an
     empty result.
     """
@@ -48,10 +48,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.select(F.inline(F.array_distinct("line_keys"))).where(~empty).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("in_docs")).where(F.col("in_docs") >= min_docs).select("h1", "h2"),
         "hot-lines",
     )
-    small = hot.count() <= broadcast_rows
     exploded = lines.select("r1", "r2", F.posexplode("line_keys").alias("pos", "k")).select("r1", "r2", "pos", "k.h1", "k.h2").where(~empty)
     gone = written(
-        exploded.join(F.broadcast(hot) if small else hot, ["h1", "h2"]).groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")),
+        exploded.join(shipped(hot, 16), ["h1", "h2"]).groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")),
         "dropped-lines",
     )
     discard(lines)

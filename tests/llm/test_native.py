@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import pytest
 
+from matchloom import storage
 from matchloom.llm import exact_dedup, line_dedup, warc
 from matchloom.llm._util import fresh_path
 
@@ -37,13 +39,14 @@ def brute_lines(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast_rows", [250_000, 0])
-def test_line_dedup_equals_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [storage.BROADCAST_BYTES, -1])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", broadcast_bytes)
     rows = [(i, "\n".join(["Common\t", f"own {i}", " common", "", "ÄB", f"half {i // 2}"] * (1 + i % 3))) for i in range(12)]
     rows += [(50, None), (51, ""), (52, "common\ncommon"), (53, "common"), (53, "common"), (None, "x\ncommon"), (54, "\n" * 30_000 + "common"), (55, "äb"), (56, " common")]
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, pos string, h1 long")
     for least in (2, 3, 10):
-        got = line_dedup.line_dedup(df, min_docs=least, broadcast_rows=broadcast_rows).collect()
+        got = line_dedup.line_dedup(df, min_docs=least).collect()
         assert sorted(map(tuple, got), key=str) == brute_lines(rows, least)
     assert line_dedup.line_dedup(empty_docs(spark)).collect() == []
 
@@ -72,3 +75,33 @@ def test_warc_round_trip_in_small_ranges(spark):
             if r.record_type == "response":
                 assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest
     assert warc.archive_pages(spark, pages(spark, rows[:1]).limit(0)).collect() == []
+
+
+def test_warc_repeats_of_the_smallest_id(spark):
+    rows = [(7, "u", "same " * 30), (7, "u", "same " * 30), (9, "u", "same " * 30)]
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(spark, pages(spark, rows)).collect())
+    assert got == [(7, "response", None), (7, "response", None), (9, "revisit", 7)]
+
+
+def nested_archive():
+    """An archive whose second record holds archives, one cut short, in bytes that are stored as they are."""
+    rng = random.Random(9)
+    plain = lambda i, payload: warc.record(i, "http://h/", payload, hashlib.sha256(payload).hexdigest(), None, "2024-01-01T00:00:00Z")
+    inner = b"".join(warc._member(plain(900 + i, b"inner %d " % i * 40), 6) for i in range(30))
+    payloads = [b"first " * 50, rng.randbytes(40_000) + inner + rng.randbytes(50_000) + inner[:-7] + rng.randbytes(9000), b"third", inner, rng.randbytes(70_000), b"last"]
+    return payloads, [warc._member(plain(i, p), 0) for i, p in enumerate(payloads)]
+
+
+def test_warc_archives_within_archives(spark, tmp_path):
+    payloads, members = nested_archive()
+    whole, hurt = tmp_path / "whole.warc.gz", tmp_path / "hurt.warc.gz"
+    whole.write_bytes(b"".join(members))
+    hurt.write_bytes(b"".join([members[0][:-9], *members[1:3], b"noise", *members[3:]]))
+    want = sorted((i, hashlib.sha256(p).hexdigest()) for i, p in enumerate(payloads))
+    for split in (1000, 30_000, 32 << 20):
+        for path, first in ((whole, 0), (hurt, 1)):
+            manifest = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
+            got = sorted((r.page_id, hashlib.sha256(r.payload).hexdigest()) for r in warc.read_warc(manifest, split_bytes=split).collect())
+            assert got == want[first:]
+    assert warc.record_size(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\n") is None
+    assert warc.record_size(b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: <y>\r\nContent-Length: -3\r\n\r\n") is None

@@ -2,7 +2,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from .common import ascii_lower, empty_docs, near_components
+from .common import ascii_lower, empty_docs, hard_docs, near_components
 from .test_decontaminate import brute
 
 
@@ -34,3 +34,25 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty_docs(spark), sf_dir)
         assert out.columns == empty_docs(spark).columns and out.collect() == []
+
+
+def test_stages_take_hard_rows(spark, sf_dir):
+    """Repeated rows, null ids, two texts under one id, very long texts and clashing columns: decided row by row."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    hard = hard_docs(spark)
+    left = {name: stages[name](spark, hard, sf_dir) for name in ("language_id", "exact_dedup", "near_dedup", "decontamination")}
+    assert all(x.columns == hard.columns for x in left.values())
+    ids = {name: sorted((r.doc_id for r in x.collect()), key=str) for name, x in left.items()}
+    assert ids["language_id"] == sorted([4, 5, 6, 7, 8, 9, 10, 11, 12, 12, None], key=str)
+    assert ids["exact_dedup"] == sorted([1, 3, 4, 6, 7, 9, 10, 11, 12, None, 13], key=str)
+    assert ids["near_dedup"] == sorted([1, 2, 3, 4, 7, 9, 10, 11, 12, 12, None, 13], key=str)
+    assert len(ids["decontamination"]) == 15
+    other = "entirely other words stand here under an id that a copy has as well"
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here again"
+    rows = [(1, base), (2, base), (2, other), (None, other), (None, "no id"), (None, "no id"), (3, base + " today"), (3, "third text of its own, with enough words for one shingle")]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, k1 string, row int")
+    got = {n: sorted(((r.doc_id, r.text) for r in stages[n](spark, docs, sf_dir).collect()), key=str) for n in ("exact_dedup", "near_dedup")}
+    assert got["exact_dedup"] == sorted([(1, base), (2, other), (None, "no id"), rows[6], rows[7]], key=str)
+    assert got["near_dedup"] == sorted([(1, base), (2, other), *rows[3:6], rows[7]], key=str)
