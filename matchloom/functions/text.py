@@ -54,6 +54,22 @@ def role_company_key(company: Column, title: Column) -> Column:
     return digest(*(casefold(squeeze(c)) for c in (company, title)))
 
 
+def preview_application_key(company: Column, canonical_url: Column, job_url: Column, title: Column, job_id: Column, source: Column) -> Column:
+    """The application key of a posting that isn't saved yet: missing parts are filled from its address and id."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return application_key(F.coalesce(some(company), some(canonical_url), job_url), F.coalesce(some(title), some(job_id), F.lit("job")), F.coalesce(some(source), F.lit("preview")))
+
+
+def input_fingerprint(key: Column, resume_hash: Column, description_hash: Column, version: Column, model: Column, revision: Column) -> Column:
+    """Identity of what is scored and how; null if any part is, so that it can't collide."""
+    return digest(key, resume_hash, description_hash, version, model, revision)
+
+
+def cache_key(role_key: Column, resume_hash: Column, version: Column, model: Column, revision: Column) -> Column:
+    """Identity of a score that applications for one role at one company share."""
+    return digest(role_key, resume_hash, version, model, revision)
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 75, "Strong").when(score >= 55, "Moderate").otherwise("Weak")
 
@@ -124,3 +140,51 @@ def day(col: Column) -> Column:
     """The date that a text begins with, in the strict form YYYY-MM-DD; else null."""
     head = F.left(col, F.lit(10))
     return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
+
+
+def capped(description: Column, quality: Column, most: int = 50_000) -> tuple[Column, Column]:
+    """A description's scored part cut to `most` characters, and its quality: partial if it was cut."""
+    whole = scored_part(description)
+    cut = F.length(whole) > most
+    return F.when(cut, F.regexp_replace(F.left(whole, F.lit(most)), r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(whole), F.when(cut, "partial").otherwise(F.coalesce(quality, F.lit("complete")))
+
+
+def month_bounds(month: Column) -> tuple[Column, Column]:
+    """First and last day of a month YYYY-MM; null for anything else."""
+    start = F.when(month.rlike(r"^\d{4}-\d{2}$"), F.concat(month, F.lit("-01")).try_cast("date"))
+    return start, F.last_day(start)
+
+
+#: Labels by class, and in the binary form.
+CLASSES = {"No Fit": 0, "Potential Fit": 1, "Good Fit": 2}
+BINARY = {"No Fit": 0, "Potential Fit": 1, "Good Fit": 1}
+
+
+def encoded_label(label: Column, binary: bool = False) -> Column:
+    """The class of a label; a label that isn't known is an error."""
+    known = BINARY if binary else CLASSES
+    out = F.raise_error(F.concat(F.lit("unknown source label: "), F.coalesce(label, F.lit("null")))).cast("int")
+    for name, value in known.items():
+        out = F.when(label == name, value).otherwise(out)
+    return out
+
+
+def unexpected_label(label: Column) -> Column:
+    """Whether a label is there but not one of the known ones."""
+    return (F.coalesce(label, F.lit("")) != "") & ~label.isin(*CLASSES)
+
+
+def filler(phrase: str, length: Column) -> Column:
+    """A text of exactly `length` characters made of a repeated phrase."""
+    return F.substring(F.repeat(F.lit(phrase), F.ceil(length / len(phrase)).cast("int")), F.lit(1), length)
+
+
+def capacity(quota: Column, seconds: Column) -> Column:
+    """Whole runs that a quota of seconds allows; none where a run takes no time or less."""
+    return F.when(seconds > 0, F.floor(quota / seconds)).otherwise(F.lit(0)).cast("long")
+
+
+def retry_delay(attempt: Column, base: float = 5, jitter: float = 0, seed: int = 0) -> Column:
+    """Seconds before the next attempt: the base doubled for each attempt after the first, and up to `jitter` more."""
+    wait = F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1))
+    return wait + F.rand(seed) * jitter if jitter else wait

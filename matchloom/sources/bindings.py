@@ -15,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled pairs: resume, jd, label, resume_domain, jd_domain, split, ordinal; with repeats and damaged texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    n = docs.count()
+    size = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
     base = (
         table(spark, sf_dir, "labels")
+        .crossJoin(F.broadcast(size))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        .withColumn("jd_id", (F.col("doc_id") * 31 + 7 * F.col("k") + 1) % n)
+        .withColumn("jd_id", (F.col("doc_id") * 31 + 7 * F.col("k") + 1) % F.col("n_docs"))
         .withColumn("ordinal", F.col("doc_id") * 3 + F.col("k"))
     )
     left = docs.select("doc_id", F.col("text").alias("resume"), F.col("source").alias("resume_domain"))
@@ -66,6 +67,25 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(F.col("vec_id") / 8).alias("grp"), (F.col("vec_id") % 8).alias("pos"), "vec", "label")
 
 
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (l, r) of token matrices: each even group with the odd ones that come first and third after it, if they exist."""
+    groups = token_rows(spark, sf_dir).select("grp").distinct()
+    near = groups.where("grp % 2 = 0").select(F.col("grp").alias("l"), F.explode(F.array(F.col("grp") + 1, F.col("grp") + 3)).alias("r"))
+    return near.join(groups.select(F.col("grp").alias("r")), "r", "left_semi").select("l", "r")
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (l, r) of neighbouring vector ids that both exist."""
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("l"))
+    return ids.join(ids.select((F.col("l") - 1).alias("l")), "l", "left_semi").select("l", (F.col("l") + 1).alias("r"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their number of words between blanks: document_hash, text, token_count; equal texts once."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("document_hash"), "text")
+    return docs.groupBy("document_hash").agg(F.first("text").alias("text")).withColumn("token_count", F.size(F.split("text", " ")).cast("long"))
+
+
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order, as an application with its key, dates and status."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

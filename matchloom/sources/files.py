@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,9 +26,9 @@ def catalog(spark: SparkSession, folder: str, content: bool = False) -> DataFram
 
 def events_of(lines: DataFrame) -> DataFrame:
     """(stream, pos, event, data) of event-stream lines (stream, pos, line): each data line has the last event before it."""
-    kind = F.when(F.col("line").startswith("event:"), F.trim(F.substring("line", 7, 1 << 20)))
+    kind = F.when(F.col("line").startswith("event:"), F.trim(F.expr("substring(line, 7)")))
     last = F.last(kind, ignorenulls=True).over(Window.partitionBy("stream").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("event", last).where(F.col("line").startswith("data:")).select("stream", "pos", "event", F.trim(F.substring("line", 6, 1 << 20)).alias("data"))
+    return lines.withColumn("event", last).where(F.col("line").startswith("data:")).select("stream", "pos", "event", F.trim(F.expr("substring(line, 6)")).alias("data"))
 
 
 def completed(lines: DataFrame) -> DataFrame:
@@ -54,10 +57,17 @@ def offsets(counts: DataFrame) -> DataFrame:
     return counts.withColumn("place", place).join(F.broadcast(before), "token_count").select("document_hash", (F.col("before") + F.col("place") * F.col("token_count")).cast("long").alias("offset"), "token_count")
 
 
-def offset_errors(index: DataFrame, rows: int) -> DataFrame:
-    """What is wrong with a token index: repeated hashes, bad ranges, gaps or overlaps, and what lies beyond the matrix."""
-    follow = F.lead("offset").over(Window.orderBy("offset", "document_hash"))
-    checked = index.withColumn("next", follow)
+def offset_errors(index: DataFrame, rows: int, cells: int = 4096) -> DataFrame:
+    """What is wrong with a token index: repeated hashes, bad ranges, gaps or overlaps, and what lies beyond the matrix.
+
+    Rows follow each other within cells of offsets; only the cells' first offsets are put in one order.
+    """
+    cell = F.floor(F.col("offset") / max(1, -(-rows // cells)))
+    placed = index.withColumn("cell", F.greatest(F.lit(-1), F.least(F.lit(cells + 1), cell)))
+    firsts = placed.groupBy("cell").agg(F.min("offset").alias("first"))
+    after = firsts.select("cell", F.lead("first").over(Window.orderBy("cell")).alias("after"))
+    local = placed.withColumn("next", F.lead("offset").over(Window.partitionBy("cell").orderBy("offset", "document_hash")))
+    checked = local.join(F.broadcast(after), "cell").withColumn("next", F.coalesce("next", "after"))
     end = F.col("offset") + F.col("token_count")
     return checked.agg(
         (F.count(F.lit(1)) - F.count_distinct("document_hash")).alias("repeated"),
@@ -65,3 +75,20 @@ def offset_errors(index: DataFrame, rows: int) -> DataFrame:
         F.count_if(F.col("next") != end).alias("gaps"),
         F.count_if(end > rows).alias("beyond"),
     )
+
+
+def cleaned(col: Column) -> Column:
+    """An extracted text without blanks at the ends of lines and without empty lines; a text of nothing else is an error."""
+    lines = F.transform(F.split(col, "\n"), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    out = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return F.when(out != "", out).otherwise(F.raise_error(F.lit("the file has no text")).cast("string"))
+
+
+def extracted(catalog_rows: DataFrame, extractor: Callable[[bytes], str], content: str = "content") -> DataFrame:
+    """Adds text: what an extractor makes of a file's content, cleaned. The extractor is a function that workers call."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda data: extractor(bytes(data)))
+
+    return catalog_rows.withColumn("text", cleaned(run(content)))

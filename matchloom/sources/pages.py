@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import application_key, band, day
 
+#: Names of the properties of an outside schema, here and below.
 _TEXT = "title: ARRAY<STRUCT<plain_text: STRING, text: STRUCT<content: STRING>>>, rich_text: ARRAY<STRUCT<plain_text: STRING, text: STRUCT<content: STRING>>>"
 _CHOICE = "status: STRUCT<name: STRING>, select: STRUCT<name: STRING>"
 #: One shape for all kinds of property.
@@ -70,12 +71,24 @@ def scores(pages: DataFrame) -> DataFrame:
 
 
 def update_errors(rows: DataFrame) -> DataFrame:
-    """Updated applications with trimmed fields, their new key, and an array of what is wrong with them."""
+    """Updated applications with trimmed fields, their new key, and an array of what is wrong with them.
+
+    Reads seven texts; and, where the columns are there, `unknown` (names of fields that an update may not have) and the
+    flags referral and requested_for_sponsorship, which must be booleans or texts "true" or "false".
+    """
     names = ("company", "job_title", "job_url", "job_source", "application_date", "status", "job_description")
     out = rows.withColumns({n: F.trim(F.coalesce(F.col(n), F.lit(""))) for n in names})
-    wrong = [F.when(F.col(n) == "", F.lit(f"{n} is required")) for n in names[:4]]
+    wrong = []
+    if "unknown" in rows.columns:
+        extra = F.array_sort("unknown")
+        wrong.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))))
+    wrong += [F.when(F.col(n) == "", F.lit(f"{n} is required")) for n in names[:4]]
     wrong.append(F.when(day(F.col("application_date")).isNull() | (F.length("application_date") != 10), "application_date must be YYYY-MM-DD"))
     wrong.append(F.when(~F.col("status").isin(*STATUSES), "status is unknown"))
+    for flag in ("requested_for_sponsorship", "referral"):
+        if flag in rows.columns:
+            known = F.coalesce(F.col(flag).cast("string").isin("true", "false"), F.lit(False))
+            wrong.append(F.when(~known, F.lit(f"{flag} must be a boolean")))
     return out.withColumns({"errors": F.array_compact(F.array(*wrong)), "application_key": application_key(F.col("company"), F.col("job_title"), F.col("job_source"))})
 
 

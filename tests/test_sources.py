@@ -1,6 +1,8 @@
 import json
 
-from matchloom.sources import files, pages
+import pytest
+
+from matchloom.sources import files, paged, pages
 
 
 def test_application_page(spark):
@@ -51,3 +53,30 @@ def test_offsets(spark):
     assert {(r.document_hash, r.offset) for r in index.collect()} == {("b", 0), ("a", 3), ("c", 5)}
     assert tuple(files.offset_errors(index, 7).first()) == (0, 0, 0, 0)
     assert tuple(files.offset_errors(spark.createDataFrame([("a", 0, 2), ("a", 3, 0), ("b", 4, 9)], "document_hash string, offset long, token_count long"), 7).first()) == (1, 1, 2, 1)
+
+
+def test_extracted_text(spark):
+    rows = spark.createDataFrame([(b" a \n\n b",), (b"c",)], "content binary")
+    assert sorted(r.text for r in files.extracted(rows, lambda data: data.decode()).collect()) == ["a\nb", "c"]
+    with pytest.raises(Exception, match="the file has no text"):
+        files.extracted(spark.createDataFrame([(b" \n",)], "content binary"), lambda data: data.decode()).collect()
+
+
+def test_events_longer_than_a_mebibyte(spark):
+    long = "x" * (1_100_000)
+    got = files.completed(spark.createDataFrame([(1, 1, "event: complete"), (1, 2, "data: " + long)], "stream int, pos int, line string")).first()
+    assert got.data == long
+
+
+def test_paged_source(spark, tmp_path):
+    spark.dataSource.register(paged.PagedSource)
+    options = {"client": "matchloom.sources.paged:FolderClient", "folder": str(tmp_path), "page_size": "2"}
+    client = paged.FolderClient(options)
+    for i in range(7):
+        client.upsert({"id": i, "shard": f"s{i % 2}", "status": "Applied" if i % 3 else "Rejected"})
+    read = lambda **more: sorted(json.loads(r.json)["id"] for r in spark.read.format("paged").options(**options, **more).load().collect())
+    assert read() == list(range(7)) and read(filter="Rejected") == [0, 3, 6]
+    new = spark.createDataFrame([(json.dumps({"id": i, "shard": "s1", "status": "Applied"}),) for i in (6, 7)], "json string")
+    for _ in range(2):
+        new.write.format("paged").options(**options).mode("append").save()
+    assert read() == [0, 1, 2, 3, 4, 5, 6, 6, 7]

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from matchloom.functions import postings, text
+from matchloom.functions import postings, presentation, text
 
 
 def values(spark, items, expr):
@@ -57,6 +58,34 @@ def test_sponsorship(spark):
 
 def test_extract(spark):
     page = "<html><script>var t='</p>'</script><article><h1>Dev &amp; Ops</h1><p>" + "long text " * 30 + "<!-- no --></p></article></html>"
-    got = values(spark, [page, "<p>x", None], postings.extract)
+    got = values(spark, [page, "<p>x", None], lambda x: postings.extract(x, F.lit("")))
     assert got[0].title == "Dev & Ops" and got[0].quality == "complete" and "no --" not in got[0].description
     assert [g.quality for g in got[1:]] == ["unavailable", "unavailable"]
+
+
+def test_site_rules():
+    long = "what you do " * 30
+    assert postings.metadata("<title>Dev | Acme</title><h1> </h1><a href='/company/acme/'>Acme</a><div><h2>About the job</h2><p>" + long + "</p></div>", "LinkedIn")[:2] == ("Dev", "Acme")
+    near = postings.metadata(f"<body><section><div><h2>About the job</h2></div><p>{long}</p></section></body>", "LinkedIn")
+    assert near[2].startswith("About the job") and near[2].endswith("do") and near[3:] == ("original_saved", "complete")
+    page = f"<div id='header'><span class='x company-name'>Acme</span></div><h1 class='app-title'>Dev</h1><h1>other</h1><div id='content'>{long}<br>end</div><div class='content'>short</div>"
+    assert postings.metadata(page, "Greenhouse")[:2] == ("Dev", "Acme") and postings.metadata(page, "Greenhouse")[2].endswith("end")
+    assert postings.metadata("<div class='posting-headline'><h2>Dev</h2></div><a class='main-header-logo'><img alt='Acme'></a><div class='posting'>text</div>", "Lever")[:3] == ("Dev", "Acme", "text")
+    assert postings.metadata("<p data-testid='jobsearch-JobInfoHeader-title'>Dev</p><p id='jobDescriptionText'>text</p>", "Indeed")[:3] == ("Dev", "", "text")
+    assert postings.metadata("<p data-automation-id='jobPostingHeader'>Dev</p><p data-automation-id='jobPostingDescription'>a<script>b</script></p>", "Workday")[2] == "a"
+    assert postings.metadata("<title>Only</title>", "")[0] == "Only"
+
+
+def test_labels_and_addresses_that_are_errors(spark):
+    assert values(spark, ["No Fit", "Potential Fit", "Good Fit"], text.encoded_label) == [0, 1, 2]
+    for items, expr in ((["Other"], text.encoded_label), (["ftp://x"], presentation.normal_url), (["odd"], presentation.source_label)):
+        with pytest.raises(Exception, match="unknown source label|URLs must|Unknown score source"):
+            values(spark, items, expr)
+
+
+def test_presentation(spark):
+    rows = spark.createDataFrame([(80.0, "Strong", None), (12.5, "weak", None), (50.0, "Weak", "Good Fit")], "score double, band string, fit string")
+    shown, kind = presentation.score_text(F.col("score"), F.col("band"), F.col("fit"))
+    assert [tuple(r) for r in rows.select(shown, kind).collect()] == [("80/100 (High)", "score-high"), ("12.5/100 (Low)", "score-low"), ("50/100 (Good Fit)", "score-high")]
+    none = spark.range(1).select(presentation.decision(F.lit(None).cast("double"), F.lit(0.4), F.lit("x")).alias("d")).first().d
+    assert none == []
