@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.order import running
+
 #: Left edges of ten equal bins, as a float grid has them.
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 
 
-def by_score(rows: DataFrame, cells: int = 4096) -> DataFrame:
-    """Positives and negatives at each distinct probability, with running counts from the highest down.
-
-    Rows are aggregated to distinct probabilities, these are dealt to cells of the unit interval, and running counts are
-    kept within cells; only the cells' own sums are summed in one task.
-    """
-    counts = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("cell", F.floor(F.col("p") * cells))
-    sums = counts.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"))
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    zero = F.lit(0)
-    starts = sums.select(
-        "cell", F.coalesce(F.sum("cp").over(above), zero).alias("bp"), F.coalesce(F.sum("cn").over(above), zero).alias("bn"), F.sum("cp").over(whole).alias("all_pos"), F.sum("cn").over(whole).alias("all_neg")
-    )
-    down = Window.partitionBy("cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    local = counts.select("p", "pos", "neg", "cell", F.sum("pos").over(down).alias("lp"), F.sum("neg").over(down).alias("ln"))
-    return local.join(F.broadcast(starts), "cell").select("p", "pos", "neg", (F.col("bp") + F.col("lp")).alias("tp"), (F.col("bn") + F.col("ln")).alias("fp"), "all_pos", "all_neg")
+def by_score(rows: DataFrame) -> DataFrame:
+    """Positives and negatives at each distinct probability, with running counts from the highest down."""
+    counts = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("down", -F.col("p"))
+    s = running(counts, [], "down", ["pos", "neg"])
+    return s.select("p", "pos", "neg", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_all").alias("all_pos"), F.col("neg_all").alias("all_neg"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
@@ -63,12 +53,26 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def threshold(rows: DataFrame) -> DataFrame:
-    """The smallest probability that as a threshold (p >= it is positive) attains the largest macro-F1."""
+    """The smallest threshold (p >= it is positive) that attains the largest macro-F1: a probability, or just above the largest.
+
+    The last one, the next double after the largest probability, predicts nobody positive.
+    """
     s = by_score(rows)
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("all_pos") - tp, F.col("all_neg") - fp
     macro = (f1(tp, fp, fn) + f1(tn, fn, fp)) / 2
-    return s.select(F.col("p").alias("threshold"), macro.alias("macro_f1")).orderBy(F.desc("macro_f1"), "threshold").limit(1)
+    each = s.select(F.col("p").alias("threshold"), macro.alias("macro_f1"))
+    zero = F.lit(0)
+    whole = rows.agg(F.max("p").alias("p"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where("p IS NOT NULL")
+    none = whole.select(next_double(F.col("p")).alias("threshold"), ((f1(zero, zero, F.col("pos")) + f1(F.col("neg"), F.col("pos"), zero)) / 2).alias("macro_f1"))
+    return each.union(none).orderBy(F.desc("macro_f1"), "threshold").limit(1)
+
+
+def next_double(x: Column) -> Column:
+    """The next larger double of a number from 0 to 1: half the spacing of doubles at x is added, and rounding does the rest."""
+    spacing = F.when(x >= 2.0**-1022, F.pow(F.lit(2.0), F.floor(F.log2(x)) - 52)).otherwise(F.lit(5e-324))
+    up, more = x + spacing / 2, x + spacing
+    return F.when(up > x, up).otherwise(more)
 
 
 def report(rows: DataFrame, at: float) -> DataFrame:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from matchloom.operators.order import running
 
 FLOOR, SCALE = 1e-10, 0.01
+#: Left tokens that are multiplied at once.
+BLOCK = 4096
+#: Queries and reference rows that meet in one piece of work.
+QUERY_ROWS, REFERENCE_ROWS = 1024, 8192
 STATISTICS = ("mean", "std", "min", "q25", "median", "q75", "max")
 
 
@@ -37,36 +49,110 @@ def mean_pool(chunks: DataFrame) -> DataFrame:
     return means.withColumn("length", length).select("id", "dim", F.when(F.col("length") > 0, F.col("m") / F.col("length")).otherwise(F.raise_error(F.lit("a mean vector is zero")).cast("double")).alias("value"))
 
 
-def soft_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, pos, kernel, soft, n): for each right token and kernel the sum over left tokens of the kernel of their dot product.
+def documents(tokens: DataFrame) -> DataFrame:
+    """(grp, n, flat) of token rows (grp, pos, vec): the vectors of a document end to end, in order."""
+    listed = tokens.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("rows"))
+    return listed.select("grp", F.size("rows").alias("n"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("flat"))
 
-    Tokens of one left and one right document meet; left documents are matrices of a few rows, so each pair of
-    documents is one row whose products are expanded inside it.
-    """
-    docs = left.groupBy(F.col("grp").alias("l")).agg(F.collect_list("vec").alias("tokens"))
-    pairs = right.select(F.col("grp").alias("r"), "pos", "vec").crossJoin(F.broadcast(docs))
-    sims = pairs.select("l", "r", "pos", F.transform("tokens", lambda t: dot(t, F.col("vec"))).alias("sims"))
 
-    def pooled(m: float, w: float) -> Column:
-        return F.aggregate("sims", F.lit(0.0), lambda s, x: s + F.exp(-((x - m) * (x - m)) / (2 * w * w)))
+def with_documents(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (l, r) with the vectors of both documents; a pair without one of them is an error."""
+    sides = [documents(t).select(F.col("grp").alias(k), F.col("n").alias(f"{k}_n"), F.col("flat").alias(f"{k}_flat")) for k, t in (("l", left), ("r", right))]
+    out = pairs.join(sides[0], "l", "left").join(sides[1], "r", "left")
+    missing = F.col("l_n").isNull() | F.col("r_n").isNull()
+    error = F.raise_error(F.concat(F.lit("a document has no vectors: "), F.col("l").cast("string"), F.lit(" or "), F.col("r").cast("string"))).cast("int")
+    return out.withColumn("l_n", F.when(missing, error).otherwise(F.col("l_n")))
 
-    soft = [pooled(*k) for k in kernels()]
-    return sims.select("l", "r", "pos", F.size("sims").alias("n"), F.posexplode(F.array(*soft)).alias("kernel", "soft"))
 
+def pooled(pairs: DataFrame, left: DataFrame, right: DataFrame, pool: Callable[[np.ndarray, int], np.ndarray], name: str) -> DataFrame:
+    """(l, r, name, value) of what `pool` makes of the soft counts (right tokens x kernels) and the left length of each pair.
 
-def knrm(left: DataFrame, right: DataFrame) -> DataFrame:
+    Documents meet in two joins by key and their product is one matrix product, so the work grows with the pairs.
+    """
+    k = np.array(kernels())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, m, x, y in zip(batch.column("l_n").to_pylist(), batch.column("r_n").to_pylist(), batch.column("l_flat"), batch.column("r_flat"), strict=True):
+                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(size, -1) for v, size in ((x, n), (y, m)))
+                soft = np.zeros((m, len(k)))
+                for lo in range(0, n, BLOCK):
+                    sims = a[lo : lo + BLOCK] @ b.T
+                    for j, (mean, width) in enumerate(k):
+                        soft[:, j] += np.exp(-((sims - mean) ** 2) / (2 * width * width)).sum(axis=0)
+                out.append(pool(soft, n).tolist())
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(out, pa.list_(pa.float64()))], names=["l", "r", "values"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("l", "r"))
+    found = with_documents(pairs, left, right).mapInArrow(run, f"{kinds}, values array<double>")
+    return found.select("l", "r", F.posexplode("values").alias(name, "value"))
+
+
+def knrm(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, kernel, value): sum over right tokens of log soft counts, scaled."""
-    s = soft_counts(left, right)
-    return s.groupBy("l", "r", "kernel").agg((F.sum(F.ln(F.greatest(F.col("soft"), F.lit(FLOOR)))) * SCALE).alias("value"))
+    return pooled(pairs, left, right, lambda soft, n: np.log(np.maximum(soft, FLOOR)).sum(axis=0) * SCALE, "kernel")
+
 
+def _distribution(soft: np.ndarray, n: int) -> np.ndarray:
+    x = np.log(np.maximum(soft / n, FLOOR)) * SCALE
+    return np.stack([x.mean(axis=0), x.std(axis=0), x.min(axis=0), *np.quantile(x, [0.25, 0.5, 0.75], axis=0), x.max(axis=0)], axis=1).ravel()
 
-def row_distribution(left: DataFrame, right: DataFrame) -> DataFrame:
+
+def row_distribution(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r, feature, value): seven statistics over right tokens of each kernel's log mean soft count; feature = 7 kernel + statistic."""
-    s = soft_counts(left, right).withColumn("x", F.ln(F.greatest(F.col("soft") / F.col("n"), F.lit(FLOOR))) * SCALE)
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = s.groupBy("l", "r", "kernel").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    values = F.array("mean", "std", "min", F.col("q")[0], F.col("q")[1], F.col("q")[2], "max")
-    return g.select("l", "r", "kernel", F.posexplode(values).alias("stat", "value")).select("l", "r", (F.col("kernel") * 7 + F.col("stat")).alias("feature"), "value")
+    return pooled(pairs, left, right, _distribution, "feature")
+
+
+def pair_delta(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(l, r, vec) of pairs (l, r): the left vector less the right one; a pair without one of them is an error."""
+    sides = [vectors.select(F.col("vec_id").alias(k), F.col("vec").alias(f"{k}_vec")) for k in ("l", "r")]
+    out = pairs.join(sides[0], "l", "left").join(sides[1], "r", "left")
+    error = F.raise_error(F.lit("a pair has no vector")).cast("array<double>")
+    delta = F.when(F.col("l_vec").isNull() | F.col("r_vec").isNull(), error).otherwise(F.zip_with("l_vec", "r_vec", lambda x, y: x - y))
+    return out.select("l", "r", delta.alias("vec"))
+
+
+def encoded(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """Adds vec: what an encoder, made once in each worker, makes of the texts of a batch."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        for batch in batches:
+            if batch.num_rows:
+                vectors = encode([t or "" for t in batch.column(text_col).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))], names=[*batch.schema.names, "vec"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def fitted_spans(docs: DataFrame, measure: Callable[[list[str]], int], capacity: int, overlap: int) -> DataFrame:
+    """(id, chunk, start, stop) of rows (id, tokens): overlapping spans, each shortened until what `measure` says of it fits the capacity."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, tokens in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                start, chunk = 0, 0
+                while start < len(tokens or ()):
+                    stop = min(start + capacity, len(tokens))
+                    while stop > start + 1 and measure(tokens[start:stop]) > capacity:
+                        stop -= 1
+                    if measure(tokens[start:stop]) > capacity:
+                        raise ValueError("a single token doesn't fit the capacity")
+                    out.append((i, chunk, start, stop))
+                    if stop == len(tokens):
+                        break
+                    if stop - overlap <= start:
+                        raise ValueError("the overlap leaves no progress")
+                    start, chunk = stop - overlap, chunk + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [batch.schema.field("id").type, *[pa.int32()] * 3], strict=True)], names=["id", "chunk", "start", "stop"])
+
+    return docs.select("id", "tokens").mapInArrow(run, f"id {kind}, chunk int, start int, stop int")
 
 
 def long(vectors: DataFrame) -> DataFrame:
@@ -105,10 +191,10 @@ def effective_dimension(vectors: DataFrame) -> DataFrame:
 
 
 def mid_ranks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Average ranks of `value` within `key`: distinct values are counted first and only they are ordered."""
+    """Average ranks of `value` within `key`: distinct values are counted first, and counts run within cells of the values."""
     counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy(key).orderBy(value)) - F.col("c")
-    return rows.join(counts.select(key, value, (before + (F.col("c") + 1) / 2).alias(name)), [key, value])
+    ranked = running(counts, [key], value, ["c"]).select(key, value, (F.col("c_upto") - F.col("c") + (F.col("c") + 1) / 2).alias(name))
+    return rows.join(ranked, [key, value])
 
 
 def spearman(vectors: DataFrame, other: Column) -> DataFrame:
@@ -125,20 +211,40 @@ def length_residuals(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(fit), "dim").select("vec_id", "dim", (y - F.col("mx") - F.col("slope") * (x - F.col("ml"))).alias("residual"))
 
 
-def distances(queries: DataFrame, reference: DataFrame) -> DataFrame:
-    """Squared distances of a stated query set to all reference rows; the query set is broadcast."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("qv"), F.col("label").alias("q_label")))
-    d = F.aggregate(F.zip_with("qv", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return reference.join(q, F.col("vec_id") != F.col("q")).select("q", "q_label", "vec_id", "label", d.alias("d2"))
+def _cells(queries: DataFrame, reference: DataFrame, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What `run` makes of each block of queries with each part of the reference: a row of the reference (vec_id, label), and distances.
+
+    Blocks hold about QUERY_ROWS and parts REFERENCE_ROWS rows, so that a piece of work is bounded; each pair is met once.
+    Nothing is broadcast.
+    """
+    blocks, parts = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERY_ROWS), (reference, REFERENCE_ROWS)))
+    side = lambda t, own, n, other, m: t.select("vec_id", "vec", "label", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    q, r = side(queries, "block", blocks, "part", parts), side(reference, "part", parts, "block", blocks)
+
+    def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(mine) and len(others):
+            others = others.sort_values("vec_id")
+            y = np.stack(others["vec"].to_numpy())
+            ids = others["vec_id"].to_numpy()
+            for i, label, x in zip(mine["vec_id"], mine["label"], mine["vec"], strict=True):
+                keep = ids != i
+                found = run(others[keep], ((y[keep] - x) ** 2).sum(axis=1))
+                out.append(found.assign(q=i, q_label=label))
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    return q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(meet, schema)
 
 
 def neighbours(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """(q, q_label, rank, vec_id, label): the k nearest of each query, ties by id.
+    """(q, q_label, rank, vec_id, label): the k nearest of each query, ties by id; cut to k in parts of the reference first."""
 
-    Neighbours are cut to k in parts of the reference first, then over the parts, so no task sees all rows of a query.
-    """
-    rows = distances(queries, reference).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    local = rows.withColumn("r", F.row_number().over(Window.partitionBy("q", "part").orderBy("d2", "vec_id"))).where(F.col("r") <= k)
+    def nearest(others: pd.DataFrame, d2: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((others["vec_id"].to_numpy(), d2))[:k]
+        return others.iloc[order][["vec_id", "label"]].assign(d2=d2[order])
+
+    local = _cells(queries, reference, nearest, "q long, q_label int, vec_id long, label int, d2 double")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("q", "q_label", "rank", "vec_id", "label")
 
@@ -170,6 +276,37 @@ def cosine_separation(vectors: DataFrame) -> DataFrame:
 
 def silhouette(queries: DataFrame, reference: DataFrame) -> DataFrame:
     """Mean silhouette of the query set against all rows, Euclidean; classes of one row count 0."""
-    means = distances(queries, reference).groupBy("q", "q_label", "label").agg(F.avg(F.sqrt("d2")).alias("m"))
+
+    def by_class(others: pd.DataFrame, d2: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"label": others["label"].to_numpy(), "s": np.sqrt(d2), "n": 1}).groupby("label", as_index=False).sum()
+
+    sums = _cells(queries, reference, by_class, "q long, q_label int, label int, s double, n long")
+    means = sums.groupBy("q", "q_label", "label").agg((F.sum("s") / F.sum("n")).alias("m"))
     per = means.groupBy("q", "q_label").agg(F.max(F.when(F.col("label") == F.col("q_label"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("q_label"), F.col("m"))).alias("b"))
     return per.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+
+
+#: What lengths do to a feature: constant, both lengths, and their logs.
+REGRESSORS = 5
+
+
+def residuals(rows: DataFrame, train: Column) -> DataFrame:
+    """(id, dim, z): features (id, dim, x, len_l, len_r) less what a least-squares fit on the training rows explains by two lengths and their logs, standardised by training residuals.
+
+    The cross products of the five regressors are summed in one pass for each feature; the driver only solves 5 x 5 systems.
+    """
+    names = ("len_l", "len_r")
+    terms = [F.lit(1.0), *(F.col(n).cast("double") for n in names), *(F.log1p(F.col(n)) for n in names)]
+    data = rows.withColumn("t", F.array(*terms)).withColumn("train", train)
+    products = [F.sum(F.col("t")[i] * F.col("t")[j]).alias(f"p{i}{j}") for i in range(REGRESSORS) for j in range(i, REGRESSORS)]
+    sums = data.where("train").groupBy("dim").agg(*products, *(F.sum(F.col("t")[i] * F.col("x")).alias(f"c{i}") for i in range(REGRESSORS)))
+    fits = []
+    for r in sums.collect():  # a row for each feature
+        gram = np.array([[r[f"p{min(i, j)}{max(i, j)}"] for j in range(REGRESSORS)] for i in range(REGRESSORS)])
+        unit = np.sqrt(np.diag(gram))
+        solved = np.linalg.lstsq(gram / np.outer(unit, unit), np.array([r[f"c{i}"] for i in range(REGRESSORS)]) / unit, rcond=1e-12)[0] / unit
+        fits.append((r.dim, solved.tolist()))
+    fit = rows.sparkSession.createDataFrame(fits, f"dim {rows.schema['dim'].dataType.simpleString()}, beta array<double>")
+    left = data.join(F.broadcast(fit), "dim").withColumn("e", F.col("x") - dot(F.col("t"), F.col("beta")))
+    spread = left.where("train").groupBy("dim").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s"))
+    return left.join(F.broadcast(spread), "dim").select("id", "dim", ((F.col("e") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).alias("z"))

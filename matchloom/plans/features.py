@@ -20,9 +20,15 @@ def _probs(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
     return rows.withColumn("p", F.col("p2")) if ties else rows
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities that are low for the few positives, so that predicting nobody positive is best."""
+    hit = F.col("doc_id") % 50 == 0
+    return _probs(spark, sf_dir).select("doc_id", hit.cast("int").alias("y"), F.when(hit, 0.5 * F.col("p")).otherwise(F.col("p")).alias("p"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = b.token_rows(spark, sf_dir)
-    return rows.where("grp % 2 = 0"), rows.where("grp % 2 = 1")
+    return b.token_pairs(spark, sf_dir), rows.where("grp % 2 = 0"), rows.where("grp % 2 = 1")
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +49,9 @@ def _platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "chunk_spans": lambda s, d: v.chunk_spans(b.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n")), 500, 50),
     "mean_pool_embeddings": lambda s, d: rounded(v.mean_pool(b.vectors(s, d).select(F.floor(F.col("vec_id") / 4).alias("id"), "vec")), "value"),
-    "pair_delta": lambda s, d: rounded(
-        b.vectors(s, d).alias("a").join(b.vectors(s, d).alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id").alias("vec_id"), F.posexplode(F.zip_with("a.vec", "b.vec", lambda x, y: x - y)).alias("dim", "delta")), "delta"
-    ),
+    "pair_delta": lambda s, d: rounded(v.pair_delta(b.vector_pairs(s, d), b.vectors(s, d)).select(F.col("l").alias("vec_id"), F.posexplode("vec").alias("dim", "delta")), "delta"),
     "embedding_checks": lambda s, d: b.vectors(s, d).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.min(F.size("vec")).alias("least_size"), F.max(F.size("vec")).alias("most_size"), F.count_if(F.abs(v.norm(F.col("vec")) - 1) > 1e-5).alias("not_unit")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.min(F.size("vec")).alias("least_size"), F.max(F.size("vec")).alias("most_size"), F.count_if(F.abs(v.norm(F.col("vec")) - 1) > 1e-5).alias("not_unit"), F.count_if(F.exists("vec", lambda x: F.isnan(x) | F.abs(x).eqNullSafe(F.lit(float("inf"))) | x.isNull())).alias("not_finite")
     ),
     "knrm_features": lambda s, d: rounded(v.knrm(*_sides(s, d)), "value"),
     "knrm_row_distribution": lambda s, d: rounded(v.row_distribution(*_sides(s, d)), "value"),
@@ -65,6 +69,7 @@ QUERIES = {
     "calibration_bins": lambda s, d: rounded(m.calibration_bins(_probs(s, d)), "mean_p", "share", digits=9),
     "ece": lambda s, d: rounded(m.expected_calibration_error(_probs(s, d)), "ece", digits=9),
     "threshold_selection": lambda s, d: rounded(m.threshold(_probs(s, d)), "threshold", "macro_f1", digits=9),
+    "threshold_nobody": lambda s, d: rounded(m.threshold(_rare(s, d)), "threshold", "macro_f1", digits=9),
     "classification_report": lambda s, d: rounded(m.report(_probs(s, d), 0.5), "precision", "recall", "f1", "accuracy", "macro_f1", digits=9),
     "platt_scores": _platt,
     "knn_purity": lambda s, d: m_round(v.purity(v.neighbours(*_queries(s, d), 11).where("rank BETWEEN 2 AND 11"))),
@@ -86,12 +91,18 @@ _AUC = " SELECT round(sum(CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 0.5e0
 _EDGES = ", ".join(repr(x) + "e0" for x in m.EDGES)
 _BINS = f", q AS (SELECT *, len(list_filter([{_EDGES}], lambda e: e <= p)) AS bin FROM p)"
 _KERNELS = "k(kernel, mu, w) AS (VALUES " + ", ".join(f"({i}, {mu!r}e0, {w!r}e0)" for i, (mu, w) in enumerate(v.kernels())) + ")"
-_TOKENS = f"""WITH {_V}, {_KERNELS}, t AS (SELECT vec_id // 8 AS grp, vec_id % 8 AS pos, vec FROM v WHERE vec_id % 5 <> 0 AND vec_id < 512),
-    d AS (SELECT a.grp AS l, b.grp AS r, b.pos, list_dot_product(a.vec, b.vec) AS sim FROM t a, t b WHERE a.grp % 2 = 0 AND b.grp % 2 = 1),
+_TOKENS = f"""WITH {_V}, {_KERNELS}, t AS (SELECT vec_id // 8 AS grp, vec_id % 8 AS pos, vec FROM v WHERE vec_id % 5 <> 0),
+    d AS (SELECT a.grp AS l, b.grp AS r, b.pos, list_dot_product(a.vec, b.vec) AS sim FROM t a JOIN t b ON b.grp IN (a.grp + 1, a.grp + 3) WHERE a.grp % 2 = 0),
     c AS (SELECT l, r, pos, kernel, sum(exp(-((sim - mu) * (sim - mu)) / (2 * w * w))) AS soft, count(*) AS n FROM d, k GROUP BY ALL)"""
 _KNN = f"""WITH {_V}, d AS (SELECT a.vec_id AS q, a.label AS q_label, b.vec_id, b.label, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2
     FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, vec_id) AS rank FROM d)"""
 
+_THRESHOLD = """{probs}, t AS (SELECT DISTINCT p AS threshold FROM p UNION SELECT nextafter(max(p), CAST('inf' AS DOUBLE)) FROM p),
+        c AS (SELECT threshold, sum(CASE WHEN p >= threshold AND y = 1 THEN 1e0 ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold AND y = 0 THEN 1e0 ELSE 0 END) AS fp,
+          sum(CASE WHEN p < threshold AND y = 1 THEN 1e0 ELSE 0 END) AS fn, sum(CASE WHEN p < threshold AND y = 0 THEN 1e0 ELSE 0 END) AS tn FROM t, p GROUP BY 1),
+        f AS (SELECT threshold, (2 * tp / (2 * tp + fp + fn) + CASE WHEN tn + fn + fp > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2 AS macro_f1 FROM c)
+        SELECT round(threshold, 9) AS threshold, round(macro_f1, 9) AS macro_f1 FROM f ORDER BY f.macro_f1 DESC, f.threshold LIMIT 1"""
+
 ORACLES = {
     "chunk_spans": """WITH n AS (SELECT doc_id AS id, length(text) AS n FROM documents WHERE length(text) > 0), c AS (SELECT id, n, unnest(range(CAST(greatest(0, ceil((n - 500) / 450.0)) AS BIGINT) + 1)) AS chunk FROM n)
         SELECT id, CAST(chunk AS INTEGER) AS chunk, CAST(chunk * 450 AS INTEGER) AS start, CAST(least(chunk * 450 + 500, n) AS INTEGER) AS stop FROM c""",
@@ -99,7 +110,7 @@ ORACLES = {
         SELECT id, CAST(dim AS INTEGER) AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY id)), 6) + 0e0 AS value FROM a""",
     "pair_delta": f"WITH {_V} SELECT a.vec_id, CAST(a.dim AS INTEGER) AS dim, round(a.x - b.x, 6) + 0e0 AS delta FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.dim = b.dim",
     "embedding_checks": f"""WITH {_V} SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, CAST(min(len(vec)) AS INTEGER) AS least_size, CAST(max(len(vec)) AS INTEGER) AS most_size,
-        count(*) FILTER (WHERE abs(sqrt(list_dot_product(vec, vec)) - 1) > 1e-5) AS not_unit FROM v""",
+        count(*) FILTER (WHERE abs(sqrt(list_dot_product(vec, vec)) - 1) > 1e-5) AS not_unit, count(*) FILTER (WHERE len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite FROM v""",
     "knrm_features": f"{_TOKENS} SELECT l, r, CAST(kernel AS INTEGER) AS kernel, round(sum(ln(greatest(soft, 1e-10))) * 0.01e0, 6) + 0e0 AS value FROM c GROUP BY 1, 2, 3",
     "knrm_row_distribution": f"""{_TOKENS}, x AS (SELECT l, r, kernel, ln(greatest(soft / n, 1e-10)) * 0.01e0 AS x FROM c),
         g AS (SELECT l, r, kernel, [avg(x), stddev_pop(x), min(x), quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75), max(x)] AS q FROM x GROUP BY 1, 2, 3)
@@ -125,10 +136,13 @@ ORACLES = {
     "brier_logloss": _PLAIN + """ SELECT round(avg((p - y) * (p - y)), 9) AS brier, round(avg(-CASE WHEN y = 1 THEN ln(greatest(1e-15, least(1 - 1e-15, p))) ELSE ln(1 - greatest(1e-15, least(1 - 1e-15, p))) END), 9) AS log_loss FROM p""",
     "calibration_bins": _PLAIN + _BINS + " SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS share FROM q GROUP BY 1",
     "ece": _PLAIN + _BINS + ", c AS (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS s FROM q GROUP BY bin) SELECT round(sum(n * abs(mp - s)) / sum(n), 9) AS ece FROM c",
-    "threshold_selection": _PLAIN + """, t AS (SELECT DISTINCT p AS threshold FROM p), c AS (SELECT threshold, sum(CASE WHEN p >= threshold AND y = 1 THEN 1e0 ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold AND y = 0 THEN 1e0 ELSE 0 END) AS fp,
-          sum(CASE WHEN p < threshold AND y = 1 THEN 1e0 ELSE 0 END) AS fn, sum(CASE WHEN p < threshold AND y = 0 THEN 1e0 ELSE 0 END) AS tn FROM t, p GROUP BY 1),
-        f AS (SELECT threshold, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS macro_f1 FROM c)
-        SELECT round(threshold, 9) AS threshold, round(macro_f1, 9) AS macro_f1 FROM f ORDER BY f.macro_f1 DESC, f.threshold LIMIT 1""",
+    "threshold_selection": _THRESHOLD.format(probs=_PLAIN),
+    "threshold_nobody": _THRESHOLD.format(probs=f"WITH {_P}, p AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS y, CASE WHEN doc_id % 50 = 0 THEN 0.5e0 * p0 ELSE p0 END AS p FROM s)"),
+    "platt_scores": f"""WITH RECURSIVE {_P}, p AS (SELECT doc_id, y, greatest(1e-6, least(1 - 1e-6, p0)) AS c FROM s), m AS (SELECT doc_id, CAST(y AS DOUBLE) AS y, ln(c / (1 - c)) AS m FROM p),
+        it(n, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL SELECT n + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+          SELECT n, a, b, sum((q - y) * m) + 1e-6 * a AS ga, sum(q - y) AS gb, sum(q * (1 - q) * m * m) + 1e-6 AS haa, sum(q * (1 - q) * m) AS hab, sum(q * (1 - q)) AS hbb
+          FROM (SELECT it.n, it.a, it.b, y, m, 1 / (1 + exp(-(it.a * m + it.b))) AS q FROM it, m WHERE it.n < 25) GROUP BY n, a, b))
+        SELECT doc_id, round(1 / (1 + exp(-(a * m + b))), 6) + 0e0 AS probability FROM m, it WHERE n = 25""",
     "classification_report": _PLAIN + """, h AS (SELECT y, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h FROM p), k AS (SELECT unnest([0, 1]) AS class),
         c AS (SELECT class, sum(CASE WHEN y = class AND h = class THEN 1e0 ELSE 0 END) AS tp, sum(CASE WHEN y <> class AND h = class THEN 1e0 ELSE 0 END) AS fp, sum(CASE WHEN y = class AND h <> class THEN 1e0 ELSE 0 END) AS fn,
               sum(CASE WHEN y = h THEN 1e0 ELSE 0 END) / count(*) AS accuracy FROM k, h GROUP BY class)
