@@ -59,13 +59,14 @@ def insights(applications: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.select("application_key", "company", score.alias("score"), F.when(score.isNotNull(), band(score)).alias("band"))
 
 
-def backfill(rows: DataFrame, as_of: datetime.date, least: int = 100, keep_days: int = 365) -> DataFrame:
-    """Rows by the first rule that rules them out, or "eligible".
+def backfill(rows: DataFrame, as_of: datetime.datetime, least: int = 100, keep_days: int = 365) -> DataFrame:
+    """Rows by the first rule that rules them out, or "eligible"; age is in whole elapsed days.
 
     Reads application_key, description, provenance, quality, captured, resume_matches, historical_hash, resume_hash,
     existing_description_hash.
     """
-    age = F.datediff(F.lit(as_of), F.to_date("captured"))
+    elapsed = F.unix_micros(F.lit(as_of.isoformat(sep=" ")).cast("timestamp")) - F.unix_micros(F.col("captured").cast("timestamp"))
+    age = F.floor(elapsed / 86_400_000_000)
     reason = (
         F.when(F.coalesce("application_key", F.lit("")) == "", "missing_application_key")
         .when(F.coalesce("description", F.lit("")) == "", "missing_description")
@@ -83,23 +84,6 @@ def backfill(rows: DataFrame, as_of: datetime.date, least: int = 100, keep_days:
     return rows.withColumn("reason", reason)
 
 
-def reconcile(applications: DataFrame, scores: DataFrame, inputs: DataFrame, version: str) -> DataFrame:
-    """One row of counters: repeated and orphan keys, applications without a local input, runs of another version."""
-    a = applications.groupBy("application_key").agg(F.count(F.lit(1)).alias("n"))
-    s = scores.groupBy("application_key").agg(F.count(F.lit(1)).alias("n"))
-    one = [
-        a.agg(F.count_if(F.col("n") > 1).alias("duplicate_application_keys")),
-        s.agg(F.count_if(F.col("n") > 1).alias("duplicate_score_keys")),
-        s.join(a, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("orphan_score_keys")),
-        a.join(inputs, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("missing_local_inputs")),
-        scores.agg(F.count_if(F.col("version") != version).alias("stale_score_runs")),
-    ]
-    out = one[0]
-    for part in one[1:]:
-        out = out.crossJoin(part)
-    return out
-
-
 def first_runs(runs: DataFrame) -> DataFrame:
     """Score runs with a flag for the first of each application."""
     return runs.withColumn("is_first", F.col("run_id") == F.min("run_id").over(Window.partitionBy("application_key")))

@@ -15,6 +15,8 @@ from matchloom.sources import bindings as b
 from matchloom.streaming import jobs
 
 AS_OF = datetime.date(1998, 7, 15)
+#: A time of day, so that elapsed days differ from calendar days.
+AS_OF_TIME = datetime.datetime(1998, 7, 15, 9, 30)
 
 
 def _signal(s: SparkSession, d: str) -> DataFrame:
@@ -32,18 +34,12 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
     return runs.withColumn("version", F.when(F.col("run_id") % 11 == 0, "v1").otherwise("v2"))
 
 
-def _scores(s: SparkSession, d: str) -> DataFrame:
-    real = _runs(s, d).where("run_id % 7 <> 0").select("application_key", "score", "version")
-    orphans = b.table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.sha2(F.concat(F.lit("orphan"), F.col("o_orderkey").cast("string")), 256).alias("application_key"), F.lit(1.0).alias("score"), F.lit("v2").alias("version"))
-    return real.union(orphans)
-
-
 def _backfill(s: SparkSession, d: str) -> DataFrame:
     a = b.applications(s, d)
     k, docs = F.col("o_orderkey"), b.table(s, d, "documents")
     rows = a.withColumn("doc_id", k % docs.count()).join(docs.select("doc_id", "text"), "doc_id").select(
         F.when(k % 37 != 0, F.col("application_key")).alias("application_key"),
-        F.when(k % 31 != 0, F.left("text", F.lit(400))).alias("description"),
+        F.when(k % 31 != 0, F.col("text")).alias("description"),
         F.when(k % 29 == 0, "elsewhere").otherwise("original_saved").alias("provenance"),
         F.when(k % 23 == 0, "partial").otherwise("complete").alias("quality"),
         F.when(k % 19 != 0, F.col("created")).alias("captured"),
@@ -52,7 +48,7 @@ def _backfill(s: SparkSession, d: str) -> DataFrame:
         F.lit("new").alias("resume_hash"),
         F.when(k % 5 == 0, F.sha2(F.lit("other"), 256)).alias("existing_description_hash"),
     )
-    return ap.backfill(rows, AS_OF).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return ap.backfill(rows, AS_OF_TIME).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cache(s: SparkSession, d: str) -> DataFrame:
@@ -62,13 +58,34 @@ def _cache(s: SparkSession, d: str) -> DataFrame:
     return last.where("expires_at > TIMESTAMP '2024-01-15 11:00:00'").select("user_id", "event_id", "value")
 
 
+#: Addresses at the known sites that eight of nine pages are given instead of their own; % stands for the page's id.
+URLS = (
+    "https://www.linkedin.com/jobs/view/engineer-at-x-%?ref=1",
+    "https://de.linkedin.com/jobs/search/?a=b&currentJobId=%#top",
+    "https://boards.greenhouse.io/acme/jobs/%?gh_src=1",
+    "https://jobs.lever.co/acme/%/",
+    "https://www.indeed.com/viewjob?jk=%&from=x",
+    "https://indeed.com/jobs?vjk=%",
+    "https://acme.wd1.myworkdayjobs.com/en-US/careers/job/x/Engineer_R%",
+    "https://jobs.lever.co",
+)
+_URLS_SQL = " ".join(f"WHEN {i} THEN '{u}'".replace("%", "' || page_id || '") for i, u in enumerate(URLS))
+
+
+def _addresses(s: SparkSession, d: str) -> DataFrame:
+    at = F.col("url")
+    for i, u in enumerate(URLS):
+        at = F.when(F.col("page_id") % 9 == i, F.replace(F.lit(u), F.lit("%"), F.col("page_id").cast("string"))).otherwise(at)
+    return b.table(s, d, "pages").withColumn("url", at)
+
+
 QUERIES = {
-    "posting_identity": lambda s, d: b.table(s, d, "pages").select("page_id", postings.canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(postings.site(F.col("url")), F.lit("")).alias("site"), postings.job_id(F.col("url")).alias("job_id")),
-    "posting_extract": lambda s, d: b.table(s, d, "pages").select("page_id", postings.extract("html").alias("p")).select("page_id", "p.*"),
+    "posting_identity": lambda s, d: _addresses(s, d).select("page_id", postings.canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(postings.site(F.col("url")), F.lit("")).alias("site"), postings.job_id(F.col("url")).alias("job_id")),
+    "posting_extract": lambda s, d: postings.posting(b.table(s, d, "pages").select("page_id", "url", "html")).drop("url", "html"),
     "sponsorship_signal": _signal,
     "scoring_description": lambda s, d: b.table(s, d, "documents").select("doc_id", text.scored_part(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\r\n\n  Pay   Range: 10\nrest"))).otherwise(F.col("text"))).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("sha")),
     "application_keys": lambda s, d: b.applications(s, d).select("o_orderkey", "application_key"),
-    "role_company_keys": lambda s, d: b.table(s, d, "documents").select("doc_id", text.role_company_key(F.left("text", F.lit(40)), F.col("source")).alias("role_company_key")),
+    "role_company_keys": lambda s, d: b.table(s, d, "documents").select("doc_id", text.role_company_key(F.col("text"), F.col("source")).alias("role_company_key")),
     "score_bands": lambda s, d: b.score_runs(s, d).groupBy(text.band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n")),
     "dashboard_counts": lambda s, d: ap.dashboard(b.applications(s, d), AS_OF),
     "monthly_status_summary": lambda s, d: ap.monthly(b.applications(s, d), datetime.date(1998, 7, 1), AS_OF),
@@ -76,48 +93,76 @@ QUERIES = {
     "application_search_status": lambda s, d: ap.search(b.applications(s, d), "machinery", "Rejected"),
     "application_insights": lambda s, d: rounded(ap.insights(b.applications(s, d), _runs(s, d)), "score"),
     "backfill_reasons": _backfill,
-    "reconcile_report": lambda s, d: ap.reconcile(b.applications(s, d), _scores(s, d), _runs(s, d).where("run_id % 3 <> 0").select("application_key").distinct(), "v2"),
     "application_time_runs": lambda s, d: ap.first_runs(_runs(s, d)).select("run_id", "application_key", "is_first"),
     "score_cache_lookup": _cache,
     "latency_percentiles": lambda s, d: rounded(b.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.floor(F.lit(300.0) / F.median("value")).alias("capacity")), "p50", "p95"),
     "job_queue_replay": lambda s, d: jobs.replay(jobs.job_events(b.table(s, d, "events"))),
 }
 
-_APPS = f"""apps AS (SELECT o_orderkey, c_name AS company, o_orderpriority AS title, c_mktsegment AS source, CAST(o_orderdate AS DATE) AS applied, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS created,
+APPS = f"""apps AS (SELECT o_orderkey, c_name AS company, o_orderpriority AS title, c_mktsegment AS source, CAST(o_orderdate AS DATE) AS applied, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS created,
     CASE o_orderstatus WHEN 'F' THEN 'Rejected' WHEN 'O' THEN 'Applied' ELSE 'In Progress' END AS status,
     sha256({squeezed("lower(c_name)")} || '|' || {squeezed("lower(o_orderpriority)")} || '|' || {squeezed("lower(c_mktsegment)")}) AS application_key FROM orders JOIN customer ON o_custkey = c_custkey)"""
-_RUNS = f"{_APPS}, runs AS (SELECT l_orderkey AS run_id, application_key, 2 * avg(l_quantity) AS score, CASE WHEN l_orderkey % 11 = 0 THEN 'v1' ELSE 'v2' END AS version FROM lineitem JOIN apps ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+RUNS = f"{APPS}, runs AS (SELECT l_orderkey AS run_id, application_key, 2 * avg(l_quantity) AS score, CASE WHEN l_orderkey % 11 = 0 THEN 'v1' ELSE 'v2' END AS version FROM lineitem JOIN apps ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 _BAND = "CASE WHEN score >= 75 THEN 'Strong' WHEN score >= 55 THEN 'Moderate' ELSE 'Weak' END"
 _PROBE = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PROBES)) + " END"
 _RULES = lambda at: " ".join(f"WHEN regexp_matches(t, '(?i){r[0]}') THEN '{r[at]}'" for r in postings.SPONSORSHIP)
 _HOST = "coalesce(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '')"
 
+def scored_sql(col: str) -> str:
+    """The scored part of a description, as b (doc_id, body)."""
+    return f"""t AS (SELECT doc_id, replace(replace({col}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+        l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: {squeezed("x")}) AS lines FROM t),
+        s AS (SELECT doc_id, string_split(trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), chr(10)) AS lines FROM l),
+        k AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: regexp_matches(trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9&/ ]+', '', 'g'), ' +', ' ', 'g')), '^({"|".join(text.EXCLUDED_HEADINGS)})( |$)')), true) AS cut FROM s),
+        b AS (SELECT doc_id, trim(array_to_string(CASE WHEN cut > 0 THEN lines[1:cut - 1] ELSE lines END, chr(10)), chr(10)) AS body FROM k)"""
+
+
+def _plain(col: str) -> str:
+    """Character references that pages have, read."""
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        col = f"replace({col}, '{name}', '{value}')"
+    return col
+
+
+def _folded(col: str) -> str:
+    """Case-folded and squeezed; of the letters at hand only the sharp s folds to more than its small form."""
+    return f"replace({squeezed(f'lower({col})')}, 'ß', 'ss')"
+
+
+_ASKED = lambda *keys: "coalesce(" + ", ".join(f"nullif(regexp_extract(url, '[?&]{k}=([^&#]*)', 1), '')" for k in keys) + ", '')"
 ORACLES = {
-    "posting_identity": f"""WITH u AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS bare, {_HOST} AS host FROM pages)
-        SELECT page_id, CASE WHEN bare = regexp_extract(bare, '^([a-zA-Z]+://[^/]+)', 1) THEN bare || '/' ELSE bare END AS canonical_url,
-        CASE WHEN regexp_matches(host, '(^|\\.)linkedin\\.com$') THEN 'LinkedIn' WHEN regexp_matches(host, '(^|\\.)lever\\.co$') THEN 'Lever' ELSE '' END AS site, '' AS job_id FROM u""",
+    "posting_identity": f"""WITH a AS (SELECT page_id, CASE page_id % 9 {_URLS_SQL} ELSE url END AS url FROM pages), u AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS bare, {_HOST} AS host FROM a),
+        h AS (SELECT *, regexp_extract(bare, '^([a-zA-Z]+://[^/]+)', 1) AS root, CASE {" ".join(f"WHEN regexp_matches(host, '{p}') THEN '{n}'" for n, p in postings.SITES)} ELSE '' END AS site FROM u),
+        q AS (SELECT *, list_filter(string_split(substr(bare, length(root) + 1), '/'), lambda x: x <> '') AS parts FROM h),
+        j AS (SELECT *, CASE site WHEN 'LinkedIn' THEN coalesce(nullif(regexp_extract(url, '{postings.LINKEDIN_PATH}', 1), ''), {_ASKED(*postings.LINKEDIN_KEYS)}) WHEN 'Indeed' THEN {_ASKED(*postings.INDEED_KEYS)}
+          WHEN 'Greenhouse' THEN regexp_extract(bare, '{postings.GREENHOUSE_PATH}', 1) WHEN 'Lever' THEN coalesce(parts[-1], '') WHEN 'Workday' THEN coalesce(parts[-1], '') ELSE '' END AS job_id,
+          CASE WHEN bare = root THEN bare || '/' ELSE bare END AS plain FROM q)
+        SELECT page_id, site, job_id, CASE WHEN site = 'LinkedIn' AND job_id <> '' THEN root || '/jobs/view/' || job_id WHEN site = 'Indeed' AND job_id <> '' THEN plain || '?jk=' || job_id ELSE plain END AS canonical_url FROM j""",
+    "posting_extract": f"""WITH p AS (SELECT page_id, url, {_HOST} AS host, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS art FROM pages),
+        t AS (SELECT *, regexp_replace(regexp_replace(art, '(?i)</?(?:p|div|li|br|h1|h2|h3|h4|section|article|main|tr|ul|ol|title)(?:\\s[^>]*)?/?>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g') AS body FROM p),
+        c AS (SELECT *, {_plain('h1')} AS title, array_to_string(list_filter(list_transform(string_split({_plain('body')}, chr(10)), lambda x: {squeezed("x")}), lambda x: x <> ''), chr(10)) AS description FROM t)
+        SELECT page_id, host AS job_source, CASE WHEN regexp_replace(url, '[?#].*$', '') = regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(url, '[?#].*$', '') END AS canonical_url, '' AS source_job_id, title, '' AS company, description,
+          CASE WHEN description <> '' THEN 'original_saved' ELSE '' END AS provenance, CASE WHEN description <> '' THEN 'complete' ELSE 'unavailable' END AS quality FROM c""",
     "sponsorship_signal": f"WITH x AS (SELECT doc_id, text || ' ' || {_PROBE} AS t FROM documents) SELECT doc_id, CASE {_RULES(1)} ELSE 'No information' END AS message, CASE {_RULES(2)} ELSE 'warning' END AS kind FROM x",
-    "application_keys": f"WITH {_APPS} SELECT o_orderkey, application_key FROM apps",
+    "role_company_keys": f"SELECT doc_id, sha256({_folded('text')} || '|' || {_folded('source')}) AS role_company_key FROM documents",
+    "scoring_description": f"""WITH {scored_sql("CASE WHEN doc_id % 3 = 0 THEN text || chr(13) || chr(10) || chr(10) || '  Pay   Range: 10' || chr(10) || 'rest' ELSE text END")} SELECT doc_id, CAST(length(body) AS INTEGER) AS n_chars, sha256(body) AS sha FROM b""",
+    "application_keys": f"WITH {APPS} SELECT o_orderkey, application_key FROM apps",
     "score_bands": f"WITH r AS (SELECT 2 * avg(l_quantity) AS score FROM lineitem GROUP BY l_orderkey) SELECT {_BAND} AS band, count(*) AS n FROM r GROUP BY 1",
-    "dashboard_counts": f"""WITH {_APPS} SELECT count(*) FILTER (WHERE applied = DATE '1998-07-15') AS current_day, count(*) FILTER (WHERE applied BETWEEN date_trunc('week', DATE '1998-07-15') AND DATE '1998-07-15') AS current_week,
+    "dashboard_counts": f"""WITH {APPS} SELECT count(*) FILTER (WHERE applied = DATE '1998-07-15') AS current_day, count(*) FILTER (WHERE applied BETWEEN date_trunc('week', DATE '1998-07-15') AND DATE '1998-07-15') AS current_week,
         count(*) FILTER (WHERE applied BETWEEN DATE '1998-07-01' AND DATE '1998-07-15') AS current_month FROM apps""",
-    "monthly_status_summary": f"""WITH {_APPS}, m AS (SELECT * FROM apps WHERE applied BETWEEN DATE '1998-07-01' AND DATE '1998-07-15'), k(status) AS (VALUES ('Applied'), ('In Progress'), ('Rejected'), ('Cancelled'))
+    "monthly_status_summary": f"""WITH {APPS}, m AS (SELECT * FROM apps WHERE applied BETWEEN DATE '1998-07-01' AND DATE '1998-07-15'), k(status) AS (VALUES ('Applied'), ('In Progress'), ('Rejected'), ('Cancelled'))
         SELECT k.status, count(m.status) AS n, (SELECT count(*) FROM m) AS total FROM k LEFT JOIN m ON m.status = k.status GROUP BY 1""",
-    "application_search": f"""WITH {_APPS}, f AS (SELECT * FROM apps WHERE contains(lower(company || ' ' || title || ' ' || source), '1-urgent') AND contains(lower(company || ' ' || title || ' ' || source), 'build'))
+    "application_search": f"""WITH {APPS}, f AS (SELECT * FROM apps WHERE contains(lower(company || ' ' || title || ' ' || source), '1-urgent') AND contains(lower(company || ' ' || title || ' ' || source), 'build'))
         SELECT o_orderkey, application_key, company, title, status, applied, source FROM f ORDER BY f.applied DESC, f.created DESC, o_orderkey LIMIT 8""",
-    "application_search_status": f"WITH {_APPS} SELECT o_orderkey, application_key, company, title, status, applied, source FROM apps WHERE contains(lower(company || ' ' || title || ' ' || source), 'machinery') AND status = 'Rejected'",
-    "application_insights": f"""WITH {_RUNS}, u AS (SELECT application_key, any_value(company) AS company FROM apps GROUP BY 1 HAVING count(*) = 1), p AS (SELECT application_key, max(score) AS score FROM runs GROUP BY 1 HAVING count(*) = 1)
+    "application_search_status": f"WITH {APPS} SELECT o_orderkey, application_key, company, title, status, applied, source FROM apps WHERE contains(lower(company || ' ' || title || ' ' || source), 'machinery') AND status = 'Rejected'",
+    "application_insights": f"""WITH {RUNS}, u AS (SELECT application_key, any_value(company) AS company FROM apps GROUP BY 1 HAVING count(*) = 1), p AS (SELECT application_key, max(score) AS score FROM runs GROUP BY 1 HAVING count(*) = 1)
         SELECT u.application_key, company, round(score, 6) + 0e0 AS score, CASE WHEN score IS NOT NULL THEN {_BAND} END AS band FROM u LEFT JOIN p ON u.application_key = p.application_key""",
-    "backfill_reasons": f"""WITH {_APPS}, j AS (SELECT apps.*, left(text, 400) AS body FROM apps JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)),
+    "backfill_reasons": f"""WITH {APPS}, j AS (SELECT apps.*, text AS body FROM apps JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)),
         r AS (SELECT CASE WHEN o_orderkey % 37 = 0 THEN 'missing_application_key' WHEN o_orderkey % 31 = 0 OR body = '' THEN 'missing_description' WHEN o_orderkey % 29 = 0 THEN 'invalid_provenance'
-            WHEN o_orderkey % 23 = 0 OR length(body) < 100 THEN 'low_quality_description' WHEN o_orderkey % 19 = 0 THEN 'invalid_capture_time' WHEN date_diff('day', CAST(created AS DATE), DATE '1998-07-15') > 365 THEN 'expired_description'
+            WHEN o_orderkey % 23 = 0 OR length(body) < 100 THEN 'low_quality_description' WHEN o_orderkey % 19 = 0 THEN 'invalid_capture_time' WHEN floor(date_diff('second', created, TIMESTAMP '1998-07-15 09:30:00') / 86400.0) > 365 THEN 'expired_description'
             WHEN o_orderkey % 17 = 0 THEN 'missing_resume_snapshot' WHEN o_orderkey % 13 = 0 THEN 'ambiguous_resume_snapshot' WHEN o_orderkey % 11 = 0 THEN 'missing_historical_resume_hash' WHEN o_orderkey % 7 = 0 THEN 'resume_snapshot_changed'
             WHEN o_orderkey % 5 = 0 THEN 'immutable_input_conflict' ELSE 'eligible' END AS reason FROM j) SELECT reason, count(*) AS n FROM r GROUP BY 1""",
-    "reconcile_report": f"""WITH {_RUNS}, s AS (SELECT application_key, version FROM runs WHERE run_id % 7 <> 0 UNION ALL SELECT sha256('orphan' || CAST(o_orderkey AS VARCHAR)), 'v2' FROM orders WHERE o_orderkey % 50 = 0),
-        a AS (SELECT application_key, count(*) AS n FROM apps GROUP BY 1), g AS (SELECT application_key, count(*) AS n FROM s GROUP BY 1)
-        SELECT (SELECT count(*) FROM a WHERE n > 1) AS duplicate_application_keys, (SELECT count(*) FROM g WHERE n > 1) AS duplicate_score_keys, (SELECT count(*) FROM g WHERE application_key NOT IN (SELECT application_key FROM a)) AS orphan_score_keys,
-        (SELECT count(*) FROM a WHERE application_key NOT IN (SELECT application_key FROM runs WHERE run_id % 3 <> 0)) AS missing_local_inputs, (SELECT count(*) FROM s WHERE version <> 'v2') AS stale_score_runs""",
-    "application_time_runs": f"WITH {_RUNS} SELECT run_id, application_key, row_number() OVER (PARTITION BY application_key ORDER BY run_id) = 1 AS is_first FROM runs",
+    "application_time_runs": f"WITH {RUNS} SELECT run_id, application_key, row_number() OVER (PARTITION BY application_key ORDER BY run_id) = 1 AS is_first FROM runs",
     "score_cache_lookup": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00')
         SELECT user_id, event_id, value FROM l WHERE place = 1 AND ts + INTERVAL 300 SECOND > TIMESTAMP '2024-01-15 11:00:00'""",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) + 0e0 AS p50, round(quantile_cont(value, 0.95), 6) + 0e0 AS p95, CAST(floor(300.0 / median(value)) AS BIGINT) AS capacity FROM events GROUP BY 1",
