@@ -75,6 +75,6 @@ def clusters(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.select("hash").join(found.withColumnRenamed("vertex", "hash"), "hash", "left").select("hash", F.coalesce("component", "hash").alias("cluster"))
 
 
-def cluster_stats(members: DataFrame) -> DataFrame:
+def cluster_stats(members: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("n") > 1).alias("n_larger"), F.max("n").alias("largest"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("n") > 1).alias("n_larger"), F.max("n").alias("largest")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_pairs")))

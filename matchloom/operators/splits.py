@@ -80,15 +80,62 @@ def fold_report(pairs: DataFrame, folds: int = 3) -> DataFrame:
 
 
 def checks(pairs: DataFrame, folds: int = 3) -> DataFrame:
-    """What must hold of a manifest, as one row of booleans."""
+    """What must hold of the pairs of a manifest, as one row of booleans."""
     long = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.col(f"fold_{k}_role").alias("role")) for k in range(folds))))
-    docs = pairs.select(long.alias("r"), F.explode(F.array("resume_hash", "jd_hash")).alias("doc")).select("r.*", "doc")
+    docs = pairs.select(long.alias("r"), F.explode(F.array(F.concat(F.lit("resume:"), "resume_hash"), F.concat(F.lit("jd:"), "jd_hash"))).alias("doc")).select("r.*", "doc")
     shared = docs.where("role <> 'discarded'").groupBy("fold", "doc").agg(F.count_distinct("role").alias("roles")).agg((F.coalesce(F.max("roles"), F.lit(0)) <= 1).alias("no_document_in_train_and_test"))
     once = sum((F.col(f"fold_{k}_role") == "test").cast("int") for k in range(folds))
     own = pairs.agg((F.count(F.lit(1)) == F.count_distinct("pair_hash")).alias("pairs_unique"), F.bool_and(once <= 1).alias("tested_once_at_most"), F.bool_and(F.length("pair_hash") == 64).alias("hashes_whole"))
     return own.crossJoin(shared)
 
 
+def documents_manifest(members: DataFrame, dealt: DataFrame, domains_of: DataFrame) -> DataFrame:
+    """(hash, cluster, fold, domain, confidence) of a side's documents."""
+    return members.join(dealt, "hash").join(domains_of.select("hash", "domain", "confidence"), "hash").select("hash", "cluster", "fold", "domain", "confidence")
+
+
+def manifest_of(rows: DataFrame, resumes: DataFrame, jds: DataFrame, folds: int = 3) -> DataFrame:
+    """The pairs' manifest from the folds of both sides' documents."""
+    first = rows.where("usable").groupBy("resume_hash", "jd_hash").agg(F.min_by("label_norm", "ordinal").alias("label"))
+    joined = first.join(resumes.select(F.col("hash").alias("resume_hash"), F.col("fold").alias("rf")), "resume_hash", "left").join(jds.select(F.col("hash").alias("jd_hash"), F.col("fold").alias("jf")), "jd_hash", "left")
+    roles = [role(F.col("rf"), F.col("jf"), k).alias(f"fold_{k}_role") for k in range(folds)]
+    return joined.select(F.sha2(F.concat("resume_hash", F.lit(":"), "jd_hash"), 256).alias("pair_hash"), "resume_hash", "jd_hash", "label", *roles)
+
+
+def manifest_checks(resumes: DataFrame, jds: DataFrame, pairs: DataFrame, folds: int = 3) -> DataFrame:
+    """The ten things that must hold of a whole manifest, as one row of booleans."""
+    out = None
+    for side, docs in (("resume", resumes), ("jd", jds)):
+        own = docs.agg((F.count(F.lit(1)) == F.count_distinct("hash")).alias(f"unique_{side}_hashes"), (F.sort_array(F.collect_set("fold")) == F.array(*map(F.lit, range(folds)))).alias(f"{side}_fold_coverage"))
+        whole = docs.groupBy("cluster").agg(F.count_distinct("fold").alias("n")).agg((F.coalesce(F.max("n"), F.lit(1)) == 1).alias(f"{side}_clusters_kept_together"))
+        part = own.crossJoin(whole)
+        out = part if out is None else out.crossJoin(part)
+    lone = pairs.join(resumes.select(F.col("hash").alias("resume_hash")), "resume_hash", "left_anti").select("pair_hash").union(pairs.join(jds.select(F.col("hash").alias("jd_hash")), "jd_hash", "left_anti").select("pair_hash"))
+    roles = [F.coalesce(F.col(f"fold_{k}_role").isin("train", "test", "discarded"), F.lit(False)) for k in range(folds)]
+    known = roles[0]
+    for r in roles[1:]:
+        known = known & r
+    own = pairs.agg((F.count(F.lit(1)) == F.count_distinct("pair_hash")).alias("unique_pair_hashes"), F.coalesce(F.bool_and(known), F.lit(True)).alias("roles_complete"))
+    return out.crossJoin(own).crossJoin(lone.agg((F.count(F.lit(1)) == 0).alias("pair_endpoints_exist"))).crossJoin(checks(pairs, folds).select(F.col("no_document_in_train_and_test").alias("zero_train_test_document_overlap")))
+
+
+def fold_invariants(dealt: DataFrame, members: DataFrame, domains_of: DataFrame, folds: int = 3) -> DataFrame:
+    """What must hold of folds (hash, fold): each document once, clusters whole, all folds used, and domains spread within the size of the largest clusters.
+
+    A domain's largest and smallest share among the folds may differ by a fifth of it, or by twice its documents in the
+    largest cluster and one for each part that folds are dealt in, where that is more.
+    """
+    joined = members.join(dealt, "hash", "left").join(domains_of.select("hash", "domain"), "hash")
+    whole = joined.agg((F.count("fold") == F.count_distinct("hash")).alias("each_document_once"), (F.count_distinct("fold") == folds).alias("all_folds_used"))
+    kept = joined.groupBy("cluster").agg(F.count_distinct("fold").alias("n")).agg((F.max("n") == 1).alias("clusters_whole"))
+    largest = joined.groupBy("domain", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("domain").agg(F.max("n").alias("largest"))
+    counts = joined.groupBy("domain").agg(*(F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(folds)))
+    names = [f"f{k}" for k in range(folds)]
+    gap, total = F.greatest(*names) - F.least(*names), sum(F.col(n) for n in names)
+    even = counts.join(largest, "domain").agg(F.bool_and(gap <= F.greatest(0.2 * total, 2 * F.col("largest") + 16)).alias("domains_spread"))
+    return whole.crossJoin(kept).crossJoin(even)
+
+
 def validation_clusters(clusters: DataFrame, seed: int, namespace: str, share: float) -> DataFrame:
     """The clusters held out for validation: first in order of a seeded hash, max(1, min(n - 1, round(n share))) of them.
 
@@ -103,11 +150,23 @@ def validation_clusters(clusters: DataFrame, seed: int, namespace: str, share: f
     return ranked.where(F.col("before") + F.col("r") <= take).select("cluster")
 
 
-def inner_partition(pairs: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
-    """Pairs as train, validation or dropped, no document on both sides."""
-    out = pairs
+def inner_partition(pairs: DataFrame, outer_fold: int = 0, seed: int = 42, share: float = 0.2, clusters: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The training pairs of an outer fold as train, validation or dropped, no cluster on both sides.
+
+    `clusters` has (hash, cluster) for "resume" and "jd"; without it each document is a cluster of its own.
+    """
+    out = pairs.where(F.col(f"fold_{outer_fold}_role") == "train")
     for side in ("resume", "jd"):
-        held = validation_clusters(pairs.select(F.col(f"{side}_hash").alias("cluster")).distinct(), seed, side, share)
-        out = out.join(held.select(F.col("cluster").alias(f"{side}_hash"), F.lit(True).alias(f"{side}_held")), f"{side}_hash", "left")
+        own = F.col(f"{side}_hash")
+        if clusters:
+            out = out.join(clusters[side].select(own_name(side), F.col("cluster").alias(f"{side}_cluster")), f"{side}_hash")
+        else:
+            out = out.withColumn(f"{side}_cluster", own)
+        held = validation_clusters(out.select(F.col(f"{side}_cluster").alias("cluster")).distinct(), seed + outer_fold, side, share)
+        out = out.join(held.select(F.col("cluster").alias(f"{side}_cluster"), F.lit(True).alias(f"{side}_held")), f"{side}_cluster", "left")
     a, b = F.coalesce("resume_held", F.lit(False)), F.coalesce("jd_held", F.lit(False))
     return out.select("resume_hash", "jd_hash", F.when(a & b, "validation").when(~a & ~b, "train").otherwise("dropped").alias("part"))
+
+
+def own_name(side: str) -> Column:
+    return F.col("hash").alias(f"{side}_hash")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import learn, similarity, splits
+from matchloom.operators import learn, reports, similarity, splits
 from matchloom.operators.audit import documents
-from matchloom.storage import written
+from matchloom.storage import sink, written
 from matchloom.plans.corpus import PAIRS, rows
 from matchloom.plans.features import rounded
 from matchloom.sources import bindings as b
@@ -25,14 +25,68 @@ def _docs(s: SparkSession, d: str, side: str) -> DataFrame:
     return documents(rows(s, d), side).select("hash", "text")
 
 
-def _members(s: SparkSession, d: str, side: str) -> DataFrame:
+def _members(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): all documents of a side with their cluster, and its near copies."""
     docs = written(_docs(s, d, side), "side-documents")
-    return similarity.clusters(docs, written(similarity.near_duplicates(docs), "near-pairs"))
-
-
-def _folds(s: SparkSession, d: str, side: str) -> DataFrame:
-    classes = rows(s, d).where("usable").groupBy(F.col(f"{side}_hash").alias("hash")).agg(F.min_by("label_norm", "ordinal").alias("class"))
-    return splits.balanced_folds(_members(s, d, side).join(classes, "hash"), 3, {"resume": 42, "jd": 43}[side])
+    found = written(similarity.near_duplicates(docs), "near-pairs")
+    return written(similarity.clusters(docs, found), "clusters"), found
+
+
+def _folds(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(folds, members, domains) of a side: clusters stay whole and domains are spread evenly."""
+    members, _ = _members(s, d, side)
+    domains = written(splits.domains(rows(s, d), side), "domains")
+    classes = domains.select("hash", F.col("domain").alias("class"))
+    return splits.balanced_folds(members.join(classes, "hash"), 3, {"resume": 42, "jd": 43}[side]), members, domains
+
+
+def _whole_manifest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(resumes, jds, pairs) of a manifest whose folds keep near copies together."""
+    sides = {}
+    for side in ("resume", "jd"):
+        dealt, members, domains = _folds(s, d, side)
+        sides[side] = written(splits.documents_manifest(members, dealt, domains), f"{side}-manifest")
+    return sides["resume"], sides["jd"], written(splits.manifest_of(rows(s, d), sides["resume"], sides["jd"]), "pair-manifest")
+
+
+def _inner(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of the inner parts of each outer fold, and the clusters that lie in train and validation."""
+    resumes, jds, pairs = _whole_manifest(s, d)
+    clusters = {"resume": resumes.select("hash", "cluster"), "jd": jds.select("hash", "cluster")}
+    out = None
+    for k in range(3):
+        part = splits.inner_partition(pairs, k, clusters=clusters)
+        shared = None
+        for side in ("resume", "jd"):
+            own = part.where("part <> 'dropped'").join(clusters[side].select(F.col("hash").alias(f"{side}_hash"), "cluster"), f"{side}_hash")
+            n = own.groupBy("cluster").agg(F.count_distinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"shared_{side}_clusters"))
+            shared = n if shared is None else shared.crossJoin(n)
+        sizes = part.agg(F.lit(k).alias("fold"), (F.count_if(F.col("part") == "train") > 0).alias("has_train"), (F.count_if(F.col("part") == "validation") > 0).alias("has_validation"))
+        row = sizes.crossJoin(shared)
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _strategies(s: SparkSession, d: str) -> DataFrame:
+    """Report on every partition of three folds, five folds and one hold-out, by hash."""
+    r = written(rows(s, d).where("usable").select("resume_hash", "jd_hash", "label_norm", "ordinal", "resume_domain", "jd_domain", "usable"), "used-pairs")
+    first = written(r.groupBy("resume_hash", "jd_hash").agg(F.min_by("label_norm", "ordinal").alias("label")), "distinct-pairs")
+    sides = {side: written(splits.domains(r, side).select("hash", "domain"), "domains") for side in ("resume", "jd")}
+    parts = None
+    for n in (3, 5):
+        left, right = splits.hash_fold(F.col("resume_hash"), 42, n), splits.hash_fold(F.col("jd_hash"), 43, n)
+        roles = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), splits.role(left, right, k).alias("part")) for k in range(n))))
+        part = first.select(F.lit(f"{n}-fold").alias("strategy"), roles.alias("r"), "resume_hash", "jd_hash", "label").select("strategy", "r.fold", "r.part", "resume_hash", "jd_hash", "label").where("part <> 'discarded'")
+        parts = part if parts is None else parts.union(part)
+    place = lambda c, seed: F.when(splits.hash_fold(c, seed, 20) < 14, "train").when(splits.hash_fold(c, seed, 20) < 17, "validation").otherwise("test")
+    held = first.withColumns({"a": place(F.col("resume_hash"), 42), "b": place(F.col("jd_hash"), 43)}).where("a = b")
+    parts = parts.union(held.select(F.lit("70/15/15").alias("strategy"), F.lit(0).alias("fold"), F.col("a").alias("part"), "resume_hash", "jd_hash", "label"))
+    return reports.partition_report(written(parts, "partitions"), first, sides["resume"], sides["jd"], ["strategy", "fold", "part"])
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Write the pairs' manifest with Zstandard and column statistics, and say what was written."""
+    return sink(_manifest(s, d).sortWithinPartitions("pair_hash"), "manifest").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pair_hash").alias("n_pairs"), F.min("pair_hash").alias("first_pair"), F.max("pair_hash").alias("last_pair"))
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -54,11 +108,21 @@ def _holdout(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "near_duplicates": lambda s, d: rounded(_each(lambda side: similarity.near_duplicates(_docs(s, d, side))), "similarity"),
-    "near_duplicate_clusters": lambda s, d: _each(lambda side: similarity.cluster_stats(_members(s, d, side))),
+    "near_duplicate_clusters": lambda s, d: _each(lambda side: similarity.cluster_stats(*_members(s, d, side))),
+    "near_duplicate_examples": lambda s, d: rounded(_each(lambda side: reports.examples(similarity.near_duplicates(_docs(s, d, side)), 100)), "similarity", digits=2),
     "domain_resolution": _both,
     "domain_conflicts": lambda s, d: _both(s, d).where("n_domains > 1").orderBy(F.round("confidence", 6), "hash", "side").limit(20),
     "domain_tv_distance": lambda s, d: rounded(splits.variation(rows(s, d).where("usable"), F.col("split") == "train", "resume_domain"), "distance"),
-    "fold_assignment": lambda s, d: _each(lambda side: _folds(s, d, side)),
+    "fold_assignment": lambda s, d: _each(lambda side: _folds(s, d, side)[0]),
+    "fold_invariants": lambda s, d: _each(lambda side: splits.fold_invariants(*_folds(s, d, side))),
+    "cluster_manifest_checks": lambda s, d: splits.manifest_checks(*_whole_manifest(s, d)),
+    "cluster_manifest_overlaps": lambda s, d: reports.overlaps(_whole_manifest(s, d)[2]).select("fold", "resume_overlap", "jd_overlap"),
+    "cluster_inner_partition": _inner,
+    "manifest_overlaps": lambda s, d: reports.overlaps(_manifest(s, d)),
+    "manifest_sink": _stored,
+    "split_feasibility": lambda s, d: rounded(_strategies(s, d), "label_distance", "resume_domain_distance", "jd_domain_distance"),
+    "domain_conflict_counts": lambda s, d: _each(lambda side: reports.domain_counts(rows(s, d), side)),
+    "domain_confidence": lambda s, d: rounded(_each(lambda side: reports.confidence(splits.domains(rows(s, d), side))), *(f"{n}_{w}" for n in ("least", "median", "most") for w in ("all", "conflicting"))),
     "manifest_pairs": _manifest,
     "manifest_fold_report": lambda s, d: splits.fold_report(_manifest(s, d)),
     "manifest_checks": lambda s, d: splits.checks(_manifest(s, d)),
@@ -68,6 +132,9 @@ QUERIES = {
 }
 
 
+CHECKS = ("unique_resume_hashes", "unique_jd_hashes", "unique_pair_hashes", "resume_fold_coverage", "jd_fold_coverage", "resume_clusters_kept_together", "jd_clusters_kept_together", "pair_endpoints_exist", "roles_complete", "zero_train_test_document_overlap")
+
+
 def _fold(col: str, seed: int, folds: int) -> str:
     return f"CAST('0x' || substr(sha256('{seed}:' || {col}), 1, 7) AS BIGINT) % {folds}"
 
@@ -89,7 +156,7 @@ def _part(col: str, seed: int) -> str:
 
 
 def _held(side: str) -> str:
-    return f"""{side}_o AS (SELECT {side}_hash AS c, row_number() OVER (ORDER BY sha256('42:{side}:' || {side}_hash)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT {side}_hash FROM m)),
+    return f"""{side}_o AS (SELECT {side}_hash AS c, row_number() OVER (ORDER BY sha256('42:{side}:' || {side}_hash)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT {side}_hash FROM m WHERE fold_0_role = 'train')),
     {side}_v AS (SELECT c FROM {side}_o WHERE place <= greatest(1, least(n - 1, round_even(n * 0.2, 0))))"""
 
 
@@ -100,7 +167,7 @@ ORACLES = {
         SELECT round(sum(abs(a / (SELECT CAST(sum(a) AS DOUBLE) FROM c) - b / (SELECT CAST(sum(b) AS DOUBLE) FROM c))) / 2, 6) AS distance FROM c""",
     "manifest_pairs": f"WITH {_MANIFEST} SELECT * FROM m",
     "manifest_fold_report": f"WITH {_MANIFEST}, l AS ({_LONG}) SELECT fold, role, label, count(*) AS n FROM l GROUP BY 1, 2, 3",
-    "manifest_checks": f"""WITH {_MANIFEST}, l AS ({_LONG}), d AS (SELECT fold, role, resume_hash AS doc FROM l UNION SELECT fold, role, jd_hash FROM l),
+    "manifest_checks": f"""WITH {_MANIFEST}, l AS ({_LONG}), d AS (SELECT fold, role, 'resume:' || resume_hash AS doc FROM l UNION SELECT fold, role, 'jd:' || jd_hash FROM l),
         s AS (SELECT count(DISTINCT role) AS roles FROM d WHERE role <> 'discarded' GROUP BY fold, doc)
         SELECT (SELECT count(*) = count(DISTINCT pair_hash) FROM m) AS pairs_unique, (SELECT max(t) <= 1 FROM (SELECT count(*) FILTER (WHERE role = 'test') AS t FROM l GROUP BY pair_hash)) AS tested_once_at_most,
         (SELECT bool_and(length(pair_hash) = 64) FROM m) AS hashes_whole, (SELECT max(roles) <= 1 FROM s) AS no_document_in_train_and_test""",
@@ -108,5 +175,35 @@ ORACLES = {
         SELECT CASE WHEN a = b THEN a ELSE 'dropped' END AS part, count(*) AS n_rows, count(DISTINCT resume_hash) AS n_resumes, count(DISTINCT jd_hash) AS n_jds FROM h GROUP BY 1""",
     "inner_partition": f"""WITH {_MANIFEST}, {_held("resume")}, {_held("jd")}
         SELECT resume_hash, jd_hash, CASE WHEN a.c IS NOT NULL AND b.c IS NOT NULL THEN 'validation' WHEN a.c IS NULL AND b.c IS NULL THEN 'train' ELSE 'dropped' END AS part
-        FROM m LEFT JOIN resume_v a ON a.c = resume_hash LEFT JOIN jd_v b ON b.c = jd_hash""",
+        FROM m LEFT JOIN resume_v a ON a.c = resume_hash LEFT JOIN jd_v b ON b.c = jd_hash WHERE fold_0_role = 'train'""",
+    "fold_invariants": "SELECT unnest(['resume', 'jd']) AS side, true AS each_document_once, true AS all_folds_used, true AS clusters_whole, true AS domains_spread",
+    "cluster_manifest_checks": "SELECT " + ", ".join(f"true AS {c}" for c in CHECKS),
+    "cluster_manifest_overlaps": "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, CAST(0 AS BIGINT) AS resume_overlap, CAST(0 AS BIGINT) AS jd_overlap",
+    "cluster_inner_partition": "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, true AS has_train, true AS has_validation, CAST(0 AS BIGINT) AS shared_resume_clusters, CAST(0 AS BIGINT) AS shared_jd_clusters",
+    "manifest_overlaps": f"""WITH {_MANIFEST}, l AS ({_LONG}), o AS (SELECT fold, 'resume' AS side, resume_hash AS doc, count(DISTINCT role) AS n FROM l WHERE role <> 'discarded' GROUP BY 1, 2, 3 UNION ALL SELECT fold, 'jd', jd_hash, count(DISTINCT role) FROM l WHERE role <> 'discarded' GROUP BY 1, 2, 3)
+        SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE role = 'train') AS train_pairs, count(*) FILTER (WHERE role = 'test') AS test_pairs, count(*) FILTER (WHERE role = 'discarded') AS discarded_pairs,
+        (SELECT count(*) FROM o WHERE o.fold = l.fold AND side = 'resume' AND n > 1) AS resume_overlap, (SELECT count(*) FROM o WHERE o.fold = l.fold AND side = 'jd' AND n > 1) AS jd_overlap FROM l GROUP BY fold""",
+    "manifest_sink": f"WITH {_MANIFEST} SELECT count(*) AS n_rows, count(DISTINCT pair_hash) AS n_pairs, min(pair_hash) AS first_pair, max(pair_hash) AS last_pair FROM m",
+    "split_feasibility": f"""WITH {PAIRS}, dom AS ({_DOMAINS}), f AS (SELECT resume_hash, jd_hash, arg_min(label_norm, ordinal) AS label FROM used GROUP BY 1, 2),
+        g AS (SELECT *, {_fold("resume_hash", 42, 3)} AS r3, {_fold("jd_hash", 43, 3)} AS j3, {_fold("resume_hash", 42, 5)} AS r5, {_fold("jd_hash", 43, 5)} AS j5, {_part("resume_hash", 42)} AS rp, {_part("jd_hash", 43)} AS jp FROM f),
+        p AS ({" UNION ALL ".join(f"SELECT '{n}-fold' AS strategy, {k} AS fold, CASE WHEN r{n} = {k} THEN 'test' ELSE 'train' END AS part, resume_hash, jd_hash, label FROM g WHERE (r{n} = {k}) = (j{n} = {k})" for n in (3, 5) for k in range(n))}
+          UNION ALL SELECT '70/15/15', 0, rp, resume_hash, jd_hash, label FROM g WHERE rp = jp),
+        s AS (SELECT strategy, fold, part, count(*) AS pairs, count(DISTINCT resume_hash) AS resumes, count(DISTINCT jd_hash) AS jds FROM p GROUP BY ALL),
+        v AS (SELECT 'label' AS what, '' AS strategy, -1 AS fold, '' AS part, label AS k, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT side, '', -1, '', domain, count(*) FROM dom GROUP BY ALL
+          UNION ALL SELECT 'label', strategy, fold, part, label, count(*) FROM p GROUP BY ALL
+          UNION ALL SELECT 'resume', strategy, fold, part, domain, count(DISTINCT resume_hash) FROM p JOIN dom ON side = 'resume' AND hash = resume_hash GROUP BY ALL
+          UNION ALL SELECT 'jd', strategy, fold, part, domain, count(DISTINCT jd_hash) FROM p JOIN dom ON side = 'jd' AND hash = jd_hash GROUP BY ALL),
+        sh AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY what, strategy, fold, part) AS share FROM v),
+        t AS (SELECT s.strategy, s.fold, s.part, w.what, sum(abs(w.share - coalesce(o.share, 0))) / 2 AS dist, coalesce(string_agg(w.k, ',' ORDER BY w.k) FILTER (WHERE o.k IS NULL), '') AS absent
+          FROM s CROSS JOIN (SELECT * FROM sh WHERE fold = -1) w LEFT JOIN sh o ON o.strategy = s.strategy AND o.fold = s.fold AND o.part = s.part AND o.what = w.what AND o.k = w.k GROUP BY 1, 2, 3, 4)
+        SELECT s.strategy, CAST(s.fold AS INTEGER) AS fold, s.part, pairs, resumes, jds, round(max(dist) FILTER (WHERE what = 'label'), 6) + 0e0 AS label_distance, round(max(dist) FILTER (WHERE what = 'resume'), 6) + 0e0 AS resume_domain_distance,
+          max(absent) FILTER (WHERE what = 'resume') AS missing_resume_domains, round(max(dist) FILTER (WHERE what = 'jd'), 6) + 0e0 AS jd_domain_distance, max(absent) FILTER (WHERE what = 'jd') AS missing_jd_domains
+        FROM s JOIN t ON t.strategy = s.strategy AND t.fold = s.fold AND t.part = s.part GROUP BY ALL""",
+    "domain_conflict_counts": " UNION ALL ".join(
+        f"""SELECT '{s}' AS side, hash, string_agg(d || '=' || c, ',' ORDER BY d) AS counts FROM (WITH {PAIRS} SELECT {s}_hash AS hash, coalesce(nullif({s}_domain, ''), '<missing>') AS d, count(*) AS c FROM used GROUP BY 1, 2) GROUP BY hash HAVING count(*) > 1"""
+        for s in ("resume", "jd")
+    ),
+    "domain_confidence": f"""WITH {PAIRS}, d AS ({_DOMAINS}) SELECT side, count(*) AS documents, count(*) FILTER (WHERE n_domains > 1) AS conflicting, count(*) FILTER (WHERE n_domains > 1 AND tied) AS tied, """
+    + ", ".join(f"round(coalesce({f}(confidence) FILTER (WHERE {c}), 0), 6) + 0e0 AS {n}_{w}" for w, c in (("all", "true"), ("conflicting", "n_domains > 1")) for n, f in (("least", "min"), ("median", "median"), ("most", "max")))
+    + " FROM d GROUP BY side",
 }

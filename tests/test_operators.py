@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom import storage
-from matchloom.operators import applications, audit, graph, metrics, similarity, splits, vectors
+from matchloom.operators import applications, audit, graph, learn, metrics, model, order, similarity, splits, state, vectors
 from matchloom.plans import features, splitting
 from matchloom.streaming import jobs
 
@@ -49,13 +49,16 @@ def test_kernel_pooling_against_numpy(spark):
     k = np.array(vectors.kernels())
     soft = np.exp(-((left @ right.T)[:, :, None] - k[:, 0]) ** 2 / (2 * k[:, 1] ** 2)).sum(axis=0)
     want = np.log(np.maximum(soft, 1e-10)).sum(axis=0) * 0.01
-    got = {r.kernel: r.value for r in vectors.knrm(frame(left, 0), frame(right, 1)).collect()}
+    pair = spark.createDataFrame([(0, 1)], "l long, r long")
+    got = {r.kernel: r.value for r in vectors.knrm(pair, frame(left, 0), frame(right, 1)).collect()}
     assert np.allclose([got[i] for i in range(11)], want)
     x = np.log(np.maximum(soft / 5, 1e-10)) * 0.01
     stats = np.stack([x.mean(0), x.std(0), x.min(0), *np.quantile(x, [0.25, 0.5, 0.75], axis=0), x.max(0)], axis=1).ravel()
-    once = {r.feature: r.value for r in vectors.row_distribution(frame(left, 0), frame(right, 1)).collect()}
-    twice = {r.feature: r.value for r in vectors.row_distribution(frame(np.vstack([left, left]), 0), frame(right, 1)).collect()}
+    once = {r.feature: r.value for r in vectors.row_distribution(pair, frame(left, 0), frame(right, 1)).collect()}
+    twice = {r.feature: r.value for r in vectors.row_distribution(pair, frame(np.vstack([left, left]), 0), frame(right, 1)).collect()}
     assert np.allclose([once[i] for i in range(77)], stats) and np.allclose([twice[i] for i in range(77)], stats)
+    with pytest.raises(Exception, match="a document has no vectors"):
+        vectors.knrm(spark.createDataFrame([(0, 2)], "l long, r long"), frame(left, 0), frame(right, 1)).collect()
 
 
 def test_token_rows_have_no_bound(spark, tmp_path):
@@ -63,7 +66,7 @@ def test_token_rows_have_no_bound(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     for name in ("knrm_features", "knrm_row_distribution"):
         got = features.QUERIES[name](spark, str(tmp_path)).select("l", "r").distinct().collect()
-        assert {(r.l, r.r) for r in got} == {(62, 63), (62, 65), (64, 63), (64, 65)}
+        assert {(r.l, r.r) for r in got} == {(62, 63), (62, 65), (64, 65)}
 
 
 def test_similarity_golden_and_brute_force(spark):
@@ -133,6 +136,84 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == 500 and {r.component for r in got} == {0}
 
 
+def test_running_sums_of_crowded_values(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, float(x), int(n)) for k in ("a", "b") for x, n in {**dict(zip(rng.random(500) * 1e-9, rng.integers(1, 9, 500), strict=True)), 1.0: 3, 2.0: 4}.items()]
+    got = order.running(spark.createDataFrame(rows, "k string, x double, n long"), ["k"], "x", ["n"]).collect()
+    for k in ("a", "b"):
+        own = sorted((x, n) for key, x, n in rows if key == k)
+        want = dict(zip([x for x, _ in own], np.cumsum([n for _, n in own]).tolist(), strict=True))
+        assert {r.x: r.n_upto for r in got if r.k == k} == want and {r.n_all for r in got if r.k == k} == {sum(n for _, n in own)}
+
+
+def test_blocks_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "REFERENCE_ROWS", 20)
+    x = np.random.default_rng(12).normal(size=(90, 4))
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, vec array<double>, label int")
+    got = {(r.q, r["rank"]): r.vec_id for r in vectors.neighbours(rows.where("vec_id % 4 = 0"), rows, 5).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(q, k + 1): int(j) for q in range(0, 90, 4) for k, j in enumerate(np.argsort(d[q])[:5])}
+
+
+def test_residuals_against_numpy(spark):
+    rng = np.random.default_rng(13)
+    lens = rng.integers(1, 5000, size=(200, 2))
+    x = rng.normal(size=200) + lens @ [0.01, -0.002]
+    rows = spark.createDataFrame([(i, 0, float(x[i]), int(a), int(b)) for i, (a, b) in enumerate(lens)], "id long, dim int, x double, len_l long, len_r long")
+    got = {r.id: r.z for r in vectors.residuals(rows, F.col("id") < 150).collect()}
+    design = np.column_stack([np.ones(200), lens, np.log1p(lens)])
+    e = x - design @ np.linalg.lstsq(design[:150], x[:150], rcond=None)[0]
+    assert np.allclose([got[i] for i in range(200)], (e - e[:150].mean()) / e[:150].std(), atol=1e-6)
+
+
+def test_encoder_and_spans(spark):
+    docs = spark.createDataFrame([(1, "ab", ["x"] * 9), (2, None, ["x", "long", "x"]), (3, "", [])], "id long, text string, tokens array<string>")
+    out = vectors.encoded(docs.select("id", "text"), lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
+    assert {r.id: r.vec for r in out} == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    spans = vectors.fitted_spans(docs, lambda ts: sum(map(len, ts)), 5, 2).orderBy("id", "chunk").collect()
+    assert [(r.start, r.stop) for r in spans if r.id == 1] == [(0, 5), (3, 8), (6, 9)]
+    assert not [r for r in spans if r.id == 3]
+    short = vectors.fitted_spans(docs.where("id = 2"), lambda ts: sum(map(len, ts)), 5, 0).collect()
+    assert [(r.start, r.stop) for r in short] == [(0, 2), (2, 3)]
+
+
+def test_early_stopping_and_packed_scorer(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(600, 3))
+    y = (x @ [2.0, -1.0, 0.0] + 0.3 * rng.normal(size=600) > 0).astype(int)
+    w, epoch = learn.adam_fit(x, y, np.arange(600) % 5 == 0, rate=0.05)
+    assert ((x @ w[:3] + w[3] > 0) == y).mean() > 0.9 and 1 <= epoch <= 50
+    rows = spark.createDataFrame([(i, v.tolist(), int(c), i % 3) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id long, vec array<double>, y int, fold int")
+    got = learn.adam_scores(rows).collect()
+    assert len(got) == 600 and {r.fold for r in got} == {0, 1, 2}
+    assert np.mean([(r.probability > 0.5) == y[r.id] for r in got]) > 0.8
+    good = model.Scorer((0.0,), (1.0,), ((0.0,), (1.0,)), (0.0, 0.0), 1.0, 0.0, 0.5)
+    assert good.problems(good.fingerprint()) == [] and good.problems("x") == ["the fingerprint differs"]
+    assert len(model.Scorer((0.0,), (0.0,), ((0.0,), (1.0, 2.0)), (0.0, float("nan")), 1.0, 0.0, 2.0, ("a", "a")).problems()) == 5
+    one = spark.createDataFrame([([0.0],), ([3.0],)], "vec array<double>")
+    assert [r.label for r in model.scored(one, good).orderBy("probability").collect()] == ["Good Fit", "Good Fit"]
+    with pytest.raises(Exception, match="features are needed"):
+        model.scored(spark.createDataFrame([([1.0, 2.0],)], "vec array<double>"), good).collect()
+
+
+def test_best_threshold_may_be_above_all(spark):
+    rows = spark.createDataFrame([(1, 0.1), (0, 0.2), (0, 0.3), (0, 0.9)], "y int, p double")
+    at, value = metrics.threshold(rows).first()
+    assert at == np.nextafter(0.9, np.inf) and value == pytest.approx((0 + 6 / 7) / 2)
+
+
+def test_rename_and_insert(spark):
+    t = {"inputs": spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "application_key string, v int"), "runs": spark.createDataFrame([("a", 9), ("a", 8), ("z", 7)], "application_key string, v int")}
+    moves = spark.createDataFrame([("a", "x"), ("b", "c"), ("n", "y"), ("c", "c")], "old_key string, new_key string")
+    got = {n: sorted(map(tuple, d.collect())) for n, d in state.renamed(t, moves).items()}
+    assert got == {"inputs": [("b", 2), ("c", 3), ("x", 1)], "runs": [("x", 8), ("x", 9), ("z", 7)]}
+    new = spark.createDataFrame([("a", 5), ("d", 7), ("d", 6)], "application_key string, v int")
+    assert sorted(map(tuple, state.insert_new(t["inputs"], new, "application_key", "v").collect())) == [("a", 1), ("b", 2), ("c", 3), ("d", 6)]
+    assert sorted(map(tuple, state.deleted(t, spark.createDataFrame([("a",)], "application_key string"))["runs"].collect())) == [("z", 7)]
+
+
 def test_balanced_folds(spark):
     rng = random.Random(2)
     rows = [(f"d{i}", f"c{rng.randrange(120)}", rng.choice("xyyzz")) for i in range(600)]
@@ -155,7 +236,7 @@ def test_manifest_roles(spark):
     assert all(counts[f, "test"] == 4 and counts[f, "train"] == 16 and counts[f, "discarded"] == 16 for f in range(3))
     assert all(splits.checks(pairs).first())
     inner = splits.inner_partition(pairs).groupBy("part").count().collect()
-    assert sum(r["count"] for r in inner) == 36 and {r.part for r in inner} == {"train", "validation", "dropped"}
+    assert sum(r["count"] for r in inner) == 16 and {r.part for r in inner} == {"train", "validation", "dropped"}
 
 
 def test_domains_and_variation(spark):
@@ -175,23 +256,47 @@ def test_upsert_and_matches(spark):
 
 def test_job_rules():
     j = jobs.Job(1)
-    for kind, at, worker in (("claim", 0, 0), ("enqueue", 1, 0), ("enqueue", 2, 0), ("claim", 3, 0), ("claim", 4, 1), ("complete", 5, 1), ("claim", 3 + jobs.LEASE_S, 1), ("publish", 4 + jobs.LEASE_S, 1), ("claim", 9e9, 2), ("complete", 9e9, 1)):
+    lease = jobs.LEASE_S
+    for kind, at, worker in (("claim", 0, 0), ("enqueue", 1, 0), ("enqueue", 2, 0), ("claim", 3, 0), ("claim", 4, 1), ("complete", 5, 1), ("claim", 3 + lease, 1), ("publish", 4 + lease, 1), ("claim", 9e9, 2), ("complete", 9e9, 1)):
         jobs.step(j, kind, at, worker)
-    assert (j.status, j.attempts, j.applied, j.refused) == ("completed", 2, 5, 5)
+    assert (j.status, j.attempts, j.applied, j.refused, j.recovered) == ("completed", 2, 5, 5, 1)
+
+
+def test_job_attempts_fence_and_back_off():
+    j = jobs.Job(1)
+    for kind, at, attempt in (("enqueue", 0, None), ("claim", 1, None), ("fail", 2, 1), ("claim", 8, None), ("complete", 9, 1)):
+        jobs.step(j, kind, at, 0, attempt)
+    assert (j.status, j.attempts, j.refused) == ("running", 2, 1)  # the late event of the first attempt is refused
+    jobs.step(j, "fail", 10, 0, 2)
+    assert (j.status, j.next_run_at) == ("queued", 20)
+    jobs.step(j, "claim", 30, 0)
+    jobs.step(j, "complete", 31 + jobs.LEASE_S, 0, 3)  # its lease has ended
+    assert (j.status, j.owner, j.recovered) == ("queued", -1, 1)
 
 
 def test_stream_gives_what_replay_gives(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ordered = jobs.job_events(events).orderBy("at", "event_id").toPandas()
+    events = jobs.job_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    ordered = sorted((r.asDict() for r in events.collect()), key=lambda r: (r["at"], r["event_id"]))
+    kinds = events.schema
     half = len(ordered) // 2
-    for k, part in enumerate((ordered[:half], ordered[half:])):
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in (ordered[:half], ordered[half:]):
+        spark.createDataFrame([tuple(r.values()) for r in part], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = {}
 
     def keep(batch, _):
         seen.update({r.job: r for r in batch.collect()})
 
     jobs.stream(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    want = {r.job: r for r in jobs.replay(jobs.job_events(events)).collect()}
-    assert seen == want
+    last = ordered[-1]["at"]
+    want = {r.job: r for r in jobs.replay(events, until=int(last * 1000) / 1000).collect()}
+    assert seen == want and sum(r.recovered for r in want.values()) > 0
+    assert any(r.status == "queued" and r.recovered for r in want.values())
+
+
+def test_telemetry_writes_each_batch_once(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        jobs.telemetry(source, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
