@@ -61,3 +61,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def shipped(df: DataFrame, row_bytes: int) -> DataFrame:
     """The table with a broadcast hint if its rows, counted, times `row_bytes` are BROADCAST_BYTES at most."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def sink(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a table as Parquet with Zstandard and column statistics, to `path` or the shared folder, and read it back."""
+    where = path or fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
