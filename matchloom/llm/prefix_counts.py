@@ -5,7 +5,7 @@ next to the last token of what is left before it. Each prefix keeps that token a
 token count is a lookup, and the longest prefix within a budget is a search, with nothing encoded again.
 
 Pieces hold the blank mark only at their beginning, and runs of marks are pieces of a lower score than all others
-(both are checked when a vocabulary is loaded). So a text falls into segments, each a run of marks and what follows up
+(both are checked when a vocabulary is loaded, and that its normaliser leaves texts as they are). So a text falls into segments, each a run of marks and what follows up
 to the next mark, that are counted alone.
 """
 
@@ -24,11 +24,15 @@ from pyspark.sql import types as T
 from ._util import sliced, texts
 
 MARK = "▁"
+#: Characters that normalisers change: blanks in a row and at the ends, ligatures, wide and composed forms, controls.
+PROBE = " a  b\ufb01 \uff76\uff9e\u01fa\u212b\u2460A\u0301\t\nx\u00a0\u3000\u200b\u0007Z "
 
 
 class PrefixCounter:
     def __init__(self, path: str, cached: int = 1_000_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError("the vocabulary's normaliser changes texts")
         self.rank: dict[str, int] = {}
         self.single = set()
         runs, lowest = [], 0.0

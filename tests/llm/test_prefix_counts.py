@@ -53,3 +53,13 @@ def test_hard_rows(spark, library):
     for r in rows:
         assert r.n_tokens == len(library.encode(r.text or ""))
     assert prefix.token_counts(empty_docs(spark), PATH).collect() == []
+
+
+def test_normalisers_that_change_texts_are_refused(monkeypatch):
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def normalize(self, text, **more):
+            return super().normalize(text.casefold(), **more)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="normaliser"):
+        prefix.PrefixCounter(PATH)
