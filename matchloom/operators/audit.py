@@ -18,17 +18,23 @@ def prepared(pairs: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: totals, exact repeats, repeated pairs, distinct documents and pairs, conflicting pairs."""
-    per_pair = rows.where("usable").groupBy("resume_hash", "jd_hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label_norm").alias("labels"))
-    totals = rows.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("usable").alias("usable_rows"))
-    pairs = per_pair.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_pair_rows"),
-        F.coalesce(F.sum(F.col("n") - F.col("labels")), F.lit(0)).alias("exact_duplicate_rows"),
-        F.count(F.lit(1)).alias("unique_pairs"),
-        F.count_if(F.col("labels") > 1).alias("conflicting_pairs"),
+    """One row: totals, exact repeats, repeated pairs, distinct documents and pairs, conflicting pairs.
+
+    Texts are normalised and hashed once; all figures come from the counts of pairs, of which unusable rows are one.
+    """
+    usable = F.col("usable")
+    per_pair = rows.groupBy("usable", F.when(usable, F.col("resume_hash")).alias("r"), F.when(usable, F.col("jd_hash")).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label_norm").alias("labels"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_pair.agg(
+        total(F.col("n")).alias("total_rows"),
+        total(F.when(usable, F.col("n"))).alias("usable_rows"),
+        total(F.when(usable, F.col("n") - 1)).alias("repeated_pair_rows"),
+        total(F.when(usable, F.col("n") - F.col("labels"))).alias("exact_duplicate_rows"),
+        F.count_if("usable").alias("unique_pairs"),
+        F.count_if(usable & (F.col("labels") > 1)).alias("conflicting_pairs"),
+        F.count_distinct("r").alias("unique_resumes"),
+        F.count_distinct("j").alias("unique_jds"),
     )
-    docs = rows.where("usable").agg(F.count_distinct("resume_hash").alias("unique_resumes"), F.count_distinct("jd_hash").alias("unique_jds"))
-    return totals.crossJoin(pairs).crossJoin(docs)
 
 
 def missing(rows: DataFrame) -> DataFrame:

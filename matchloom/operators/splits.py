@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = "<missing>"
+#: Clusters that one task deals out.
+PART_CLUSTERS = 100_000
 
 
 def domains(rows: DataFrame, side: str) -> DataFrame:
@@ -33,13 +35,14 @@ def hash_fold(col: Column, seed: int, folds: int) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), col), 256), 1, 7), 16, 10).cast("long") % folds
 
 
-def balanced_folds(members: DataFrame, folds: int, seed: int, parts: int = 16) -> DataFrame:
+def balanced_folds(members: DataFrame, folds: int, seed: int, parts: int | None = None) -> DataFrame:
     """(hash, fold) of documents (hash, cluster, class): clusters stay whole and classes are spread evenly.
 
-    Clusters are dealt to `parts` by hash; each part gives them out from the largest on, always to the fold that has the
+    Clusters are dealt to `parts` by hash (16, or one for each PART_CLUSTERS if that is more); each part gives them out from the largest on, always to the fold that has the
     fewest documents of the cluster's classes so far. So each part is balanced, and with it the whole, and no task
     sees all clusters.
     """
+    parts = parts or max(16, -(-members.select("cluster").distinct().count() // PART_CLUSTERS))
     groups = members.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("classes"), F.sum("n").alias("size"))
     keyed = groups.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "cluster"), 256)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
 

@@ -10,13 +10,52 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds that a publication without a trace stays uncertain before it is tried again.
 UNCERTAIN_S = 900
+#: Columns of the service's tables.
+SCHEMAS = {
+    "scoring_inputs": "application_key string, canonical_url string, source_job_id string, job_description string, job_description_hash string, description_provenance string, captured_at timestamp, extraction_quality string, resume_version string, resume_path string, resume_content_hash string, role_company_key string",
+    "score_runs": "id long, application_key string, input_fingerprint string, score double, band string, matched_terms array<string>, category_breakdown map<string,double>, scorer_version string, embedding_model string, deployment_revision string, fit_label string, fit_probability double, decision_threshold double, is_application_time boolean",
+    "score_jobs": "id long, application_key string, idempotency_key string, input_fingerprint string, status string, attempt_count long, next_run_at timestamp, lease_owner string, lease_until timestamp, publishing boolean, last_error string, updated_at timestamp",
+    "score_cache": "cache_key string, result_json string, expires_at timestamp",
+    "worker_heartbeats": "worker_id string, updated_at timestamp",
+}
+JOB_STATES = ("waiting_application", "queued", "running", "completed", "failed", "cancelled")
+QUALITIES = ("complete", "partial", "unavailable")
 #: Qualities of a description that a worker takes.
 SCORABLE = ("complete", "partial")
 
 
+def migrated(rows: DataFrame, table: str, **defaults: object) -> DataFrame:
+    """Rows in the columns of a table of SCHEMAS: absent ones are added with a default or null, others dropped."""
+    fields = T.StructType.fromDDL(SCHEMAS[table]).fields
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def violations(inputs: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(rule, n): how many rows break each rule that a database would enforce."""
+    repeated = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    count = lambda rows, wrong: rows.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("n"))
+    found = {
+        "inputs_key_unique": repeated(inputs, "application_key"),
+        "inputs_quality_known": count(inputs, ~F.col("extraction_quality").isin(*QUALITIES)),
+        "jobs_fingerprint_unique": repeated(jobs, "input_fingerprint"),
+        "jobs_status_known": count(jobs, ~F.col("status").isin(*JOB_STATES)),
+        "jobs_input_known": jobs.join(inputs, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("n")),
+        "jobs_lease_only_if_running": count(jobs, (F.col("status") == "running") != F.col("lease_until").isNotNull()),
+        "runs_fingerprint_unique": repeated(runs.where("input_fingerprint IS NOT NULL"), "input_fingerprint"),
+        "runs_score_in_range": count(runs, ~F.col("score").between(0, 100)),
+        "runs_input_known": runs.join(inputs, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("n")),
+    }
+    out = None
+    for rule, rows in found.items():
+        part = rows.select(F.lit(rule).alias("rule"), F.col("n").cast("long").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def moment(at: datetime.datetime) -> Column:
     return F.lit(at.isoformat(sep=" ")).cast("timestamp")
 

@@ -164,6 +164,8 @@ QUERIES = {
     "score_presentation": _shown,
     "score_breakdown": _breakdown,
     "retry_delays": _retries,
+    "state_violations": lambda s, d: st.violations(src.inputs(s, d), src.jobs(s, d), src.runs(s, d)),
+    "application_dates": lambda s, d: b.applications(s, d).select("o_orderkey", text.day(F.when(F.col("o_orderkey") % 3 == 0, "1998-2-3").when(F.col("o_orderkey") % 5 == 0, "1998-02-30T1").otherwise(F.concat(F.col("applied").cast("string"), F.lit("T10:00Z")))).cast("string").alias("day")),
 }
 
 _INPUTS = f"""{APPS}, first AS (SELECT application_key, min(o_orderkey) AS k FROM apps GROUP BY 1),
@@ -251,5 +253,12 @@ ORACLES = {
     "score_breakdown": """WITH r AS (SELECT l_orderkey AS run_id, 2 * avg(l_quantity) AS score FROM lineitem GROUP BY 1),
         v AS (SELECT run_id, 'Bonus' AS label, run_id % 100 + 0.25e0 AS x FROM r UNION ALL SELECT run_id, 'Core', score FROM r UNION ALL SELECT run_id, 'Required', (run_id % 1000) / 10.0e0 FROM r WHERE run_id % 3 <> 0),
         t AS (SELECT label, floor(x * 10 + 0.5) / 10 AS value FROM v) SELECT label, CASE WHEN value >= 75 THEN 'score-high' WHEN value >= 55 THEN 'score-moderate' ELSE 'score-low' END AS class, count(*) AS n FROM t GROUP BY 1, 2""",
+    "state_violations": f"""WITH {_INPUTS}, sr AS (SELECT runs.*, (SELECT 2 * avg(l_quantity) FROM lineitem WHERE l_orderkey = run_id) AS score FROM runs)
+        SELECT 'inputs_key_unique' AS rule, count(*) - count(DISTINCT application_key) AS n FROM i UNION ALL SELECT 'inputs_quality_known', count(*) FILTER (WHERE extraction_quality NOT IN ('complete', 'partial', 'unavailable')) FROM i
+        UNION ALL SELECT 'jobs_fingerprint_unique', count(*) - count(DISTINCT input_fingerprint) FROM jobs UNION ALL SELECT 'jobs_status_known', count(*) FILTER (WHERE status NOT IN ('waiting_application', 'queued', 'running', 'completed', 'failed', 'cancelled')) FROM jobs
+        UNION ALL SELECT 'jobs_input_known', count(*) FROM jobs WHERE application_key NOT IN (SELECT application_key FROM i) UNION ALL SELECT 'jobs_lease_only_if_running', count(*) FILTER (WHERE (status = 'running') <> (lease_until IS NOT NULL)) FROM jobs
+        UNION ALL SELECT 'runs_fingerprint_unique', count(input_fingerprint) - count(DISTINCT input_fingerprint) FROM runs UNION ALL SELECT 'runs_score_in_range', count(*) FILTER (WHERE NOT score BETWEEN 0 AND 100) FROM sr
+        UNION ALL SELECT 'runs_input_known', count(*) FROM runs WHERE application_key NOT IN (SELECT application_key FROM i)""",
+    "application_dates": f"WITH {APPS} SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN CAST(applied AS VARCHAR) END AS day FROM apps",
     "retry_delays": f"WITH {_INPUTS} SELECT id, 5e0 * power(2e0, greatest(0, attempt_count - 1)) AS delay FROM jobs",
 }

@@ -172,7 +172,7 @@ def test_encoder_and_spans(spark):
     docs = spark.createDataFrame([(1, "ab", ["x"] * 9), (2, None, ["x", "long", "x"]), (3, "", [])], "id long, text string, tokens array<string>")
     out = vectors.encoded(docs.select("id", "text"), lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
     assert {r.id: r.vec for r in out} == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
-    spans = vectors.fitted_spans(docs, lambda ts: sum(map(len, ts)), 5, 2).orderBy("id", "chunk").collect()
+    spans = vectors.fitted_spans(docs.where("id <> 2"), lambda ts: sum(map(len, ts)), 5, 2).orderBy("id", "chunk").collect()
     assert [(r.start, r.stop) for r in spans if r.id == 1] == [(0, 5), (3, 8), (6, 9)]
     assert not [r for r in spans if r.id == 3]
     short = vectors.fitted_spans(docs.where("id = 2"), lambda ts: sum(map(len, ts)), 5, 0).collect()
