@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.storage import discard, written
 
+#: Edges, in both directions, that one task joins by itself; the result is that of the rounds.
+FEW_EDGES = 1000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of a task, smaller vertices being roots."""
+    parent: dict = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("src").type
+        for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([root(v) for v in list(parent)], kind)], names=["vertex", "component"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of an edge table (src, dst): the smallest vertex that can be reached.
@@ -15,10 +41,15 @@ def components(edges: DataFrame) -> DataFrame:
     that whole trees are hooked and not single vertices, and then takes the component's own (pointer jumping). The
     rounds grow with the log of the longest path and go on until nothing moves. Labels are written after each round;
     minima over edges combine on the map side, and joins read written tables, so that adaptive execution can split hot
-    vertices. Edges with a null end are left out.
+    vertices. Edges with a null end are left out. At most FEW_EDGES edges are joined by one task instead.
     """
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    if both.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        kind = both.schema["src"].dataType.simpleString()
+        found = written(both.coalesce(1).mapInArrow(_joined, f"vertex {kind}, component {kind}"), "components")
+        discard(both)
+        return found
     state = written(both.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("m")).select("vertex", F.least("vertex", "m").alias("component"), F.lit(True).alias("moved")), "components")
     while True:
         low = both.join(state.select(F.col("vertex").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("low"))

@@ -100,10 +100,15 @@ def test_near_copies_of_both_sides(spark, sf_dir):
         assert 0 < n <= sum(k == side for k, _ in want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (150, 200)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and got[300] == 300
+    named = graph.components(spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y"), (None, "q")], "src string, dst string")).collect()
+    assert {r.vertex: r.component for r in named} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
 def zigzag(n):
@@ -115,6 +120,7 @@ def test_components_in_few_rounds(spark, monkeypatch):
     tables = []
     monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or storage.written(df, name))
     path = random.Random(7).sample(range(1000, 4000), 3000)
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
     edges = [(a, b) for chain in (zigzag(140), path) for a, b in zip(chain, chain[1:], strict=False)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert len(got) == 3140 and all(c == (0 if v < 1000 else 1000) for v, c in got.items())
