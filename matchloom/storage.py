@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows times their width up to which a table is broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +59,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def shipped(df: DataFrame, row_bytes: int) -> DataFrame:
-    """The table with a broadcast hint if its rows, counted, times `row_bytes` are BROADCAST_BYTES at most."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """The table with a broadcast hint if its rows, counted, times `row_bytes` are BROADCAST_BYTES at most, else to be merged.
+
+    Without the second hint a table could still be broadcast for the small size of its compressed files.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def sink(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
