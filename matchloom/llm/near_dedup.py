@@ -124,6 +124,8 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
     The members b of a lead a are dealt into runs of about RUN_ROWS; a run gets the lead's set once and then its members.
     """
     pairs = written(pairs, "candidate-pairs")
+    if not pairs.limit(1).count():
+        return pairs
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
     elements = written(sets_of(wanted), "candidate-sets")
     runs = F.ceil(F.col("n") / RUN_ROWS)
@@ -161,6 +163,9 @@ def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         out._matchloom_path = found._matchloom_path
         return out
     ends = written(links.select("a", "b").distinct(), "more-links")
+    if not ends.limit(1).count():
+        discard(ends)
+        return labels
     left, right = (labels.select(F.col("id").alias(e), F.col("label").alias(f"l{e}")) for e in "ab")
     coarse = ends.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("src"), F.coalesce("lb", "b").alias("dst"))
     joined = components(coarse)
