@@ -35,11 +35,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/matchloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder as Parquet and read them back."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write the rows to the shared folder as Parquet, by folders of some columns if named, and read them back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._matchloom_path = path
     return back
