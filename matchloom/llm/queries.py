@@ -17,7 +17,8 @@ from . import line_dedup as line
 from . import near_dedup as near
 from . import prefix_counts as prefix
 from . import quality as quality_model
-from . import warc
+from . import sharding, trie, warc
+from . import window_panes as panes
 from ._util import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(docs).drop("text", "matches")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.rebuilt(trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    text = F.coalesce("row.text", F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    placed = sharding.slots(stored, F.col("row.doc_id").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revised_panes(panes.click_batches(table(spark, sf_dir, "clicks")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sharding": op12_sharding,
+    "op13_window_panes": op13_window_panes,
 }
 
 #: A-Z to a-z and nothing else.
