@@ -108,6 +108,28 @@ QUERIES: dict[str, Query] = {
 #: A-Z to a-z and nothing else.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of single bytes, from its polynomial; DuckDB has no such function.
+_POLYNOMIAL = 0xEDB88320
+
+
+def _crc_of_byte(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (_POLYNOMIAL if c & 1 else 0)
+    return c
+
+
+_CRC_TABLE = "[" + ", ".join(f"{_crc_of_byte(i)}::BIGINT" for i in range(256)) + "]"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text."""
+    letters = f"list_transform(range(1, len({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({letters}, lambda c, x: xor(c >> 8, {_CRC_TABLE}[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_TURN_KEY = "substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)"
+_HOUR_US, _DAY_US = 3_600_000_000, 86_400_000_000
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -130,4 +152,38 @@ ORACLES: dict[str, str] = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    "op11_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_KEY}) AS seq, {_TURN_KEY} AS k,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT t.* FROM t JOIN c ON t.conv_id = c.conv_id WHERE seq > h
+              UNION ALL SELECT c.conv_id, seq, k, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE seq <= h),
+        w AS (SELECT c.conv_id, coalesce(string_agg(k, '' ORDER BY seq), '') AS name, list(words ORDER BY seq) AS words, count(k) AS n FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+        p AS (SELECT conv_id, n, name, words, unnest(range(n + 1)) AS depth FROM w),
+        g AS (SELECT substr(name, 1, 32 * depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+                     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+        k AS (SELECT substr(node, 1, 32 * (depth - 1)) AS node, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+        f AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k ON k.node = g.node),
+        s AS (SELECT substr(node, 1, 32 * up) AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+              FROM (SELECT *, unnest(range(depth + 1)) AS up FROM f) GROUP BY 1)
+        SELECT f.conv_id, f.depth, above.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+        FROM f JOIN s ON s.node = f.node LEFT JOIN g above ON f.depth > 0 AND above.node = substr(f.node, 1, 32 * (f.depth - 1))""",
+    "op13_window_panes": f"""
+        WITH one AS (SELECT *, epoch_us(coalesce(arrived_at, ts)) // {_DAY_US} AS day FROM clicks WHERE ts IS NOT NULL
+                     QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, coalesce(arrived_at, ts), kind NULLS FIRST, value NULLS FIRST) = 1),
+        r AS (SELECT click_id, least(11, day % 12 + CASE WHEN click_id IS NULL THEN 0 ELSE greatest(0, {_crc32("CAST(click_id AS VARCHAR)")} % 30 - 23) END) AS batch,
+                     epoch_us(ts) - (day - day % 12) * {_DAY_US} AS event, coalesce(kind, 'none') AS kind, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents FROM one),
+        h AS (SELECT *, CAST(floor(event / {_HOUR_US}.0) AS BIGINT) AS hour FROM r),
+        w AS (SELECT b AS batch, (SELECT max(event) FROM r WHERE r.batch < b) AS w FROM range(12) t(b)),
+        x AS (SELECT h.*, coalesce(w.w >= (hour + 1) * {_HOUR_US} + 3 * {_DAY_US}, false) AS late FROM h JOIN w ON w.batch = h.batch),
+        a AS (SELECT kind, hour, batch, count(*) AS n, sum(cents) AS c FROM x WHERE NOT late GROUP BY ALL),
+        u AS (SELECT *, sum(n) OVER o AS n_upto, sum(c) OVER o AS c_upto, lead(batch) OVER o AS next_batch, min(batch) OVER (PARTITION BY kind, hour) AS first_batch,
+                     (SELECT min(w.batch) FROM w WHERE w.w >= (a.hour + 3) * {_HOUR_US}) AS due FROM a WINDOW o AS (PARTITION BY kind, hour ORDER BY batch)),
+        e AS (SELECT *, greatest(first_batch, due) AS emitted FROM u),
+        o AS (SELECT batch, hour, click_id, 1 AS n_rows, cents, 'late' AS record, kind FROM x WHERE late
+              UNION ALL SELECT emitted, hour, -1, n_upto, c_upto, 'emit', kind FROM e WHERE due IS NOT NULL AND batch <= emitted AND (next_batch IS NULL OR next_batch > emitted)
+              UNION ALL SELECT 11, hour, -1, n_upto, c_upto, 'final', kind FROM e WHERE due IS NULL AND next_batch IS NULL
+              UNION ALL SELECT batch, hour, -1, n_upto - n, c_upto - c, 'retract', kind FROM e WHERE due IS NOT NULL AND batch > emitted
+              UNION ALL SELECT batch, hour, -1, n_upto, c_upto, 'replace', kind FROM e WHERE due IS NOT NULL AND batch > emitted)
+        SELECT CAST(batch AS BIGINT) AS batch, hour, coalesce(click_id, -1) AS click_id, CAST(n_rows AS BIGINT) AS n_rows, CAST(cents AS BIGINT) AS cents, record, kind FROM o""",
 }

@@ -27,10 +27,11 @@ CONTROL, SUMS, LATE = 0, 1, 2
 FEED = "click_id long, kind string, hour long, cents long, w long, last boolean, control boolean, shard int"
 PARTIAL = "shard int, what int, kind string, hour long, click_id long, n_rows long, cents long, w long, last boolean"
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
-#: Map state needs RocksDB; with a log of changes a commit doesn't upload whole files.
+#: Map state needs RocksDB; with a log of changes a commit doesn't upload whole files. There are many small stores, so files aren't preallocated.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
