@@ -45,7 +45,7 @@ def _byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 600_000, cached_bytes: int = 128 << 20):
         model = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
         spell = lambda token: bytes(alphabet[c] for c in token)
@@ -77,7 +77,7 @@ class ByteBPE:
         self.good = np.empty(0, np.int64)  # checked pairs, sorted, and whether they stand
         self.stands = np.empty(0, bool)
         self.known: dict[str, bytes] = {}  # encodings of words and of chunks
-        self.cached = cached
+        self.cached, self.cached_bytes, self.held = cached, cached_bytes, 0
         self.proposed = self.failed = 0
 
     def _merge_long(self, word: bytes) -> list[int]:
@@ -190,11 +190,13 @@ class ByteBPE:
         failed = np.flatnonzero(fails).tolist()
         for i, merged in zip(failed, self.merge_all([spelled[i] for i in failed]), strict=True):
             known[words[i]] = merged
+        self.held += 4 * len(run) + len(ids)
 
     def _encode_chunks(self, chunks: set[str]) -> None:
-        """Put the encodings of all these chunks into the cache."""
-        if len(self.known) + len(chunks) > self.cached:
+        """Put the encodings of all these chunks into the cache, which forgets all when it is full by entries or by bytes."""
+        if len(self.known) + len(chunks) > self.cached or self.held > self.cached_bytes:
             self.known.clear()
+            self.held = 0
         new = [c for c in chunks if c not in self.known]
         for lo in range(0, len(new), 20_000):
             part = [PATTERN.findall(c) for c in new[lo : lo + 20_000]]
@@ -202,7 +204,8 @@ class ByteBPE:
                 self._encode_words(words)
             for chunk, p in zip(new[lo : lo + 20_000], part, strict=True):
                 if len(p) != 1:
-                    self.known[chunk] = b"".join([self.known[w] for w in p])
+                    self.known[chunk] = joined = b"".join([self.known[w] for w in p])
+                    self.held += 4 * len(chunk) + len(joined)
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -247,8 +250,9 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     decoded_sha256 instead. Bytes that aren't UTF-8 are decoded to U+FFFD, as the tokenizers library does.
 
     Null and empty texts have no tokens. Each row is treated alone, so ties, repeated rows and other columns don't
-    matter; columns with an added name are replaced. An empty table gives an empty result. Caches of words and pairs
-    are bounded, and memory is that of about 2 MB of text, or the longest text.
+    matter; columns with an added name are replaced. An empty table gives an empty result. The cache of words
+    and chunks is bounded by entries and bytes (128 MB and what one slice adds), that of pairs by entries (36 MB); besides them, memory is that of about
+    2 MB of text, or the longest text.
     """
     added = DIGESTS if digests else ENCODED
     rest = [f for f in docs.schema.fields if f.name not in dict(added)]

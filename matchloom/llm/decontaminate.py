@@ -6,6 +6,11 @@ the document is. Items and windows get MinHash signatures, one value a band. If
 item of n shingles, in one place or in several, a register of the item equals that of some window with a probability of
 t n / (n + window) at least; so the threshold on containment gives the number of registers that a partition needs for a
 miss to be as rare as MISS. Candidates are verified on their whole shingle sets.
+
+Items of one form (a common header, say) share register values, and so do all documents with that form. A value of more
+than FEW_ITEMS items therefore makes a candidate only if the document also has one of the item's rarest shingles: of
+n shingles at least ceil(t n) are in a document that contains the item, so one of any n - ceil(t n) + 1 is, and these are chosen by
+how few items have them.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import discard, raw_texts, shipped, sliced, text_key, written
@@ -29,6 +34,8 @@ MISS = 1e-6
 #: The filter that documents' register values pass has this many bits for each of the items' values, and MOST_BITS at most.
 BITS_PER_VALUE, MOST_BITS = 64, 1 << 27
 SLICE_BYTES = 384 << 10
+#: Items up to which a register value by itself makes candidates.
+FEW_ITEMS = 2
 
 
 def partition_of(size: int) -> int:
@@ -128,20 +135,29 @@ def item_table(benchmark: DataFrame, text_col: str, width: int, threshold: float
 
 
 def value_filter(values: DataFrame, n_values: int) -> np.ndarray:
-    """A bitmap of the leading bits of all `values` (key), made by a native aggregation; MOST_BITS at most."""
+    """A bitmap in which two bits are set for each of `values` (key), from its leading and its last bits; MOST_BITS at most.
+
+    It is made by a native aggregation. With BITS_PER_VALUE one other value in 1,000 passes, with a quarter of it one in 70.
+    """
     bits = min(MOST_BITS, max(1 << 15, 1 << (n_values * BITS_PER_VALUE).bit_length()))
-    place = F.shiftrightunsigned("key", 65 - bits.bit_length()) + 1
-    parts = values.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    places = F.array(F.shiftrightunsigned("key", 65 - bits.bit_length()), F.col("key").bitwiseAND(F.lit(bits - 1)))
+    place = F.col("place") + 1
+    parts = values.select(F.explode(places).alias("place")).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in parts:
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def passing(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values pass the bitmap."""
+    bits = len(known) * 8
+    first, last = (values >> np.uint64(65 - bits.bit_length())).astype(np.int64), (values & np.uint64(bits - 1)).astype(np.int64)
+    return ((known[first >> 3] >> (first & 7).astype(np.uint8)) & (known[last >> 3] >> (last & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def document_values(docs: DataFrame, text_col: str, classes: dict[int, list[int]], known: np.ndarray, threshold: float) -> DataFrame:
     """(k1, k2, key): the windows' register values that pass the filter, once for each text hash and value of a row."""
-    shift = np.uint64(64 - (len(known) * 8).bit_length() + 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordHashes(), Signer(threshold)
         for batch in sliced(batches, "body", SLICE_BYTES):
@@ -159,8 +175,7 @@ def document_values(docs: DataFrame, text_col: str, classes: dict[int, list[int]
                     continue
                 present = np.flatnonzero(lengths)
                 for values, owner in signer.windows(width, parts, shingles, lengths[present]):
-                    at = (values >> shift).astype(np.int64)
-                    hit = np.nonzero(known[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    hit = np.nonzero(passing(known, values))
                     rows.append(present[owner[hit[1]]])
                     keys.append(values[hit])
             if rows:
@@ -172,6 +187,63 @@ def document_values(docs: DataFrame, text_col: str, classes: dict[int, list[int]
     return docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("body")).mapInArrow(run, "k1 long, k2 long, key long")
 
 
+def rarest(items: DataFrame, threshold: float) -> DataFrame:
+    """(key, i1, i2): of each item's n shingles the n - ceil(threshold n) + 1 that the fewest of `items` have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i1, i2, elements in zip(*(batch.column(c).to_pylist() for c in ("i1", "i2", "elements")), strict=True):
+                keys = np.frombuffer(elements, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i1)), pa.array(np.full(len(keys), i2)), pa.array(keys)], names=["i1", "i2", "key"])
+
+    rows = written(items.select("i1", "i2", "elements").mapInArrow(run, "i1 long, i2 long, key long"), "item-shingles")
+    counted = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_items")), "key")
+    own = Window.partitionBy("i1", "i2")
+    ranked = counted.select("key", "i1", "i2", F.row_number().over(own.orderBy("n_items", "key")).alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    first = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("key", "i1", "i2"), "rarest-shingles")
+    discard(rows)
+    return first
+
+
+def shingles_in(bodies: DataFrame, widths: list[int], known: np.ndarray) -> DataFrame:
+    """(k1, k2, key): the distinct shingles of texts (k1, k2, body) that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in sliced(batches, "body", SLICE_BYTES):
+            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), raw_texts(batch, "body"), strict=True):
+                codes = words.codes(text)
+                found = np.concatenate([np.empty(0, np.uint64), *(np.unique(combine(codes, w)) for w in widths if len(codes) >= w)])
+                keys = found[passing(known, found)]
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k1)), pa.array(np.full(len(keys), k2)), pa.array(keys.view(np.int64))], names=["k1", "k2", "key"])
+
+    return bodies.mapInArrow(run, "k1 long, k2 long, key long")
+
+
+def candidates(docs: DataFrame, text_col: str, items: DataFrame, hits: DataFrame, values: DataFrame, widths: list[int], threshold: float) -> DataFrame:
+    """(k1, k2, i1, i2, matches) of texts and items that share register values; see the module about values of many items."""
+    sizes = written(values.groupBy("key").agg((F.count(F.lit(1)) > FEW_ITEMS).alias("many")), "value-sizes")
+    sized = values.join(sizes, "key")
+    found = hits.join(sized.where("NOT many"), "key").select("k1", "k2", "i1", "i2").distinct()
+    common = sizes.where("many").select("key")
+    if common.limit(1).count():
+        first = rarest(items.join(sized.where("many").select("i1", "i2").distinct(), ["i1", "i2"], "left_semi"), threshold)
+        texts = written(hits.join(common, "key", "left_semi").select("k1", "k2").distinct(), "common-texts")
+        present = written(shingles_in(bodies_of(docs, text_col, texts), widths, value_filter(first, first.count())), "common-shingles")
+        met = present.join(first, "key").select("k1", "k2", "i1", "i2").distinct()
+        found = found.unionAll(met).distinct()
+    pairs = written(found, "candidate-pairs")
+    shared = pairs.join(hits, ["k1", "k2"]).join(values, ["i1", "i2", "key"])
+    return written(shared.groupBy("k1", "k2", "i1", "i2").agg(F.count_distinct("key").alias("matches")), "candidates")
+
+
+def bodies_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, body): the texts with the wanted hashes, each once."""
+    keyed = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    return keyed.join(shipped(wanted, 16), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("body").alias("body"))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, threshold: float, width: int) -> DataFrame | None:
     """Links (k1, k2, i1, i2, part, matches, n_item_shingles, n_shared) between text hashes of documents and items, written; None without items."""
     items = written(item_table(benchmark, item_text_col, width, threshold), "benchmark-items")
@@ -184,28 +256,32 @@ def contained(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_co
         return None
     known = value_filter(values, values.count())
     hits = written(document_values(docs, text_col, classes, known, threshold), "window-values")
-    pairs = written(hits.join(values, "key").groupBy("k1", "k2", "i1", "i2").agg(F.count_distinct("key").alias("matches")), "candidates")
+    pairs = candidates(docs, text_col, items, hits, values, sorted(classes), threshold)
     wanted = written(pairs.select("k1", "k2").distinct(), "candidate-texts")
-    keyed = docs.select(*text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    bodies = keyed.join(shipped(wanted, 16), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("body").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        last, codes, sets = None, np.empty(0, np.uint64), {}
+        codes, sets = np.empty(0, np.uint64), {}
+        names = ["k1", "k2", "i1", "i2", "part", "matches"]
         for batch in sliced(batches, "body", 1 << 20):
-            shared = []
-            for k1, k2, own, elements, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "width", "elements")), raw_texts(batch, "body"), strict=True):
-                if (k1, k2) != last:
-                    last, codes, sets = (k1, k2), words.codes(text), {}
+            at, sizes, shared = [], [], []
+            for i, (own, elements, text) in enumerate(zip(batch.column("width").to_pylist(), batch.column("elements").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist(), strict=True)):
+                if text is not None:  # the text comes before its items
+                    codes, sets = words.codes(text), {}
+                    continue
                 if own not in sets:
                     sets[own] = np.unique(combine(codes, own)) if len(codes) >= own else np.empty(0, np.uint64)
+                at.append(i)
+                sizes.append(len(elements) // 8)
                 shared.append(len(np.intersect1d(sets[own], np.frombuffer(elements, np.uint64), assume_unique=True)))
-            sizes = np.array([len(e) // 8 for e in batch.column("elements").to_pylist()])
-            kept = batch.select(["k1", "k2", "i1", "i2", "part", "matches"])
-            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], names=[*kept.schema.names, "n_item_shingles", "n_shared"])
-            yield out.filter(pa.array(np.array(shared) >= threshold * sizes - 1e-9))
-
-    full = pairs.join(items.drop("keys"), ["i1", "i2"]).join(bodies, ["k1", "k2"])
+            kept = batch.select(names).take(pa.array(at, pa.int64()))
+            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], names=[*names, "n_item_shingles", "n_shared"])
+            yield out.filter(pa.array(np.array(shared) >= threshold * np.array(sizes) - 1e-9, pa.bool_()))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = pairs.join(items.drop("keys"), ["i1", "i2"]).select("k1", "k2", "i1", "i2", "width", "part", "elements", "matches", none("string").alias("body"))
+    whole = bodies_of(docs, text_col, wanted).select("k1", "k2", none("long"), none("long"), none("int"), none("int"), none("binary"), none("long"), "body")
+    full = asked.unionAll(whole).repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.asc_nulls_first("i1"), "i2")
     links = written(full.mapInArrow(run, "k1 long, k2 long, i1 long, i2 long, part int, matches long, n_item_shingles long, n_shared long"), "benchmark-links")
     discard(items, hits, pairs, wanted)
     return links

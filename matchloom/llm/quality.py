@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import sliced, texts
+from ._util import sliced, text_key, texts
 
 BUCKETS = 1 << 11
 #: Characters of the longest word that a worker remembers; longer ones are looked at anew.
@@ -131,11 +131,11 @@ def unpack(packed: np.ndarray) -> np.ndarray:
     return np.asarray(packed)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-FEATURES = "pattern long, buckets array<int>, shares array<float>"
+FEATURES = "k1 long, k2 long, pattern long, buckets array<int>, shares array<float>"
 
 
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed votes and sparse hashed features of each whole text: id (of any type), pattern, buckets, shares.
+    """Packed votes and sparse hashed features of each whole text: id (of any type), its 128-bit hash, pattern, buckets, shares.
 
     Null and blank texts have the vote "bad" for their length and no features. Very long texts have more words, but at
     most BUCKETS features. Other columns, whatever their names, are not read. An empty table gives an empty result.
@@ -146,11 +146,11 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for batch in sliced(batches, "body", 2 << 20):
             seen = [look(t, shapes) for t in texts(batch, "body")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([p for p, _, _ in seen], pa.int64()), pa.array([b for _, b, _ in seen], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, _, v in seen], pa.list_(pa.float32()))],
-                names=["id", "pattern", "buckets", "shares"],
+                [*(batch.column(c) for c in ("id", "k1", "k2")), pa.array([p for p, _, _ in seen], pa.int64()), pa.array([b for _, b, _ in seen], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, _, v in seen], pa.list_(pa.float32()))],
+                names=["id", "k1", "k2", "pattern", "buckets", "shares"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {FEATURES}")
+    return docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).alias("body")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {FEATURES}")
 
 
 def dense(batch: pa.RecordBatch) -> np.ndarray:
@@ -177,10 +177,14 @@ def fit_scorer(features: np.ndarray, target: np.ndarray, rounds: int = 300, rate
 
 @dataclass
 class QualityModel:
+    """`weights` is None where the sample held no text of one of the classes; scores are then the labellers' posteriors."""
+
     labels: LabelModel
-    weights: np.ndarray
+    weights: np.ndarray | None
 
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def score(self, votes: np.ndarray, features: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return self.labels.posterior(votes)
         return 1 / (1 + np.exp(-np.clip(np.sqrt(features) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -188,8 +192,10 @@ def train(featured: DataFrame, sample_rows: int = 8192) -> QualityModel | None:
     """Fit the labellers on the vote patterns of all documents, then the scorer on about `sample_rows` of them.
 
     `featured` is what featurise() gives, best as a written table. There are at most 3^labellers patterns. The sample is
-    chosen by a hash of the id, so it is the same however rows are dealt; one task fits the scorer on it, on twice as
-    many rows at most. None for an empty table.
+    chosen by a hash of id and text, so it is the same however rows are dealt, and null ids don't matter; rows that
+    repeat id and text are one row of it, put together on the map side, so no text can fill it. One task fits the scorer, on
+    twice `sample_rows` at most. If the sample lacks good or bad texts there is nothing to tell them by: see QualityModel.
+    None for an empty table.
     """
     rows = sorted(featured.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.pattern)
     if not rows:
@@ -197,7 +203,8 @@ def train(featured: DataFrame, sample_rows: int = 8192) -> QualityModel | None:
     counts = np.array([r.n for r in rows], float)
     labels = fit_labels(unpack(np.array([r.pattern for r in rows])), counts)
     limit = int(min(1.0, sample_rows / counts.sum()) * (1 << 30)) + 1
-    sample = featured.where(F.pmod(F.xxhash64(F.lit("sample"), "id", "pattern"), F.lit(1 << 30)) < limit)
+    hit = featured.where(F.pmod(F.xxhash64(F.lit("sample"), "id", "k1", "k2"), F.lit(1 << 30)) < limit)
+    sample = hit.groupBy("id", "k1", "k2").agg(*(F.first(c).alias(c) for c in ("pattern", "buckets", "shares")))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, features, n = [], [], 0
@@ -207,11 +214,12 @@ def train(featured: DataFrame, sample_rows: int = 8192) -> QualityModel | None:
                 n += batch.num_rows
                 patterns.append(batch.column("pattern").to_numpy())
                 features.append(dense(batch))
-        if n:
-            yield pa.RecordBatch.from_pydict({"w": [fit_scorer(np.concatenate(features), labels.posterior(unpack(np.concatenate(patterns)))).tolist()]})
+        target = labels.posterior(unpack(np.concatenate(patterns))) if n else np.empty(0)
+        if (target > 0.5).any() and (target < 0.5).any():
+            yield pa.RecordBatch.from_pydict({"w": [fit_scorer(np.concatenate(features), target).tolist()]})
 
-    got = sample.repartition(1).sortWithinPartitions("id", "pattern").mapInArrow(fit, "w array<double>").collect()
-    return QualityModel(labels, np.array(got[0].w) if got else np.zeros(BUCKETS + 1))
+    got = sample.repartition(1).sortWithinPartitions("k1", "k2", "id").mapInArrow(fit, "w array<double>").collect()
+    return QualityModel(labels, np.array(got[0].w) if got else None)
 
 
 def assess(featured: DataFrame, model: QualityModel | None, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
@@ -228,7 +236,7 @@ def assess(featured: DataFrame, model: QualityModel | None, id_col: str = "doc_i
                 n = batch.num_rows
                 votes, features = unpack(batch.column("pattern").to_numpy()), dense(batch)
                 some = features[:, 2:].any(axis=1)
-                score = np.where(some, model.score(features), 0) if model else np.zeros(n)
+                score = np.where(some, model.score(votes, features), 0) if model else np.zeros(n)
                 weak = model.labels.posterior(votes) if model else np.zeros(n)
                 new = [pa.array(score.astype(float)), pa.array(weak), pa.array((votes - 1).tolist(), pa.list_(pa.int32())), pa.array((score >= least) & some)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *new], names=["id", "score", "weak_label", "votes", "kept"])

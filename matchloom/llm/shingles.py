@@ -11,14 +11,20 @@ _FACTORS = np.array([xxhash.xxh3_64_intdigest(f"factor {i}") | 1 for i in range(
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of a word that is kept; longer ones are hashed each time.
+KEPT_BYTES = 64
+
+
 class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it holds `limit` words, so its memory is bounded."""
+    """Word to 64-bit hash; forgets all when it holds `limit` words and keeps no long ones, so its memory is bounded (about 60 MB)."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > KEPT_BYTES:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.limit:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)

@@ -112,10 +112,10 @@ def write_warc(typed: DataFrame, folder: str, level: int = 3, date: str = "2024-
 
 
 class _Range:
-    """Reads a file forwards from an offset; keeps what was read until it is dropped."""
+    """Reads a file forwards from an offset; keeps what was read until it is dropped. Appending and dropping take time by their own size alone."""
 
     def __init__(self, source, start: int):
-        self.source, self.base, self.held, self.ended = source, start, b"", False
+        self.source, self.base, self.held, self.ended = source, start, bytearray(), False
         source.seek(start)
 
     def fill(self, upto: int) -> bool:
@@ -129,11 +129,13 @@ class _Range:
     def drop(self, upto: int) -> None:
         """What lies before `upto` isn't needed; it is given up once it is a block or more."""
         if upto - self.base >= BLOCK:
-            self.held, self.base = self.held[upto - self.base :], upto
+            del self.held[: upto - self.base]
+            self.base = upto
 
     def at(self, lo: int, hi: int) -> bytes:
         self.fill(hi)
-        return self.held[lo - self.base : hi - self.base]
+        with memoryview(self.held) as view:
+            return bytes(view[lo - self.base : hi - self.base])
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -154,7 +156,10 @@ def record_size(data: bytes) -> int | None:
 
 
 def record_end(r: _Range, offset: int, parts: list[bytes] | None = None) -> int | None:
-    """Where the member at `offset` ends if it holds one whole record, else None; `parts` takes what it inflates to."""
+    """Where the member at `offset` ends if it holds one whole record, else None; `parts` takes what it inflates to.
+
+    It is inflated BLOCK bytes at most at a time, however well it is packed.
+    """
     if r.at(offset, offset + len(MAGIC)) != MAGIC:
         return None
     z, at, step, head, size, want = zlib.decompressobj(31), offset, 8 << 10, b"", 0, None
@@ -163,18 +168,21 @@ def record_end(r: _Range, offset: int, parts: list[bytes] | None = None) -> int
             chunk = r.at(at, at + step)
             if not chunk:
                 return None
-            data = z.decompress(chunk)
-            at += len(chunk) - len(z.unused_data)
-            size += len(data)
-            if parts is not None:
-                parts.append(data)
-            if want is None:
-                head += data
-                want = record_size(head)
-                if want is None and (z.eof or len(head) >= HEAD_BYTES or not b"WARC/1.".startswith(head[:7])):
+            at += len(chunk)
+            while chunk and not z.eof:
+                data = z.decompress(chunk, BLOCK)
+                chunk = z.unconsumed_tail
+                size += len(data)
+                if parts is not None:
+                    parts.append(data)
+                if want is None:
+                    head += data
+                    want = record_size(head)
+                    if want is None and (z.eof or len(head) >= HEAD_BYTES or not b"WARC/1.".startswith(head[:7])):
+                        return None
+                if want is not None and size > want:
                     return None
-            if want is not None and size > want:
-                return None
+            at -= len(z.unused_data)
             step = min(2 * step, BLOCK)
     except zlib.error:
         return None

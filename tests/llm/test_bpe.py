@@ -74,3 +74,11 @@ def test_hard_rows(spark, library):
         assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids)
         assert r.decoded == (r.text or "")
     assert bpe.bpe_round_trip(empty_docs(spark), PATH, digests=True).collect() == []
+
+
+def test_cache_is_bounded_by_bytes():
+    small = bpe.ByteBPE(PATH, cached_bytes=1 << 20)
+    for i in range(40):
+        small.encode([" ".join(chr(0x4E00 + (7 * i + j) % 9000) * 400 for j in range(100))])
+        assert small.held <= (1 << 20) + 100 * 400 * 30
+        assert sum(4 * len(k) + len(v) for k, v in small.known.items()) <= small.held

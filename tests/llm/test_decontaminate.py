@@ -107,3 +107,27 @@ def test_hard_rows(spark):
     left = dec.without_leaks(clash, b)
     assert left.columns == clash.columns and left.count() == 10
     assert dec.without_leaks(empty_docs(spark), b).columns == empty_docs(spark).columns
+
+
+def test_a_shared_template_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    header = " ".join(word() for _ in range(24))
+    items = [(i, header + " " + " ".join(word() for _ in range(24))) for i in range(120)]
+    docs = [(i, header + " " + " ".join(word() for _ in range(24))) for i in range(120)]
+    docs += [(1000 + i, f"{word()} {t} {word()}") for i, t in items[:10]]  # these do contain one
+    docs += [(2000 + i, t.rsplit(" ", 3)[0] + " other end") for i, t in items[:10]]
+    seen = []
+    original = dec.candidates
+    monkeypatch.setattr(dec, "candidates", lambda *a: seen.append(original(*a)) or seen[-1])
+    monkeypatch.setattr(dec, "discard", lambda *a: None)
+    got = found(dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, items) and len(got) == 20
+    assert seen[0].count() <= 240  # of 16,800 pairs that share register values
+
+
+def test_bitmap_passes_its_values_and_few_others(spark):
+    rng = np.random.default_rng(5)
+    own, other = (rng.integers(0, 2**64, 4000, dtype=np.uint64) for _ in range(2))
+    known = dec.value_filter(spark.createDataFrame([(int(v),) for v in own.view(np.int64)], "key long"), len(own))
+    assert dec.passing(known, own).all() and dec.passing(known, other).mean() < 0.01

@@ -1,5 +1,10 @@
 import hashlib
+import io
+import os
 import random
+import time
+import tracemalloc
+import zlib
 
 import pytest
 
@@ -105,3 +110,20 @@ def test_warc_archives_within_archives(spark, tmp_path):
             assert got == want[first:]
     assert warc.record_size(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\n") is None
     assert warc.record_size(b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: <y>\r\nContent-Length: -3\r\n\r\n") is None
+
+
+def test_long_records_are_scanned_in_linear_time_and_small_steps():
+    noise = warc._member(warc.record(1, "http://a", os.urandom(1 << 20) * 192, "0", None, "2024-01-01T00:00:00Z"), 0)
+    began = time.time()
+    assert list(warc.chains_in(io.BytesIO(noise), 0, len(noise))) == [(0, len(noise))]
+    assert time.time() - began < 12  # twenty and more where each read copies what was read before
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    zeros = 300 << 20
+    head = warc._headers([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("Content-Length", str(zeros))])
+    packed = b"".join([packer.compress(head), *(packer.compress(bytes(1 << 20)) for _ in range(300)), packer.compress(b"\r\n\r\n"), packer.flush()])
+    tracemalloc.start()
+    try:
+        assert list(warc.chains_in(io.BytesIO(packed), 0, len(packed))) == [(0, len(packed))]
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()

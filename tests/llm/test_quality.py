@@ -3,8 +3,10 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from matchloom.llm import quality as q
+from matchloom.llm._util import text_key
 from matchloom.llm.queries import QUERIES
 
 from .common import empty_docs, hard_docs
@@ -122,3 +124,26 @@ def test_hard_rows(spark):
     assert not any(r.kept for r in q.assess(featured, None).collect())
     named = q.featurise(spark.createDataFrame([("a", "some words"), ("b", None)], "doc_id string, text string"))
     assert {r.doc_id for r in q.assess(named, q.train(named)).collect()} == {"a", "b"}
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    rng = np.random.default_rng(2)
+    words = "the of and to in is that for it was with as his on be at by had are but from".split()
+    clean = [" ".join(rng.choice(words, 30)).capitalize() + "." for _ in range(3000)]
+    junk = ["".join(rng.choice(list("#@$%^&*{}[]<>|~"), 40)) + " " + "x" * 3 for _ in range(3000)]
+    rows = [(None, t) for t in [*clean, *junk]] + [(None, clean[0])] * 3000
+    featured = q.featurise(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).cache()
+    model = q.train(featured, 500)
+    scored = q.assess(featured.withColumn("id", F.concat("k1", F.lit(":"), "k2")), model).collect()
+    keys = {f"{r.k1}:{r.k2}": r.body for r in spark.createDataFrame(rows, "doc_id long, body string").select("body", *text_key(F.col("body"))).distinct().collect()}
+    bad = set(junk)
+    wrong = sum(r.kept == (keys[r.doc_id] in bad) for r in scored)
+    assert len(scored) == 9000 and wrong / 9000 < 0.01
+    featured.unpersist()
+
+
+def test_one_class_alone_falls_back_to_the_labellers(spark):
+    rows = [(i, "The house is on the hill and it was there for years.") for i in range(5)]
+    featured = q.featurise(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = q.train(featured)
+    assert model.weights is None and all(r.score == r.weak_label for r in q.assess(featured, model).collect())
