@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.text import casefold
 from matchloom.operators.graph import components
-from matchloom.storage import written
+from matchloom.storage import discard, written
 
 BUCKETS = 64
+#: Letters of a gram at most, and the log of the number of cells in which grams are counted.
+MOST_LETTERS, CELL_BITS = 32, 18
+#: Grams that are sent on at once.
+GRAM_ROWS = 100_000
 
 
 def common_length(a: str, b: str) -> int:
@@ -41,32 +45,164 @@ def histogram(s: pd.Series) -> pd.Series:
     return s.map(lambda t: np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % BUCKETS, minlength=BUCKETS).astype(np.int32))
 
 
+def most_edits(n: int, threshold: float) -> int:
+    """Insertions and deletions by which a text of n letters and any partner at the threshold differ at most."""
+    return int(2 * (100 - threshold) / threshold * n + 1e-9)
+
+
+def gram_letters(threshold: float) -> int:
+    """Letters of a gram, so few that every text has room for one more of them, side by side, than it may have edits."""
+    if threshold <= 200 / 3:
+        raise ValueError("a threshold over two thirds is needed")
+    if threshold >= 100:
+        return MOST_LETTERS
+    return max(1, min(MOST_LETTERS, int(threshold / (4 * (100 - threshold)) + 1e-9)))
+
+
+def gram_codes(text: str, letters: int) -> np.ndarray:
+    """A 64-bit code for each run of `letters` letters; a shorter text is one gram."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    own = min(letters, len(points))
+    code = np.full(max(0, len(points) - own + 1), own, np.uint64)
+    for j in range(own):
+        code = (code ^ points[j : len(points) - own + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    return code
+
+
+def _cells(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarity(folded: DataFrame, letters: int) -> np.ndarray:
+    """How common the grams of each of 2^CELL_BITS cells are, on a logarithmic scale of bytes, counted over all texts.
+
+    Each task counts for itself the texts that have a gram of a cell; what is shuffled and collected are a number for each cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("folded").to_pylist():
+                counts[np.unique(_cells(gram_codes(text, letters)))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["cell", "n"])
+
+    found = folded.select("folded").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in found:
+        out[r.cell] = min(255, int(8 * np.log2(r.n + 1)))
+    return out
+
+
+def chosen(codes: np.ndarray, levels: np.ndarray, letters: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of seeds, places of all grams that come as early): the rarest grams side by side, one more than the edits.
+
+    An edit spoils one of the seeds at most, so one stands in every partner. Grams have one order for all texts: by how
+    common they are, then by code. Of two partners take that whose last seed comes earlier: its surviving seed comes no later than
+    the other's last, and so is among the other's early grams. Where the rarest leave too little room between them, all
+    grams are seeds.
+    """
+    level = levels[_cells(codes)]
+    order = np.lexsort((codes, level))
+    free = np.ones(len(codes), bool)
+    seeds: list[int] = []
+    last = 0
+    for rank, place in enumerate(order.tolist()):
+        if free[place]:
+            seeds.append(place)
+            last = rank
+            if len(seeds) > edits:
+                break
+            free[max(0, place - letters + 1) : place + letters] = False
+    if len(seeds) <= edits:
+        return order, order
+    end, key = order[last], last
+    while key + 1 < len(order) and codes[order[key + 1]] == codes[end]:
+        key += 1
+    return np.array(seeds, np.int64), order[: key + 1]
+
+
+GRAMS = "id long, n int, gram long, place int, seed boolean"
+
+
+def _grams(threshold: float, levels: np.ndarray):
+    letters = gram_letters(threshold)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        ids, sizes, codes, places, seeds = zip(*rows, strict=True)
+        counts = [len(c) for c in codes]
+        columns = [np.repeat(ids, counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate(codes).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(seeds)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "n", "gram", "place", "seed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("folded").to_pylist(), strict=True):
+                codes = gram_codes(text, letters)
+                seeds, early = chosen(codes, levels, letters, most_edits(len(text), threshold))
+                is_seed = np.zeros(len(codes), bool)
+                is_seed[seeds] = True
+                rows.append((i, len(text), codes[early], early, is_seed[early]))
+                held += len(early)
+                if held > GRAM_ROWS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
+def candidates(folded: DataFrame, threshold: float) -> DataFrame:
+    """(l, r) of texts (id, folded; distinct, none empty) that may reach the threshold; none that does is left out.
+
+    A pair at the threshold differs by d insertions and deletions at most, and so do all its partners' lengths. Of d + 1 grams that
+    stand side by side in one text, at least one stands unchanged in the other, at most d places away. Each text gives its
+    d + 1 rarest (its seeds), and all its grams that are as rare. Seeds meet equal grams in one equi-join; length and place are
+    checked in it. Texts that only share a common passage thus don't meet, as their seeds lie elsewhere; where passages that
+    many texts share leave too little else (about six tenths of a text at a threshold of 97), these texts do meet.
+    """
+    grams = written(folded.select("id", "folded").mapInArrow(_grams(threshold, rarity(folded, gram_letters(threshold))), GRAMS), "seed-grams")
+    seeds = grams.where("seed").select(F.col("id").alias("a"), F.col("n").alias("an"), "gram", F.col("place").alias("ap"))
+    early = grams.select(F.col("id").alias("b"), F.col("n").alias("bn"), "gram", F.col("place").alias("bp"))
+    edits = (100 - threshold) / 100 * (F.col("an") + F.col("bn")) + 1e-9
+    met = seeds.join(early, "gram").where((F.col("a") != F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= edits) & (F.abs(F.col("ap") - F.col("bp")) <= edits))
+    found = written(met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).distinct(), "near-candidates")
+    discard(grams)
+    return found
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
-    """(left_hash, right_hash, similarity) of distinct documents (hash, text) at or over the threshold.
+    """(left_hash, right_hash, similarity) of distinct documents (hash, text) at or over the threshold (more than 200 / 3).
 
-    Texts are case-folded. Lengths of a pair differ by a factor of (200 - t) / t at most, so documents meet in one or two
-    classes of logarithmic length; the exact length bound and the character bound, both sound, are checked before the
-    subsequence is, and texts are joined to the pairs that are left only.
+    Texts are case-folded, and those that become equal are searched once. Candidates come from a segment index (see
+    candidates()); the bound by counts of characters, which is sound, is checked before the subsequence is, and texts are
+    joined to the pairs that are left only. Empty texts are in no pair.
     """
-    width = math.log((200 - threshold) / threshold)
-    folded = written(docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").select("hash", "folded", F.length("folded").alias("n"), histogram("folded").alias("h")), "folded-texts")
-    keyed = folded.select("hash", "n", "h", F.floor(F.ln("n") / width).alias("band"))
-    left = keyed.select(F.col("hash").alias("lh"), F.col("n").alias("ln"), F.col("h").alias("lb"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    right = keyed.select(F.col("hash").alias("rh"), F.col("n").alias("rn"), F.col("h").alias("rb"), "band")
-    total = F.col("ln") + F.col("rn")
-    order = (F.col("ln") < F.col("rn")) | ((F.col("ln") == F.col("rn")) & (F.col("lh") < F.col("rh")))
-    apart = F.aggregate(F.zip_with("lb", "rb", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
-    close = left.join(right, "band").where(order & (200 * F.col("ln") >= threshold * total)).where(100 * apart <= (100 - threshold) * total)
-    texts = folded.select("hash", "folded")
-    full = close.select("lh", "rh").join(texts.toDF("lh", "lt"), "lh").join(texts.toDF("rh", "rt"), "rh")
+    members = docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").withColumn("key", F.sha2("folded", 256))
+    members = written(members, "folded-members")
+    once = members.groupBy("key").agg(F.first("folded").alias("folded"))
+    folded = written(once.select(F.monotonically_increasing_id().alias("id"), "key", "folded", F.length("folded").alias("n"), histogram("folded").alias("h")), "folded-texts")
+    side = lambda k: folded.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"), F.col("h").alias(f"{k}h"))
+    apart = F.aggregate(F.zip_with("lh", "rh", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
+    close = candidates(folded, threshold).join(side("l"), "l").join(side("r"), "r").where(100 * apart <= (100 - threshold) * (F.col("ln") + F.col("rn")) + 1e-6)
+    texts = folded.select("id", "key", "folded")
+    full = close.select("l", "r").join(texts.toDF("l", "lk", "lt"), "l").join(texts.toDF("r", "rk", "rt"), "r")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             s = [ratio(a, b) for a, b in zip(batch["lt"], batch["rt"], strict=True)]
-            out = pd.DataFrame({"left_hash": np.minimum(batch["lh"], batch["rh"]), "right_hash": np.maximum(batch["lh"], batch["rh"]), "similarity": s})
+            out = batch[["lk", "rk"]].assign(similarity=s)
             yield out[out["similarity"] >= threshold]
 
-    return full.mapInPandas(run, "left_hash string, right_hash string, similarity double")
+    linked = full.mapInPandas(run, "lk string, rk string, similarity double")
+    named = members.select("hash", "key")
+    left, right = named.toDF("a", "lk"), named.toDF("b", "rk")
+    far = linked.join(left, "lk").join(right, "rk").select("a", "b", "similarity")
+    same = left.join(right, left.lk == right.rk).where("a < b").select("a", "b", F.lit(100.0).alias("similarity"))
+    return far.unionAll(same).select(F.least("a", "b").alias("left_hash"), F.greatest("a", "b").alias("right_hash"), "similarity")
 
 
 def clusters(docs: DataFrame, pairs: DataFrame) -> DataFrame:

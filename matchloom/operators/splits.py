@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.storage import shipped, written
+
 MISSING = "<missing>"
-#: Clusters that one task deals out.
-PART_CLUSTERS = 100_000
 
 
 def domains(rows: DataFrame, side: str) -> DataFrame:
@@ -35,33 +38,98 @@ def hash_fold(col: Column, seed: int, folds: int) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), col), 256), 1, 7), 16, 10).cast("long") % folds
 
 
-def balanced_folds(members: DataFrame, folds: int, seed: int, parts: int | None = None) -> DataFrame:
+def filled(loads: dict[str, list[int]], make_up: dict[str, int], n: int, folds: int) -> list[int]:
+    """How many of `n` clusters of one make-up (documents by class) each fold gets; `loads`, documents by class and fold, goes along.
+
+    The fold with the fewest documents of these classes, weighted by the make-up, comes next (then the fewest of all, then
+    the first). Clusters are poured in shares that shrink with what is left, so the levels end within one cluster of each other
+    where the earlier loads allow it, in a number of steps that grows with the log of n.
+    """
+    out = [0] * folds
+    while n:
+        share = max(1, n // (4 * folds))
+        weigh = [sum(loads[c][k] * m for c, m in make_up.items()) for k in range(folds)]
+        best = min(range(folds), key=lambda k: (weigh[k], sum(v[k] for v in loads.values()), k))
+        for c, m in make_up.items():
+            loads[c][best] += m * share
+        out[best] += share
+        n -= share
+    return out
+
+
+def _pour(before: dict[str, list[int]], folds: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Deals the make-ups of a wave; `ends` are the places at which the next fold begins, and a last row has the loads."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "make_up"], ascending=[False, True])
+        held, ends = {c: list(v) for c, v in before.items()}, []
+        for make_up, n in zip(rows["make_up"], rows["n"], strict=True):
+            classes = {e["class"]: e["n"] for e in json.loads(make_up)}
+            for c in classes:
+                held.setdefault(c, [0] * folds)
+            ends.append(np.cumsum(filled(held, classes, int(n), folds)).tolist())
+        return pd.DataFrame({"make_up": [*rows["make_up"], None], "ends": [*ends, []], "loads": [*[None] * len(rows), json.dumps(held)]})
+
+    return run
+
+
+def balanced_folds(members: DataFrame, folds: int, seed: int) -> DataFrame:
     """(hash, fold) of documents (hash, cluster, class): clusters stay whole and classes are spread evenly.
 
-    Clusters are dealt to `parts` by hash (16, or one for each PART_CLUSTERS if that is more); each part gives them out from the largest on, always to the fold that has the
-    fewest documents of the cluster's classes so far. So each part is balanced, and with it the whole, and no task
-    sees all clusters.
+    Clusters of one make-up (the same number of documents of each class) can stand for each other, so what is dealt are
+    make-ups with the number of their clusters. This goes in waves, from the largest clusters to single documents, a wave
+    for each power of two of their size; documents by class and fold are kept as a table over all waves, and each wave fills up
+    what those before it left uneven (see filled()). A task sees the make-ups of a wave, not its clusters. A cluster's fold then
+    comes from its place among those of its make-up, in the order of a seeded hash, found through counts of the hash's first digits.
     """
-    parts = parts or max(16, -(-members.select("cluster").distinct().count() // PART_CLUSTERS))
-    groups = members.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("classes"), F.sum("n").alias("size"))
-    keyed = groups.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "cluster"), 256)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True])
-        held: dict[str, np.ndarray] = {}
-        total = np.zeros(folds)
-        out = []
-        for classes in rows["classes"]:
-            load = sum((held.setdefault(k, np.zeros(folds)) * n for k, n in dict(classes).items()), np.zeros(folds))
-            best = int(np.lexsort((np.arange(folds), total, load))[0])
-            for k, n in dict(classes).items():
-                held[k][best] += n
-                total[best] += n
-            out.append(best)
-        return pd.DataFrame({"cluster": rows["cluster"], "fold": out})
-
-    dealt = keyed.groupBy("part").applyInPandas(deal, "cluster string, fold int")
-    return members.select("hash", "cluster").distinct().join(dealt, "cluster").select("hash", "fold")
+    counts = members.groupBy("cluster", F.coalesce("class", F.lit(MISSING)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.array_sort(F.collect_list(F.struct("class", "n")))
+    keyed = counts.groupBy("cluster").agg(F.to_json(entry).alias("make_up"), F.sum("n").alias("size")).withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "cluster"), 256))
+    groups = written(keyed.select("*", F.left("key", F.lit(3)).alias("digit"), F.floor(F.log2("size")).cast("int").alias("wave")), "fold-clusters")
+    makes = written(groups.groupBy("wave", "size", "make_up").agg(F.count(F.lit(1)).alias("n")), "make-ups")
+    loads: dict[str, list[int]] = {}
+    dealt = []
+    for wave in sorted((r.wave for r in makes.select("wave").distinct().collect()), reverse=True):
+
+        poured = written(makes.where(F.col("wave") == wave).groupBy("wave").applyInPandas(_pour(loads, folds), "make_up string, ends array<long>, loads string"), "poured-wave")
+        loads = json.loads(poured.where("make_up IS NULL").first().loads)  # a number for each class and fold
+        dealt.append(poured.where("make_up IS NOT NULL").select("make_up", "ends"))
+    if not dealt:
+        return members.select("hash", F.lit(0).alias("fold"))
+    ends = dealt[0]
+    for more in dealt[1:]:
+        ends = ends.unionAll(more)
+    earlier = Window.partitionBy("make_up").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    digits = groups.groupBy("make_up", "digit").agg(F.count(F.lit(1)).alias("n")).select("make_up", "digit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    starts = written(digits.join(ends, "make_up"), "fold-starts")
+    place = F.row_number().over(Window.partitionBy("make_up", "digit").orderBy("key", "cluster")) - 1
+    placed = groups.select("cluster", "make_up", "digit", place.alias("place")).join(shipped(starts, 128 + 8 * folds), ["make_up", "digit"])
+    fold = F.size(F.filter("ends", lambda e: e <= F.col("ahead") + F.col("place")))
+    return members.select("hash", "cluster").distinct().join(placed.select("cluster", fold.alias("fold")), "cluster").select("hash", "fold")
+
+
+#: Small folds of a hold-out, and how many of them are for training and for validation; the rest are for tests.
+SMALL_FOLDS, TRAIN_FOLDS, VALIDATION_FOLDS = 20, 14, 3
+
+
+def holdout_part(fold: Column, seed: int) -> Column:
+    """train, validation or test for one of SMALL_FOLDS folds, which are taken in the order of a seeded hash."""
+    order = sorted(range(SMALL_FOLDS), key=lambda k: hashlib.sha256(f"{seed}:fold:{k}".encode()).hexdigest())
+    names = ["train"] * TRAIN_FOLDS + ["validation"] * VALIDATION_FOLDS + ["test"] * (SMALL_FOLDS - TRAIN_FOLDS - VALIDATION_FOLDS)
+    by_fold = [name for _, name in sorted(zip(order, names, strict=True))]
+    return F.element_at(F.array(*map(F.lit, by_fold)), fold + 1)
+
+
+def held_out(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, seed: int) -> DataFrame:
+    """`pairs` (resume_hash, jd_hash) with `part`: that of both documents if they agree, else dropped.
+
+    `resumes` and `jds` have (hash, fold), the small folds of a side, in which clusters are whole.
+    """
+    out = pairs
+    for side, docs in (("resume", resumes), ("jd", jds)):
+        out = out.join(docs.select(own_name(side), holdout_part(F.col("fold"), seed).alias(f"{side}_part")), f"{side}_hash", "left")
+    same = F.col("resume_part") == F.col("jd_part")
+    return out.withColumn("part", F.when(same, F.col("resume_part")).otherwise("dropped")).drop("resume_part", "jd_part")
 
 
 def role(left: Column, right: Column, fold: int) -> Column:
@@ -123,19 +191,19 @@ def manifest_checks(resumes: DataFrame, jds: DataFrame, pairs: DataFrame, folds:
 
 
 def fold_invariants(dealt: DataFrame, members: DataFrame, domains_of: DataFrame, folds: int = 3) -> DataFrame:
-    """What must hold of folds (hash, fold): each document once, clusters whole, all folds used, and domains spread within the size of the largest clusters.
+    """What must hold of folds (hash, fold): each document once, clusters whole, all folds used, and domains spread evenly.
 
-    A domain's largest and smallest share among the folds may differ by a fifth of it, or by twice its documents in the
-    largest cluster and one for each part that folds are dealt in, where that is more.
+    A domain's largest and smallest fold may differ by its documents in the largest clusters, one for each fold, and one more, as a cluster of
+    several domains can't suit all of them. `documents` is their number.
     """
     joined = members.join(dealt, "hash", "left").join(domains_of.select("hash", "domain"), "hash")
-    whole = joined.agg((F.count("fold") == F.count_distinct("hash")).alias("each_document_once"), (F.count_distinct("fold") == folds).alias("all_folds_used"))
+    whole = joined.agg(F.count(F.lit(1)).alias("documents"), (F.count("fold") == F.count_distinct("hash")).alias("each_document_once"), (F.count_distinct("fold") == folds).alias("all_folds_used"))
     kept = joined.groupBy("cluster").agg(F.count_distinct("fold").alias("n")).agg((F.max("n") == 1).alias("clusters_whole"))
     largest = joined.groupBy("domain", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("domain").agg(F.max("n").alias("largest"))
     counts = joined.groupBy("domain").agg(*(F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(folds)))
     names = [f"f{k}" for k in range(folds)]
-    gap, total = F.greatest(*names) - F.least(*names), sum(F.col(n) for n in names)
-    even = counts.join(largest, "domain").agg(F.bool_and(gap <= F.greatest(0.2 * total, 2 * F.col("largest") + 16)).alias("domains_spread"))
+    gap = F.greatest(*names) - F.least(*names)
+    even = counts.join(largest, "domain").agg(F.bool_and(gap <= folds * F.col("largest") + 1).alias("domains_spread"))
     return whole.crossJoin(kept).crossJoin(even)
 
 

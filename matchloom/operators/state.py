@@ -251,22 +251,62 @@ def stale(runs: DataFrame, version: str, model: str, revision: str) -> Column:
     return ~F.coalesce(same, F.lit(False))
 
 
+#: What a table adds to the row of its keys.
+FLAGS = ("page", "score", "local", "usable", "unusable", "job", "waiting", "lease", "old_publication", "new_publication", "stale_run")
+
+
+def _keyed(rows: DataFrame, fingerprint: str | None = None, **flags: Column) -> DataFrame:
+    """Rows as (application_key, fingerprint, flags); those that aren't named are 0. An empty key is none."""
+    own = F.col("application_key") if "application_key" in rows.columns else F.lit(None).cast("string")
+    at = [F.nullif(own, F.lit("")).alias("application_key"), (F.col(fingerprint) if fingerprint else F.lit(None).cast("string")).alias("fingerprint")]
+    return rows.select(*at, *((F.coalesce(flags[f].cast("long"), F.lit(0)) if f in flags else F.lit(0).cast("long")).alias(f) for f in FLAGS))
+
+
 def reconciliation(jobs: DataFrame, inputs: DataFrame, snapshots: DataFrame, pages: DataFrame, score_pages: DataFrame, runs: DataFrame, at: datetime.datetime, version: str, model: str, revision: str = "", least: int = 1) -> DataFrame:
-    """One row of twelve counters: what a reconciliation does to jobs, and what it finds in the keys of all tables."""
-    a, s = key_counts(pages), key_counts(score_pages)
-    local = inputs.select("application_key").distinct()
-    parts = [
-        activated(jobs, pages, at).agg(F.count_if("activated").alias("activated")),
-        missing_jobs(snapshots, jobs, pages, least).agg(F.count_if(F.col("action") == "enqueue").alias("requeued"), F.count_if(F.col("action") == "unavailable").alias("unavailable_inputs")),
-        leases_recovered(jobs, at).agg(F.count_if("recovered").alias("recovered_leases")),
-        publications_settled(jobs, score_pages, at).agg(*(F.count_if(F.col("outcome") == o).alias(f"{o}_publications") for o in ("recovered", "retried", "uncertain"))),
-        a.agg(F.count_if(F.col("n") > 1).alias("duplicate_application_keys")),
-        s.agg(F.count_if(F.col("n") > 1).alias("duplicate_score_keys")),
-        s.join(a, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("orphan_score_keys")),
-        a.join(local, "application_key", "left_anti").agg(F.count(F.lit(1)).alias("missing_local_inputs")),
-        runs.agg(F.count_if(stale(runs, version, model, revision)).alias("stale_score_runs")),
+    """One row of twelve counters: what a reconciliation does to jobs, and what it finds in the keys of all tables.
+
+    Each table gives rows of flags, once; these are summed by application and fingerprint, then by application, and all
+    counters are read from that. A fingerprint names one application, as its key goes into it; it is usable if any snapshot of it is. Sums
+    combine on the map side, so an application with very many rows isn't hot.
+    """
+    now = moment(at)
+    running = F.col("status") == "running"
+    expired = running & (F.col("lease_until") <= now)
+    old = seconds_between(F.col("updated_at"), now) >= UNCERTAIN_S
+    usable = usable_input(F.col("description_chars"), F.col("extraction_quality"), least) & F.coalesce("snapshot_valid", F.lit(False))
+    one = F.lit(1)
+    job = _keyed(
+        jobs, "input_fingerprint", job=one, waiting=F.col("status") == "waiting_application", lease=expired & ~F.col("publishing"), old_publication=expired & F.col("publishing") & old, new_publication=expired & F.col("publishing") & ~F.coalesce(old, F.lit(False))
+    )
+    rest = [
+        _keyed(pages, page=one),
+        _keyed(score_pages, score=one),
+        _keyed(inputs, local=one),
+        _keyed(snapshots, "input_fingerprint", usable=usable, unusable=~usable),
+        _keyed(runs.select("version", "model", "revision"), stale_run=stale(runs, version, model, revision)),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)  # one row each
-    return out
+    for part in rest:
+        job = job.unionAll(part)
+    prints = job.groupBy("application_key", "fingerprint").agg(*(F.sum(f).alias(f) for f in FLAGS))
+    asked = F.col("fingerprint").isNotNull() & (F.col("usable") + F.col("unusable") > 0)
+    judged = prints.withColumns({"enqueue": (asked & (F.col("usable") > 0) & (F.col("job") == 0)).cast("long"), "unavailable": (asked & (F.col("usable") == 0)).cast("long")})
+    named = F.col("application_key").isNotNull()
+    keys = judged.groupBy("application_key").agg(*(F.sum(f).alias(f) for f in (*FLAGS, "enqueue", "unavailable")))
+    keys = keys.withColumns({f: F.when(named, F.col(f)).otherwise(0) for f in ("page", "score", "local")})
+    total = lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, c)), F.lit(0))
+    one_page, no_score = F.col("page") == 1, F.col("score") == 0
+    publications = F.col("old_publication") + F.col("new_publication")
+    return keys.agg(
+        total(F.col("waiting"), one_page).alias("activated"),
+        total(F.col("enqueue"), one_page).alias("requeued"),
+        total(F.col("unavailable"), one_page).alias("unavailable_inputs"),
+        total(F.col("lease")).alias("recovered_leases"),
+        total(publications, F.col("score") == 1).alias("recovered_publications"),
+        total(F.col("old_publication"), no_score).alias("retried_publications"),
+        total(F.col("new_publication"), no_score).alias("uncertain_publications"),
+        F.count_if(F.col("page") > 1).alias("duplicate_application_keys"),
+        F.count_if(F.col("score") > 1).alias("duplicate_score_keys"),
+        F.count_if((F.col("score") > 0) & (F.col("page") == 0)).alias("orphan_score_keys"),
+        F.count_if((F.col("page") > 0) & (F.col("local") == 0)).alias("missing_local_inputs"),
+        total(F.col("stale_run")).alias("stale_score_runs"),
+    )

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators.order import running
+from matchloom.storage import written
 
 FLOOR, SCALE = 1e-10, 0.01
 #: Left tokens that are multiplied at once.
 BLOCK = 4096
+#: Tokens of a block of documents, of right documents that are multiplied at once, and pairs that wait for it.
+BLOCK_TOKENS, TOKEN_BUDGET, PAIRS_AT_ONCE = 65_536, 32_768, 1024
 #: Queries and reference rows that meet in one piece of work.
 QUERY_ROWS, REFERENCE_ROWS = 1024, 8192
 STATISTICS = ("mean", "std", "min", "q25", "median", "q75", "max")
@@ -50,44 +53,102 @@ def mean_pool(chunks: DataFrame) -> DataFrame:
 
 
 def documents(tokens: DataFrame) -> DataFrame:
-    """(grp, n, flat) of token rows (grp, pos, vec): the vectors of a document end to end, in order."""
-    listed = tokens.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("rows"))
+    """(grp, n, flat) of token rows (grp, pos, vec): the vectors of a document end to end, in order, as 32-bit floats."""
+    listed = tokens.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("vec").cast("array<float>").alias("vec")))).alias("rows"))
     return listed.select("grp", F.size("rows").alias("n"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("flat"))
 
 
-def with_documents(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r) with the vectors of both documents; a pair without one of them is an error."""
-    sides = [documents(t).select(F.col("grp").alias(k), F.col("n").alias(f"{k}_n"), F.col("flat").alias(f"{k}_flat")) for k, t in (("l", left), ("r", right))]
-    out = pairs.join(sides[0], "l", "left").join(sides[1], "r", "left")
-    missing = F.col("l_n").isNull() | F.col("r_n").isNull()
-    error = F.raise_error(F.concat(F.lit("a document has no vectors: "), F.col("l").cast("string"), F.lit(" or "), F.col("r").cast("string"))).cast("int")
-    return out.withColumn("l_n", F.when(missing, error).otherwise(F.col("l_n")))
+def token_batches(sizes: list[int], budget: int) -> Iterator[slice]:
+    """Runs of documents whose tokens stay within the budget; a document over it is a run by itself."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > budget:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
 
+def dealt(pairs: DataFrame, left: DataFrame, right: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows of the work on `pairs` (l, r): for each cell of a block of left and a block of right documents (grp, n, flat)
+    the documents that have a pair in it, and its pairs.
 
-def pooled(pairs: DataFrame, left: DataFrame, right: DataFrame, pool: Callable[[np.ndarray, int], np.ndarray], name: str) -> DataFrame:
+    Documents are dealt to blocks of about `block_tokens` tokens by hash. A matrix is sent once for each cell in which it has pairs,
+    so at most once for each block of the other side, however many pairs it is in; the pairs of a hot document are
+    spread over its cells. Rows have `part` 0 (left document), 1 (right document) or 2 (pair). A pair without one of its
+    documents is an error.
+    """
+    blocks = [max(1, -(-(t.agg(F.sum("n")).first()[0] or 0) // block_tokens)) for t in (left, right)]
+    places = [F.pmod(F.xxhash64(k), F.lit(n)).cast("int").alias(f"{k}_block") for k, n in zip("lr", blocks, strict=True)]
+    cells = written(pairs.select("l", "r", *places), "pair-cells")
+    none = {k: F.lit(None).cast(pairs.schema[k].dataType).alias(k) for k in "lr"}
+    parts = []
+    for i, (k, docs) in enumerate((("l", left), ("r", right))):
+        need = cells.select("l_block", "r_block", k).distinct().join(docs.withColumnRenamed("grp", k), k, "left")
+        error = F.raise_error(F.concat(F.lit("a document has no vectors: "), F.col(k).cast("string"))).cast("int")
+        keys = [F.col(k), none["r"]] if k == "l" else [none["l"], F.col(k)]
+        parts.append(need.select("l_block", "r_block", F.lit(i).alias("part"), *keys, F.when(F.col("n").isNull(), error).otherwise(F.col("n")).alias("n"), "flat"))
+    parts.append(cells.select("l_block", "r_block", F.lit(2).alias("part"), "l", "r", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<float>").alias("flat")))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def soft_counts(a: np.ndarray, b: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    """(tokens of b x kernels): how often each token of b is met in a, softly; `a` is taken in parts of BLOCK tokens."""
+    soft = np.zeros((len(b), len(bank)))
+    for lo in range(0, len(a), BLOCK):
+        sims = a[lo : lo + BLOCK].astype(np.float64) @ b.T
+        for j, (mean, width) in enumerate(bank):
+            soft[:, j] += np.exp(-((sims - mean) ** 2) / (2 * width * width)).sum(axis=0)
+    return soft
+
+
+def pooled(pairs: DataFrame, left: DataFrame, right: DataFrame, pool: Callable[[np.ndarray, int], np.ndarray], name: str, block_tokens: int = BLOCK_TOKENS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """(l, r, name, value) of what `pool` makes of the soft counts (right tokens x kernels) and the left length of each pair.
 
-    Documents meet in two joins by key and their product is one matrix product, so the work grows with the pairs.
+    Pairs are worked off in cells of blocks (see dealt()). A task holds the two blocks of a cell; its pairs are read in the order of
+    the left document, whose right ones are multiplied together as long as their tokens stay within `budget`.
     """
-    k = np.array(kernels())
+    bank = np.array(kernels())
+    sides = [written(documents(t), "token-documents") for t in (left, right)]
+    work = dealt(pairs, *sides, block_tokens).repartition("l_block", "r_block").sortWithinPartitions("l_block", "r_block", "part", "l", "r")
+
+    def products(l, rights: list, held: tuple[dict, dict]) -> Iterator[tuple]:
+        a = held[0][l]
+        for run in token_batches([len(held[1][r]) for r in rights], budget):
+            ends = np.cumsum([len(held[1][r]) for r in rights[run]])
+            soft = soft_counts(a, np.concatenate([held[1][r] for r in rights[run]]), bank)
+            for r, own in zip(rights[run], np.split(soft, ends[:-1]), strict=True):
+                yield l, r, pool(own, len(a)).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, at, rights, kinds = None, ({}, {}), None, [], None
         for batch in batches:
-            out = []
-            for n, m, x, y in zip(batch.column("l_n").to_pylist(), batch.column("r_n").to_pylist(), batch.column("l_flat"), batch.column("r_flat"), strict=True):
-                a, b = (v.values.to_numpy(zero_copy_only=False).reshape(size, -1) for v, size in ((x, n), (y, m)))
-                soft = np.zeros((m, len(k)))
-                for lo in range(0, n, BLOCK):
-                    sims = a[lo : lo + BLOCK] @ b.T
-                    for j, (mean, width) in enumerate(k):
-                        soft[:, j] += np.exp(-((sims - mean) ** 2) / (2 * width * width)).sum(axis=0)
-                out.append(pool(soft, n).tolist())
+            out: list[tuple] = []
+            kinds = [batch.schema.field(k).type for k in "lr"]
+            flat = batch.column("flat")
+            keys = zip(*(batch.column(c).to_pylist() for c in ("l_block", "r_block", "part", "l", "r", "n")), strict=True)
+            for i, (lb, rb, part, l, r, n) in enumerate(keys):
+                if part != 2 or l != at or (lb, rb) != cell or len(rights) == PAIRS_AT_ONCE:
+                    out.extend(products(at, rights, held) if rights else ())
+                    at, rights = l, []
+                if (lb, rb) != cell:
+                    cell, held = (lb, rb), ({}, {})
+                if part == 2:
+                    rights.append(r)
+                else:
+                    held[part][r if part else l] = flat[i].values.to_numpy(zero_copy_only=False).reshape(n, -1)
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(out, pa.list_(pa.float64()))], names=["l", "r", "values"])
+                yield _values(out, kinds)
+        if rights:
+            yield _values(list(products(at, rights, held)), kinds)
+
+    types = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("l", "r"))
+    return work.mapInArrow(run, f"{types}, values array<double>").select("l", "r", F.posexplode("values").alias(name, "value"))
 
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("l", "r"))
-    found = with_documents(pairs, left, right).mapInArrow(run, f"{kinds}, values array<double>")
-    return found.select("l", "r", F.posexplode("values").alias(name, "value"))
+
+def _values(rows: list[tuple], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, pa.list_(pa.float64())], strict=True)], names=["l", "r", "values"])
 
 
 def knrm(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -175,11 +236,57 @@ def eta_squared(vectors: DataFrame) -> DataFrame:
     return g.select("dim", F.when(total > 0, (F.col("between") - centre) / total).otherwise(0.0).alias("eta2"))
 
 
+COMOMENTS = "i int, n long, mean array<double>, row array<double>"
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means and co-moments of all vectors of a task: a row for each row of the matrix."""
+    n, mean, total = 0, None, None
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            m = x.mean(axis=0)
+            own = (x - m).T @ (x - m)
+            if n:
+                d = m - mean
+                total += own + np.outer(d, d) * (n * len(x) / (n + len(x)))
+                mean = mean + d * (len(x) / (n + len(x)))
+            else:
+                mean, total = m, own
+            n += len(x)
+    if n:
+        size, kind = len(mean), pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array([n] * size), pa.array([mean.tolist()] * size, kind), pa.array(total.tolist(), kind)], names=["i", "n", "mean", "row"])
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of the matrix from those of several tasks."""
+    i, n = int(rows["i"].iloc[0]), rows["n"].to_numpy()
+    means = np.stack(rows["mean"].to_numpy())
+    mean = n @ means / n.sum()
+    d = means - mean
+    row = np.stack(rows["row"].to_numpy()).sum(axis=0) + (n * d[:, i]) @ d
+    return pd.DataFrame({"i": [i], "n": [n.sum()], "mean": [mean.tolist()], "row": [row.tolist()]})
+
+
+def comoments(vectors: DataFrame, parts: int = 64) -> DataFrame:
+    """(i, n, mean, row) for each feature i: number of vectors, means of all features, and sums of products of deviations.
+
+    Each task makes a matrix of its own (d x d numbers, whatever its rows); these are merged by feature, first in `parts` parts
+    and then those, each by means and deviations so that nothing cancels. What is shuffled are tasks x d rows.
+    """
+    dealt_out = vectors.select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_products, COMOMENTS).withColumn("part", F.spark_partition_id() % parts)
+    first = dealt_out.groupBy("part", "i").applyInPandas(_merged, COMOMENTS)
+    return first.groupBy("i").applyInPandas(_merged, COMOMENTS)
+
+
 def moments(vectors: DataFrame) -> DataFrame:
-    """(i, j, r): Pearson correlations of all features with i <= j. The products of a row are made inside it and summed on the map side."""
-    pairs = F.flatten(F.transform("vec", lambda a, i: F.transform("vec", lambda b, j: F.when(i <= j, F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"))))))
-    rows = vectors.select(F.inline(F.array_compact(pairs)))
-    return rows.groupBy("i", "j").agg(F.corr("a", "b").alias("r")).select("i", "j", F.coalesce(F.when(F.isnan("r"), F.lit(0.0)).otherwise(F.col("r")), F.lit(0.0)).alias("r"))
+    """(i, j, r): Pearson correlations of all features with i <= j; 0 with a feature that is constant."""
+    found = written(comoments(vectors), "comoments")
+    spread = found.select(F.col("i").alias("j"), F.col("row")[F.col("i")].alias("vj"))  # a row for each feature
+    own = found.select("i", F.col("row")[F.col("i")].alias("vi"), F.posexplode("row").alias("j", "c")).where("i <= j")
+    r = F.when((F.col("vi") > 0) & (F.col("vj") > 0), F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).otherwise(0.0)
+    return own.join(F.broadcast(spread), "j").select("i", "j", r.alias("r"))
 
 
 def effective_dimension(vectors: DataFrame) -> DataFrame:
@@ -211,15 +318,16 @@ def length_residuals(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(fit), "dim").select("vec_id", "dim", (y - F.col("mx") - F.col("slope") * (x - F.col("ml"))).alias("residual"))
 
 
-def _cells(queries: DataFrame, reference: DataFrame, run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """What `run` makes of each block of queries with each part of the reference: a row of the reference (vec_id, label), and distances.
+def met_in_cells(queries: DataFrame, reference: DataFrame, run: Callable[..., pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What `run` makes of each query with each part of the reference: rows of the reference (vec_id, label), their squared distances, and the query's `extra` columns.
 
     Blocks hold about QUERY_ROWS and parts REFERENCE_ROWS rows, so that a piece of work is bounded; each pair is met once.
     Nothing is broadcast.
     """
     blocks, parts = (max(1, -(-t.count() // n)) for t, n in ((queries, QUERY_ROWS), (reference, REFERENCE_ROWS)))
-    side = lambda t, own, n, other, m: t.select("vec_id", "vec", "label", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-    q, r = side(queries, "block", blocks, "part", parts), side(reference, "part", parts, "block", blocks)
+    named = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  (new columns, as both sides may be one table)
+    side = lambda t, own, n, other, m, *more: t.select(*named("vec_id", "vec", "label", *more), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    q, r = side(queries, "block", blocks, "part", parts, *extra), side(reference, "part", parts, "block", blocks)
 
     def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -227,9 +335,9 @@ def _cells(queries: DataFrame, reference: DataFrame, run: Callable[[pd.DataFrame
             others = others.sort_values("vec_id")
             y = np.stack(others["vec"].to_numpy())
             ids = others["vec_id"].to_numpy()
-            for i, label, x in zip(mine["vec_id"], mine["label"], mine["vec"], strict=True):
+            for i, label, x, *more in zip(mine["vec_id"], mine["label"], mine["vec"], *(mine[c] for c in extra), strict=True):
                 keep = ids != i
-                found = run(others[keep], ((y[keep] - x) ** 2).sum(axis=1))
+                found = run(others[keep], ((y[keep] - x) ** 2).sum(axis=1), *more)
                 out.append(found.assign(q=i, q_label=label))
         names = [c.split()[0] for c in schema.split(", ")]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
@@ -244,7 +352,7 @@ def neighbours(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
         order = np.lexsort((others["vec_id"].to_numpy(), d2))[:k]
         return others.iloc[order][["vec_id", "label"]].assign(d2=d2[order])
 
-    local = _cells(queries, reference, nearest, "q long, q_label int, vec_id long, label int, d2 double")
+    local = met_in_cells(queries, reference, nearest, "q long, q_label int, vec_id long, label int, d2 double")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("q", "q_label", "rank", "vec_id", "label")
 
@@ -280,7 +388,7 @@ def silhouette(queries: DataFrame, reference: DataFrame) -> DataFrame:
     def by_class(others: pd.DataFrame, d2: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"label": others["label"].to_numpy(), "s": np.sqrt(d2), "n": 1}).groupby("label", as_index=False).sum()
 
-    sums = _cells(queries, reference, by_class, "q long, q_label int, label int, s double, n long")
+    sums = met_in_cells(queries, reference, by_class, "q long, q_label int, label int, s double, n long")
     means = sums.groupBy("q", "q_label", "label").agg((F.sum("s") / F.sum("n")).alias("m"))
     per = means.groupBy("q", "q_label").agg(F.max(F.when(F.col("label") == F.col("q_label"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("q_label"), F.col("m"))).alias("b"))
     return per.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))

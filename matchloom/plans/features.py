@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.operators import information, projection
 from matchloom.operators import metrics as m
 from matchloom.operators import vectors as v
 from matchloom.sources import bindings as b
+from matchloom.sources import ragged
+from matchloom.storage import fresh_path
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -46,6 +49,36 @@ def _platt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.calibrated(rows, *m.platt(rows)).select("doc_id", "probability"), "probability")
 
 
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token matrices, written to a ragged store and fetched again by the ranges of its index."""
+    rows = b.token_rows(spark, sf_dir).select(F.sha2(F.col("grp").cast("string"), 256).alias("document_hash"), "pos", "vec")
+    width = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    path = fresh_path(spark, "token-store")
+    index = ragged.write_store(rows, path, width, "<f4", block_rows=128)
+    total = index.agg(F.sum("token_count")).first()[0] or 0
+    found = ragged.fetch(path, ragged.checked(index, total), width, "<f4", block_rows=128)
+    return found.select("document_hash", "pos", F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "value"))
+
+
+#: Leading coordinates that are judged as a projection, and neighbours that are looked at.
+LEADING, NEAR = 16, 5
+
+
+def _leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, rows = _queries(spark, sf_dir)
+    cut = lambda t: t.withColumn("vec", F.slice("vec", 1, LEADING))
+    return rounded(projection.trustworthiness(queries, rows, cut(queries), cut(rows), NEAR), "trustworthiness")
+
+
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the strongest components show the neighbours of the vectors, and how much of their variance they have."""
+    queries, rows = _queries(spark, sf_dir)
+    fit = projection.principal(rows, LEADING)
+    shown = projection.projected(rows, fit)
+    found = projection.trustworthiness(queries, rows, shown.where("vec_id % 20 = 0"), shown, NEAR)
+    return rounded(found.withColumn("share", F.lit(float(fit.shares.sum()))), "trustworthiness", "share")
+
+
 QUERIES = {
     "chunk_spans": lambda s, d: v.chunk_spans(b.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n")), 500, 50),
     "mean_pool_embeddings": lambda s, d: rounded(v.mean_pool(b.vectors(s, d).select(F.floor(F.col("vec_id") / 4).alias("id"), "vec")), "value"),
@@ -75,6 +108,10 @@ QUERIES = {
     "knn_purity": lambda s, d: m_round(v.purity(v.neighbours(*_queries(s, d), 11).where("rank BETWEEN 2 AND 11"))),
     "neighbor_composition": lambda s, d: v.composition(v.neighbours(*_queries(s, d), 10)),
     "cosine_separation": lambda s, d: rounded(v.cosine_separation(b.vectors(s, d)), "intra", "inter", "separation"),
+    "neighbour_mutual_information": lambda s, d: rounded(information.neighbour_information(v.long(b.vectors(s, d))), "information"),
+    "ragged_store": _ragged,
+    "trustworthiness_leading": _leading,
+    "trustworthiness_components": _components,
     "silhouette": lambda s, d: rounded(v.silhouette(*_queries(s, d)), "silhouette"),
 }
 
@@ -91,7 +128,8 @@ _AUC = " SELECT round(sum(CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 0.5e0
 _EDGES = ", ".join(repr(x) + "e0" for x in m.EDGES)
 _BINS = f", q AS (SELECT *, len(list_filter([{_EDGES}], lambda e: e <= p)) AS bin FROM p)"
 _KERNELS = "k(kernel, mu, w) AS (VALUES " + ", ".join(f"({i}, {mu!r}e0, {w!r}e0)" for i, (mu, w) in enumerate(v.kernels())) + ")"
-_TOKENS = f"""WITH {_V}, {_KERNELS}, t AS (SELECT vec_id // 8 AS grp, vec_id % 8 AS pos, vec FROM v WHERE vec_id % 5 <> 0),
+_TOKENS = f"""WITH {_V}, {_KERNELS}, t AS (SELECT vec_id // 16 * 4 + CASE WHEN vec_id % 16 >= 15 THEN 3 WHEN vec_id % 16 >= 8 THEN 2 WHEN vec_id % 16 >= 5 THEN 1 ELSE 0 END AS grp,
+      vec_id % 16 - CASE WHEN vec_id % 16 >= 15 THEN 15 WHEN vec_id % 16 >= 8 THEN 8 WHEN vec_id % 16 >= 5 THEN 5 ELSE 0 END AS pos, vec FROM v),
     d AS (SELECT a.grp AS l, b.grp AS r, b.pos, list_dot_product(a.vec, b.vec) AS sim FROM t a JOIN t b ON b.grp IN (a.grp + 1, a.grp + 3) WHERE a.grp % 2 = 0),
     c AS (SELECT l, r, pos, kernel, sum(exp(-((sim - mu) * (sim - mu)) / (2 * w * w))) AS soft, count(*) AS n FROM d, k GROUP BY ALL)"""
 _KNN = f"""WITH {_V}, d AS (SELECT a.vec_id AS q, a.label AS q_label, b.vec_id, b.label, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2
@@ -154,4 +192,16 @@ ORACLES = {
         SELECT round(avg(c) FILTER (WHERE same), 6) + 0e0 AS intra, round(avg(c) FILTER (WHERE NOT same), 6) + 0e0 AS inter, round(avg(c) FILTER (WHERE same) - avg(c) FILTER (WHERE NOT same), 6) + 0e0 AS separation FROM d""",
     "silhouette": f"""{_KNN}, g AS (SELECT q, q_label, label, avg(sqrt(d2)) AS m FROM d GROUP BY ALL), s AS (SELECT q, max(m) FILTER (WHERE label = q_label) AS a, min(m) FILTER (WHERE label <> q_label) AS b FROM g GROUP BY q)
         SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) + 0e0 AS silhouette FROM s""",
+    "neighbour_mutual_information": f"""WITH {_V}, d AS (SELECT a.dim, a.vec_id, a.x, abs(b.x - a.x) AS gap, row_number() OVER (PARTITION BY a.dim, a.vec_id ORDER BY abs(b.x - a.x)) AS place, count(*) OVER (PARTITION BY a.dim, a.vec_id) AS others
+          FROM e a JOIN e b ON a.dim = b.dim AND a.label = b.label AND a.vec_id <> b.vec_id),
+        r AS (SELECT dim, vec_id, x, gap AS radius, least(3, others) AS near, others + 1 AS size FROM d WHERE place = least(3, others)),
+        c AS (SELECT r.dim, r.vec_id, r.near, r.size, count(*) AS m FROM r JOIN r o ON o.dim = r.dim AND (abs(o.x - r.x) < r.radius OR o.x = r.x) GROUP BY ALL),
+        p AS (SELECT i + 1 AS n, -0.5772156649015329e0 + sum(CASE WHEN i > 0 THEN 1e0 / i ELSE 0e0 END) OVER (ORDER BY i) AS psi FROM range((SELECT count(*) FROM embeddings)) t(i)),
+        g AS (SELECT dim, count(*) AS rows_of, avg(a.psi) - avg(b.psi) - avg(q.psi) AS s FROM c JOIN p a ON a.n = near JOIN p b ON b.n = size JOIN p q ON q.n = m GROUP BY dim)
+        SELECT CAST(dim AS INTEGER) AS dim, round(greatest(0e0, s + psi), 6) + 0e0 AS information FROM g JOIN p ON n = rows_of""",
+    "ragged_store": _TOKENS.split(", t AS")[0] + ", t AS" + _TOKENS.split(", t AS")[1].split(",\n    d AS")[0] + """
+        SELECT sha256(CAST(grp AS VARCHAR)) AS document_hash, pos, CAST(unnest(range(len(vec))) AS INTEGER) AS dim, unnest(vec) AS value FROM t""",
+    "trustworthiness_leading": f"""{_KNN}, s AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY near, vec_id) AS place FROM (
+          SELECT n.*, list_sum(list_transform(range(1, {LEADING + 1}), lambda i: (a.vec[i] - b.vec[i]) * (a.vec[i] - b.vec[i]))) AS near FROM n JOIN v a ON a.vec_id = n.q JOIN v b ON b.vec_id = n.vec_id))
+        SELECT count(DISTINCT q) AS n_queries, round(1 - 2e0 * sum(greatest(0, rank - {NEAR})) / (count(DISTINCT q) * {NEAR} * (2 * (SELECT count(*) FROM embeddings) - 3 * {NEAR} - 1)), 6) + 0e0 AS trustworthiness FROM s WHERE place <= {NEAR}""",
 }

@@ -152,6 +152,12 @@ def _summary_json(s: SparkSession, d: str) -> DataFrame:
     return reports.as_json(audit.summary(rows(s, d)))
 
 
+def _with_copies(vectors: DataFrame) -> DataFrame:
+    """Vectors with three more features: one that nearly repeats the first, one that is another's opposite, and one of two."""
+    x = lambda i: F.col("vec")[i - 1]
+    return vectors.withColumn("vec", F.concat("vec", F.array(0.99 * x(1) + 0.1 * x(2), -x(3), x(4) + x(5))))
+
+
 QUERIES = {
     "majority_baseline": lambda s, d: reports.majority_baseline(rows(s, d)),
     "unexpected_labels": lambda s, d: reports.unexpected_labels(_odd_labels(s, d)),
@@ -166,7 +172,7 @@ QUERIES = {
     "pair_token_counts": _counted_pairs,
     "chunk_histogram": lambda s, d: reports.chunk_histogram(v.chunk_spans(b.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n")), 500, 50)),
     "class_feature_statistics": lambda s, d: rounded(reports.class_statistics(v.long(b.vectors(s, d))), "mean", "std", "q25", "median", "q75"),
-    "redundant_features": lambda s, d: reports.redundant(rounded(v.moments(b.vectors(s, d)), "r"), 0.1),
+    "redundant_features": lambda s, d: reports.redundant(rounded(v.moments(_with_copies(b.vectors(s, d))), "r")),
     "separating_features": lambda s, d: reports.separating(rounded(v.eta_squared(b.vectors(s, d)), "eta2")),
     "expected_purity": lambda s, d: rounded(reports.expected_purity(b.vectors(s, d), F.col("vec_id") % 5 != 0), "expected_purity"),
     "binned_mutual_information": lambda s, d: rounded(reports.mutual_information(v.long(b.vectors(s, d))), "information"),
@@ -221,7 +227,8 @@ ORACLES = {
     "pair_token_counts": "SELECT a.doc_id, CAST(len(string_split(a.text, ' ')) AS BIGINT) AS l_tokens, CAST(len(string_split(b.text, ' ')) AS BIGINT) AS r_tokens FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "chunk_histogram": "WITH c AS (SELECT CAST(greatest(0, ceil((length(text) - 500) / 450.0)) AS BIGINT) + 1 AS n_chunks FROM documents WHERE length(text) > 0) SELECT n_chunks, count(*) AS n_documents FROM c GROUP BY 1",
     "class_feature_statistics": f"WITH {_V} SELECT CAST(dim AS INTEGER) AS dim, label, " + ", ".join(f"round({e}, 6) + 0e0 AS {n}" for n, e in (("mean", "avg(x)"), ("std", "stddev_pop(x)"), ("q25", "quantile_cont(x, 0.25)"), ("median", "median(x)"), ("q75", "quantile_cont(x, 0.75)"))) + " FROM e GROUP BY 1, 2",
-    "redundant_features": f"WITH {_V}, r AS (SELECT CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(corr(a.x, b.x), 6) + 0e0 AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2) SELECT * FROM r WHERE abs(r) >= 0.1",
+    "redundant_features": f"""WITH {_V}, w AS (SELECT vec_id, list_concat(vec, [0.99e0 * vec[1] + 0.1e0 * vec[2], -vec[3], vec[4] + vec[5]]) AS vec FROM v), e2 AS (SELECT vec_id, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM w),
+        r AS (SELECT CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(corr(a.x, b.x), 6) + 0e0 AS r FROM e2 a JOIN e2 b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2) SELECT * FROM r WHERE abs(r) >= 0.95""",
     "separating_features": f"WITH {_V}, {_ETA} SELECT * FROM eta ORDER BY eta2 DESC, dim LIMIT 12",
     "expected_purity": """WITH c AS (SELECT label, count(*) FILTER (WHERE vec_id % 5 <> 0) AS a, count(*) FILTER (WHERE vec_id % 5 = 0) AS b FROM embeddings GROUP BY 1)
         SELECT round(sum(CAST(a AS DOUBLE) * b) / ((SELECT sum(a) FROM c) * (SELECT sum(b) FROM c)), 6) + 0e0 AS expected_purity FROM c""",

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import postings, text
 from matchloom.operators import applications as ap
+from matchloom.operators.model import Scorer
 from matchloom.plans.corpus import squeezed
 from matchloom.plans.features import rounded
 from matchloom.sources import bindings as b
-from matchloom.streaming import jobs
+from matchloom.sources import paged
+from matchloom.storage import fresh_path, written
+from matchloom.streaming import jobs, worker
 
 AS_OF = datetime.date(1998, 7, 15)
 #: A time of day, so that elapsed days differ from calendar days.
@@ -72,6 +75,45 @@ URLS = (
 _URLS_SQL = " ".join(f"WHEN {i} THEN '{u}'".replace("%", "' || page_id || '") for i, u in enumerate(URLS))
 
 
+#: Days and status that are asked of the store.
+ASKED = (datetime.date(1997, 1, 1), datetime.date(1997, 6, 30), "Rejected")
+
+
+def _pushed(s: SparkSession, d: str) -> DataFrame:
+    """Applications of some days with one status, by a source that is asked for these only, counted by month.
+
+    All applications are first written as pages; the answer is written while filters are pushed.
+    """
+    day = F.col("applied").cast("string")
+    page = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("edited"), day.alias("application_date"), "status"))
+    path = fresh_path(s, "pages")
+    b.applications(s, d).select(F.col("o_orderkey").cast("string").alias("id"), F.col("applied").alias("application_date"), "status", F.col("o_orderkey").alias("edited"), page.alias("json")).write.parquet(path)
+    s.dataSource.register(paged.PagedSource)
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = s.conf.get(key, "false")
+    s.conf.set(key, "true")
+    try:
+        rows = s.read.format("paged").option("client", "matchloom.sources.paged:TableClient").option("folder", path).load()
+        asked = rows.where(F.col("application_date").between(F.lit(ASKED[0]), F.lit(ASKED[1])) & (F.col("status") == ASKED[2]))
+        return written(asked.groupBy(F.date_format("application_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("orders")), "pushed-pages")
+    finally:
+        s.conf.set(key, before)
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """Each event as a request for a score, of vectors that are there."""
+    e = b.table(s, d, "events")
+    vectors = b.vectors(s, d).select(F.col("vec_id").alias("of"), F.slice("vec", 1, 2).alias("vec"))
+    rows = e.withColumn("of", F.col("event_id") % b.table(s, d, "embeddings").count()).join(vectors, "of")
+    chars = F.when(F.col("event_id") % 7 == 0, 100).otherwise(300)
+    return rows.select(F.col("event_id").alias("id"), F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("cache_key"), "ts", chars.alias("description_chars"), F.when(F.col("event_id") % 11 == 0, "unavailable").otherwise("partial").alias("extraction_quality"), "vec")
+
+
+#: Seconds that a score stays in the cache, and a scorer of two features.
+TTL_S = 7200
+SCORER = Scorer((0.0, 0.1), (1.0, 2.0), ((0.1, 0.2), (0.5, -0.3)), (0.0, 0.1), 1.5, 0.2, 0.5)
+
+
 def _addresses(s: SparkSession, d: str) -> DataFrame:
     at = F.col("url")
     for i, u in enumerate(URLS):
@@ -80,6 +122,8 @@ def _addresses(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "worker_answers": lambda s, d: rounded(worker.answers(_requests(s, d), SCORER, TTL_S, 200).select("id", "step", "score", "made_by"), "score"),
+    "pushed_applications": _pushed,
     "posting_identity": lambda s, d: _addresses(s, d).select("page_id", postings.canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(postings.site(F.col("url")), F.lit("")).alias("site"), postings.job_id(F.col("url")).alias("job_id")),
     "posting_extract": lambda s, d: postings.posting(b.table(s, d, "pages").select("page_id", "url", "html")).drop("url", "html"),
     "sponsorship_signal": _signal,
@@ -130,7 +174,36 @@ def _folded(col: str) -> str:
 
 
 _ASKED = lambda *keys: "coalesce(" + ", ".join(f"nullif(regexp_extract(url, '[?&]{k}=([^&#]*)', 1), '')" for k in keys) + ", '')"
+#: The job queue's rules once more, as a recursion over the numbered events of each job: who holds it, for how long, and what was refused.
+_REPLAY = """WITH RECURSIVE e AS (SELECT user_id AS job, event_type AS kind, epoch_us(ts) / 1e6 AS tm, CAST(floor(value) AS BIGINT) AS v, CASE WHEN event_id % 5 = 0 THEN 1 END AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT CAST(0 AS BIGINT) AS n, job, '' AS status, CAST(0 AS BIGINT) AS attempts, 0e0 AS next_run_at, CAST(-1 AS BIGINT) AS owner, 0e0 AS lease_until, false AS publishing, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS recovered FROM (SELECT DISTINCT job FROM e)
+      UNION ALL
+      SELECT n, job, CASE WHEN NOT ok THEN status WHEN kind = 'signup' THEN 'queued' WHEN kind IN ('click', 'view') THEN 'running' WHEN kind = 'purchase' THEN 'completed' WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END,
+        attempts + CASE WHEN ok AND kind = 'click' THEN 1 ELSE 0 END,
+        CASE WHEN ok AND kind = 'signup' THEN tm WHEN ok AND kind = 'error' THEN tm + 5 * power(2e0, greatest(0, attempts - 1)) ELSE next_run_at END,
+        CASE WHEN ok AND kind = 'click' THEN worker WHEN ok AND kind IN ('purchase', 'error') THEN -1 ELSE owner END,
+        CASE WHEN ok AND kind IN ('click', 'view') THEN tm + 21600 WHEN ok AND kind IN ('purchase', 'error') THEN 0e0 ELSE lease_until END,
+        CASE WHEN ok AND kind = 'view' THEN true WHEN ok AND kind IN ('click', 'purchase', 'error') THEN false ELSE publishing END,
+        applied + CASE WHEN ok THEN 1 ELSE 0 END, refused + CASE WHEN ok THEN 0 ELSE 1 END, recovered
+      FROM (SELECT *, coalesce(CASE kind WHEN 'signup' THEN status = '' WHEN 'click' THEN status = 'queued' AND next_run_at <= tm WHEN 'view' THEN own AND NOT publishing AND lease_until > tm WHEN 'purchase' THEN own WHEN 'error' THEN own END, false) AS ok
+        FROM (SELECT *, status = 'running' AND owner = worker AND (attempt IS NULL OR attempt = attempts) AS own
+          FROM (SELECT e.n, e.job, kind, tm, ((v % 3) + 3) % 3 AS worker, attempt, attempts, publishing, applied, refused, CASE WHEN lost THEN 'queued' ELSE status END AS status, CASE WHEN lost THEN lease_until ELSE next_run_at END AS next_run_at,
+              CASE WHEN lost THEN -1 ELSE owner END AS owner, CASE WHEN lost THEN 0e0 ELSE lease_until END AS lease_until, recovered + CASE WHEN lost THEN 1 ELSE 0 END AS recovered
+            FROM (SELECT s.*, s.n + 1 AS next_n, e.tm AS now_tm, s.status = 'running' AND NOT s.publishing AND s.lease_until <= e.tm AS lost FROM s JOIN e ON e.job = s.job AND e.n = s.n + 1) x JOIN e ON e.job = x.job AND e.n = x.next_n))))
+    SELECT job, status, attempts, next_run_at, owner, lease_until, publishing, applied, refused, recovered FROM s JOIN (SELECT job, max(n) AS n FROM e GROUP BY 1) l USING (job, n)"""
+
 ORACLES = {
+    "worker_answers": f"""WITH RECURSIVE q AS (SELECT event_id AS id, user_id % 40 AS k, epoch_us(ts) AS tm, event_id % 7 <> 0 AND event_id % 11 <> 0 AS usable, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b
+          FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
+        u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tm, id) AS n FROM q WHERE usable),
+        r AS (SELECT k, n, id, tm + {TTL_S * 1_000_000} AS expires, id AS made_by, 'computed' AS step FROM u WHERE n = 1
+          UNION ALL SELECT u.k, u.n, u.id, CASE WHEN u.tm >= r.expires THEN u.tm + {TTL_S * 1_000_000} ELSE r.expires END, CASE WHEN u.tm >= r.expires THEN u.id ELSE r.made_by END, CASE WHEN u.tm >= r.expires THEN 'computed' ELSE 'cached' END
+          FROM r JOIN u ON u.k = r.k AND u.n = r.n + 1)
+        SELECT q.id, coalesce(r.step, 'low_quality') AS step, round(100 / (1 + exp(-(1.5e0 * (0.4e0 * m.a - 0.5e0 * (m.b - 0.1e0) / 2 + 0.1e0) + 0.2e0))), 6) + 0e0 AS score, r.made_by
+        FROM q LEFT JOIN r ON r.id = q.id LEFT JOIN q m ON m.id = r.made_by""",
+    "job_queue_replay": _REPLAY,
+    "pushed_applications": f"""WITH {APPS} SELECT strftime(applied, '%Y-%m') AS month, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders FROM apps
+        WHERE applied BETWEEN DATE '{ASKED[0]}' AND DATE '{ASKED[1]}' AND status = '{ASKED[2]}' GROUP BY 1""",
     "posting_identity": f"""WITH a AS (SELECT page_id, CASE page_id % 9 {_URLS_SQL} ELSE url END AS url FROM pages), u AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS bare, {_HOST} AS host FROM a),
         h AS (SELECT *, regexp_extract(bare, '^([a-zA-Z]+://[^/]+)', 1) AS root, CASE {" ".join(f"WHEN regexp_matches(host, '{p}') THEN '{n}'" for n, p in postings.SITES)} ELSE '' END AS site FROM u),
         q AS (SELECT *, list_filter(string_split(substr(bare, length(root) + 1), '/'), lambda x: x <> '') AS parts FROM h),

@@ -34,10 +34,57 @@ def _members(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
 
 def _folds(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(folds, members, domains) of a side: clusters stay whole and domains are spread evenly."""
+    members, domains = _classed(s, d, side)
+    return splits.balanced_folds(members, 3, SEEDS[side]), members.select("hash", "cluster"), domains
+
+
+SEEDS = {"resume": 42, "jd": 43}
+ORDER_SEED = 44
+
+
+def _classed(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(members with their domain as class, domains) of a side."""
     members, _ = _members(s, d, side)
     domains = written(splits.domains(rows(s, d), side), "domains")
-    classes = domains.select("hash", F.col("domain").alias("class"))
-    return splits.balanced_folds(members.join(classes, "hash"), 3, {"resume": 42, "jd": 43}[side]), members, domains
+    return written(members.join(domains.select("hash", F.col("domain").alias("class")), "hash"), "classed-members"), domains
+
+
+def _cluster_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+    """(distinct pairs, partitions, domains by side, members by side): three folds, five folds and one hold-out of whole clusters."""
+    used = rows(s, d).where("usable").select("resume_hash", "jd_hash", "label_norm", "ordinal")
+    first = written(used.groupBy("resume_hash", "jd_hash").agg(F.min_by("label_norm", "ordinal").alias("label")), "distinct-pairs")
+    classed = {side: _classed(s, d, side) for side in SEEDS}
+    folds = lambda n: {side: written(splits.balanced_folds(classed[side][0], n, seed), "folds") for side, seed in SEEDS.items()}
+    parts = None
+    for n in (3, 5):
+        dealt = folds(n)
+        both = first
+        for side in SEEDS:
+            both = both.join(dealt[side].select(splits.own_name(side), F.col("fold").alias(f"{side}_fold")), f"{side}_hash")
+        roles = F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), splits.role(F.col("resume_fold"), F.col("jd_fold"), k).alias("part")) for k in range(n))))
+        part = both.select(F.lit(f"{n}-fold").alias("strategy"), roles.alias("r"), "resume_hash", "jd_hash", "label").select("strategy", "r.fold", "r.part", "resume_hash", "jd_hash", "label").where("part <> 'discarded'")
+        parts = part if parts is None else parts.union(part)
+    small = folds(splits.SMALL_FOLDS)
+    held = splits.held_out(first, small["resume"], small["jd"], ORDER_SEED).where("part <> 'dropped'")
+    parts = written(parts.union(held.select(F.lit("70/15/15").alias("strategy"), F.lit(0).alias("fold"), "part", "resume_hash", "jd_hash", "label")), "partitions")
+    return first, parts, {side: v[1].select("hash", "domain") for side, v in classed.items()}, {side: v[0] for side, v in classed.items()}
+
+
+def _cluster_feasibility(s: SparkSession, d: str) -> DataFrame:
+    """The report on every partition, with whole clusters."""
+    first, parts, domains, _ = _cluster_parts(s, d)
+    return reports.partition_report(parts, first, domains["resume"], domains["jd"], ["strategy", "fold", "part"])
+
+
+def _cluster_feasibility_checks(s: SparkSession, d: str) -> DataFrame:
+    """By strategy: distinct pairs of the corpus, and documents or clusters that lie in two parts of one fold."""
+    first, parts, _, members = _cluster_parts(s, d)
+    out = parts.select("strategy").distinct().crossJoin(first.agg(F.count(F.lit(1)).alias("pairs")))  # three rows, one row
+    for side in SEEDS:
+        placed = parts.select("strategy", "fold", "part", F.col(f"{side}_hash").alias("hash")).join(members[side], "hash")
+        per = placed.groupBy("strategy", "fold", "cluster").agg(F.count_distinct("part").alias("n")).groupBy("strategy").agg(F.count_if(F.col("n") > 1).alias(f"split_{side}_clusters"))
+        out = out.join(per, "strategy")
+    return out
 
 
 def _whole_manifest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,6 +153,14 @@ def _holdout(s: SparkSession, d: str) -> DataFrame:
     return used.groupBy(F.when(left == right, left).otherwise("dropped").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("resume_hash").alias("n_resumes"), F.count_distinct("jd_hash").alias("n_jds"))
 
 
+def _checked_manifest(resumes: DataFrame, jds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ten checks and how many rows they were made on."""
+    out = splits.manifest_checks(resumes, jds, pairs)
+    for name, table in (("resumes", resumes), ("jds", jds), ("pairs", pairs)):
+        out = out.crossJoin(table.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    return out
+
+
 QUERIES = {
     "near_duplicates": lambda s, d: rounded(_each(lambda side: similarity.near_duplicates(_docs(s, d, side))), "similarity"),
     "near_duplicate_clusters": lambda s, d: _each(lambda side: similarity.cluster_stats(*_members(s, d, side))),
@@ -115,8 +170,10 @@ QUERIES = {
     "domain_tv_distance": lambda s, d: rounded(splits.variation(rows(s, d).where("usable"), F.col("split") == "train", "resume_domain"), "distance"),
     "fold_assignment": lambda s, d: _each(lambda side: _folds(s, d, side)[0]),
     "fold_invariants": lambda s, d: _each(lambda side: splits.fold_invariants(*_folds(s, d, side))),
-    "cluster_manifest_checks": lambda s, d: splits.manifest_checks(*_whole_manifest(s, d)),
-    "cluster_manifest_overlaps": lambda s, d: reports.overlaps(_whole_manifest(s, d)[2]).select("fold", "resume_overlap", "jd_overlap"),
+    "cluster_manifest_checks": lambda s, d: _checked_manifest(*_whole_manifest(s, d)),
+    "cluster_manifest_overlaps": lambda s, d: reports.overlaps(_whole_manifest(s, d)[2]).select("fold", (F.col("train_pairs") + F.col("test_pairs") + F.col("discarded_pairs")).alias("pairs"), "resume_overlap", "jd_overlap"),
+    "cluster_split_feasibility": lambda s, d: rounded(_cluster_feasibility(s, d), "label_distance", "resume_domain_distance", "jd_domain_distance"),
+    "cluster_split_checks": _cluster_feasibility_checks,
     "cluster_inner_partition": _inner,
     "manifest_overlaps": lambda s, d: reports.overlaps(_manifest(s, d)),
     "manifest_sink": _stored,
@@ -176,9 +233,11 @@ ORACLES = {
     "inner_partition": f"""WITH {_MANIFEST}, {_held("resume")}, {_held("jd")}
         SELECT resume_hash, jd_hash, CASE WHEN a.c IS NOT NULL AND b.c IS NOT NULL THEN 'validation' WHEN a.c IS NULL AND b.c IS NULL THEN 'train' ELSE 'dropped' END AS part
         FROM m LEFT JOIN resume_v a ON a.c = resume_hash LEFT JOIN jd_v b ON b.c = jd_hash WHERE fold_0_role = 'train'""",
-    "fold_invariants": "SELECT unnest(['resume', 'jd']) AS side, true AS each_document_once, true AS all_folds_used, true AS clusters_whole, true AS domains_spread",
-    "cluster_manifest_checks": "SELECT " + ", ".join(f"true AS {c}" for c in CHECKS),
-    "cluster_manifest_overlaps": "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, CAST(0 AS BIGINT) AS resume_overlap, CAST(0 AS BIGINT) AS jd_overlap",
+    "fold_invariants": f"""WITH {PAIRS} SELECT 'resume' AS side, count(DISTINCT resume_hash) AS documents, true AS each_document_once, true AS all_folds_used, true AS clusters_whole, true AS domains_spread FROM used
+        UNION ALL SELECT 'jd', count(DISTINCT jd_hash), true, true, true, true FROM used""",
+    "cluster_manifest_checks": f"WITH {PAIRS} SELECT " + ", ".join(f"true AS {c}" for c in CHECKS) + ", count(DISTINCT resume_hash) AS resumes, count(DISTINCT jd_hash) AS jds, count(DISTINCT (resume_hash, jd_hash)) AS pairs FROM used",
+    "cluster_manifest_overlaps": f"WITH {PAIRS} SELECT CAST(fold AS INTEGER) AS fold, count(DISTINCT (resume_hash, jd_hash)) AS pairs, CAST(0 AS BIGINT) AS resume_overlap, CAST(0 AS BIGINT) AS jd_overlap FROM used, range(3) t(fold) GROUP BY fold",
+    "cluster_split_checks": f"WITH {PAIRS} SELECT strategy, count(DISTINCT (resume_hash, jd_hash)) AS pairs, CAST(0 AS BIGINT) AS split_resume_clusters, CAST(0 AS BIGINT) AS split_jd_clusters FROM used, (SELECT unnest(['3-fold', '5-fold', '70/15/15']) AS strategy) GROUP BY strategy",
     "cluster_inner_partition": "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, true AS has_train, true AS has_validation, CAST(0 AS BIGINT) AS shared_resume_clusters, CAST(0 AS BIGINT) AS shared_jd_clusters",
     "manifest_overlaps": f"""WITH {_MANIFEST}, l AS ({_LONG}), o AS (SELECT fold, 'resume' AS side, resume_hash AS doc, count(DISTINCT role) AS n FROM l WHERE role <> 'discarded' GROUP BY 1, 2, 3 UNION ALL SELECT fold, 'jd', jd_hash, count(DISTINCT role) FROM l WHERE role <> 'discarded' GROUP BY 1, 2, 3)
         SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE role = 'train') AS train_pairs, count(*) FILTER (WHERE role = 'test') AS test_pairs, count(*) FILTER (WHERE role = 'discarded') AS discarded_pairs,

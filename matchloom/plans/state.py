@@ -209,7 +209,8 @@ ORACLES = {
         SELECT quality, count(*) AS n, CAST(max(length(body)) AS INTEGER) AS longest, CAST(sum(length(body)) AS BIGINT) AS chars FROM c GROUP BY 1""",
     "month_bounds": """WITH m AS (SELECT DISTINCT CASE WHEN o_orderkey % 9 = 0 THEN '1998-13' WHEN o_orderkey % 10 = 0 THEN '98-1' ELSE strftime(o_orderdate, '%Y-%m') END AS month FROM orders),
         t AS (SELECT month, CASE WHEN regexp_full_match(month, '\\d{4}-\\d{2}') THEN TRY_CAST(month || '-01' AS DATE) END AS d FROM m) SELECT month, CAST(d AS VARCHAR) AS start, CAST(last_day(d) AS VARCHAR) AS last FROM t""",
-    "next_runnable_job": f"WITH {_INPUTS} SELECT id, application_key, status FROM jobs WHERE {_DUE} ORDER BY next_run_at, id LIMIT 1",
+    "next_runnable_job": f"""WITH {_INPUTS}, earliest AS (SELECT min({{'next': next_run_at, 'id': id, 'application_key': application_key, 'status': status}}) AS j FROM jobs WHERE {_DUE})
+        SELECT j.id AS id, j.application_key AS application_key, j.status AS status FROM earliest WHERE j IS NOT NULL""",
     "eligible_inputs": f"WITH {_INPUTS} SELECT description_chars >= {LEAST} AND extraction_quality IN ('complete', 'partial') AS worker_takes, description_chars >= {LEAST} AND extraction_quality = 'complete' AS service_takes, count(*) AS n FROM i GROUP BY 1, 2",
     "immutable_inputs": f"""WITH {_INPUTS}, u AS (SELECT 'known' AS origin, k AS order_key FROM i UNION ALL SELECT 'new', k FROM first WHERE application_key NOT IN (SELECT application_key FROM i))
         SELECT origin, count(*) AS n, CAST(sum(order_key) AS BIGINT) AS orders FROM u GROUP BY 1""",

@@ -61,10 +61,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
+#: Ids that are dealt to four groups at a time, and where the groups after the first begin.
+TOKEN_IDS, TOKEN_STARTS = 16, (5, 8, 15)
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ragged token matrices: group, pos, vec, label; groups of eight vectors, a fifth of them left out."""
-    rows = vectors(spark, sf_dir).where("vec_id % 5 <> 0")
-    return rows.select(F.floor(F.col("vec_id") / 8).alias("grp"), (F.col("vec_id") % 8).alias("pos"), "vec", "label")
+    """Ragged token matrices: group, pos, vec, label; all vectors, in groups of five, three, seven and one by turns."""
+    place = F.col("vec_id") % TOKEN_IDS
+    which, start = F.lit(0), F.lit(0)
+    for i, first in enumerate(TOKEN_STARTS, 1):
+        which, start = F.when(place >= first, i).otherwise(which), F.when(place >= first, first).otherwise(start)
+    return vectors(spark, sf_dir).select((F.floor(F.col("vec_id") / TOKEN_IDS) * 4 + which).alias("grp"), (place - start).alias("pos"), "vec", "label")
 
 
 def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.storage import shipped, written
+
 
 def catalog(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """Documents <family>/pdf/<name>.pdf below a folder: version, label, path, modified (newest first), and their SHA-256 if asked."""
@@ -46,15 +48,22 @@ def supplied(spark: SparkSession, path: str) -> DataFrame:
 
 
 def offsets(counts: DataFrame) -> DataFrame:
-    """(document_hash, offset, token_count) of token matrices laid end to end, longest first.
+    """(document_hash, offset, token_count) of token matrices laid end to end, longest first, equal lengths by hash.
 
-    Counts are summed over classes of equal size first, so the running sums see a class, and not the table, at a time.
+    Three sums make an offset: of longer documents (a row for each length), of the buckets of hashes before a document's in
+    its length (4,096 rows for each length at most), and its place within its bucket. No window sees all documents of a length.
     """
-    sizes = counts.groupBy("token_count").agg(F.count(F.lit(1)).alias("n"))
-    total = F.col("n") * F.col("token_count")
-    before = sizes.select("token_count", (F.sum(total).over(Window.orderBy(F.desc("token_count"))) - total).alias("before"))
-    place = F.row_number().over(Window.partitionBy("token_count").orderBy("document_hash")) - 1
-    return counts.withColumn("place", place).join(F.broadcast(before), "token_count").select("document_hash", (F.col("before") + F.col("place") * F.col("token_count")).cast("long").alias("offset"), "token_count")
+    bucket = F.left("document_hash", F.lit(3)).alias("bucket")
+    cells = counts.groupBy("token_count", bucket).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("token_count").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = cells.select("token_count", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    longer = Window.orderBy(F.desc("token_count")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy("token_count").agg(F.sum("n").alias("n"))
+    before = sizes.select("token_count", F.coalesce(F.sum(F.col("n") * F.col("token_count")).over(longer), F.lit(0)).alias("before"))
+    starts = written(within.join(before, "token_count"), "offset-cells")
+    place = F.row_number().over(Window.partitionBy("token_count", "bucket").orderBy("document_hash")) - 1
+    placed = counts.select("document_hash", "token_count", bucket).withColumn("place", place).join(shipped(starts, 32), ["token_count", "bucket"])
+    return placed.select("document_hash", (F.col("before") + (F.col("ahead") + F.col("place")) * F.col("token_count")).cast("long").alias("offset"), "token_count")
 
 
 def offset_errors(index: DataFrame, rows: int, cells: int = 4096) -> DataFrame:

@@ -1,12 +1,14 @@
+import datetime
 import random
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom import storage
-from matchloom.operators import applications, audit, graph, learn, metrics, model, order, similarity, splits, state, vectors
+from matchloom.operators import applications, audit, graph, information, learn, metrics, model, order, projection, reports, similarity, splits, state, vectors
 from matchloom.plans import features, splitting
 from matchloom.streaming import jobs
 
@@ -66,7 +68,7 @@ def test_token_rows_have_no_bound(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     for name in ("knrm_features", "knrm_row_distribution"):
         got = features.QUERIES[name](spark, str(tmp_path)).select("l", "r").distinct().collect()
-        assert {(r.l, r.r) for r in got} == {(62, 63), (62, 65), (64, 65)}
+        assert {(r.l, r.r) for r in got} == {(124, 125), (124, 127), (126, 127), (126, 129), (128, 129), (128, 131), (130, 131)}
 
 
 def test_similarity_golden_and_brute_force(spark):
@@ -81,9 +83,43 @@ def test_similarity_golden_and_brute_force(spark):
             texts.append("".join(x))
     texts = sorted(set(texts))
     df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "hash string, text string")
-    for threshold in (97.0, 90.0):
-        want = {(f"{i:03d}", f"{j:03d}") for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similarity.ratio(a.casefold(), b.casefold()) >= threshold}
-        assert {(r.left_hash, r.right_hash) for r in similarity.near_duplicates(df, threshold).collect()} == want and want
+    all_pairs = {(i, j): indel_ratio(texts[i].casefold(), texts[j].casefold()) for j in range(len(texts)) for i in range(j)}
+    for threshold in (97.0, 90.0, 75.0):
+        want = {(f"{i:03d}", f"{j:03d}"): round(s, 6) for (i, j), s in all_pairs.items() if s >= threshold}
+        assert {(r.left_hash, r.right_hash): round(r.similarity, 6) for r in similarity.near_duplicates(df, threshold).collect()} == want and want
+    with pytest.raises(ValueError, match="two thirds"):
+        similarity.near_duplicates(df, 60.0)
+
+
+def indel_ratio(a, b):
+    """By the table of all prefixes, unlike the operator's bits."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return 200 * row[-1] / (len(a) + len(b))
+
+
+def test_seeds_of_short_and_plain_texts(spark):
+    rng = random.Random(5)
+    texts = {"a" * n for n in (1, 2, 7, 8, 9, 16, 17, 33, 34, 200, 203, 206)} | {"ab" * 40, "ab" * 40 + "a", "ab" * 38, "", "Straße", "STRASSE"}
+    for n in (12, 20, 40, 64, 100):
+        base = "".join(rng.choice("abcd") for _ in range(n))
+        texts |= {base, base.upper() + "x", base[1:], base[:-1] + "y", base[: n // 2] + base[n // 2 + 1 :]}
+    texts = sorted(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string").selectExpr("lpad(cast(n as string), 3, '0') AS hash", "text")
+    want = {(f"{i:03d}", f"{j:03d}") for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if a and b and indel_ratio(a.casefold(), b.casefold()) >= 97}
+    assert {(r.left_hash, r.right_hash) for r in similarity.near_duplicates(df).collect()} == want and len(want) > 20
+
+
+def test_shared_passages_make_no_candidates(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    rows = [(i, passage[:150] + "".join(rng.choice("abcdefghij ") for _ in range(900)) + passage[150:]) for i in range(150)]
+    rows += [(1000 + i, t[:-1] + "#") for i, t in rows[:10]]
+    found = {(r.l, r.r) for r in similarity.candidates(spark.createDataFrame(rows, "id long, folded string"), 97.0).collect()}
+    assert {(i, 1000 + i) for i in range(10)} <= found and len(found) < 40  # of 12,720 pairs in one band of lengths
 
 
 def test_near_copies_of_both_sides(spark, sf_dir):
@@ -100,9 +136,7 @@ def test_near_copies_of_both_sides(spark, sf_dir):
         assert 0 < n <= sum(k == side for k, _ in want)
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(graph, "FEW_EDGES", few)
+def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (150, 200)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and got[300] == 300
@@ -120,7 +154,6 @@ def test_components_in_few_rounds(spark, monkeypatch):
     tables = []
     monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or storage.written(df, name))
     path = random.Random(7).sample(range(1000, 4000), 3000)
-    monkeypatch.setattr(graph, "FEW_EDGES", 0)
     edges = [(a, b) for chain in (zigzag(140), path) for a, b in zip(chain, chain[1:], strict=False)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert len(got) == 3140 and all(c == (0 if v < 1000 else 1000) for v, c in got.items())
@@ -220,17 +253,34 @@ def test_rename_and_insert(spark):
     assert sorted(map(tuple, state.deleted(t, spark.createDataFrame([("a",)], "application_key string"))["runs"].collect())) == [("z", 7)]
 
 
-def test_balanced_folds(spark):
+@pytest.mark.parametrize("shape", ["mixed", "pure", "giant"])
+def test_balanced_folds(spark, tmp_path, shape):
     rng = random.Random(2)
-    rows = [(f"d{i}", f"c{rng.randrange(120)}", rng.choice("xyyzz")) for i in range(600)]
+    cluster = {"mixed": lambda i: rng.randrange(120), "pure": lambda i: i if i % 3 else i // 30, "giant": lambda i: 0 if i < 150 else i}[shape]
+    rows = [(f"d{i}", f"c{cluster(i)}", rng.choice("xyyzz") if shape == "mixed" else "xyyzz"[cluster(i) % 5]) for i in range(600)]
     df = spark.createDataFrame(rows, "hash string, cluster string, class string")
-    got = {r.hash: r.fold for r in splits.balanced_folds(df, 3, 42, parts=2).collect()}
-    assert got == {r.hash: r.fold for r in splits.balanced_folds(df.repartition(7), 3, 42, parts=2).collect()}
-    assert len(got) == 600
-    assert all(len({got[h] for h, c, _ in rows if c == k}) == 1 for k in {c for _, c, _ in rows})
-    for k in "xyz":
-        sizes = [sum(got[h] == f for h, _, c in rows if c == k) for f in range(3)]
-        assert max(sizes) - min(sizes) < 0.35 * max(sizes)
+    dealt = splits.balanced_folds(df, 3, 42)
+    got = {r.hash: r.fold for r in dealt.collect()}
+    assert got == {r.hash: r.fold for r in splits.balanced_folds(df.repartition(7), 3, 42).collect()}
+    assert len(got) == 600 and all(len({got[h] for h, c, _ in rows if c == k}) == 1 for k in {c for _, c, _ in rows})
+    # the counts again, from the written folds, by other means
+    dealt.write.parquet(str(tmp_path / "folds"))
+    df.write.parquet(str(tmp_path / "members"))
+    gaps = duckdb.sql(f"""WITH m AS (SELECT * FROM '{tmp_path}/members/*.parquet' JOIN '{tmp_path}/folds/*.parquet' USING (hash)),
+        l AS (SELECT class, max(n) AS n FROM (SELECT class, cluster, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1)
+        SELECT class, max(g.n) - min(g.n), any_value(l.n) FROM (SELECT class, fold, count(*) AS n FROM m GROUP BY ALL) g JOIN l USING (class) GROUP BY class""").fetchall()
+    assert len(gaps) == 3
+    for kind, gap, largest in gaps:
+        assert gap <= (largest if shape == "mixed" else 1), (kind, gap, largest)
+
+
+def test_held_out_pairs(spark):
+    folds = spark.createDataFrame([(f"h{k}", k) for k in range(20)], "hash string, fold int")
+    pairs = spark.createDataFrame([(f"h{i}", f"h{j}") for i in range(20) for j in range(20)], "resume_hash string, jd_hash string")
+    parts = {r.part: r["count"] for r in splits.held_out(pairs, folds, folds, 44).groupBy("part").count().collect()}
+    assert parts == {"train": 196, "validation": 9, "test": 9, "dropped": 400 - 214}
+    other = splits.held_out(pairs.where("resume_hash = jd_hash"), folds, folds, 45).where("part = 'test'").collect()
+    assert {r.resume_hash for r in other} != {r.resume_hash for r in splits.held_out(pairs.where("resume_hash = jd_hash"), folds, folds, 44).where("part = 'test'").collect()}
 
 
 def test_manifest_roles(spark):
@@ -306,3 +356,147 @@ def test_telemetry_writes_each_batch_once(spark, tmp_path):
     for _ in range(2):
         jobs.telemetry(source, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+
+
+def test_token_batches():
+    cut = lambda sizes, budget: [sizes[b] for b in vectors.token_batches(sizes, budget)]
+    assert cut([3, 4, 5, 9, 1, 1], 7) == [[3, 4], [5], [9], [1, 1]]
+    assert cut([], 7) == [] and cut([8, 8], 7) == [[8], [8]]
+
+
+def test_block_products_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    sizes = {g: int(rng.integers(1, 9)) for g in range(30)}
+    rows = [(g, p, rng.normal(size=6).tolist()) for g, n in sizes.items() for p in range(n)]
+    matrix = {g: np.array([v for h, _, v in rows if h == g], np.float32).astype(float) for g in sizes}
+    tokens = spark.createDataFrame(rows, "grp long, pos long, vec array<double>")
+    wanted = [(int(l), int(r)) for l in range(0, 30, 2) for r in range(1, 30, 2) if l == 4 or r == 7 or (l + r) % 7 == 0]
+    pairs = spark.createDataFrame(wanted, "l long, r long")
+    pool = lambda soft, n: np.append(soft.sum(axis=0), n)
+    found = {}
+    for r in vectors.pooled(pairs, tokens.where("grp % 2 = 0"), tokens.where("grp % 2 = 1"), pool, "k", block_tokens=12, budget=9).collect():
+        found[r.l, r.r, r.k] = r.value
+    assert len(found) == len(wanted) * 12
+    bank = np.array(vectors.kernels())
+    for l, r in wanted:
+        sims = matrix[l] @ matrix[r].T
+        for j, (mean, width) in enumerate(bank):
+            assert found[l, r, j] == pytest.approx(np.exp(-((sims - mean) ** 2) / (2 * width**2)).sum(), abs=1e-9)
+        assert found[l, r, 11] == sizes[l]
+    sent = vectors.dealt(pairs, vectors.documents(tokens.where("grp % 2 = 0")), vectors.documents(tokens.where("grp % 2 = 1")), 12).where("part < 2")
+    assert sent.count() == sent.select("l_block", "r_block", "part", "l", "r").distinct().count() < 2 * len(wanted)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_comoments(spark, parts):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 5)) * [1, 10, 0.1, 1, 0] + [1e6, 0, -3, 0, 7]
+    x[:, 3] = x[:, 1] * -2
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, vec array<double>, label int")
+    got = {r.i: r for r in vectors.comoments(df.repartition(7), parts).collect()}
+    assert np.allclose([got[i].row for i in range(5)], np.cov(x.T, ddof=0) * 200, rtol=1e-9, atol=1e-6) and all(r.n == 200 for r in got.values())
+    r = {(m.i, m.j): m.r for m in vectors.moments(df).collect()}
+    assert len(r) == 15 and r[1, 3] == pytest.approx(-1) and r[4, 4] == r[0, 4] == 0 and r[0, 0] == pytest.approx(1)
+    assert vectors.moments(df.limit(0)).collect() == []
+
+
+def digamma(n):
+    return -0.57721566490153286 + sum(1 / i for i in range(1, n))
+
+
+@pytest.mark.parametrize("run_rows", [4, 4096])
+def test_neighbour_information_counts_rows(spark, run_rows):
+    rng = np.random.default_rng(6)
+    rows = [(0, int(c), float(np.float32(rng.normal() + c))) for c in rng.integers(0, 3, 120)] + [(0, 9, 5.0)]  # a class of one
+    rows += [(1, int(c), float(rng.integers(0, 6))) for c in rng.integers(0, 2, 90)] + [(1, 4, 1.0), (1, 4, 7.0)]  # ties; a class of two
+    rows += [(2, c % 2, 1.5) for c in range(40)] + [(2, 0, None), (2, 1, float("nan"))]  # constant
+    df = spark.createDataFrame(rows, "dim int, label int, x double")
+    got = {r.dim: r.information for r in information.neighbour_information(df, 3, run_rows).collect()}
+    for dim in range(3):
+        own = [(c, x) for d, c, x in rows if d == dim and x is not None and x == x]
+        own = [(c, x) for c, x in own if sum(o == c for o, _ in own) > 1]
+        total = 0
+        for i, (c, x) in enumerate(own):
+            near = sorted(abs(y - x) for j, (o, y) in enumerate(own) if o == c and j != i)
+            k = min(3, len(near))
+            m = sum(abs(y - x) < near[k - 1] or y == x for _, y in own)
+            total += digamma(k) - digamma(len(near) + 1) - digamma(m)
+        assert got[dim] == pytest.approx(max(0, digamma(len(own)) + total / len(own)), abs=1e-9)
+    assert got[0] > 0.1 and information.neighbour_information(df.limit(0)).collect() == []
+
+
+def test_principal_components_and_trust(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(160, 8)) @ np.diag([9, 5, 3, 1, 0.5, 0.2, 0.1, 0.1]) + 4
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, vec array<double>, label int").repartition(5)
+    fit = projection.principal(df, 3)
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(fit.variances, s[:3] ** 2 / 159) and np.allclose(np.abs(fit.directions @ vt[:3].T), np.eye(3), atol=1e-8) and fit.shares.sum() == pytest.approx((s[:3] ** 2).sum() / (s**2).sum())
+    shown = projection.projected(df, fit)
+    y = np.array([r.vec for r in shown.orderBy("vec_id").collect()])
+    assert np.allclose(y, (x - x.mean(axis=0)) @ fit.directions.T)
+    k, wrong = 4, 0
+    for i in range(0, 160, 20):
+        order = lambda z: [j for _, j in sorted((((z[j] - z[i]) ** 2).sum(), j) for j in range(160) if j != i)]  # noqa: B023, E731
+        true = order(x)
+        wrong += sum(max(0, true.index(j) + 1 - k) for j in order(y)[:k])
+    got = projection.trustworthiness(df.where("vec_id % 20 = 0"), df, shown.where("vec_id % 20 = 0"), shown, k).first()
+    assert got.n_queries == 8 and got.trustworthiness == pytest.approx(1 - 2 * wrong / (8 * k * (320 - 3 * k - 1)))
+    assert projection.trustworthiness(df.where("vec_id % 20 = 0"), df, df.where("vec_id % 20 = 0"), df, k).first().trustworthiness == 1
+
+
+def test_fold_scores_are_those_of_a_newton_fit(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(240, 3)) * [1, 4, 0.5]
+    y = (x @ [1.0, -0.3, 0.8] + rng.normal(size=240) > 0.4).astype(int)
+    fold = np.arange(240) % 3
+    rows = [(i, x[i].tolist(), int(y[i]), int(fold[i])) for i in range(240)]
+    got = {r.id: r for r in learn.fold_scores(spark.createDataFrame(rows, "id long, vec array<double>, y int, fold int"), 3, 1e-3).collect()}
+    assert got.keys() == set(range(240)) and all(got[i].fold == fold[i] for i in got)
+    for k in range(3):
+        train = fold != k
+        scale = x[train].std(axis=0, ddof=1)
+        z = np.hstack([x / scale, np.ones((240, 1))])
+        weight = train.sum() / (2 * np.bincount(y[train]))[y]
+        weight = np.where(train, weight, 0) / weight[train].sum()
+        penalty, w = np.diag([1e-3] * 3 + [0]), np.zeros(4)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + penalty, z.T @ (weight * (p - y)) + penalty @ w)
+        for i in np.flatnonzero(fold == k):
+            assert got[i].probability == pytest.approx(1 / (1 + np.exp(-z[i] @ w)), abs=2e-4)
+
+
+def test_examples_are_the_first_pairs(spark):
+    pairs = spark.createDataFrame([("b", "c", 98.0), ("a", "z", 97.5), ("a", "b", 99.0), ("c", "d", 100.0), ("a", "c", 99.0)], "left_hash string, right_hash string, similarity double")
+    got = [tuple(r) for r in reports.examples(pairs, 3).collect()]
+    assert [r[:3] for r in got] == [("a", "b", 99.0), ("a", "c", 99.0), ("a", "z", 97.5)] and {r[3] for r in got} == {5}
+
+
+def test_reconciliation_of_odd_keys(spark):
+    at = datetime.datetime(2024, 1, 2)
+    ago = lambda s: at - datetime.timedelta(seconds=s)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    jobs_of = frame(
+        [
+            ("a", "f1", "waiting_application", False, None, ago(5)),
+            ("b", "f2", "waiting_application", False, None, ago(5)),  # two pages
+            (None, None, "running", False, ago(1), ago(5)),  # a lease without a key
+            ("s1", "f3", "running", True, ago(1), ago(5000)),  # has its score
+            ("a", "f4", "running", True, ago(1), ago(5000)),
+            ("a", "f5", "running", True, ago(1), ago(5)),
+            ("a", "f6", "running", True, ago(-5), ago(5000)),  # not expired
+        ],
+        "application_key string, input_fingerprint string, status string, publishing boolean, lease_until timestamp, updated_at timestamp",
+    )
+    snapshots = frame([("a", "f1", 300, "complete", True), ("a", "f7", 300, "partial", True), ("a", "f7", 1, "partial", True), ("a", "f8", 300, "unavailable", True), ("b", "f9", 300, "complete", True), ("c", "fa", 300, "complete", None)], "application_key string, input_fingerprint string, description_chars int, extraction_quality string, snapshot_valid boolean")
+    pages = frame([("a",), ("b",), ("b",), ("",), (None,), ("c",)], "application_key string")
+    scores = frame([("s1",), ("s2",), ("s2",), ("c",), ("",)], "application_key string")
+    runs = frame([("v2", "e1", None), ("v1", "e1", ""), (None, "e1", "")], "version string, model string, revision string")
+    got = state.reconciliation(jobs_of, frame([("a",)], "application_key string"), snapshots, pages, scores, runs, at, "v2", "e1", "", 200)
+    assert got.first().asDict() == {
+        "activated": 1, "requeued": 1, "unavailable_inputs": 2, "recovered_leases": 1, "recovered_publications": 1, "retried_publications": 1, "uncertain_publications": 1,
+        "duplicate_application_keys": 1, "duplicate_score_keys": 1, "orphan_score_keys": 2, "missing_local_inputs": 2, "stale_score_runs": 2,
+    }
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan

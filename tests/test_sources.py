@@ -1,8 +1,9 @@
+import datetime
 import json
 
 import pytest
 
-from matchloom.sources import files, paged, pages
+from matchloom.sources import files, paged, pages, ragged
 
 
 def test_application_page(spark):
@@ -74,9 +75,112 @@ def test_paged_source(spark, tmp_path):
     client = paged.FolderClient(options)
     for i in range(7):
         client.upsert({"id": i, "shard": f"s{i % 2}", "status": "Applied" if i % 3 else "Rejected"})
-    read = lambda **more: sorted(json.loads(r.json)["id"] for r in spark.read.format("paged").options(**options, **more).load().collect())
+    load = lambda **more: spark.read.format("paged").options(**options, **more).load()
+    read = lambda **more: sorted(int(r.id) for r in load(**more).collect())
     assert read() == list(range(7)) and read(filter="Rejected") == [0, 3, 6]
     new = spark.createDataFrame([(json.dumps({"id": i, "shard": "s1", "status": "Applied"}),) for i in (6, 7)], "json string")
     for _ in range(2):
         new.write.format("paged").options(**options).mode("append").save()
     assert read() == [0, 1, 2, 3, 4, 5, 6, 6, 7]
+    gone = spark.createDataFrame([(json.dumps({"id": 6}), "trash"), (json.dumps({"id": 1, "shard": "s1", "status": "New"}), None)], "json string, action string")
+    gone.write.format("paged").options(**options, schema_patch='{"Status": "status", "Old": null}').mode("append").save()
+    assert read() == [0, 1, 2, 3, 4, 5, 7] and read(filter="New") == [1]
+    client.patch_schema({"Score": "number", "Status": None})
+    assert json.loads((tmp_path / "schema.json").read_text()) == {"Score": "number"}
+    with pytest.raises(Exception, match="upserted or trashed"):
+        gone.selectExpr("json", "'burn' AS action").write.format("paged").options(**options).mode("append").save()
+
+
+def test_ranges():
+    day = datetime.date
+    wanted = paged.Range()
+    for f in (paged.GreaterThan(("application_date",), day(2024, 1, 3)), paged.LessThanOrEqual(("application_date",), day(2024, 2, 1)), paged.LessThan(("application_date",), day(2024, 3, 1)), paged.EqualTo(("id",), "x"), paged.EqualTo(("status",), "Applied")):
+        wanted = wanted.narrowed(f)
+    assert wanted == paged.Range(day(2024, 1, 4), day(2024, 2, 1), "Applied")
+    page = {"application_date": "2024-01-04", "status": "Applied", "edited": 5}
+    assert wanted.has(page) and not wanted.has(page | {"status": "New"}) and not wanted.has(page | {"application_date": None}) and not wanted.has(page | {"application_date": "2024-01-03"})
+    assert paged.Range(since=4, until=5).has(page) and not paged.Range(since=5).has(page) and not paged.Range(until=4).has(page)
+
+
+class Asked(paged.FolderClient):
+    """Writes down what it was asked for."""
+
+    def query(self, shard, wanted, cursor):
+        with open(f"{self.root}/asked.txt", "a") as f:
+            f.write(f"{wanted.first} {wanted.last} {wanted.status}\n")
+        return super().query(shard, wanted, cursor)
+
+
+def test_date_ranges_are_pushed(spark, tmp_path):
+    spark.dataSource.register(paged.PagedSource)
+    options = {"client": "tests.test_sources:Asked", "folder": str(tmp_path), "page_size": "3"}
+    for i in range(20):
+        Asked(options).upsert({"id": i, "shard": f"s{i % 2}", "status": "Applied" if i % 2 else "New", "application_date": f"2024-01-{i + 1:02d}"})
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key, "false")
+    try:
+        spark.conf.set(key, "true")
+        rows = spark.read.format("paged").options(**options).load().where("application_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-09' AND status = 'Applied'")
+        assert sorted(int(r.id) for r in rows.collect()) == [5, 7]
+    finally:
+        spark.conf.set(key, before)
+    assert set((tmp_path / "asked.txt").read_text().splitlines()) == {"2024-01-05 2024-01-09 Applied"}
+
+
+def test_stream_of_changes_goes_on_from_its_checkpoint(spark, tmp_path):
+    spark.dataSource.register(paged.PagedSource)
+    options = {"client": "matchloom.sources.paged:FolderClient", "folder": str(tmp_path / "store"), "page_size": "2"}
+    client = paged.FolderClient(options)
+    for i in range(5):
+        client.upsert({"id": i, "shard": f"s{i % 2}"})
+
+    def run():
+        out = spark.readStream.format("paged").options(**options).load().select("id", "edited").writeStream.format("parquet")
+        out.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["0", "1", "2", "3", "4"]
+    client.upsert({"id": 3, "shard": "s1"})
+    client.upsert({"id": 9, "shard": "s2"})
+    assert run() == ["0", "1", "2", "3", "3", "4", "9"] == run()
+
+
+def store_rows(spark, n=40):
+    sizes = [(i * 7) % 11 + 1 for i in range(n)] + [70]
+    rows = [(f"{i:02x}{'0' * 62}", p, [float(i), p / 4, -1.5]) for i, size in enumerate(sizes) for p in range(size)]
+    return spark.createDataFrame(rows, "document_hash string, pos long, vec array<float>"), rows
+
+
+@pytest.mark.parametrize("kind", ["<f2", "<f4"])
+def test_ragged_store(spark, tmp_path, kind):
+    tokens, rows = store_rows(spark)
+    index = ragged.write_store(tokens.repartition(7), str(tmp_path), 3, kind, block_rows=16)
+    assert index.agg({"token_count": "sum"}).first()[0] == len(rows)
+    ragged.checked(index, len(rows))
+    read = lambda some: sorted((r.document_hash, r.pos, r.vec) for r in ragged.fetch(str(tmp_path), some, 3, kind, block_rows=16).collect())
+    assert read(index) == sorted(rows)
+    assert read(index.where("document_hash < '03'")) == sorted(r for r in rows if r[0] < "03")
+    assert read(index.limit(0)) == []
+    assert all(len(r.data) == r.n_rows * 3 * int(kind[-1]) and r.n_rows <= 16 for r in spark.read.parquet(f"{tmp_path}/blocks").collect())
+
+
+def test_ragged_store_refuses_damage(spark, tmp_path):
+    tokens, rows = store_rows(spark)
+    good = str(tmp_path / "good")
+    index = ragged.write_store(tokens, good, 3, "<f4", block_rows=16)
+    for name, bad in (("gap", index.where("document_hash > '05'")), ("twice", index.unionAll(index.limit(1))), ("moved", index.selectExpr("document_hash", "offset + 1 AS offset", "token_count"))):
+        with pytest.raises(ValueError, match="doesn't fit"):
+            ragged.checked(bad, len(rows) if name != "moved" else len(rows))
+    blocks = spark.read.parquet(f"{good}/blocks")
+    damages = {
+        "missing or there twice": blocks.where("block <> 3"),
+        "cut short": blocks.selectExpr("block", "first", "n_rows", "CASE WHEN block = 2 THEN substring(data, 1, 20) ELSE data END AS data"),
+        "ends before": blocks.selectExpr("block", "first", "CASE WHEN block = 1 THEN n_rows - 1 ELSE n_rows END AS n_rows", "CASE WHEN block = 1 THEN substring(data, 1, 180) ELSE data END AS data"),
+    }
+    for i, (message, damaged) in enumerate(damages.items()):
+        damaged.write.parquet(str(tmp_path / f"bad{i}" / "blocks"))
+        with pytest.raises(Exception, match=message):
+            ragged.fetch(str(tmp_path / f"bad{i}"), index, 3, "<f4", block_rows=16).collect()
+    for i, (message, wrong) in enumerate({"missing or given twice": tokens.unionAll(tokens.limit(1)), "outside": tokens.withColumn("pos", tokens.pos + 1), "another length": tokens.selectExpr("document_hash", "pos", "slice(vec, 1, 2) AS vec")}.items()):
+        with pytest.raises(Exception, match=f"{message}|outside|missing"):
+            ragged.write_store(wrong, str(tmp_path / f"wrong{i}"), 3, block_rows=16)
