@@ -33,14 +33,14 @@ def number_text(value: Column) -> Column:
 def score_text(score: Column, band: Column, fit_label: Column) -> tuple[Column, Column]:
     """(text, class) of a score: by its fit label if it has one, else by its band; what isn't known is an error."""
     fit, named = F.lower(F.trim(F.coalesce(fit_label, F.lit("")))), F.lower(F.trim(F.coalesce(band, F.lit(""))))
-    label = F.when(fit != "", _cases(fit, {"good fit": "Good Fit", "no fit": "No Fit"}, "Unknown fit label")).otherwise(_cases(named, {k: v[1] for k, v in BANDS.items()}, "Unknown score band"))
-    kind = F.when(fit != "", _cases(fit, {"good fit": "score-high", "no fit": "score-low"}, "Unknown fit label")).otherwise(_cases(named, {k: v[0] for k, v in BANDS.items()}, "Unknown score band"))
-    checked = F.when(score.between(0, 100) & ~F.isnan(score), score).otherwise(F.raise_error(F.lit("Score must be between 0 and 100")).cast("double"))
+    label = F.when(fit != "", _cases(fit, {"good fit": "Good Fit", "no fit": "No Fit"}, "no such fit label")).otherwise(_cases(named, {k: v[1] for k, v in BANDS.items()}, "no such band"))
+    kind = F.when(fit != "", _cases(fit, {"good fit": "score-high", "no fit": "score-low"}, "no such fit label")).otherwise(_cases(named, {k: v[0] for k, v in BANDS.items()}, "no such band"))
+    checked = F.when(score.between(0, 100) & ~F.isnan(score), score).otherwise(F.raise_error(F.lit("a score lies from 0 to 100")).cast("double"))
     return F.concat(number_text(checked), F.lit("/100 ("), label, F.lit(")")), kind
 
 
 def source_label(source: Column) -> Column:
-    return _cases(source, SOURCES, "Unknown score source")
+    return _cases(source, SOURCES, "no such source of a score")
 
 
 def tenths(value: Column) -> Column:
@@ -71,7 +71,7 @@ def normal_url(value: Column) -> Column:
     """A trimmed http or https address; empty stays empty, anything else is an error."""
     bare = F.trim(F.coalesce(value, F.lit("")))
     known = F.lower(F.try_parse_url(bare, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(bare, F.lit("HOST")).isNotNull()
-    return F.when((bare == "") | F.coalesce(known, F.lit(False)), bare).otherwise(F.raise_error(F.lit("URLs must start with http:// or https://")).cast("string"))
+    return F.when((bare == "") | F.coalesce(known, F.lit(False)), bare).otherwise(F.raise_error(F.lit("an address begins with http:// or https://")).cast("string"))
 
 
 def is_on(value: Column, domain: str) -> Column:

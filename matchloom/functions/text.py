@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 #: All characters that count as white space, for Java regular expressions.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
+#: Fixed value: what text read in the wrong encoding looks like.
+MOJIBAKE = "â€|ðŸ|Ã[^\\n]|Â[^\\n]"
+
 #: The headings that end the part of a description which is scored.
 EXCLUDED_HEADINGS = (
     "benefits",
@@ -85,7 +88,7 @@ def issues(col: Column, openers: bool) -> Column:
         F.when(F.contains(text, F.lit("\ufffd")), "replacement_character"),
         F.when(F.contains(text, F.lit("\0")), "null_byte"),
         F.when(text.rlike(r"[\p{Cc}&&[^\n\r\t]]"), "control_character"),
-        F.when(text.rlike("â€|ðŸ|Ã[^\\n]|Â[^\\n]"), "possible_mojibake"),
+        F.when(text.rlike(MOJIBAKE), "possible_mojibake"),
     ]
     if openers:
         found.append(F.when(F.regexp_count(text, F.lit(OPENER)) > 1, "possible_concatenation"))
@@ -163,7 +166,7 @@ BINARY = {"No Fit": 0, "Potential Fit": 1, "Good Fit": 1}
 def encoded_label(label: Column, binary: bool = False) -> Column:
     """The class of a label; a label that isn't known is an error."""
     known = BINARY if binary else CLASSES
-    out = F.raise_error(F.concat(F.lit("unknown source label: "), F.coalesce(label, F.lit("null")))).cast("int")
+    out = F.raise_error(F.concat(F.lit("a label that is none of the known: "), F.coalesce(label, F.lit("null")))).cast("int")
     for name, value in known.items():
         out = F.when(label == name, value).otherwise(out)
     return out

@@ -29,12 +29,12 @@ class Debounce(StatefulProcessor):
         self.held = handle.getListState("held", "at long, tie long, payload string")
         self.told = handle.getValueState("told", "payload string, some boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(r) for part in rows for r in part[["at", "tie", "payload"]].itertuples(index=False)]
-        return self._settled(key, new, timer_values.getCurrentWatermarkInMs())
+        return self._settled(key, new, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        return self._settled(key, [], timer_values.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._settled(key, [], timerValues.getCurrentWatermarkInMs())
 
     def _settled(self, key, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
         events = sorted([*((int(at), int(tie), payload) for at, tie, payload in new), *((int(r[0]), int(r[1]), r[2]) for r in self.held.get())], key=lambda e: e[:2])

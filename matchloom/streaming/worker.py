@@ -98,7 +98,7 @@ class Worker(StatefulProcessor):
             self.entry.update(cache.entry)
             self.handle.registerTimer(-(-cache.entry[1] // 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cache = self._cache()
         before = cache.entry
         found = pd.concat([part[["at", "id", "usable", "vec"]] for part in rows]).sort_values(["at", "id"])
@@ -107,10 +107,10 @@ class Worker(StatefulProcessor):
         answered = pd.DataFrame(out, columns=["id", "cache_key", "at", "step", "score", "made_by"])
         yield answered.astype({"score": "float64", "made_by": "Int64"})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         cache = self._cache()
         before = cache.entry
-        cache.purge(timer_values.getCurrentWatermarkInMs() * 1000)
+        cache.purge(timerValues.getCurrentWatermarkInMs() * 1000)
         self._keep(before, cache)
         return iter(())
 
