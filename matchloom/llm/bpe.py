@@ -45,7 +45,7 @@ def _byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
-    def __init__(self, path: str, cached: int = 600_000, cached_bytes: int = 128 << 20):
+    def __init__(self, path: str, cached: int = 300_000, cached_bytes: int = 64 << 20):
         model = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
         spell = lambda token: bytes(alphabet[c] for c in token)
@@ -251,7 +251,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     Null and empty texts have no tokens. Each row is treated alone, so ties, repeated rows and other columns don't
     matter; columns with an added name are replaced. An empty table gives an empty result. The cache of words
-    and chunks is bounded by entries and bytes (128 MB and what one slice adds), that of pairs by entries (36 MB); besides them, memory is that of about
+    and chunks is bounded by entries and bytes (64 MB and what one slice adds), that of pairs by entries (36 MB); besides them, memory is that of about
     2 MB of text, or the longest text.
     """
     added = DIGESTS if digests else ENCODED
