@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.text import casefold
 from matchloom.operators.graph import components
-from matchloom.storage import discard, written
+from matchloom.storage import written
 
-BUCKETS = 64
+BUCKETS, PAIR_BITS = 64, 10
 #: Letters of a gram at most, and the log of the number of cells in which grams are counted.
 MOST_LETTERS, CELL_BITS = 32, 18
-#: Grams that are sent on at once.
-GRAM_ROWS = 100_000
+#: Grams that are sent on at once, pairs that are sent on at once, grams of a part, and letters of a text for each gram that it gives, about.
+GRAM_ROWS, PAIR_ROWS, PART_GRAMS, LETTERS_PER_GRAM = 1_000_000, 1_000_000, 1_000_000, 4
+#: Grams of a window at most, texts whose grams are counted at once, and pairs that a task compares in full.
+WINDOW, TEXTS_AT_ONCE, PAIRS_OF_TASK = 7, 128, 256
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of `a`."""
+    """Length of the longest common subsequence: equal ends, and between them a bit for each character of `a`."""
+    ahead = len(os.path.commonprefix((a, b)))
+    a, b = a[ahead:], b[ahead:]
+    behind = len(os.path.commonprefix((a[::-1], b[::-1])))
+    return ahead + behind + _common_bits(a[: len(a) - behind], b[: len(b) - behind])
+
+
+def _common_bits(a: str, b: str) -> int:
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -39,10 +49,30 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def histogram(s: pd.Series) -> pd.Series:
-    """Counts of characters in BUCKETS classes; half their differences bound the edits from below."""
-    return s.map(lambda t: np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % BUCKETS, minlength=BUCKETS).astype(np.int32))
+def profile(text: str) -> np.ndarray:
+    """Counts of letters in BUCKETS classes, then of neighbouring letters in 2^PAIR_BITS."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    twos = (points[:-1] * np.uint32(0x9E3779B1) + points[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - PAIR_BITS)
+    return np.concatenate([np.bincount(points % BUCKETS, minlength=BUCKETS), np.bincount(twos, minlength=1 << PAIR_BITS)]).astype(np.int32)
+
+
+@F.pandas_udf(T.BinaryType())
+def profiles(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: profile(t).tobytes())
+
+
+def _near_profiles(threshold: float):
+    """Keeps pairs that the bounds allow: an edit changes the counts of letters by 1, those of pairs by 3 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in ("lp", "rp"))
+            apart = np.abs(a - b)
+            edits = (100 - threshold) / 100 * (a[:, :BUCKETS].sum(axis=1) + b[:, :BUCKETS].sum(axis=1)) + 1e-6
+            keep = (apart[:, :BUCKETS].sum(axis=1) <= edits) & (apart[:, BUCKETS:].sum(axis=1) <= 3 * edits)
+            yield batch.select(["l", "r"]).filter(pa.array(keep))
+
+    return run
 
 
 def most_edits(n: int, threshold: float) -> int:
@@ -77,14 +107,16 @@ def _cells(codes: np.ndarray) -> np.ndarray:
 def rarity(folded: DataFrame, letters: int) -> np.ndarray:
     """How common the grams of each of 2^CELL_BITS cells are, on a logarithmic scale of bytes, counted over all texts.
 
-    Each task counts for itself the texts that have a gram of a cell; what is shuffled and collected are a number for each cell.
+    Each task counts its grams for itself; what is shuffled and collected are a number for each cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for text in batch.column("folded").to_pylist():
-                counts[np.unique(_cells(gram_codes(text, letters)))] += 1
+            texts = batch.column("folded").to_pylist()
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+                codes = np.concatenate([gram_codes(t, letters) for t in texts[lo : lo + TEXTS_AT_ONCE]])
+                counts += np.bincount(_cells(codes), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["cell", "n"])
 
@@ -95,101 +127,193 @@ def rarity(folded: DataFrame, letters: int) -> np.ndarray:
     return out
 
 
-def chosen(codes: np.ndarray, levels: np.ndarray, letters: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of seeds, places of all grams that come as early): the rarest grams side by side, one more than the edits.
+def sure_run(n: int, threshold: float) -> int:
+    """Letters of the longest run that a text of n letters shares unchanged with any other partner at the threshold, at least; 0 if it has none.
 
-    An edit spoils one of the seeds at most, so one stands in every partner. Grams have one order for all texts: by how
-    common they are, then by code. Of two partners take that whose last seed comes earlier: its surviving seed comes no later than
-    the other's last, and so is among the other's early grams. Where the rarest leave too little room between them, all
-    grams are seeds.
+    d edits leave d + 1 runs at most, which together have half the letters of both texts less d. As d edits need
+    100 d / (100 - threshold) letters in both texts, the mean run is shortest for the smallest d that lengths allow.
     """
-    level = levels[_cells(codes)]
-    order = np.lexsort((codes, level))
-    free = np.ones(len(codes), bool)
-    seeds: list[int] = []
-    last = 0
-    for rank, place in enumerate(order.tolist()):
-        if free[place]:
-            seeds.append(place)
-            last = rank
-            if len(seeds) > edits:
-                break
-            free[max(0, place - letters + 1) : place + letters] = False
-    if len(seeds) <= edits:
-        return order, order
-    end, key = order[last], last
-    while key + 1 < len(order) and codes[order[key + 1]] == codes[end]:
-        key += 1
-    return np.array(seeds, np.int64), order[: key + 1]
-
-
-GRAMS = "id long, n int, gram long, place int, seed boolean"
-
-
-def _grams(threshold: float, levels: np.ndarray):
+    if not most_edits(n, threshold):
+        return 0
+    least = max(1, int((100 - threshold) * 2 * n / (200 - threshold) - 1e-9))
+    return int(np.ceil(threshold * least / (2 * (100 - threshold) * (least + 1)) - 1e-9))
+
+
+def window_of(n: int, threshold: float) -> int:
+    """Grams of a window of a text of n letters; 0 if it has no partners. WINDOW at most, so that partners share many (see least_shared())."""
+    return max(0, min(WINDOW, sure_run(n, threshold) - gram_letters(threshold) + 1)) if threshold < 100 else 0
+
+
+def least_shared(both: Column, threshold: float) -> Column:
+    """Chosen grams that texts of `both` letters in all share, at least, if they reach the threshold.
+
+    A run of m letters has (m - letters + 1) // WINDOW windows side by side. d edits leave d + 1 runs at most and half of both
+    texts' letters less d in them.
+    """
+    edits = F.floor((100 - threshold) / 100 * both + 1e-9)
+    return F.greatest(F.lit(1.0), ((both - edits) / 2 - (edits + 1) * (gram_letters(threshold) + WINDOW - 2)) / WINDOW - 1e-9)
+
+
+def chosen(codes: np.ndarray, levels: np.ndarray, window: int) -> np.ndarray:
+    """Places of the grams that come first in some run of `window` grams, by how common they are, then by code.
+
+    All that come equally early are taken, so that what is chosen in a run depends on its grams alone. A narrower window
+    chooses the same grams and more.
+    """
+    order = levels[_cells(codes)].astype(np.uint64) << np.uint64(56) | codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)
+    window = min(window, len(order))
+    least = order[: len(order) - window + 1].copy()
+    for j in range(1, window):
+        np.minimum(least, order[j : len(order) - window + 1 + j], out=least)
+    keep = np.zeros(len(order), bool)
+    for j in range(window):
+        keep[j : j + len(least)] |= order[j : j + len(least)] == least
+    return np.flatnonzero(keep)
+
+
+#: Grams are shuffled as blocks of columns: hash, id, letters of the text, first and last place, number of places.
+COLUMNS = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32)
+BLOCKS = "part int, " + ", ".join(f"c{i} binary" for i in range(len(COLUMNS)))
+
+
+def _blocks(threshold: float, levels: np.ndarray, parts: int):
     letters = gram_letters(threshold)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        ids, sizes, codes, places, seeds = zip(*rows, strict=True)
-        counts = [len(c) for c in codes]
-        columns = [np.repeat(ids, counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate(codes).view(np.int64), np.concatenate(places).astype(np.int32), np.concatenate(seeds)]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "n", "gram", "place", "seed"])
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        part = columns[0] % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        cut = [[x.tobytes() for x in np.split(c[order], starts[1:])] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cut)], names=["part", *(f"c{i}" for i in range(len(COLUMNS)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
+        held: list[tuple] = []
+        n_held = 0
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("folded").to_pylist(), strict=True):
+                window = window_of(len(text), threshold)
+                if not window:
+                    continue
                 codes = gram_codes(text, letters)
-                seeds, early = chosen(codes, levels, letters, most_edits(len(text), threshold))
-                is_seed = np.zeros(len(codes), bool)
-                is_seed[seeds] = True
-                rows.append((i, len(text), codes[early], early, is_seed[early]))
-                held += len(early)
-                if held > GRAM_ROWS:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
+                places = chosen(codes, levels, window)
+                own = codes[places]
+                order = np.lexsort((places, own))
+                own, places = own[order], places[order]
+                ends = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+                starts = np.append(0, ends[:-1] + 1)
+                filled = [np.full(len(ends), v, kind) for v, kind in ((i, np.int64), (len(text), np.int32))]
+                held.append((own[ends], *filled, places[starts].astype(np.int32), places[ends].astype(np.int32), (ends - starts + 1).astype(np.int32)))
+                n_held += len(ends)
+                if n_held > GRAM_ROWS:
+                    yield batch_of(held)
+                    held, n_held = [], 0
+        if held:
+            yield batch_of(held)
 
     return run
 
 
+def met(columns: list[np.ndarray], threshold: float) -> Iterator[np.ndarray]:
+    """Rows of (id, id, letters, letters, times) of texts that have a gram in common, at places and with lengths that allow the threshold; by and by, with repeats."""
+    order = np.lexsort((columns[2], columns[0]))
+    gram, ids, n, lo, hi, times = (c[order] for c in columns)
+    at, step = np.arange(len(gram)), 1
+    while len(at):
+        at = at[at + step < len(gram)]
+        edits = (100 - threshold) / 100 * (n[at].astype(np.float64) + n[at + step]) + 1e-9
+        alive = (gram[at] == gram[at + step]) & (n[at + step] - n[at] <= edits)  # lengths rise within a gram
+        at, edits = at[alive], edits[alive]
+        other = at + step
+        near = (lo[at] - hi[other] <= edits) & (lo[other] - hi[at] <= edits) & (ids[at] != ids[other])
+        a, b = at[near], other[near]
+        first = ids[a] < ids[b]
+        a, b = np.where(first, a, b), np.where(first, b, a)
+        yield np.stack([ids[a], ids[b], n[a], n[b], np.minimum(times[a], times[b])]).astype(np.int64)
+        step += 1
+
+
+def _meet(threshold: float):
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        columns = [np.concatenate([np.frombuffer(b, kind) for b in rows[f"c{i}"]]) for i, kind in enumerate(COLUMNS)]
+        held: list[np.ndarray] = []
+        n_held = 0
+        for found in met(columns, threshold):
+            held.append(found)
+            n_held += found.shape[1]
+            if n_held > PAIR_ROWS:
+                yield _pairs_of(held)
+                held, n_held = [], 0
+        if held:
+            yield _pairs_of(held)
+
+    return run
+
+
+def _pairs_of(held: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(held, axis=1)
+    both = both[:, np.lexsort(both[1::-1])]
+    new = np.ones(both.shape[1], bool)
+    new[1:] = (both[:2, 1:] != both[:2, :-1]).any(axis=0)
+    starts = np.flatnonzero(new)
+    shared = np.add.reduceat(both[4], starts) if len(starts) else both[4]
+    return pd.DataFrame(dict(zip(("l", "r", "ln", "rn"), both[:4, starts], strict=True)) | {"shared": shared})
+
+
 def candidates(folded: DataFrame, threshold: float) -> DataFrame:
     """(l, r) of texts (id, folded; distinct, none empty) that may reach the threshold; none that does is left out.
 
-    A pair at the threshold differs by d insertions and deletions at most, and so do all its partners' lengths. Of d + 1 grams that
-    stand side by side in one text, at least one stands unchanged in the other, at most d places away. Each text gives its
-    d + 1 rarest (its seeds), and all its grams that are as rare. Seeds meet equal grams in one equi-join; length and place are
-    checked in it. Texts that only share a common passage thus don't meet, as their seeds lie elsewhere; where passages that
-    many texts share leave too little else (about six tenths of a text at a threshold of 97), these texts do meet.
+    A pair at the threshold shares an unchanged run of so many letters (see sure_run()), at places that differ by its edits at most. Of each
+    run of grams that is as long, a text gives the rarest; so both give the same gram of the run they share, and as many
+    of them as least_shared() says. Grams are
+    shuffled by hash as blocks of columns, in parts of about PART_GRAMS, and meet in order of gram and length; only those
+    of texts whose lengths allow the threshold are compared. Passages that many texts share make pairs too; these are told by
+    counts of letters and of neighbouring letters, whose differences bound the edits from below.
     """
-    grams = written(folded.select("id", "folded").mapInArrow(_grams(threshold, rarity(folded, gram_letters(threshold))), GRAMS), "seed-grams")
-    seeds = grams.where("seed").select(F.col("id").alias("a"), F.col("n").alias("an"), "gram", F.col("place").alias("ap"))
-    early = grams.select(F.col("id").alias("b"), F.col("n").alias("bn"), "gram", F.col("place").alias("bp"))
-    edits = (100 - threshold) / 100 * (F.col("an") + F.col("bn")) + 1e-9
-    met = seeds.join(early, "gram").where((F.col("a") != F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= edits) & (F.abs(F.col("ap") - F.col("bp")) <= edits))
-    found = written(met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).distinct(), "near-candidates")
-    discard(grams)
-    return found
+    letters = folded.agg(F.sum(F.length("folded"))).first()[0] or 0
+    parts = max(1, -(-letters // (LETTERS_PER_GRAM * PART_GRAMS)))
+    levels = rarity(folded, gram_letters(threshold))
+    blocks = folded.select("id", "folded").mapInArrow(_blocks(threshold, levels, parts), BLOCKS)
+
+    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        run = _meet(threshold)
+        for batch in rows:
+            for i, k in enumerate(batch.column("part").to_pylist()):
+                if k != part and held:
+                    yield from _sent(run(pd.DataFrame(held)))
+                    held = []
+                part = k
+                held.append({f"c{j}": batch.column(f"c{j}")[i].as_py() for j in range(len(COLUMNS))})
+        if held:
+            yield from _sent(run(pd.DataFrame(held)))
+
+    pairs = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "l long, r long, ln long, rn long, shared long")
+    counted = pairs.groupBy("l", "r", "ln", "rn").agg(F.sum("shared").alias("shared"))
+    found = written(counted.where(F.col("shared") >= least_shared(F.col("ln") + F.col("rn"), threshold)).select("l", "r"), "near-candidates")
+    own = folded.select("id", profiles("folded").alias("p"))
+    both = found.join(own.toDF("l", "lp"), "l").join(own.toDF("r", "rp"), "r").select("l", "r", "lp", "rp")
+    return both.mapInArrow(_near_profiles(threshold), "l long, r long")
+
+
+def _sent(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    for f in frames:
+        yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
     """(left_hash, right_hash, similarity) of distinct documents (hash, text) at or over the threshold (more than 200 / 3).
 
-    Texts are case-folded, and those that become equal are searched once. Candidates come from a segment index (see
-    candidates()); the bound by counts of characters, which is sound, is checked before the subsequence is, and texts are
-    joined to the pairs that are left only. Empty texts are in no pair.
+    Texts are case-folded, and those that become equal are searched once. Candidates come from runs of letters that
+    partners share (see candidates()), and texts are joined to these pairs only. Empty texts are in no pair.
     """
     members = docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").withColumn("key", F.sha2("folded", 256))
     members = written(members, "folded-members")
     once = members.groupBy("key").agg(F.first("folded").alias("folded"))
-    folded = written(once.select(F.monotonically_increasing_id().alias("id"), "key", "folded", F.length("folded").alias("n"), histogram("folded").alias("h")), "folded-texts")
-    side = lambda k: folded.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"), F.col("h").alias(f"{k}h"))
-    apart = F.aggregate(F.zip_with("lh", "rh", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
-    close = candidates(folded, threshold).join(side("l"), "l").join(side("r"), "r").where(100 * apart <= (100 - threshold) * (F.col("ln") + F.col("rn")) + 1e-6)
+    folded = written(once.select(F.monotonically_increasing_id().alias("id"), "key", "folded"), "folded-texts")
+    close = written(candidates(folded, threshold), "close-pairs")
     texts = folded.select("id", "key", "folded")
-    full = close.select("l", "r").join(texts.toDF("l", "lk", "lt"), "l").join(texts.toDF("r", "rk", "rt"), "r")
+    full = close.join(texts.toDF("l", "lk", "lt"), "l").join(texts.toDF("r", "rk", "rt"), "r").repartition(close.count() // PAIRS_OF_TASK + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -122,6 +122,26 @@ def test_shared_passages_make_no_candidates(spark):
     assert {(i, 1000 + i) for i in range(10)} <= found and len(found) < 40  # of 12,720 pairs in one band of lengths
 
 
+def test_few_grams_are_chosen_and_even_edits_are_found(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(12)]
+    levels = np.zeros(1 << similarity.CELL_BITS, np.uint8)
+    for t in texts:  # the index has a row for each chosen gram
+        assert len(similarity.chosen(similarity.gram_codes(t, 8), levels, similarity.window_of(len(t), 97.0))) < 0.35 * len(t)
+    copies = []
+    for t in texts:
+        x = list(t)
+        edits = int(0.0591 * len(x))
+        for k in range(edits):  # insertions or deletions, as far from each other as they can be
+            at = int((k + 0.5) * len(t) / edits)
+            x[at] = x[at] + "Z" if k % 2 else ""
+        copies.append("".join(x))
+    rows = [(f"a{i:02d}", t) for i, t in enumerate(texts)] + [(f"b{i:02d}", t) for i, t in enumerate(copies)]
+    found = {(r.left_hash, r.right_hash) for r in similarity.near_duplicates(spark.createDataFrame(rows, "hash string, text string")).collect()}
+    assert found == {(f"a{i:02d}", f"b{i:02d}") for i in range(12)}
+
+
 def test_near_copies_of_both_sides(spark, sf_dir):
     rows = {side: splitting.rows(spark, sf_dir).where("usable").select(f"{side}_hash").distinct() for side in ("resume", "jd")}
     want = {(side, r[0]) for side, found in rows.items() for r in found.collect()}
