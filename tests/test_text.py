@@ -76,6 +76,12 @@ def test_site_rules():
     assert postings.metadata("<title>Only</title>", "")[0] == "Only"
 
 
+def test_unended_references_stay():
+    page = "<h1>A&amp;&amp;&amp</h1><article>x &copy; &copy 2 &#65;&#65 &am</article>"
+    assert postings.metadata(page, "")[0] == "A&&&amp" and postings.metadata(page, "")[2] == "x © &copy 2 A&#65 &am"
+    assert postings.metadata("<h1>t</h1><a href='/company/?a=1&copy=2&amp;b=3'>Acme</a>", "")[1] == "Acme"
+
+
 def test_labels_and_addresses_that_are_errors(spark):
     assert values(spark, ["No Fit", "Potential Fit", "Good Fit"], text.encoded_label) == [0, 1, 2]
     for items, expr in ((["Other"], text.encoded_label), (["ftp://x"], presentation.normal_url), (["odd"], presentation.source_label)):
