@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.text import casefold
 from matchloom.operators.graph import components
-from matchloom.storage import written
+from matchloom.storage import discard, written
 
 BUCKETS, PAIR_BITS = 64, 10
 #: Letters of a gram at most, and the log of the number of cells in which grams are counted.
@@ -23,6 +23,8 @@ MOST_LETTERS, CELL_BITS = 32, 18
 GRAM_ROWS, PAIR_ROWS, PART_GRAMS, LETTERS_PER_GRAM = 1_000_000, 1_000_000, 1_000_000, 4
 #: Grams of a window at most, texts whose grams are counted at once, and pairs that a task compares in full.
 WINDOW, TEXTS_AT_ONCE, PAIRS_OF_TASK = 7, 128, 256
+#: Letters for which a band of letters of the other text is kept, and how many candidates of a text are compared in the rounds of linked() before its last.
+BAND_STEP, LINK_ROUNDS = 512, (1, 4, 16)
 
 
 def common_length(a: str, b: str) -> int:
@@ -49,11 +51,53 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
+def common_within(a: str, b: str, edits: int) -> int:
+    """As common_length() if the texts differ by `edits` insertions and deletions at most, else some smaller number.
+
+    Of b's letters up to any place no more may be left out than edits allow, so only a band of a's letters around that place is
+    kept; a run of BAND_STEP letters of b is done with one band, and nothing more is done once too many are left out.
+    """
+    ahead = len(os.path.commonprefix((a, b)))
+    a, b = a[ahead:], b[ahead:]
+    behind = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - behind], b[: len(b) - behind]
+    only_a, only_b = (edits + len(a) - len(b)) // 2, (edits + len(b) - len(a)) // 2  # letters of one text alone, at most
+    if only_a < 0 or only_b < 0:
+        return 0
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    low = high = passed = 0
+    s = 0
+    for start in range(0, len(b), BAND_STEP):
+        piece = b[start : start + BAND_STEP]
+        new_low, new_high = min(len(a), max(0, start - only_b)), min(len(a), start + len(piece) + only_a)
+        s |= (1 << new_high - low) - (1 << high - low)
+        gone = new_low - low
+        passed += gone - (s & (1 << gone) - 1).bit_count()
+        s >>= gone
+        low, high = new_low, new_high
+        full = (1 << high - low) - 1
+        at = {c: where[c] >> low & full for c in set(piece) if c in where}
+        for c in piece:
+            u = s & at.get(c, 0)
+            s = ((s + u) | (s - u)) & full
+        if start + len(piece) - passed - (high - low - s.bit_count()) > only_b:
+            return 0
+    return ahead + behind + passed + high - low - s.bit_count()
+
+
+def ratio_from(a: str, b: str, threshold: float) -> float:
+    """As ratio() if that is the threshold at least, else some smaller number."""
+    return 100.0 if not a and not b else 200.0 * common_within(a, b, int((100 - threshold) / 100 * (len(a) + len(b)) + 1e-6)) / (len(a) + len(b))
+
+
 def profile(text: str) -> np.ndarray:
-    """Counts of letters in BUCKETS classes, then of neighbouring letters in 2^PAIR_BITS."""
+    """Counts of letters in BUCKETS classes (4 bytes each), then of neighbouring letters in 2^PAIR_BITS (a byte each, 255 stands for more), as bytes."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     twos = (points[:-1] * np.uint32(0x9E3779B1) + points[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - PAIR_BITS)
-    return np.concatenate([np.bincount(points % BUCKETS, minlength=BUCKETS), np.bincount(twos, minlength=1 << PAIR_BITS)]).astype(np.int32)
+    letters = np.bincount(points % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    return np.concatenate([letters.view(np.uint8), np.minimum(np.bincount(twos, minlength=1 << PAIR_BITS), 255).astype(np.uint8)])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -66,11 +110,11 @@ def _near_profiles(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in ("lp", "rp"))
-            apart = np.abs(a - b)
-            edits = (100 - threshold) / 100 * (a[:, :BUCKETS].sum(axis=1) + b[:, :BUCKETS].sum(axis=1)) + 1e-6
-            keep = (apart[:, :BUCKETS].sum(axis=1) <= edits) & (apart[:, BUCKETS:].sum(axis=1) <= 3 * edits)
-            yield batch.select(["l", "r"]).filter(pa.array(keep))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("lp", "rp"))
+            (al, bl), (ap, bp) = ([x[:, : 4 * BUCKETS].copy().view(np.int32) for x in (a, b)], [x[:, 4 * BUCKETS :].astype(np.int16) for x in (a, b)])
+            edits = (100 - threshold) / 100 * (al.sum(axis=1) + bl.sum(axis=1)) + 1e-6
+            keep = (np.abs(al - bl).sum(axis=1) <= edits) & (np.abs(ap - bp).sum(axis=1) <= 3 * edits)
+            yield batch.select(["l", "r", "shared"]).filter(pa.array(keep))
 
     return run
 
@@ -261,7 +305,7 @@ def _pairs_of(held: list[np.ndarray]) -> pd.DataFrame:
 
 
 def candidates(folded: DataFrame, threshold: float) -> DataFrame:
-    """(l, r) of texts (id, folded; distinct, none empty) that may reach the threshold; none that does is left out.
+    """(l, r, shared) of texts (id, folded; distinct, none empty) that may reach the threshold, with their shared grams for each letter; none that does is left out.
 
     A pair at the threshold shares an unchanged run of so many letters (see sure_run()), at places that differ by its edits at most. Of each
     run of grams that is as long, a text gives the rarest; so both give the same gram of the run they share, and as many
@@ -290,10 +334,10 @@ def candidates(folded: DataFrame, threshold: float) -> DataFrame:
 
     pairs = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "l long, r long, ln long, rn long, shared long")
     counted = pairs.groupBy("l", "r", "ln", "rn").agg(F.sum("shared").alias("shared"))
-    found = written(counted.where(F.col("shared") >= least_shared(F.col("ln") + F.col("rn"), threshold)).select("l", "r"), "near-candidates")
+    found = written(counted.where(F.col("shared") >= least_shared(F.col("ln") + F.col("rn"), threshold)).select("l", "r", (F.col("shared") / (F.col("ln") + F.col("rn"))).alias("shared")), "near-candidates")
     own = folded.select("id", profiles("folded").alias("p"))
-    both = found.join(own.toDF("l", "lp"), "l").join(own.toDF("r", "rp"), "r").select("l", "r", "lp", "rp")
-    return both.mapInArrow(_near_profiles(threshold), "l long, r long")
+    both = found.join(own.toDF("l", "lp"), "l").join(own.toDF("r", "rp"), "r").select("l", "r", "shared", "lp", "rp")
+    return both.mapInArrow(_near_profiles(threshold), "l long, r long, shared double")
 
 
 def _sent(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
@@ -301,27 +345,78 @@ def _sent(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pandas(f, preserve_index=False)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
-    """(left_hash, right_hash, similarity) of distinct documents (hash, text) at or over the threshold (more than 200 / 3).
-
-    Texts are case-folded, and those that become equal are searched once. Candidates come from runs of letters that
-    partners share (see candidates()), and texts are joined to these pairs only. Empty texts are in no pair.
-    """
-    members = docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").withColumn("key", F.sha2("folded", 256))
-    members = written(members, "folded-members")
-    once = members.groupBy("key").agg(F.first("folded").alias("folded"))
+def _searched(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hash, key) of documents that aren't empty, (id, key, folded) of distinct case-folded texts, and their candidates."""
+    named = docs.select("hash", casefold("text").alias("folded")).where("folded <> ''").withColumn("key", F.sha2("folded", 256))
+    named = written(named, "folded-members")
+    once = named.groupBy("key").agg(F.first("folded").alias("folded"))
     folded = written(once.select(F.monotonically_increasing_id().alias("id"), "key", "folded"), "folded-texts")
-    close = written(candidates(folded, threshold), "close-pairs")
-    texts = folded.select("id", "key", "folded")
-    full = close.join(texts.toDF("l", "lk", "lt"), "l").join(texts.toDF("r", "rk", "rt"), "r").repartition(close.count() // PAIRS_OF_TASK + 1)
+    members = written(named.select("hash", "key"), "member-keys")
+    discard(named)
+    return members, folded, written(candidates(folded, threshold), "close-pairs")
+
+
+def _compared(folded: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(l, r, similarity) of those of the written pairs (l, r) that reach the threshold; dealt evenly."""
+    texts = folded.select("id", "folded")
+    full = pairs.select("l", "r").join(texts.toDF("l", "lt"), "l").join(texts.toDF("r", "rt"), "r").repartition(pairs.count() // PAIRS_OF_TASK + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s = [ratio(a, b) for a, b in zip(batch["lt"], batch["rt"], strict=True)]
-            out = batch[["lk", "rk"]].assign(similarity=s)
+            s = [ratio_from(a, b, threshold) for a, b in zip(batch["lt"], batch["rt"], strict=True)]
+            out = batch[["l", "r"]].assign(similarity=s)
             yield out[out["similarity"] >= threshold]
 
-    linked = full.mapInPandas(run, "lk string, rk string, similarity double")
+    return full.mapInPandas(run, "l long, r long, similarity double")
+
+
+def linked(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
+    """(hash, cluster) of all documents (hash, text), as clusters() of near_duplicates(), without listing all pairs.
+
+    Candidates are compared in rounds, those that share most grams first: in each round a text takes its first few, and what lies within one
+    component of the links so far is left out, as it can't change the result. The last round compares all that is
+    still open, so no link between different components is lost.
+    """
+    members, folded, close = _searched(docs, threshold)
+    found = written(folded.select(F.col("id").alias("vertex"), F.col("id").alias("component")), "linked-texts")
+    for quota in (*LINK_ROUNDS, None):
+        own = found.select("vertex", "component")
+        apart = close.join(own.toDF("l", "lc"), "l").join(own.toDF("r", "rc"), "r").where("lc <> rc").select("l", "r", "shared")
+        left = written(apart, "open-pairs")
+        discard(close)
+        close = left
+        if quota:
+            by = lambda c, other: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("shared"), other)) <= quota
+            marked = written(left.withColumns({"a": by("l", "r"), "b": by("r", "l")}).select("l", "r", "shared", (F.col("a") | F.col("b")).alias("now")), "ranked-pairs")
+            discard(left)
+            now, close = marked.where("now"), marked.where("NOT now").drop("now")
+            close._matchloom_path = marked._matchloom_path
+        else:
+            now = left
+        if not now.limit(1).count():
+            break
+        links = _compared(folded, now, threshold).select(F.col("l").alias("src"), F.col("r").alias("dst"))
+        known = own.where("vertex <> component").toDF("src", "dst")
+        joined = components(links.union(known))
+        new = written(own.join(joined.toDF("vertex", "joined"), "vertex", "left").select("vertex", F.coalesce("joined", "component").alias("component")), "linked-texts")
+        discard(found, joined)
+        found = new
+    of_key = folded.select("id", "key").join(found.select(F.col("vertex").alias("id"), "component"), "id").select("key", "component")
+    placed = written(members.join(of_key, "key").select("hash", "component"), "linked-members")
+    first = placed.groupBy("component").agg(F.min("hash").alias("cluster"))
+    return docs.select("hash").join(placed.join(first, "component").select("hash", "cluster"), "hash", "left").select("hash", F.coalesce("cluster", "hash").alias("cluster"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 97.0) -> DataFrame:
+    """(left_hash, right_hash, similarity) of distinct documents (hash, text) at or over the threshold (more than 200 / 3).
+
+    Texts are case-folded, and those that become equal are searched once. Candidates come from runs of letters that
+    partners share (see candidates()), and texts are joined to these pairs only. Empty texts are in no pair.
+    """
+    members, folded, close = _searched(docs, threshold)
+    linked = _compared(folded, close, threshold)
+    keys = folded.select("id", "key")
+    linked = linked.join(keys.toDF("l", "lk"), "l").join(keys.toDF("r", "rk"), "r").select("lk", "rk", "similarity")
     named = members.select("hash", "key")
     left, right = named.toDF("a", "lk"), named.toDF("b", "rk")
     far = linked.join(left, "lk").join(right, "rk").select("a", "b", "similarity")

@@ -44,7 +44,7 @@ ORDER_SEED = 44
 
 def _classed(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
     """(members with their domain as class, domains) of a side."""
-    members, _ = _members(s, d, side)
+    members = written(similarity.linked(written(_docs(s, d, side), "side-documents")), "clusters")
     domains = written(splits.domains(rows(s, d), side), "domains")
     return written(members.join(domains.select("hash", F.col("domain").alias("class")), "hash"), "classed-members"), domains
 

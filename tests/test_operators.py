@@ -156,6 +156,42 @@ def test_near_copies_of_both_sides(spark, sf_dir):
         assert 0 < n <= sum(k == side for k, _ in want)
 
 
+def test_ratio_from_threshold():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abcd") for _ in range(rng.choice((0, 1, 30, 700, 1500))))
+        b = list(a)
+        for _ in range(rng.choice((0, 1, 5, 40))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(("", "a", "xy"))
+        b = "".join(b)
+        for threshold in (97.0, 85.0):
+            whole, bounded = similarity.ratio(a, b), similarity.ratio_from(a, b, threshold)
+            assert bounded == whole if whole >= threshold else bounded < threshold
+
+
+def test_linked_without_all_pairs(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
+    for t in texts[:3]:  # chains of copies that drift apart: ends are linked only through the middle
+        for _ in range(25):
+            at = rng.randrange(len(t) - 8)
+            t = t[:at] + "".join(rng.choice("xyz") for _ in range(6)) + t[at + 6 :]
+            texts.append(t)
+    docs = spark.createDataFrame([(f"h{i:03}", t) for i, t in enumerate([*texts, texts[0].upper(), "", ""])], "hash string, text string")
+    want = {(r.hash, r.cluster) for r in similarity.clusters(docs, similarity.near_duplicates(docs)).collect()}
+    compared = []
+    plain, quotas = similarity._compared, similarity.LINK_ROUNDS
+    try:
+        similarity._compared = lambda folded, pairs, threshold: compared.append(pairs.count()) or plain(folded, pairs, threshold)
+        similarity.LINK_ROUNDS = (1, 2)
+        assert {(r.hash, r.cluster) for r in similarity.linked(docs).collect()} == want and len({c for _, c in want}) < 12
+    finally:
+        similarity._compared, similarity.LINK_ROUNDS = plain, quotas
+    assert sum(compared) < similarity._searched(docs, 97.0)[2].count()  # what lies within a component is left out
+
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (150, 200)]
     got = {r.vertex: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
