@@ -556,3 +556,22 @@ def test_reconciliation_of_odd_keys(spark):
     }
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("odd", [None, np.nan, 1e200])
+def test_distances_by_products_are_exact_where_it_counts(odd):
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 40, axis=0) + 1000])  # many copies, far from zero
+    y[310] += 1e-9
+    if odd is not None:
+        y[7, 2] = odd
+    ids = np.arange(len(y)) * 3
+    with np.errstate(over="ignore"):
+        for i, met in zip((0, 7, 305, 310), vectors.distances(y[[0, 7, 305, 310]], y, ids[[0, 7, 305, 310]], ids), strict=True):
+            d2 = ((y - y[i]) ** 2).sum(axis=1)
+            keep = np.delete(np.arange(len(y)), i)
+            want = keep[np.lexsort((keep, d2[keep]))[:10]]
+            at = met.nearest(10)
+            assert (at[np.lexsort((at, met.exact(at)))[:10]] == want).all() and met.about[i] == np.inf
+            fine = np.isfinite(d2[keep])
+            assert (np.abs(met.about - d2)[keep][fine] <= met.slack).all()
