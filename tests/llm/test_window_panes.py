@@ -102,3 +102,13 @@ def test_wall_clock_is_read_without_a_zone(spark):
     for r in rows:
         day = micros(r[2]) // DAY
         assert first[r[0]] == micros(r[1]) - (day - day % 12) * DAY
+
+
+def test_stores_are_closed_after_their_batch(spark):
+    """No store of a batch stays open on an executor: there are as many as partitions for each start of the query."""
+    rows = spark.createDataFrame([(i, START + timedelta(hours=i), START + timedelta(hours=i), None, "a", 1.0, None, None, None, None, None) for i in range(40)], SCHEMA)
+    panes.revised_panes(panes.click_batches(rows)).collect()
+    stores = getattr(getattr(spark.sparkContext._jvm.org.apache.spark.sql.execution.streaming.state, "StateStore$"), "MODULE$")
+    field = stores.getClass().getDeclaredField("loadedProviders")
+    field.setAccessible(True)
+    assert field.get(stores).size() == 0
