@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,19 +109,28 @@ def heading_key(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9&/ ]+", ""), " +", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` gives for a value that it names several times; the value is worked out once and not wherever it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spelled(heading: str) -> str:
+    """A heading in lower-case text, with characters in between that heading_key() drops."""
+    return "[^a-z0-9&/ ]*+ [^a-z0-9&/]*+".join("[^a-z0-9&/ ]*+".join(word) for word in heading.split(" "))
+
+
+#: A line in lower case whose heading_key() is or begins with an excluded one; told at its beginning, without making the key.
+EXCLUDED = rf"^[^a-z0-9&/]*+(?:{'|'.join(map(_spelled, EXCLUDED_HEADINGS))})[^a-z0-9&/ ]*+(?: |\z)"
+
+
 def scored_part(col: Column) -> Column:
     """A structured text up to the first line that is or begins with an excluded heading."""
-    lines = F.split(structured(col), "\n")
 
-    def ends(line: Column) -> Column:
-        key = heading_key(line)
-        hit = key.isin(*EXCLUDED_HEADINGS)
-        for h in EXCLUDED_HEADINGS:
-            hit = hit | key.startswith(f"{h} ")
-        return hit
+    def kept(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda line: F.lower(line).rlike(EXCLUDED)), F.lit(True))
+        return once(first, lambda n: F.when(n > 0, F.slice(lines, F.lit(1), (n - 1).cast("int"))).otherwise(lines))
 
-    first = F.array_position(F.transform(lines, ends), F.lit(True))
-    return F.btrim(F.array_join(F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines), "\n"), F.lit("\n"))
+    return F.btrim(F.array_join(once(F.split(structured(col), "\n"), kept), "\n"), F.lit("\n"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -148,8 +159,9 @@ def day(col: Column) -> Column:
 def capped(description: Column, quality: Column, most: int = 50_000) -> tuple[Column, Column]:
     """A description's scored part cut to `most` characters, and its quality: partial if it was cut."""
     whole = scored_part(description)
-    cut = F.length(whole) > most
-    return F.when(cut, F.regexp_replace(F.left(whole, F.lit(most)), r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(whole), F.when(cut, "partial").otherwise(F.coalesce(quality, F.lit("complete")))
+    cut = lambda t: F.length(t) > most
+    body = once(whole, lambda t: F.when(cut(t), F.regexp_replace(F.left(t, F.lit(most)), r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(t))
+    return body, F.when(cut(whole), "partial").otherwise(F.coalesce(quality, F.lit("complete")))
 
 
 def month_bounds(month: Column) -> tuple[Column, Column]:

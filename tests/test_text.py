@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,22 @@ def test_presentation(spark):
     assert [tuple(r) for r in rows.select(shown, kind).collect()] == [("80/100 (High)", "score-high"), ("12.5/100 (Low)", "score-low"), ("50/100 (Good Fit)", "score-high")]
     none = spark.range(1).select(presentation.decision(F.lit(None).cast("double"), F.lit(0.4), F.lit("x")).alias("d")).first().d
     assert none == []
+
+
+def test_excluded_headings_are_told_from_the_lines_beginning(spark):
+    rng = random.Random(3)
+    bits = ["benefits", "Pay", "pay range", "EEO", "legal", "legally", "and", " ", "  ", "-", ":", "é", "&", "/", "\u212a", "perKs", "\x0b", "s", "2", "equal", "opportunity"]
+    lines = ["", " ", "EEO", "e.e.o.:", "Pay-Range", "pay -- range", "(Perks) & more", "benefits and perks!", "benefitsand"] + ["".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(800)]
+    key = text.heading_key(F.col("t"))
+    want = key.isin(*text.EXCLUDED_HEADINGS)
+    for h in text.EXCLUDED_HEADINGS:
+        want = want | key.startswith(f"{h} ")
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select(want.alias("a"), F.lower("t").rlike(text.EXCLUDED).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and 20 < sum(r.a for r in got) < 700
+
+
+def test_scored_part_is_worked_out_once(spark):
+    """Lines and headings aren't worked out anew wherever they are named: few expressions in the plan split a text."""
+    body, quality = text.capped(F.col("t"), F.lit("complete"), 1000)
+    plan = spark.createDataFrame([("a",)], "t string").select(body.alias("body"), quality.alias("quality"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4  # body and quality, two each
