@@ -184,7 +184,7 @@ QUERIES = {
     "manifest_fold_report": lambda s, d: splits.fold_report(_manifest(s, d)),
     "manifest_checks": lambda s, d: splits.checks(_manifest(s, d)),
     "holdout_report": _holdout,
-    "inner_partition": lambda s, d: splits.inner_partition(_manifest(s, d)),
+    "inner_partition": lambda s, d: splits.inner_partition(written(_manifest(s, d).select("resume_hash", "jd_hash", "fold_0_role"), "pair-manifest")),
     "classifier_scores": lambda s, d: rounded(learn.fold_scores(b.vectors(s, d).select(F.col("vec_id").alias("id"), "vec", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 3).alias("fold"))), "probability"),
 }
 

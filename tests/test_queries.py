@@ -42,3 +42,9 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_inner_partition_reads_its_manifest_once(spark, sf_dir):
+    """The texts are normalised for the manifest only, not again for each of its uses."""
+    plan = entry.queries()["inner_partition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "fold_0_role" in plan
