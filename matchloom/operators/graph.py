@@ -38,8 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def bipartite(rows: DataFrame) -> DataFrame:
     """Components of the graph of usable documents and pairs, with documents per side and pairs in each."""
-    used = written(rows.where("usable").select(F.concat(F.lit("resume:"), "resume_hash").alias("src"), F.concat(F.lit("jd:"), "jd_hash").alias("dst")).distinct(), "pair-edges")
+    named = written(rows.where("usable").select(F.concat(F.lit("resume:"), "resume_hash").alias("src"), F.concat(F.lit("jd:"), "jd_hash").alias("dst")).distinct(), "pair-edges")
+    vertices = named.select(F.col("src").alias("name")).union(named.select("dst")).distinct()
+    numbered = written(vertices.select(F.monotonically_increasing_id().alias("vertex"), "name"), "numbered-vertices")  # rounds shuffle numbers
+    at = lambda end: numbered.select(F.col("name").alias(end), F.col("vertex").alias(f"{end}_number"))
+    used = written(named.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_number").alias("src"), F.col("dst_number").alias("dst")), "numbered-edges")
+    discard(named)
     found = components(used)
-    sides = found.groupBy("component").agg(F.count_if(F.col("vertex").startswith("resume:")).alias("n_resumes"), F.count_if(F.col("vertex").startswith("jd:")).alias("n_jds"))
-    pairs = used.join(found, used.src == found.vertex).groupBy("component").agg(F.count(F.lit(1)).alias("n_pairs"))
-    return sides.join(pairs, "component")
+    members = found.withColumnRenamed("component", "number").join(numbered, "vertex")
+    sides = members.groupBy("number").agg(F.min("name").alias("component"), F.count_if(F.col("name").startswith("resume:")).alias("n_resumes"), F.count_if(F.col("name").startswith("jd:")).alias("n_jds"))
+    pairs = used.join(found, used.src == found.vertex).groupBy(F.col("component").alias("number")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return sides.join(pairs, "number").drop("number")

@@ -575,3 +575,13 @@ def test_distances_by_products_are_exact_where_it_counts(odd):
             assert (at[np.lexsort((at, met.exact(at)))[:10]] == want).all() and met.about[i] == np.inf
             fine = np.isfinite(d2[keep])
             assert (np.abs(met.about - d2)[keep][fine] <= met.slack).all()
+
+
+def test_pair_components_go_by_numbers(spark, monkeypatch):
+    """The rounds of components move numbers and not names; a component is named by its smallest document."""
+    kinds, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: kinds.append(dict(edges.dtypes)) or whole(edges))
+    rows = [("r1", "j1", True), ("r1", "j2", True), ("r2", "j2", True), ("r3", "j3", True), ("r3", "j3", True), ("r4", "j1", False)]
+    got = graph.bipartite(spark.createDataFrame(rows, "resume_hash string, jd_hash string, usable boolean")).collect()
+    assert sorted((r.component, r.n_resumes, r.n_jds, r.n_pairs) for r in got) == [("jd:j1", 2, 2, 3), ("jd:j3", 1, 1, 1)]
+    assert kinds == [{"src": "bigint", "dst": "bigint"}]
