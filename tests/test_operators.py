@@ -241,6 +241,14 @@ def test_running_sums_of_crowded_values(spark):
         assert {r.x: r.n_upto for r in got if r.k == k} == want and {r.n_all for r in got if r.k == k} == {sum(n for _, n in own)}
 
 
+def test_running_sums_go_by_one_set_of_cuts(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([("a", float(x), 1) for x in rng.permutation(3000)] + [("b", -1.0, 2)], "k string, x double, n long")
+    got = order.running(rows, ["k"], "x", ["n"])
+    assert "percentile_approx" not in got._jdf.queryExecution().toString().lower().replace("approx_percentile", "percentile_approx")
+    assert sorted((r.k, r.x, r.n_upto, r.n_all) for r in got.collect()) == [("a", float(i), i + 1, 3000) for i in range(3000)] + [("b", -1.0, 2, 2)]
+
+
 def test_blocks_of_neighbours(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
     monkeypatch.setattr(vectors, "REFERENCE_ROWS", 20)
