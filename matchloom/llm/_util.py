@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from matchloom.storage import discard, fresh_path, remove, shared_dir, shipped, written
 
-__all__ = ["ascii_lower", "discard", "fresh_path", "raw_texts", "remove", "shared_dir", "shipped", "sliced", "table", "text_key", "texts", "written"]
+__all__ = ["ascii_lower", "discard", "fresh_path", "kept_by_worker", "let_go", "raw_texts", "remove", "shared_dir", "shipped", "sliced", "table", "text_key", "texts", "written"]
 
+#: What this worker process keeps for its next tasks.
+_KEPT: dict[tuple, object] = {}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,7 +30,10 @@ def text_key(col: Column) -> tuple[Column, Column]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds about `limit` bytes of text and `most_rows` rows (one row at least)."""
+    """Cut Arrow batches so that one slice holds about `limit` bytes of text and `most_rows` rows (one row at least).
+
+    When all are through, the worker gives back what Arrow no longer uses: it lives on for other tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -40,6 +45,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int, most_rows
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -52,3 +58,18 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let_go() -> None:
+    """Give back what the worker process kept for another operator's tasks."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def kept_by_worker(make: Callable, *args: object):  # noqa: ANN201
+    """make(*args), once for each worker process and only until another operator's tasks run in it."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make(*args)
+    return _KEPT[key]

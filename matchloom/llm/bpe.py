@@ -8,7 +8,6 @@ that fails are merged step by step.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import sliced, texts
+from ._util import kept_by_worker, sliced, texts
 
 #: How byte-level vocabularies cut text into words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -32,6 +31,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 CUT = re.compile(r" (?=\S)")
 ODD_BLANK = re.compile(r" (?:\s|$)")
 SEPARATOR = "Ā"
+#: Bytes of text that are encoded at once; more take more memory and no less time.
+SLICE_BYTES = 512 << 10
 NEVER = 1 << 40
 
 
@@ -233,10 +234,9 @@ class ByteBPE:
         return b"".join([spelling[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@functools.cache
 def vocabulary(path: str) -> ByteBPE:
     """One for each worker process, so that later tasks find its words and pairs known."""
-    return ByteBPE(path)
+    return kept_by_worker(ByteBPE, path)
 
 
 ENCODED = [("n_tokens", "long"), ("ids", "binary"), ("decoded", "string")]
@@ -252,7 +252,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     Null and empty texts have no tokens. Each row is treated alone, so ties, repeated rows and other columns don't
     matter; columns with an added name are replaced. An empty table gives an empty result. The cache of words
     and chunks is bounded by entries and bytes (64 MB and what one slice adds), that of pairs by entries (36 MB); besides them, memory is that of about
-    2 MB of text, or the longest text.
+    512 KB of text, or the longest text.
     """
     added = DIGESTS if digests else ENCODED
     rest = [f for f in docs.schema.fields if f.name not in dict(added)]
@@ -261,7 +261,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(tokenizer_path)
-        for batch in sliced(batches, text_col, 2 << 20):
+        for batch in sliced(batches, text_col, SLICE_BYTES):
             ids = bpe.encode(texts(batch, text_col))
             back = [bpe.decode(i).decode(errors="replace") for i in ids]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())

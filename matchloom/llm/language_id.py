@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import sliced, texts
+from ._util import let_go, sliced, texts
 
 DIMENSIONS = 1024
 #: Trigram vectors that a worker keeps, and that are multiplied at once.
@@ -42,12 +42,12 @@ def has_letter(text: str) -> bool:
 
 
 class Trigrams:
-    """Makes trigram vectors and keeps those met first."""
+    """Makes trigram vectors and keeps those met first, a byte for each number of +1 or -1."""
 
     def __init__(self) -> None:
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((KEPT, DIMENSIONS), np.float32)
+        self.matrix = np.empty((KEPT, DIMENSIONS), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -69,7 +69,7 @@ class Trigrams:
                 row = self.rows[k] = len(self.rows)
                 self.matrix[row] = self.make(k)
             where.append(-1 if row is None else row)
-        out = self.matrix[where]
+        out = self.matrix[where].astype(np.float32)
         for i, row in enumerate(where):
             if row < 0:
                 out[i] = self.make(keys[i])
@@ -143,6 +143,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()
         trigrams, sums = Trigrams(), {}
         for batch in sliced(batches, "body", SLICE_BYTES, SLICE_ROWS):
             langs = batch.column("lang").to_pylist()
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         trigrams = Trigrams()
         for batch in sliced(batches, text_col, SLICE_BYTES, SLICE_ROWS):
             langs, scores = profiles.predict(trigrams, texts(batch, text_col))
@@ -209,6 +211,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     fill = docs.schema.names.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         trigrams = Trigrams()
         for batch in sliced(batches, text_col, SLICE_BYTES, SLICE_ROWS):
             bodies = texts(batch, text_col)

@@ -138,3 +138,24 @@ def test_kept_languages(spark):
     assert filled == {1: "en", 2: "de", 3: "xx"}
     assert {r.doc_id: r.lang for r in lid.keep_identified(docs, lid.Profiles(), lang_col="lang").collect()} == {1: None, 2: None, 3: "xx"}
     assert {r.doc_id for r in lid.keep_identified(docs, learned, languages=("de",)).collect()} == {2, 3}
+
+
+def test_a_worker_lets_go_of_another_operators_vocabulary():
+    from matchloom.llm import _util, bpe
+
+    made = _util.kept_by_worker(list)
+    assert _util.kept_by_worker(list) is made and bpe.vocabulary is not None
+    _util.kept_by_worker(dict)  # another operator's
+    assert _util.kept_by_worker(list) is not made
+    _util.let_go()
+    assert not _util._KEPT
+
+
+def test_kept_trigrams_are_bytes_and_their_sums_whole():
+    few, all_made = lid.Trigrams(), lid.Trigrams()
+    all_made.rows = dict.fromkeys(range(-lid.KEPT, 0), 0)  # full: nothing is kept, all are made anew
+    assert few.matrix.nbytes <= lid.KEPT * lid.DIMENSIONS
+    batch = ["ein kleiner Satz mit Wörtern", "another one " * 500, "", "123"]
+    one, other = (t.bundle(batch, np.arange(4), 4) for t in (few, all_made))
+    assert np.array_equal(one, other) and one.dtype == np.float32 and few.rows and not one[2:].any()
+    assert abs(one[1]).max() > 127
