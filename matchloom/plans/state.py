@@ -12,6 +12,7 @@ from matchloom.plans.features import rounded
 from matchloom.plans.service import APPS, scored_sql
 from matchloom.sources import bindings as b
 from matchloom.sources import state as src
+from matchloom.storage import written
 
 AT = src.AS_OF
 #: Scoring needs descriptions of so many characters here, so that some have too few.
@@ -106,6 +107,16 @@ def _breakdown(s: SparkSession, d: str) -> DataFrame:
     return rows.select("run_id", "label", F.col("value").cast("double").alias("value"), "class").groupBy("label", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _decisions(s: SparkSession, d: str) -> DataFrame:
+    own = written(src.inputs(s, d).select("application_key", "resume_content_hash", "job_description_hash", "input_fingerprint"), "scoring-inputs")
+    return st.publication_decisions(src.runs(s, d, own), own, src.pages(s, d), src.score_pages(s, d))
+
+
+def _reconciled(s: SparkSession, d: str) -> DataFrame:
+    own = written(src.inputs(s, d).drop("role_company_key", "cache_key"), "scoring-inputs")
+    return st.reconciliation(src.jobs(s, d, own), own, own, src.pages(s, d), src.score_pages(s, d), src.runs(s, d, own), AT, src.VERSION, src.MODEL, src.REVISION, LEAST)
+
+
 def _keys(s: SparkSession, d: str) -> DataFrame:
     i = src.inputs(s, d)
     return i.select("k", "input_fingerprint", "cache_key")
@@ -154,10 +165,10 @@ QUERIES = {
     "rename_applications": lambda s, d: _sizes(st.renamed(_tables(s, d), _renames(s, d))),
     "delete_applications": lambda s, d: _sizes(st.deleted(_tables(s, d), src.inputs(s, d).where("k % 5 = 0"))),
     "worker_steps": lambda s, d: st.worker_steps(src.jobs(s, d), src.inputs(s, d), src.runs(s, d).where("input_fingerprint IS NOT NULL AND run_id % 2 = 0"), src.cache(s, d), AT, LEAST),
-    "publication_decisions": lambda s, d: st.publication_decisions(src.runs(s, d), src.inputs(s, d), src.pages(s, d), src.score_pages(s, d)),
+    "publication_decisions": _decisions,
     "score_tiers": lambda s, d: st.score_tiers(src.requests(s, d), src.cache(s, d), src.remote(s, d), AT, LEAST),
     "metadata_changes": _changes,
-    "reconcile_report": lambda s, d: st.reconciliation(src.jobs(s, d), src.inputs(s, d), src.inputs(s, d), src.pages(s, d), src.score_pages(s, d), src.runs(s, d), AT, src.VERSION, src.MODEL, src.REVISION, LEAST),
+    "reconcile_report": _reconciled,
     "application_updates": _updates,
     "application_total": lambda s, d: b.applications(s, d).agg(F.count(F.lit(1)).alias("total")),
     "duplicate_status": _duplicates,

@@ -23,15 +23,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring inputs of two thirds of the applications, one for each key (its smallest order), with fingerprint and cache key."""
     apps = b.applications(spark, sf_dir)
     first = apps.groupBy("application_key").agg(F.min(F.struct("o_orderkey", "company", "title", "created")).alias("a"))
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = F.length(F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    # a text is measured and hashed once, not for each application, and isn't moved
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", whole.alias("description_chars"), F.sha2("text", 256).alias("job_description_hash"))
     k = F.col("a.o_orderkey")
     rows = first.where(k % 3 != 0).withColumn("doc_id", k % docs.count()).join(docs, "doc_id")
-    whole = F.length(F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     out = rows.select(
         k.alias("k"),
         "application_key",
-        whole.alias("description_chars"),
-        F.sha2("text", 256).alias("job_description_hash"),
+        "description_chars",
+        "job_description_hash",
         F.when(k % 23 == 0, "partial").when(k % 41 == 0, "unavailable").otherwise("complete").alias("extraction_quality"),
         F.sha2(F.concat(F.lit("resume"), (k % 5).cast("string")), 256).alias("resume_content_hash"),
         text.role_company_key(F.col("a.company"), F.col("a.title")).alias("role_company_key"),
@@ -47,14 +48,14 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job for three quarters of the inputs, in all states."""
+def jobs(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """A job for three quarters of the inputs, in all states; `own` are inputs() if they are there already."""
     k, at = F.col("k"), F.col("captured_at")
     state = k % 7
     status = F.when(state == 0, "waiting_application").when(state == 1, "queued").when(state < 5, "running").when(state == 5, "completed").otherwise("failed")
     runs = state.between(2, 4)
     later = lambda n: at + F.make_dt_interval(secs=k % n)
-    return inputs(spark, sf_dir).where(k % 4 != 0).select(
+    return (inputs(spark, sf_dir) if own is None else own).where(k % 4 != 0).select(
         k.alias("id"),
         "application_key",
         "input_fingerprint",
@@ -68,12 +69,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score runs with what made them; their fingerprints are those of the inputs, but for some."""
+def runs(spark: SparkSession, sf_dir: str, captured: DataFrame | None = None) -> DataFrame:
+    """Score runs with what made them; their fingerprints are those of the inputs, but for some. `captured` are inputs() if they are there already."""
     own = b.score_runs(spark, sf_dir).join(b.applications(spark, sf_dir).select(F.col("o_orderkey").alias("run_id"), "application_key"), "run_id")
     r = F.col("run_id")
     made = own.withColumns({"version": F.when(r % 11 == 0, "v1").otherwise(VERSION), "model": F.when(r % 13 == 0, "e0").otherwise(MODEL), "revision": F.when(r % 17 == 0, "r1").when(r % 2 == 0, REVISION)})
-    known = inputs(spark, sf_dir).select("application_key", "resume_content_hash", "job_description_hash", "input_fingerprint")
+    known = (inputs(spark, sf_dir) if captured is None else captured).select("application_key", "resume_content_hash", "job_description_hash", "input_fingerprint")
     expected = text.input_fingerprint(F.col("application_key"), F.col("resume_content_hash"), F.col("job_description_hash"), F.col("version"), F.col("model"), F.coalesce("revision", F.lit("")))
     stated = F.when(r % 19 == 0, F.sha2(F.lit("unknown"), 256)).otherwise(F.col("input_fingerprint"))
     return made.join(known, "application_key", "left").withColumns({"expected_fingerprint": expected, "input_fingerprint": stated})

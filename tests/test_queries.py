@@ -6,6 +6,8 @@ import os
 import duckdb
 import pytest
 
+from matchloom.plans import registry
+
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
@@ -48,3 +50,12 @@ def test_inner_partition_reads_its_manifest_once(spark, sf_dir):
     """The texts are normalised for the manifest only, not again for each of its uses."""
     plan = entry.queries()["inner_partition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "fold_0_role" in plan
+
+
+def test_inputs_are_made_once_and_texts_stay_where_they_are(spark, sf_dir):
+    from matchloom.sources import state as src
+
+    made = src.inputs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.index("Join Inner") < made.index("sha2(cast(text")  # below the join with the applications
+    for name in ("reconcile_report", "publication_decisions"):
+        assert "text#" not in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
