@@ -509,6 +509,14 @@ def test_principal_components_and_trust(spark):
     assert projection.trustworthiness(df.where("vec_id % 20 = 0"), df, df.where("vec_id % 20 = 0"), df, k).first().trustworthiness == 1
 
 
+def test_all_vectors_are_queries(spark, sf_dir, tmp_path):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert sum(r.n for r in features.QUERIES["neighbor_composition"](spark, sf_dir).collect()) == 10 * n
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 30")
+    rows.union(rows.limit(3).withColumn("vec_id", F.lit(None).cast(rows.schema["vec_id"].dataType))).write.parquet(str(tmp_path / "embeddings.parquet"))  # vectors without an id have no place
+    assert sum(r.n for r in features.QUERIES["neighbor_composition"](spark, str(tmp_path)).collect()) == 300
+
+
 def test_fold_scores_are_those_of_a_newton_fit(spark):
     rng = np.random.default_rng(31)
     x = rng.normal(size=(240, 3)) * [1, 4, 0.5]
