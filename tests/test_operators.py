@@ -512,9 +512,11 @@ def test_principal_components_and_trust(spark):
 def test_all_vectors_are_queries(spark, sf_dir, tmp_path):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     assert sum(r.n for r in features.QUERIES["neighbor_composition"](spark, sf_dir).collect()) == 10 * n
+    assert features.QUERIES["trustworthiness_components"](spark, sf_dir).first().n_queries == n
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 30")
     rows.union(rows.limit(3).withColumn("vec_id", F.lit(None).cast(rows.schema["vec_id"].dataType))).write.parquet(str(tmp_path / "embeddings.parquet"))  # vectors without an id have no place
     assert sum(r.n for r in features.QUERIES["neighbor_composition"](spark, str(tmp_path)).collect()) == 300
+    assert features.QUERIES["trustworthiness_components"](spark, str(tmp_path)).first().n_queries == 30
 
 
 def test_fold_scores_are_those_of_a_newton_fit(spark):
