@@ -37,6 +37,11 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), SPACE, " "))
 
 
+def squeezed(text: str) -> str:
+    """As squeeze(), for one text: the same characters are white space for split()."""
+    return " ".join(text.split())
+
+
 def digest(*parts: Column, sep: str = "|") -> Column:
     """SHA-256 of joined parts; a null part makes it null, so that it can't collide."""
     joined = parts[0]

@@ -7,34 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import squeeze, squeezed
 from matchloom.operators import learn, reports, similarity, splits
-from matchloom.operators.audit import documents
 from matchloom.storage import sink, written
 from matchloom.plans.corpus import PAIRS, rows
 from matchloom.plans.features import rounded
 from matchloom.sources import bindings as b
 
 
-def _each(make: Callable[[str], DataFrame]) -> DataFrame:
+def _sides(make: Callable[[str], DataFrame]) -> DataFrame:
     """What `make` gives for resumes and for jds, with the side in front."""
     parts = [make(side).select(F.lit(side).alias("side"), "*") for side in ("resume", "jd")]
     return parts[0].union(parts[1])
 
 
-def _docs(s: SparkSession, d: str, side: str) -> DataFrame:
-    return documents(rows(s, d), side).select("hash", "text")
+def _each(s: SparkSession, d: str, make: Callable[[DataFrame, DataFrame, str], DataFrame]) -> DataFrame:
+    """What `make` gives of the pairs, the documents and the side, for resumes and for jds, with the side in front."""
+    pairs, docs = _inputs(s, d)
+    return _sides(lambda side: make(pairs, docs[side], side))
 
 
-def _members(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
+def _inputs(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(usable pairs with hashes in place of texts, documents of each side with case-folded texts): texts are moved and written once, for both sides."""
+    texts = similarity.prepared(b.side_texts(s, d), "side", normal=squeezed).where(F.col("key") != similarity.EMPTY)
+    pairs = b.hashed_pairs(s, d, texts).withColumns({"label_norm": squeeze(F.col("label")), "usable": F.lit(True)})
+    pairs = written(pairs.where("label_norm <> ''"), "used-pairs")
+    docs = {}
+    for side in SEEDS:
+        own = texts.where(F.col("side") == side).drop("side")
+        gone = own.select("id", "hash").join(pairs.select(F.col(f"{side}_hash").alias("hash")).distinct(), "hash", "left_anti")
+        docs[side] = similarity.without(own, written(gone.select("id"), "unused-texts"))
+    return pairs, docs
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): all documents of a side with their cluster, and its near copies."""
-    docs = written(_docs(s, d, side), "side-documents")
     found = written(similarity.near_duplicates(docs), "near-pairs")
     return written(similarity.clusters(docs, found), "clusters"), found
 
 
-def _folds(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _folds(pairs: DataFrame, docs: DataFrame, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(folds, members, domains) of a side: clusters stay whole and domains are spread evenly."""
-    members, domains = _classed(s, d, side)
+    members, domains = _classed(pairs, docs, side)
     return splits.balanced_folds(members, 3, SEEDS[side]), members.select("hash", "cluster"), domains
 
 
@@ -42,18 +56,18 @@ SEEDS = {"resume": 42, "jd": 43}
 ORDER_SEED = 44
 
 
-def _classed(s: SparkSession, d: str, side: str) -> tuple[DataFrame, DataFrame]:
+def _classed(pairs: DataFrame, docs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     """(members with their domain as class, domains) of a side."""
-    members = written(similarity.linked(written(_docs(s, d, side), "side-documents")), "clusters")
-    domains = written(splits.domains(rows(s, d), side), "domains")
+    members = written(similarity.linked(docs), "clusters")
+    domains = written(splits.domains(pairs, side), "domains")
     return written(members.join(domains.select("hash", F.col("domain").alias("class")), "hash"), "classed-members"), domains
 
 
 def _cluster_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
     """(distinct pairs, partitions, domains by side, members by side): three folds, five folds and one hold-out of whole clusters."""
-    used = rows(s, d).where("usable").select("resume_hash", "jd_hash", "label_norm", "ordinal")
+    used, docs = _inputs(s, d)
     first = written(used.groupBy("resume_hash", "jd_hash").agg(F.min_by("label_norm", "ordinal").alias("label")), "distinct-pairs")
-    classed = {side: _classed(s, d, side) for side in SEEDS}
+    classed = {side: _classed(used, docs[side], side) for side in SEEDS}
     folds = lambda n: {side: written(splits.balanced_folds(classed[side][0], n, seed), "folds") for side, seed in SEEDS.items()}
     parts = None
     for n in (3, 5):
@@ -89,11 +103,12 @@ def _cluster_feasibility_checks(s: SparkSession, d: str) -> DataFrame:
 
 def _whole_manifest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(resumes, jds, pairs) of a manifest whose folds keep near copies together."""
+    used, docs = _inputs(s, d)
     sides = {}
     for side in ("resume", "jd"):
-        dealt, members, domains = _folds(s, d, side)
+        dealt, members, domains = _folds(used, docs[side], side)
         sides[side] = written(splits.documents_manifest(members, dealt, domains), f"{side}-manifest")
-    return sides["resume"], sides["jd"], written(splits.manifest_of(rows(s, d), sides["resume"], sides["jd"]), "pair-manifest")
+    return sides["resume"], sides["jd"], written(splits.manifest_of(used, sides["resume"], sides["jd"]), "pair-manifest")
 
 
 def _inner(s: SparkSession, d: str) -> DataFrame:
@@ -141,8 +156,7 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _both(s: SparkSession, d: str) -> DataFrame:
-    r = rows(s, d)
-    return _each(lambda side: splits.domains(r, side))
+    return _sides(lambda side: splits.domains(rows(s, d), side))
 
 
 def _holdout(s: SparkSession, d: str) -> DataFrame:
@@ -162,14 +176,14 @@ def _checked_manifest(resumes: DataFrame, jds: DataFrame, pairs: DataFrame) -> D
 
 
 QUERIES = {
-    "near_duplicates": lambda s, d: rounded(_each(lambda side: similarity.near_duplicates(_docs(s, d, side))), "similarity"),
-    "near_duplicate_clusters": lambda s, d: _each(lambda side: similarity.cluster_stats(*_members(s, d, side))),
-    "near_duplicate_examples": lambda s, d: rounded(_each(lambda side: reports.examples(similarity.near_duplicates(_docs(s, d, side)), 100)), "similarity", digits=2),
+    "near_duplicates": lambda s, d: rounded(_each(s, d, lambda _, docs, side: similarity.near_duplicates(docs)), "similarity"),
+    "near_duplicate_clusters": lambda s, d: _each(s, d, lambda _, docs, side: similarity.cluster_stats(*_members(docs))),
+    "near_duplicate_examples": lambda s, d: rounded(_each(s, d, lambda _, docs, side: reports.examples(written(similarity.near_duplicates(docs), "near-pairs"), 100)), "similarity", digits=2),
     "domain_resolution": _both,
     "domain_conflicts": lambda s, d: _both(s, d).where("n_domains > 1").orderBy(F.round("confidence", 6), "hash", "side").limit(20),
     "domain_tv_distance": lambda s, d: rounded(splits.variation(rows(s, d).where("usable"), F.col("split") == "train", "resume_domain"), "distance"),
-    "fold_assignment": lambda s, d: _each(lambda side: _folds(s, d, side)[0]),
-    "fold_invariants": lambda s, d: _each(lambda side: splits.fold_invariants(*_folds(s, d, side))),
+    "fold_assignment": lambda s, d: _each(s, d, lambda pairs, docs, side: _folds(pairs, docs, side)[0]),
+    "fold_invariants": lambda s, d: _each(s, d, lambda pairs, docs, side: splits.fold_invariants(*_folds(pairs, docs, side))),
     "cluster_manifest_checks": lambda s, d: _checked_manifest(*_whole_manifest(s, d)),
     "cluster_manifest_overlaps": lambda s, d: reports.overlaps(_whole_manifest(s, d)[2]).select("fold", (F.col("train_pairs") + F.col("test_pairs") + F.col("discarded_pairs")).alias("pairs"), "resume_overlap", "jd_overlap"),
     "cluster_split_feasibility": lambda s, d: rounded(_cluster_feasibility(s, d), "label_distance", "resume_domain_distance", "jd_domain_distance"),
@@ -178,8 +192,8 @@ QUERIES = {
     "manifest_overlaps": lambda s, d: reports.overlaps(_manifest(s, d)),
     "manifest_sink": _stored,
     "split_feasibility": lambda s, d: rounded(_strategies(s, d), "label_distance", "resume_domain_distance", "jd_domain_distance"),
-    "domain_conflict_counts": lambda s, d: _each(lambda side: reports.domain_counts(rows(s, d), side)),
-    "domain_confidence": lambda s, d: rounded(_each(lambda side: reports.confidence(splits.domains(rows(s, d), side))), *(f"{n}_{w}" for n in ("least", "median", "most") for w in ("all", "conflicting"))),
+    "domain_conflict_counts": lambda s, d: _sides(lambda side: reports.domain_counts(rows(s, d), side)),
+    "domain_confidence": lambda s, d: rounded(_sides(lambda side: reports.confidence(splits.domains(rows(s, d), side))), *(f"{n}_{w}" for n in ("least", "median", "most") for w in ("all", "conflicting"))),
     "manifest_pairs": _manifest,
     "manifest_fold_report": lambda s, d: splits.fold_report(_manifest(s, d)),
     "manifest_checks": lambda s, d: splits.checks(_manifest(s, d)),

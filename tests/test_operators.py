@@ -170,6 +170,34 @@ def test_ratio_from_threshold():
             assert bounded == whole if whole >= threshold else bounded < threshold
 
 
+def test_blocks_and_squares_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = set()
+    for n in (90, 100, 106, 300, 5000):  # neighbouring bands, and a family of many copies
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        texts |= {base} | {base[:at] + "x" * rng.randrange(3) + base[at:] for at in range(0, n, n // 9)}
+    texts = sorted(texts)
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "hash string, text string").repartition(3)
+    want = {(f"{i:03d}", f"{j:03d}") for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if similarity.ratio(a, b) >= 97}
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 3)  # many blocks of a band
+    monkeypatch.setattr(similarity, "COST_OF_GROUP", 900)  # many groups of a family
+    found = similarity.near_duplicates(df).select("left_hash", "right_hash").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want and len(want) > 100
+
+
+def test_pairs_by_hash_are_those_with_texts(spark, sf_dir):
+    """Texts are moved once, for both sides, and pairs go on with hashes."""
+    pairs, docs = splitting._inputs(spark, sf_dir)
+    names = ["resume_hash", "jd_hash", "label_norm", "resume_domain", "jd_domain", "split", "ordinal", "usable"]
+    whole = splitting.rows(spark, sf_dir).where("usable")
+    count = lambda t: sorted(map(str, t.select(*names).collect()))
+    assert count(pairs) == count(whole)
+    for side in ("resume", "jd"):
+        want = {(r.hash, r.text.casefold()) for r in audit.documents(whole, side).collect()}
+        assert {(r["hash"], r.folded) for r in docs[side].collect()} == want
+    assert "regexp_replace(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_linked_without_all_pairs(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
