@@ -27,7 +27,7 @@ BLOCK_TEXTS, BLOCK_BYTES, SENT_BYTES, TEXTS_OF_TASK = 16_384, 1 << 25, 1 << 22,
 #: Letters of a gram at most, and the log of the number of cells in which grams are counted.
 MOST_LETTERS, CELL_BITS = 32, 18
 #: Grams of a window at most, and letters of pairs (of long ones more) that are compared in full together, about, and tasks for them at most.
-WINDOW, COST_OF_GROUP, MOST_PARTS = 7, 500_000, 256
+WINDOW, COST_OF_GROUP, MOST_PARTS = 7, 4_000_000, 256
 #: Letters for which a band of letters of the other text is kept, and how many candidates of a text are compared in the rounds of linked() before its last.
 BAND_STEP, LINK_ROUNDS = 256, (1, 4, 16)
 
